@@ -2,7 +2,7 @@
 
 Two first-order Markov models over printable ASCII are trained from labelled samples, one from
 random strings and one from ordinary identifiers. A maximal run of key characters scores the mean
-log-likelihood ratio of its transitions; runs of LEAST characters or more above CUT that overlap
+log-likelihood ratio of its transitions; runs of 20 characters or more above CUT that overlap
 no pattern match become `markov` spans. The whole path is DataFrame functions: pattern matches come
 from one split and one extraction, positions from the running lengths of both, scores from an
 array of the 128 x 128 ratios that is indexed by character codes.
@@ -28,14 +28,15 @@ from .shared import documents
 
 #: Fixed values of the contract, with letters in either case written out.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = "AKIA[A-Z0-9]+"
-HEX = "[0-9a-f]+"
-#: Pattern, group whose length counts, least length.
-BASE = {"assign": (ASSIGN, 2, 6), "access": (ACCESS, 0, 20), "hex": (HEX, 0, 24)}
+LEAST_VALUE = 6
+#: Here the least lengths, 20 and 24, can stand in the pattern: shorter runs hold no match.
+ACCESS = "AKIA[A-Z0-9]{16,}"
+HEX = "[0-9a-f]{24,}"
+BASE = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 KINDS = (*BASE, "markov")
 
-#: Runs that the model judges, their least length, and the mean log-likelihood ratio above which they are secrets.
-RUN, LEAST, CUT = "[A-Za-z0-9+/_=-]+", 20, 0.5
+#: Runs that the model judges, and the mean log-likelihood ratio above which they are secrets.
+RUN, CUT = "[A-Za-z0-9+/_=-]{20,}", 0.5
 #: Characters of the models, and the count added to each transition.
 CODES, SMOOTH = 128, 0.05
 SAMPLES = 3000
@@ -56,7 +57,7 @@ def default_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     seeded = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     base64 = F.base64(F.unhex(seeded("a")))
     random = F.when(F.col("id") % 4 == 0, seeded("b")).when(F.col("id") % 4 == 1, F.regexp_replace(F.upper(base64), "[^A-Z0-9]", "")).otherwise(base64)
-    parts = F.array(*[F.lit(p) for p in PARTS])
+    parts = F.split(F.lit(" ".join(PARTS)), " ")
     part = lambda k: F.element_at(parts, (F.pmod(F.crc32(F.concat(F.lit(f"p{k}-"), F.col("id").cast("string")).cast("binary")), F.lit(len(PARTS))) + 1).cast("int"))
     words = [part(k) for k in range(4)]
     caps = [F.initcap(w) for w in words]
@@ -91,19 +92,22 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
+_SPANS = "array<struct<start:int,end:int,match:string>>"
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of the leftmost non-overlapping matches."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("all"))
+    """array<struct<start, end, match>> of the leftmost non-overlapping matches. The split and the
+    extraction are the array that is walked, so each is evaluated once for a text."""
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("all"))
 
-    def add(state: Column, i: Column) -> Column:
-        match = F.get(found, i)
-        start = state["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(match)
-        return F.struct(end.alias("at"), F.concat(state["all"], F.array(F.struct(start.alias("start"), end.alias("end"), match.alias("match")))).alias("all"))
+    def add(state: Column, piece: Column) -> Column:
+        start = state["at"] + F.length(piece["gap"])
+        end = start + F.length(piece["match"])
+        grown = F.struct(end.alias("at"), F.concat(state["all"], F.array(F.struct(start.alias("start"), end.alias("end"), piece["match"].alias("match")))).alias("all"))
+        return F.when(piece["match"].isNull(), state).otherwise(grown)
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, add, lambda s: s["all"])
-    return F.when(text.rlike(pattern), walked).otherwise(zero["all"])
+    return F.when(text.rlike(pattern), F.aggregate(pieces, zero, add, lambda s: s["all"])).otherwise(zero["all"])
 
 
 def randomness(run: Column, ratios: list[float]) -> Column:
@@ -122,14 +126,14 @@ def find_secrets(docs: DataFrame, ratios: list[float], column: str = "text", cut
     """Adds `found`: array<struct<start, nth, kind, end>> in order, nth the kind's place in KINDS."""
     text = F.coalesce(F.col(column), F.lit(""))
     out = docs.drop("found")
-    for kind, (pattern, group, least) in BASE.items():
-        # Enough of a match must be there at all: the cheap test comes first.
-        sieve = {"assign": ASSIGN[: -len("+)")] + f"{{{least},}})", "access": f"AKIA[A-Z0-9]{{{least - 4},}}", "hex": f"[0-9a-f]{{{least},}}"}[kind]
-        kept = F.filter(matches(text, pattern), lambda m: F.length(F.regexp_extract(m["match"], pattern, group)) >= least)  # noqa: B023
-        out = out.withColumn(f"_{kind}", F.when(text.rlike(sieve), kept).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>")))
+    for kind, pattern in BASE.items():
+        out = out.withColumn(f"_{kind}", matches(text, pattern))
+    # A value too short for a match still takes its place: it is dropped after matching.
+    value = lambda m: F.regexp_extract(m["match"], ASSIGN, 2)
+    out = out.withColumn("_assign", F.filter("_assign", lambda m: F.length(value(m)) >= LEAST_VALUE))
     base = F.concat(*[F.col(f"_{k}") for k in BASE])
-    long_runs = F.when(text.rlike(RUN[:-1] + f"{{{LEAST},}}"), F.filter(matches(text, RUN[:-1] + f"{{{LEAST},}}"), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
-    out = out.withColumn("_runs", F.coalesce(long_runs, F.array().cast("array<struct<start:int,end:int,match:string>>")))
+    out = out.withColumn("_runs", matches(text, RUN))
+    out = out.withColumn("_runs", F.filter("_runs", lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
     out = out.withColumn("_markov", F.filter("_runs", lambda m: randomness(m["match"], ratios) > cut))
     tagged = [F.transform(F.col(f"_{k}"), lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("nth"), F.lit(k).alias("kind"), m["end"].alias("end"))) for i, k in enumerate(KINDS)]  # noqa: B023
     return out.withColumn("found", F.array_sort(F.concat(*tagged))).drop("_runs", *[f"_{k}" for k in KINDS])
