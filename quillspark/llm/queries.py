@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, language, media, mixing, quality, secrets, sharding
+from . import bpe, jaccard, language, linededup, media, mixing, quality, secrets, sharding
 
 QUERIES = {
+    "op1_linededup": linededup.op1_linededup,
     "op2_secrets": secrets.op2_secrets,
     "op3_bpe": bpe.op3_bpe,
     "op4_language": language.op4_language,
     "op5_sharding": sharding.op5_sharding,
     "op7_media": media.op7_media,
     "op8_mixing": mixing.op8_mixing,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_quality": quality.op10_quality,
 }
 
