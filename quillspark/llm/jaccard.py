@@ -212,7 +212,8 @@ def candidates(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> Dat
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class, class_size, component_id for each row."""
+    """doc_id, n_shingles, class, class_size, component (a class), component_id for each row; class
+    and component are null for empty sets."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = materialize(describe(docs), "described")
     rows = described.filter(F.col("class").isNotNull())
@@ -231,9 +232,37 @@ def similar_components(docs: DataFrame) -> DataFrame:
     merged = components(ends.select(F.col("p").alias("a"), F.col("q").alias("b")), "merged").select(F.col("node").alias("component"), "root")
     final = known.join(merged, "component", "left").withColumn("component", F.coalesce("root", "component"))
     ids = final.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    final = final.join(ids, "component").select("class", "class_size", "component_id")
+    final = final.join(ids, "component").select("class", "class_size", "component", "component_id")
     out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class")).join(final, "class", "left")
-    return out.select("doc_id", "n_shingles", "class", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "class", "component", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def tag_class(docs: DataFrame) -> DataFrame:
+    """The rows with `class`."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in text_batches(batches):
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([digest(shingle_set(t)) for t in texts], pa.int64())], names=[*piece.schema.names, "class"])
+
+    return docs.mapInArrow(step, StructType([*docs.schema.fields, StructField("class", LongType())]))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id; all without shingles.
+    Rows that share a doc_id are told apart by their sets, and of equal ones one stays."""
+    found = materialize(similar_components(docs), "components-of-rows")
+    linked = found.filter("n_shingles > 0")
+    chosen = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("class").alias("class"), F.first("doc_id").alias("doc_id")).select("doc_id", "class")
+    # Most ids stand for one row, and then the id says who goes.
+    often = found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("many"))
+    gone = linked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("many"))
+    single = docs.join(materialize(gone.unionByName(often).distinct(), "leaving"), docs["doc_id"].eqNullSafe(F.col("many")), "left_anti")
+    repeated = tag_class(docs.join(often, docs["doc_id"].eqNullSafe(F.col("many")), "left_semi"))
+    chosen = chosen.withColumnRenamed("doc_id", "who").withColumnRenamed("class", "what")
+    same = (repeated["class"] == F.col("what")) & repeated["doc_id"].eqNullSafe(F.col("who"))
+    blank = F.lit(digest(np.zeros(0, np.uint64)))
+    kept = repeated.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "class"]).unionByName(repeated.filter(F.col("class") == blank))
+    return single.unionByName(kept.drop("class"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,17 +67,19 @@ def water_level(sizes: DataFrame, weights: Sequence[int], share: float, max_epoc
     return left.select("source", "source_size", F.when(F.col("clamped"), F.col("cap")).otherwise(share_out).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs (times taken), taken (words taken)."""
-    slim = materialize(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place(F.col("doc_id"), seed).alias("place")),
-        "mixing",
-    ).withColumn("bucket", F.shiftright("place", 48))
-    by_bucket = materialize(slim.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mixing-buckets")
+def measured(docs: DataFrame, seed: str) -> DataFrame:
+    """doc_id, source, size, place, bucket."""
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place(F.col("doc_id"), seed).alias("place"))
+    return slim.withColumn("bucket", F.shiftright("place", 48))
+
+
+def plan_mix(rows: DataFrame, weights: Sequence[int], share: float, max_epochs: float) -> DataFrame:
+    """One row for each source: of, source_size, target, whole repetitions, part (the size of the
+    fractional one), the hash range in which that ends, and the size before it."""
+    by_bucket = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mixing-buckets")
     targets = water_level(by_bucket.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-    # The range in which a source's fraction ends, and what lies before it.
     upto = W.partitionBy("source").orderBy("bucket")
     ends = (
         by_bucket.withColumn("until", F.sum("size").over(upto))
@@ -88,18 +90,36 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
         .agg(F.min_by(F.struct("bucket", (F.col("until") - F.col("size")).alias("before")), "bucket").alias("end"))
         .select(F.col("source").alias("of"), "end.bucket", "end.before")
     )
-    plan = (
-        targets.join(ends, F.col("of").eqNullSafe(F.col("source")), "left")
-        .select(F.col("source").alias("of"), "source_size", "target", "whole", "part", F.coalesce("bucket", F.lit(BUCKETS)).alias("end"), F.coalesce("before", F.lit(0)).alias("before"))
+    plan = targets.join(ends, F.col("of").eqNullSafe(F.col("source")), "left").select(
+        F.col("source").alias("of"), "source_size", "target", "whole", "part", F.coalesce("bucket", F.lit(BUCKETS)).alias("end"), F.coalesce("before", F.lit(0)).alias("before")
     )
-    plan = materialize(plan, "mixing-plan")
-    rows = slim.join(plan, slim["source"].eqNullSafe(plan["of"])).drop("of")
+    return materialize(plan, "mixing-plan")
+
+
+def apply_mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows (of measured(), with any other columns) with source_size, target and epochs."""
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["of"])).drop("of")
     clear = rows.filter(F.col("bucket") != F.col("end")).withColumn("extra", (F.col("bucket") < F.col("end")).cast("long"))
     upto = W.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     middle = F.col("before") + F.sum("size").over(upto) - F.col("size") / 2
     ending = rows.filter(F.col("bucket") == F.col("end")).withColumn("extra", (middle <= F.col("part")).cast("long"))
     out = clear.unionByName(ending).withColumn("epochs", F.col("whole") + F.when(F.col("part") > 0, F.col("extra")).otherwise(F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
+    return out.drop("place", "bucket", "whole", "part", "end", "before", "extra")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs (times taken), taken (words taken)."""
+    slim = materialize(measured(docs, seed), "mixing")
+    out = apply_mix(slim, plan_mix(slim, weights, share, max_epochs))
+    return out.withColumn("taken", F.col("epochs") * F.col("size"))
+
+
+def repeat_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: str = SEED) -> DataFrame:
+    """The mix itself: every document as often as it is taken, its columns unchanged."""
+    plan = plan_mix(measured(docs, seed), weights, share, max_epochs)
+    rows = docs.select(F.struct(*docs.columns).alias("document"), "doc_id", "source", word_count(F.col("text")).alias("size"), place(F.col("doc_id"), seed).alias("place"))
+    rows = apply_mix(rows.withColumn("bucket", F.shiftright("place", 48)), plan).filter("epochs > 0")
+    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), "epochs"))).select("document.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

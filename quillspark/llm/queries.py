@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, language, linededup, media, mixing, quality, secrets, sharding
+from . import bpe, jaccard, language, linededup, media, mixing, quality, search, secrets, sharding
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
@@ -10,10 +10,11 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_language": language.op4_language,
     "op5_sharding": sharding.op5_sharding,
+    "op6_search": search.op6_search,
     "op7_media": media.op7_media,
     "op8_mixing": mixing.op8_mixing,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLE_SQL = {"op8_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op6_search": search.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
