@@ -20,15 +20,17 @@ from quillspark.llm.shared import documents, materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.score_quality(docs, quality.quality_space(spark, sf_dir))
-    return scored.filter("predicted = 1").select(docs.columns)
+    scored = quality.score_quality(docs, quality.quality_space(spark, sf_dir), names=("__score", "__predicted"))
+    return scored.filter("__predicted = 1").select(docs.columns)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = linededup.dedup_lines(docs)
-    kept = done.filter((F.size("removed") == 0) | (F.col("text") != ""))
-    count = {"n_chars": F.when(F.size("removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))} if "n_chars" in docs.columns else {}
-    return kept.withColumns(count).select(docs.columns) if count else kept.select(docs.columns)
+    done = linededup.dedup_lines(docs, names=("__lines", "__removed", "__words"))
+    whole = F.size("__removed") == 0
+    kept = done.filter(whole | (F.col("text") != ""))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return kept.select(docs.columns)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

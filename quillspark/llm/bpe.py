@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .shared import documents, text_batches
+from .shared import documents, slices, text_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of the per-worker cache, and the longest pre-token that it holds.
@@ -164,9 +164,9 @@ def decode(df: DataFrame, vocabulary: str | None = None, column: str = "ids", ou
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = tokens(vocabulary or public_tokenizers.path(VOCABULARY))
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(column))
-            yield _with(batch, out, [b"".join(map(of.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in ids])
+        for piece in (p for b in batches for p in slices(b, b.schema.get_field_index(column))):
+            ids = piece.column(piece.schema.get_field_index(column))
+            yield _with(piece, out, [b"".join(map(of.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in ids])
 
     return _mapped(df, out, step)
 

@@ -237,14 +237,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "class", "component", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def tag_class(docs: DataFrame) -> DataFrame:
-    """The rows with `class`."""
+def tag_class(docs: DataFrame, name: str = "class") -> DataFrame:
+    """The rows with the digest of their sets."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([digest(shingle_set(t)) for t in texts], pa.int64())], names=[*piece.schema.names, "class"])
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([digest(shingle_set(t)) for t in texts], pa.int64())], names=[*piece.schema.names, name])
 
-    return docs.mapInArrow(step, StructType([*docs.schema.fields, StructField("class", LongType())]))
+    return docs.mapInArrow(step, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -254,15 +254,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     linked = found.filter("n_shingles > 0")
     chosen = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("class").alias("class"), F.first("doc_id").alias("doc_id")).select("doc_id", "class")
     # Most ids stand for one row, and then the id says who goes.
-    often = found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("many"))
-    gone = linked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("many"))
-    single = docs.join(materialize(gone.unionByName(often).distinct(), "leaving"), docs["doc_id"].eqNullSafe(F.col("many")), "left_anti")
-    repeated = tag_class(docs.join(often, docs["doc_id"].eqNullSafe(F.col("many")), "left_semi"))
-    chosen = chosen.withColumnRenamed("doc_id", "who").withColumnRenamed("class", "what")
-    same = (repeated["class"] == F.col("what")) & repeated["doc_id"].eqNullSafe(F.col("who"))
+    often = found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("__many"))
+    gone = linked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__many"))
+    mine = docs["doc_id"].cast("long").eqNullSafe(F.col("__many"))
+    single = docs.join(materialize(gone.unionByName(often).distinct(), "leaving"), mine, "left_anti")
+    repeated = tag_class(docs.join(often, mine, "left_semi"), "__class")
+    chosen = chosen.select(F.col("doc_id").alias("__who"), F.col("class").alias("__what"))
+    same = (repeated["__class"] == F.col("__what")) & repeated["doc_id"].cast("long").eqNullSafe(F.col("__who"))
     blank = F.lit(digest(np.zeros(0, np.uint64)))
-    kept = repeated.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "class"]).unionByName(repeated.filter(F.col("class") == blank))
-    return single.unionByName(kept.drop("class"))
+    kept = repeated.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__class"]).unionByName(repeated.filter(F.col("__class") == blank))
+    return single.unionByName(kept.drop("__class"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,14 +109,15 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Space:
     """Learns from `limit` labelled documents at most; give it training folds only."""
     picked = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = picked.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    # A repeated doc_id gives its first text in order, so that reruns learn from the same rows.
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
     data, marks = gather(texts.select("text", "quality"), "quality")
     return fit(data, np.array(marks, dtype=np.float64))
 
 
-def score_quality(docs: DataFrame, space: Space, threshold: float = THRESHOLD, column: str = "text") -> DataFrame:
-    """Adds `score` and `predicted`."""
-    docs = docs.drop("score", "predicted")
+def score_quality(docs: DataFrame, space: Space, threshold: float = THRESHOLD, column: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds the score and the prediction under `names`."""
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +125,9 @@ def score_quality(docs: DataFrame, space: Space, threshold: float = THRESHOLD, c
         for piece, texts in text_batches(batches, column):
             score = np.concatenate([space.vote(np.stack([counts(t) for t in texts[i : i + 256]])) for i in range(0, len(texts), 256)])
             columns = [*piece.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names, *names])
 
-    return docs.mapInArrow(step, StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return docs.mapInArrow(step, StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
 
 
 def quality_space(spark: SparkSession, sf_dir: str) -> Space:

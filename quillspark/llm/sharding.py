@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -54,20 +54,21 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHE
     starts = {r[0]: (sizes[i], counts[i]) for i, r in enumerate(totals)}
     total = sizes[-1]
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = row = None
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
             if size is None:
-                size, row = starts[int(b["part"].iloc[0])]
-            ends = size + b["size"].to_numpy().cumsum()
-            middle = ends - b["size"].to_numpy() / 2
+                size, row = starts[b.column(3)[0].as_py()]
+            sizes = b.column(1).to_numpy()
+            ends = size + sizes.cumsum()
+            middle = ends - sizes / 2
             shard = np.minimum(shards - 1, (middle * (shards / total)).astype(np.int64)).astype(np.int32)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "size": b["size"], "text_crc32": b["text_crc32"], "shard": shard, "row": np.arange(row, row + len(b))})
-            size, row = int(ends[-1]), row + len(b)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(shard), pa.array(np.arange(row, row + b.num_rows))], names=_ROW.names)
+            size, row = int(ends[-1]), row + b.num_rows
 
-    rows = fixed.mapInPandas(number, _ROW)
+    rows = fixed.select("doc_id", "size", "text_crc32", "part").mapInArrow(number, _ROW)
     first = {r[0]: r[1] for r in rows.groupBy("shard").agg(F.min("row")).collect()}
     if not first:
         return rows.select("doc_id", "size", "text_crc32", "shard", F.col("row").alias("slot"))
