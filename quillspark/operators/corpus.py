@@ -67,7 +67,7 @@ def quotas(df: DataFrame, group: str, total: int) -> DataFrame:
 
 def stratified(df: DataFrame, group: str, id: str, seed: str, total: int) -> DataFrame:
     nth = F.row_number().over(W.partitionBy(group).orderBy(draw(F.col(id), seed), id))
-    return df.withColumn("nth", nth).join(F.broadcast(quotas(df, group, total).select(group, "quota")), group).filter("nth <= quota").drop("nth", "quota")
+    return df.withColumn("nth", nth).join(quotas(df, group, total).select(group, "quota"), group).filter("nth <= quota").drop("nth", "quota")
 
 
 def numbered(df: DataFrame, key: str, ranges: int = 64) -> DataFrame:
