@@ -17,7 +17,9 @@ union can hold enough of its tokens. In steps:
 4. The bound. For a class and a group with common tokens at places p of the class's order,
    the overlap with any member is at most the tokens matched up to some p and all n - p - 1 after
    it; groups below ceil(3n/4), or without a member of fitting size, stay closed.
-5. Members of opened groups are verified on whole sets: 100 |intersection| >= 75 |union|.
+   A member of an opened group meets the same bound by itself, from both sides: common tokens up
+   to the last one, and what either set has left after it or after its part of the matrix.
+5. What is still open is verified on whole sets: 100 |intersection| >= 75 |union|.
 6. Components over both kinds of links; each gets the smallest doc_id in it.
 
 Every pair of linked sets shares a component or is found in step 5; there is no cap on groups,
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -161,7 +163,7 @@ def alike(classes: DataFrame) -> DataFrame:
     signatures look alike."""
     met = classes.select("class", "sign", F.posexplode(F.slice("sign", 1, MEET)).alias("nth", "value"))
     least = met.groupBy("nth", "value").agg(F.min(F.struct("class", "sign")).alias("least"), F.count("*").alias("n")).filter("n > 1")
-    near = met.join(least.select("nth", "value", "least"), ["nth", "value"]).filter(F.col("class") != F.col("least.class"))
+    near = met.join(materialize(least.select("nth", "value", "least"), "least"), ["nth", "value"]).filter(F.col("class") != F.col("least.class"))
     same = F.aggregate(F.zip_with("sign", "least.sign", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return near.filter(same >= ALIKE).select(F.col("class").alias("a"), F.col("least.class").alias("b")).distinct()
 
@@ -179,36 +181,87 @@ def frequent_tokens(described: DataFrame) -> np.ndarray:
     return np.sort(np.frombuffer(found, np.uint64))
 
 
-def candidates(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Pairs (a, b) of classes in different components whose group the bound leaves open."""
+def prefixes(docs: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """class, place, token of every document's first tokens; and the low halves of tokens that
+    more than one document has there. Most tokens are in one document only: counting the halves,
+    summed in each task first, is a shuffle of few bytes a token, and leaves most rows behind."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in text_batches(batches):
-            sets = [shingle_set(t) for t in texts]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            if full:
-                yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()).take(pa.array(full)), pa.array([digest(sets[i]) for i in full]), _lists([first_places(sets[i], shared.value) for i in full])], names=["d", "c", "first"])
-
-    kind = StructType([StructField("d", LongType()), StructField("c", LongType()), StructField("first", ArrayType(LongType()))])
-    first = docs.select("doc_id", "text").mapInArrow(step, kind)
-    mine = first.join(classes, (F.col("c") == classes["class"]) & F.col("d").eqNullSafe(classes["doc_id"]))
-    places = mine.select("class", "n_shingles", "component", "group", F.posexplode("first").alias("place", "token"))
-    places = materialize(places, "places")
+    def first(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        for t in texts:
+            if len(s := shingle_set(t)):
+                yield digest(s), first_places(s, shared.value)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_batches(batches):
+            if made := list(first(texts)):
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in made]), _lists([f for _, f in made])], names=["class", "first"])
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(pool: list[np.ndarray]) -> pa.RecordBatch:
+            half, times = np.unique(np.concatenate(pool).astype(np.uint32), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(half.view(np.int32)), pa.array(np.minimum(times, 2).astype(np.int32))], names=["half", "times"])
+
+        pool, size = [], 0
+        for _, texts in text_batches(batches):
+            for _, f in first(texts):
+                pool.append(f)
+                size += len(f)
+                if size >= COUNTED:
+                    yield summed(pool)
+                    pool, size = [], 0
+        if pool:
+            yield summed(pool)
+
+    texts = docs.select("doc_id", "text")
+    kind = StructType([StructField("class", LongType()), StructField("first", ArrayType(LongType()))])
+    rows = texts.mapInArrow(places, kind).select("class", F.posexplode("first").alias("place", "token"))
+    twice = texts.mapInArrow(halves, "half int, times int").groupBy("half").agg(F.sum("times").alias("n")).filter("n > 1").select("half")
+    return rows, twice
+
+
+def taken(n: Column) -> Column:
+    """How many first tokens of a set of size n are in the matrix."""
+    return n - F.ceil(F.lit(SIMILAR) * n / 100) + 1
+
+
+def needed(n: Column, m: Column) -> Column:
+    """Common tokens that sets of sizes n and m must have to link."""
+    return F.ceil(F.lit(SIMILAR) * (n + m) / (100 + SIMILAR))
+
+
+def candidates(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of classes in different components that the bounds leave open."""
+    rows, twice = prefixes(docs, frequent)
+    half = F.shiftright(F.shiftleft("token", 32), 32).cast("int")
+    rows = rows.withColumn("half", half).join(materialize(twice, "halves"), "half").select("class", "place", "token")
+    named = rows.join(classes.select("class", "n_shingles", "component", "group"), "class")
+    places = materialize(named.select("class", F.col("n_shingles").cast("int").alias("n"), "component", "group", "place", "token"), "places")
     across = places.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token")
-    places = materialize(places.join(across, "token").distinct(), "places-across")
+    places = materialize(places.join(materialize(across, "across"), "token").distinct(), "places-across")
+
+    # The matrix, and the groups that the bound opens.
     sizes = classes.groupBy("component", "group").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    matrix = places.select("token", F.col("component").alias("other"), F.col("group").alias("opened")).distinct()
+    matrix = materialize(places.select("token", F.col("component").alias("other"), F.col("group").alias("opened")).distinct(), "matrix")
     hits = places.join(matrix, "token").filter(F.col("component") < F.col("other"))
-    hits = hits.groupBy("class", "other", "opened").agg(F.first("n_shingles").alias("n"), F.array_sort(F.collect_list("place")).alias("at"))
+    hits = hits.groupBy("class", "other", "opened").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("place")).alias("at"))
     most = F.array_max(F.transform("at", lambda p, i: i + F.col("n") - p))
     hits = hits.filter(most * 100 >= SIMILAR * F.col("n"))
     sizes = sizes.select(F.col("component").alias("other"), F.col("group").alias("opened"), "least", "most")
     fits = (F.col("least") * SIMILAR <= F.col("n") * 100) & (F.col("n") * SIMILAR <= F.col("most") * 100)
-    opened = hits.join(sizes, ["other", "opened"]).filter(fits)
+    opened = hits.join(sizes, ["other", "opened"]).filter(fits).select("class", "other", "opened", "n")
+
+    # Members of opened groups, by the same tokens: up to the last common one all are known.
     members = classes.select(F.col("component").alias("other"), F.col("group").alias("opened"), F.col("class").alias("b"), F.col("n_shingles").alias("m"))
-    pairs = opened.join(members, ["other", "opened"]).filter((F.col("m") * SIMILAR <= F.col("n") * 100) & (F.col("n") * SIMILAR <= F.col("m") * 100))
-    return pairs.select(F.col("class").alias("a"), "b").distinct()
+    n, m = F.col("n"), F.col("m")
+    pairs = opened.join(members, ["other", "opened"]).filter((m * SIMILAR <= n * 100) & (n * SIMILAR <= m * 100))
+    pairs = materialize(pairs.select(F.col("class").alias("a"), "b", "n", "m"), "opened")
+    slim = places.select("class", "token", "place")
+    met = pairs.join(slim.select(F.col("class").alias("a"), "token", F.col("place").alias("p")), "a")
+    met = met.join(slim.select(F.col("class").alias("b"), "token", F.col("place").alias("q")), ["b", "token"])
+    counts = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.max("p").alias("p"), F.max("q").alias("q"))
+    left = F.least(n - 1 - F.col("p"), m - 1 - F.col("q"), F.greatest(n - taken(n), m - taken(m)))
+    return counts.filter(F.col("c") + left >= needed(n, m)).select("a", "b")
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
