@@ -265,3 +265,10 @@ def extension_kind(path: Column) -> Column:
 
 def passage_text(title: Column, text: Column) -> Column:
     return F.when(title != "", F.concat_ws(" ", title, text)).otherwise(text)
+
+
+def build_list(reply: Column) -> Column:
+    """A reply's cleaned lines, each text once whatever its case, in order."""
+    lines = F.filter(F.transform(F.split(reply, "\n"), clean_query_line), lambda x: x != "")
+    low = F.transform(lines, lambda x: F.lower(x))
+    return F.filter(lines, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
