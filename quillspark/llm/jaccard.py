@@ -54,7 +54,7 @@ SIGNATURE, MEET, ALIKE = 24, 8, 12
 #: Members of a group.
 GROUP = 32
 #: Frequent tokens: those FREQUENT times among COUNTED tokens of a task, and the most that are broadcast (8 bytes each).
-FREQUENT, COUNTED, MOST = 8, 1 << 21, 1 << 20
+FREQUENT, COUNTED, MOST = 2, 1 << 22, 1 << 20
 #: A table of ids is broadcast up to this many (8 bytes each), else it is shuffled.
 FEW_IDS = 1 << 20
 
@@ -95,24 +95,26 @@ def describe(docs: DataFrame) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "class", "n_shingles", "sign", "often"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        pool: list[np.ndarray] = []
+        pool: dict[int, np.ndarray] = {}  # by digest: copies count once
         size = 0
 
         def counted() -> pa.RecordBatch:
-            tokens, times = np.unique(np.concatenate(pool), return_counts=True)
+            tokens, times = np.unique(np.concatenate(list(pool.values())), return_counts=True)
             often = tokens[times >= FREQUENT].view(np.int64)
             return pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:4]] + [pa.array([often], kinds[4])], names=names)
 
         for piece, texts in text_batches(batches):
             sets = [shingle_set(t) for t in texts]
             signs = [signature(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array([digest(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, kinds[3]), pa.nulls(len(sets), kinds[4])], names=names)
-            for s in sets:
-                pool.append(s)
-                size += len(s)
+            named = [digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(named, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, kinds[3]), pa.nulls(len(sets), kinds[4])], names=names)
+            for name, s in zip(named, sets, strict=True):
+                if name not in pool:
+                    pool[name] = s
+                    size += len(s)
                 if size >= COUNTED:
                     yield counted()
-                    pool, size = [], 0
+                    pool, size = {}, 0
         if size:
             yield counted()
 
@@ -240,16 +242,15 @@ def candidates(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> Dat
     across = places.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token")
     places = materialize(places.join(materialize(across, "across"), "token").distinct(), "places-across")
 
-    # The matrix, and the groups that the bound opens.
+    # The matrix, with the sizes of a group's members, and the groups that the bound opens.
     sizes = classes.groupBy("component", "group").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    matrix = materialize(places.select("token", F.col("component").alias("other"), F.col("group").alias("opened")).distinct(), "matrix")
-    hits = places.join(matrix, "token").filter(F.col("component") < F.col("other"))
+    held = places.select("token", "component", "group").distinct().join(sizes, ["component", "group"])
+    matrix = materialize(held.select("token", F.col("component").alias("other"), F.col("group").alias("opened"), F.col("least").cast("int").alias("least"), F.col("most").cast("int").alias("most")), "matrix")
+    fits = (F.col("least") * SIMILAR <= F.col("n") * 100) & (F.col("n") * SIMILAR <= F.col("most") * 100)
+    hits = places.join(matrix, "token").filter((F.col("component") < F.col("other")) & fits)
     hits = hits.groupBy("class", "other", "opened").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("place")).alias("at"))
     most = F.array_max(F.transform("at", lambda p, i: i + F.col("n") - p))
-    hits = hits.filter(most * 100 >= SIMILAR * F.col("n"))
-    sizes = sizes.select(F.col("component").alias("other"), F.col("group").alias("opened"), "least", "most")
-    fits = (F.col("least") * SIMILAR <= F.col("n") * 100) & (F.col("n") * SIMILAR <= F.col("most") * 100)
-    opened = hits.join(sizes, ["other", "opened"]).filter(fits).select("class", "other", "opened", "n")
+    opened = hits.filter(most * 100 >= SIMILAR * F.col("n")).select("class", "other", "opened", "n")
 
     # Members of opened groups, by the same tokens: up to the last common one all are known.
     members = classes.select(F.col("component").alias("other"), F.col("group").alias("opened"), F.col("class").alias("b"), F.col("n_shingles").alias("m"))
