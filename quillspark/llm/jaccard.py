@@ -14,9 +14,9 @@ union can hold enough of its tokens. In steps:
    by hash with frequent tokens last, so passages that many documents share stay out; it only
    decides the cost, never the result. Only those tokens enter the matrix, and a token whose
    holders are all in one component is dropped: such links would join what is joined.
-4. The bound. For a class and a group with common tokens at places p of the class's order,
-   the overlap with any member is at most the tokens matched up to some p and all n - p - 1 after
-   it; groups below ceil(3n/4), or without a member of fitting size, stay closed.
+4. The bound. Of a class and a member, the one whose part of the matrix ends first has only the
+   rest of its set to match besides the common tokens, which are no more than the group's; groups
+   where that is below the needed overlap, or without a member of fitting size, stay closed.
    A member of an opened group meets the same bound by itself, from both sides: common tokens up
    to the last one, and what either set has left after it or after its part of the matrix.
 5. What is still open is verified on whole sets: 100 |intersection| >= 75 |union|.
@@ -242,15 +242,20 @@ def candidates(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> Dat
     across = places.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token")
     places = materialize(places.join(materialize(across, "across"), "token").distinct(), "places-across")
 
-    # The matrix, with the sizes of a group's members, and the groups that the bound opens.
-    sizes = classes.groupBy("component", "group").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    held = places.select("token", "component", "group").distinct().join(sizes, ["component", "group"])
-    matrix = materialize(held.select("token", F.col("component").alias("other"), F.col("group").alias("opened"), F.col("least").cast("int").alias("least"), F.col("most").cast("int").alias("most")), "matrix")
+    # The matrix, with the sizes of a group's members, and the groups that the bound opens. A
+    # group's common tokens are at least any member's; for a lone member they are its own.
+    sizes = classes.groupBy("component", "group").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count("*").alias("members"))
+    held = places.groupBy("token", "component", "group").agg(F.min("place").alias("theirs")).join(sizes, ["component", "group"])
+    whole = lambda c: F.col(c).cast("int").alias(c)
+    matrix = materialize(held.select("token", F.col("component").alias("other"), F.col("group").alias("opened"), "theirs", whole("least"), whole("most"), whole("members")), "matrix")
     fits = (F.col("least") * SIMILAR <= F.col("n") * 100) & (F.col("n") * SIMILAR <= F.col("most") * 100)
     hits = places.join(matrix, "token").filter((F.col("component") < F.col("other")) & fits)
-    hits = hits.groupBy("class", "other", "opened").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("place")).alias("at"))
-    most = F.array_max(F.transform("at", lambda p, i: i + F.col("n") - p))
-    opened = hits.filter(most * 100 >= SIMILAR * F.col("n")).select("class", "other", "opened", "n")
+    hits = hits.groupBy("class", "other", "opened", "n", "least", "most", "members").agg(F.count("*").alias("c"), F.max("place").alias("p"), F.max("theirs").alias("q"))
+    n, c, most = F.col("n"), F.col("c"), F.col("most")
+    smallest = F.greatest(F.col("least"), F.ceil(n * SIMILAR / 100))
+    any_member = c + F.greatest(n - taken(n), most - taken(most)) >= needed(n, smallest)
+    lone = c + F.least(n - 1 - F.col("p"), most - 1 - F.col("q")) >= needed(n, most)
+    opened = hits.filter(any_member & ((F.col("members") > 1) | lone)).select("class", "other", "opened", "n")
 
     # Members of opened groups, by the same tokens: up to the last common one all are known.
     members = classes.select(F.col("component").alias("other"), F.col("group").alias("opened"), F.col("class").alias("b"), F.col("n_shingles").alias("m"))
