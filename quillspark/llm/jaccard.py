@@ -99,8 +99,10 @@ def describe(docs: DataFrame) -> DataFrame:
         size = 0
 
         def counted() -> pa.RecordBatch:
-            tokens, times = np.unique(np.concatenate(list(pool.values())), return_counts=True)
-            often = tokens[times >= FREQUENT].view(np.int64)
+            tokens = np.concatenate(list(pool.values()))
+            pool.clear()
+            tokens.sort()  # a token is frequent if the one FREQUENT - 1 places on is the same
+            often = np.unique(tokens[FREQUENT - 1 :][tokens[FREQUENT - 1 :] == tokens[: 1 - FREQUENT]]).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:4]] + [pa.array([often], kinds[4])], names=names)
 
         for piece, texts in text_batches(batches):
@@ -114,7 +116,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     size += len(s)
                 if size >= COUNTED:
                     yield counted()
-                    pool, size = {}, 0
+                    size = 0
         if size:
             yield counted()
 
@@ -201,13 +203,13 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFram
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def summed(pool: list[np.ndarray]) -> pa.RecordBatch:
-            half, times = np.unique(np.concatenate(pool).astype(np.uint32), return_counts=True)
+            half, times = np.unique(np.concatenate(pool), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(half.view(np.int32)), pa.array(np.minimum(times, 2).astype(np.int32))], names=["half", "times"])
 
         pool, size = [], 0
         for _, texts in text_batches(batches):
             for _, f in first(texts):
-                pool.append(f)
+                pool.append(f.astype(np.uint32))  # a copy: a part would keep its whole set in memory
                 size += len(f)
                 if size >= COUNTED:
                     yield summed(pool)

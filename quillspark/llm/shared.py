@@ -51,7 +51,7 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces whose texts hold about `limit` bytes, so that no batch of very long
     texts grows the worker's memory beyond a few times its longest text."""
     data = batch.column(column)
