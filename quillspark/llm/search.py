@@ -38,6 +38,9 @@ from .shingles import word_hashes
 K1, B, TOP = 1.2, 0.75, 10
 #: Documents and words of a shard, documents of a block, queries are stated by EVERY.
 SHARD, SHARD_WORDS, BLOCK, EVERY = 4096, 1 << 22, 64, 100
+#: Terms in more than this share of a shard's documents have their impacts as a row of it, and so
+#: many queries take their part from the rows in one product.
+DENSE, TOGETHER = 0.05, 64
 #: Terms of a block of queries; bounds the broadcast to some 16 bytes each.
 QUERY_TERMS = 1 << 20
 
@@ -99,16 +102,36 @@ class Shard:
         self.top = np.maximum.reduceat(self.impact, self.run) if len(cell) else np.zeros(0)
         self.block = cell[self.run] % (SHARD // BLOCK)
         self.run_of = np.searchsorted(owner[self.run], np.arange(len(self.terms) + 1))
-
-    def search(self, at: np.ndarray, idf: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        # Terms in many of the documents: their impacts as rows, so that a block's part of a query
+        # is one product instead of a gather of postings.
+        common = np.flatnonzero(np.diff(self.offsets) > len(self.ids) * DENSE)
+        self.row_of = np.full(len(self.terms), -1)
+        self.row_of[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), SHARD))
+        mine = self.row_of[owner]
+        self.rows[mine[mine >= 0], self.places[mine >= 0]] = self.impact[mine >= 0]
+
+    def common_parts(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms add to each document, for some queries (at, idf) in one product."""
+        weights = np.zeros((len(queries), len(self.rows)))
+        for w, (at, idf) in zip(weights, queries, strict=True):
+            row = self.row_of[at]
+            w[row[row >= 0]] = idf[row >= 0]
+        return (weights @ self.rows)[:, : len(self.ids)]
+
+    def search(self, at: np.ndarray, idf: np.ndarray, common: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the documents that can be among the best k; at: places of the
-        query's terms here, least: the score of the k-th best so far."""
-        first, many = self.run_of[at], np.diff(self.run_of)[at]
+        query's terms here, common: their common part, least: the score of the k-th best so far."""
+        first = self.run_of[at]
+        many = self.run_of[at + 1] - first
         runs, weight = _ranges(first, many), np.repeat(idf, many)
         bound = np.bincount(self.block[runs], self.top[runs] * weight, SHARD // BLOCK) * (1 + 1e-12)
         scores = np.zeros(len(self.ids))
-        order, seen = np.argsort(-bound, kind="stable"), np.zeros(len(bound), bool)
-        for blocks in (order[:4], order[4:16], order[16:]):  # blocks in which the threshold can rise
+        # Postings of the rare terms only; the common ones are in `common`.
+        sparse = np.repeat(self.row_of[at] < 0, many)
+        runs, weight = runs[sparse], weight[sparse]
+        order = np.argsort(-bound, kind="stable")
+        for blocks in (order[:8], order[8:]):  # the first ones raise the threshold
             blocks = blocks[(bound[blocks] >= least) & (bound[blocks] > 0)]
             if not len(blocks):
                 break
@@ -119,7 +142,7 @@ class Shard:
             size = self.run_end[chosen] - self.run[chosen]
             postings = _ranges(self.run[chosen], size)
             scores += np.bincount(self.places[postings], self.impact[postings] * np.repeat(w, size), len(scores))
-            seen |= pick
+            scores += np.where(np.repeat(pick, BLOCK)[: len(scores)], common, 0)
             if len(scores) >= k:
                 least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
         found = np.flatnonzero((scores >= least) & (scores > 0))
@@ -197,16 +220,18 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
                         continue
                     at = np.minimum(np.searchsorted(shard.terms, wanted), len(shard.terms) - 1)
                     here = shard.terms[at] == wanted
-                    for q, terms in enumerate(sets):
-                        mine = terms[here[terms]]
-                        if not len(mine):
-                            continue
-                        named, ids, scores = best[q]
-                        places, found = shard.search(at[mine], idf[mine], scores[-1] if len(scores) >= k else 0.0, k)
-                        if len(places):
-                            merged = np.concatenate([named, shard.named[places]]), np.concatenate([ids, shard.ids[places]]), np.concatenate([scores, found])
-                            top = _best(*merged, k)
-                            best[q] = tuple(m[top] for m in merged)
+                    for start in range(0, len(sets), TOGETHER):
+                        some = [terms[here[terms]] for terms in sets[start : start + TOGETHER]]
+                        common = shard.common_parts([(at[mine], idf[mine]) for mine in some])
+                        for q, mine in enumerate(some, start):
+                            if not len(mine):
+                                continue
+                            named, ids, scores = best[q]
+                            places, found = shard.search(at[mine], idf[mine], common[q - start], scores[-1] if len(scores) >= k else 0.0, k)
+                            if len(places):
+                                merged = np.concatenate([named, shard.named[places]]), np.concatenate([ids, shard.ids[places]]), np.concatenate([scores, found])
+                                top = _best(*merged, k)
+                                best[q] = tuple(m[top] for m in merged)
             sizes = [len(x[1]) for x in best]
             column = lambda j: np.concatenate([x[j] for x in best])
             owner = np.repeat(np.arange(len(best)), sizes)
