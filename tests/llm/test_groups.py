@@ -118,6 +118,25 @@ def test_lines_documents(spark):
             assert not (earlier and len(x.split()) >= linededup.MIN_WORDS) or i in removed
 
 
+def lines_held_earlier(rows: list[tuple]) -> dict:
+    """doc_id -> places of lines with words that an earlier distinct text holds; all of a copy's."""
+    out, texts, lines = {}, set(), set()
+    for d, t in sorted(rows):
+        own = t.split("\n")
+        out[d] = {i for i, x in enumerate(own) if WORD.search(x) and (t in texts or x in lines)}
+        texts.add(t)
+        lines.update(own)
+    return out
+
+
+def test_short_lines(spark):
+    """Shared lines go however short they are, alone or in a run, and wherever they stand."""
+    rows = [(1, "a b c\nd e\nf"), (2, "f\nown words\nd e"), (3, "x y\n\na b c\n\nf\nz"), (4, "f"), (5, "z\nf"), (6, "nothing shared")]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: {i for i in r["removed"] if rows[d - 1][1].split("\n")[i]} for d, r in got.items()} == lines_held_earlier(rows)
+    assert [got[d]["text"] for d, _ in rows] == ["a b c\nd e\nf", "own words", "x y\n\nz", "", "", "nothing shared"]
+
+
 def test_patience():
     assert linededup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert linededup.aligned([1, 2, 3], [3, 1, 1, 2, 7]) == [0, 1, 2, 3]
