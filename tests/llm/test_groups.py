@@ -137,6 +137,15 @@ def test_short_lines(spark):
     assert [got[d]["text"] for d, _ in rows] == ["a b c\nd e\nf", "own words", "x y\n\nz", "", "", "nothing shared"]
 
 
+@pytest.mark.parametrize("rare", [linededup.RARE, 3])
+def test_lines_are_membership(spark, rare):
+    """On documents, exactly the lines that an earlier text holds, however they are paired."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = linededup.dedup_lines(docs, rare=rare).collect()
+    assert {r["doc_id"]: {i for i in r["removed"] if WORD.search(texts[r["doc_id"]].split("\n")[i])} for r in got} == lines_held_earlier(list(texts.items()))
+
+
 def test_patience():
     assert linededup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert linededup.aligned([1, 2, 3], [3, 1, 1, 2, 7]) == [0, 1, 2, 3]
