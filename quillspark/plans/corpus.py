@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..operators import corpus as C
-from .registry import Tables, query
+from .registry import Tables, query, whole
 
 
 @query(r"""
@@ -196,8 +196,18 @@ SELECT item_id AS judged, 'document' AS missing FROM benchmark b WHERE NOT EXIST
 UNION ALL SELECT doc_id, 'query' FROM labels l WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = l.doc_id) AND doc_id < 100""")
 def referential_checks(t: Tables) -> DataFrame:
     """Rows 137, 320: ids of one table that the other lacks, both ways."""
-    a = t.benchmark.join(t.labels, F.col("item_id") == F.col("doc_id"), "left_anti").select(F.col("item_id").alias("judged"), F.lit("document").alias("missing"))
-    b = t.labels.filter("doc_id < 100").join(t.benchmark, F.col("item_id") == F.col("doc_id"), "left_anti").select(F.col("doc_id").alias("judged"), F.lit("query").alias("missing"))
+    return _unmatched(t.benchmark, t.labels, t.labels.filter("doc_id < 100"))
+
+
+@query(whole("referential_checks", " AND doc_id < 100"))
+def referential_checks_whole(t: Tables) -> DataFrame:
+    """Rows 137, 320 over all labels."""
+    return _unmatched(t.benchmark, t.labels, t.labels)
+
+
+def _unmatched(benchmark: DataFrame, labels: DataFrame, checked: DataFrame) -> DataFrame:
+    a = benchmark.join(labels, F.col("item_id") == F.col("doc_id"), "left_anti").select(F.col("item_id").alias("judged"), F.lit("document").alias("missing"))
+    b = checked.join(benchmark, F.col("item_id") == F.col("doc_id"), "left_anti").select(F.col("doc_id").alias("judged"), F.lit("query").alias("missing"))
     return a.unionByName(b)
 
 

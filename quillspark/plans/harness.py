@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..operators import harness as H
-from .registry import Tables, query
+from .registry import Tables, query, whole
 
 
 @query("""
@@ -39,8 +39,17 @@ WITH r AS (SELECT user_id % 30 AS identity, event_id AS run_id, ts AS started, C
 SELECT identity, arg_max(run_id, struct_pack(s := started, r := run_id)) AS run_id FROM r WHERE status = 'running' GROUP BY identity""")
 def run_resume(t: Tables) -> DataFrame:
     """Rows 319, 384, 392, 397: the newest unfinished run of each identity."""
-    runs = t.events.filter("event_id < 2000").select((F.col("user_id") % 30).alias("identity"), F.col("event_id").alias("run_id"), F.col("ts").alias("started"), F.when(F.col("value") > 50, "running").otherwise("done").alias("status"))
-    return H.resumable(runs, ["identity"])
+    return H.resumable(_runs(t.events.filter("event_id < 2000")), ["identity"])
+
+
+@query(whole("run_resume", " WHERE event_id < 2000"))
+def run_resume_whole(t: Tables) -> DataFrame:
+    """Rows 319, 384, 392, 397 over all events."""
+    return H.resumable(_runs(t.events), ["identity"])
+
+
+def _runs(events: DataFrame) -> DataFrame:
+    return events.select((F.col("user_id") % 30).alias("identity"), F.col("event_id").alias("run_id"), F.col("ts").alias("started"), F.when(F.col("value") > 50, "running").otherwise("done").alias("status"))
 
 
 @query("""
@@ -52,6 +61,13 @@ def run_completeness(t: Tables) -> DataFrame:
     return H.completeness(ids.filter("id < 100").select("id").distinct(), ids.filter("id between 50 and 120 and value > 97"), "id")
 
 
+@query(whole("run_completeness", " WHERE user_id < 100", "user_id BETWEEN 50 AND 120 AND "))
+def run_completeness_whole(t: Tables) -> DataFrame:
+    """Rows 320, 383, 398 over all ids."""
+    ids = t.events.select(F.col("user_id").alias("id"), "value")
+    return H.completeness(ids.select("id").distinct(), ids.filter("value > 97"), "id")
+
+
 @query("""
 WITH k AS (SELECT doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, n_chars / 1000.0::DOUBLE AS score FROM documents)
 SELECT doc_id, rank::INT AS rank, round(score, 4) AS score, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text, 10 AS start, (10 + least(length(text), 200))::INT AS "end", length(text) > 200 AS more,
@@ -126,9 +142,19 @@ SELECT doc_id, '{"lang":"' || lang || '","source":"' || source || '"}' AS flat,
 def vector_records(t: Tables) -> DataFrame:
     """Rows 256, 341, 342, 347, 351: records flattened for a store, rebuilt with a score, and
     the templates of both sides of a pair."""
+    return _records(t.documents.filter("doc_id % 2 = 0"))
+
+
+@query(whole("vector_records", " WHERE doc_id % 2 = 0"))
+def vector_records_whole(t: Tables) -> DataFrame:
+    """Rows 256, 341, 342, 347, 351 over all documents."""
+    return _records(t.documents)
+
+
+def _records(documents: DataFrame) -> DataFrame:
     meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("page"), F.lit(None).cast("string"), F.lit("source"), F.col("source"))
     flat = F.to_json(F.map_filter(meta, lambda k, v: v.isNotNull()))
-    return t.documents.filter("doc_id % 2 = 0").select("doc_id", flat.alias("flat"), F.round(1 - F.col("n_chars") / 100000.0, 6).alias("score"), F.replace(F.lit("query: {text}"), F.lit("{text}"), F.col("source")).alias("asked"), T.render("{lang}: {n}", lang=F.col("lang"), n=F.col("n_chars")).alias("passage"))
+    return documents.select("doc_id", flat.alias("flat"), F.round(1 - F.col("n_chars") / 100000.0, 6).alias("score"), F.replace(F.lit("query: {text}"), F.lit("{text}"), F.col("source")).alias("asked"), T.render("{lang}: {n}", lang=F.col("lang"), n=F.col("n_chars")).alias("passage"))
 
 
 @query("""

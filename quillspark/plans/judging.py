@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import stats as S
 from ..functions.text import fold, leak_figures
 from ..operators import judging as J
-from .registry import Tables, query
+from .registry import Tables, query, whole
 
 _FOLD = "replace(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))), 'ß', 'ss')"
 _IN = f"contains({_FOLD.format('d.text')}, {_FOLD.format('b.text')})"
@@ -191,7 +191,17 @@ s AS (SELECT event_type, w, l, least(w, l) AS k, w + l AS n, 0 AS i, -(w + l) *
 SELECT event_type, w AS wins, l AS losses, round(CASE WHEN n = 0 THEN 1 ELSE least(1, 2 * total) END, 6) AS p FROM s WHERE i = k""")
 def sign_test(t: Tables) -> DataFrame:
     """Row 171: the exact two-sided sign test."""
-    k = t.events.filter("user_id < 20").groupBy("event_type").agg(F.count_if(F.col("value") > 60).alias("wins"), F.count_if(F.col("value") <= 20).alias("losses"))
+    return _signs(t.events.filter("user_id < 20"))
+
+
+@query(whole("sign_test", " WHERE user_id < 20"))
+def sign_test_whole(t: Tables) -> DataFrame:
+    """Row 171 over all events."""
+    return _signs(t.events)
+
+
+def _signs(events: DataFrame) -> DataFrame:
+    k = events.groupBy("event_type").agg(F.count_if(F.col("value") > 60).alias("wins"), F.count_if(F.col("value") <= 20).alias("losses"))
     return k.withColumn("p", F.round(S.sign_test(F.col("wins"), F.col("losses")), 6))
 
 

@@ -28,3 +28,13 @@ def query(sql: str | None = None) -> Callable:
         return build
 
     return register
+
+
+def whole(name: str, *conditions: str) -> str:
+    """The SQL of a query without these conditions, each of which it has once."""
+    sql = ORACLE_SQL[name]
+    for c in conditions:
+        if sql.count(c) != 1:
+            raise ValueError(f"{name}: not once in its SQL: {c}")
+        sql = sql.replace(c, "")
+    return sql

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import date_number, fold
 from ..operators import retrieval as R
-from .registry import Tables, query
+from .registry import Tables, query, whole
 
 
 def _benchmark_queries(t: Tables) -> DataFrame:
@@ -141,7 +141,17 @@ a AS (SELECT k.query_id FROM kw k JOIN dn d ON k.query_id = d.query_id AND k.ran
 l AS (SELECT query_id, 0 AS list, rank, id FROM kw SEMI JOIN a USING (query_id) UNION ALL SELECT query_id, 1, rank, id FROM dn SEMI JOIN a USING (query_id)), """ + _FUSE + " SELECT * FROM z WHERE rank <= 3")
 def document_router(t: Tables) -> DataFrame:
     """Row 255: routes only if both rankings agree on the first and the keyword one is ahead."""
-    b = t.benchmark.filter("item_id < 30").select(F.col("item_id").alias("query_id")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return _routed(t.benchmark.filter("item_id < 30"))
+
+
+@query(whole("document_router", " WHERE item_id < 30"))
+def document_router_whole(t: Tables) -> DataFrame:
+    """Row 255 over all items."""
+    return _routed(t.benchmark)
+
+
+def _routed(benchmark: DataFrame) -> DataFrame:
+    b = benchmark.select(F.col("item_id").alias("query_id")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
     q, j = F.col("query_id"), F.col("j")
     keyword = b.select("query_id", ((q * 3 + j) % 11).alias("id"), (10.0 - F.when(q % 4 == 0, F.floor(j / 2)).otherwise(j)).alias("score"), (j + 1).alias("rank"))
     dense = b.select("query_id", ((q * F.when(q % 3 == 0, 3).otherwise(2) + j) % 11).alias("id"), (1.0 / (j + 1)).alias("score"), (j + 1).alias("rank"))
@@ -165,8 +175,18 @@ f AS (SELECT sample, list_sort(list(DISTINCT ticker)) AS tickers, min(period_end
 SELECT sample, count(*) AS eligible FROM f JOIN (SELECT split_part(o_orderpriority, '-', 1) AS ticker, strftime(o_orderdate, '%Y%m%d')::INT AS period_end FROM orders) o ON list_contains(f.tickers, o.ticker) AND o.period_end BETWEEN f.low AND f.high GROUP BY sample""")
 def label_filter(t: Tables) -> DataFrame:
     """Row 111: filters derived from the expected documents, as an equi-join with a range."""
-    o = t.orders.select("o_orderkey", "o_custkey", F.substring_index("o_orderpriority", "-", 1).alias("ticker"), date_number(F.col("o_orderdate")).alias("period_end"))
-    s = o.filter("o_orderkey % 40 = 0").withColumn("sample", F.col("o_custkey") % 50)
+    return _eligible(t.orders, "o_orderkey % 40 = 0")
+
+
+@query(whole("label_filter", " WHERE o_orderkey % 40 = 0"))
+def label_filter_whole(t: Tables) -> DataFrame:
+    """Row 111 with every order as an expected document."""
+    return _eligible(t.orders, "true")
+
+
+def _eligible(orders: DataFrame, expected: str) -> DataFrame:
+    o = orders.select("o_orderkey", "o_custkey", F.substring_index("o_orderpriority", "-", 1).alias("ticker"), date_number(F.col("o_orderdate")).alias("period_end"))
+    s = o.filter(expected).withColumn("sample", F.col("o_custkey") % 50)
     f = s.groupBy("sample").agg(F.collect_set("ticker").alias("tickers"), F.min("period_end").alias("low"), F.max("period_end").alias("high"))
     f = f.withColumn("ticker", F.explode("tickers"))
     # Eligible rows by (ticker, day) first: the range join then meets days, not rows.
