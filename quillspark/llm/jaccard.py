@@ -39,12 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .components import components
-from .shared import documents, materialize, text_batches
+from .shared import materialize, text_batches
 from .shingles import digest, shingle_set
 
 #: Similarity in hundredths; the bounds below are derived from it.
@@ -325,7 +325,3 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     blank = F.lit(digest(np.zeros(0, np.uint64)))
     kept = repeated.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__class"]).unionByName(repeated.filter(F.col("__class") == blank))
     return single.unionByName(kept.drop("__class"))
-
-
-def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_size")

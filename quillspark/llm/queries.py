@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, language, linededup, media, mixing, quality, search, secrets, sharding
+from . import bpe, language, linededup, links, media, mixing, quality, search, secrets, sharding
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
@@ -13,7 +13,7 @@ QUERIES = {
     "op6_search": search.op6_search,
     "op7_media": media.op7_media,
     "op8_mixing": mixing.op8_mixing,
-    "op9_jaccard": jaccard.op9_jaccard,
+    "op9_jaccard": links.op9_jaccard,
     "op10_quality": quality.op10_quality,
 }
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import components, jaccard, linededup, mixing, search, sharding
+from quillspark.llm import components, jaccard, linededup, links, mixing, search, sharding
 from quillspark.llm import queries as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,6 +65,36 @@ def test_jaccard_without_signatures(spark, odd, rows, monkeypatch):
     assert got == brute_components(rows)
 
 
+def brute_links(rows: list[tuple]) -> Counter:
+    """doc_id, size, and the other sets and rows that each row links with."""
+    sets = [shingles(r[1]) for r in rows]
+    copies = Counter(s for s in sets if s)
+    near = {a: [b for b in copies if b != a and 100 * len(a & b) >= 75 * len(a | b)] for a in copies}
+    return Counter((r[0], len(s), len(near.get(s, [])), sum(copies[b] for b in near.get(s, [])) + max(copies[s] - 1, 0)) for r, s in zip(rows, sets, strict=True))
+
+
+@pytest.mark.parametrize("limits", [(links.MEMBERS, links.TOKENS), (3, links.TOKENS), (links.MEMBERS, 500)])
+def test_links(odd, none, rows, monkeypatch, limits):
+    """Every link is counted, inside groups of near copies and chains of them, in one block or many."""
+    monkeypatch.setattr(links, "MEMBERS", limits[0])
+    monkeypatch.setattr(links, "TOKENS", limits[1])
+    base = [f"v{i}" for i in range(60)]
+    chain = [(400 + i, " ".join([*base[3 * i :], *(f"u{k}" for k in range(3 * i))]), "en", "chain", 1) for i in range(12)]
+    spark = odd.sparkSession
+    docs = odd.unionByName(spark.createDataFrame([*chain, *chain[3:5]], odd.schema))
+    got = Counter((r["doc_id"], r["n_shingles"], r["links"], r["linked_rows"]) for r in links.similar_links(docs).collect())
+    want = brute_links([*rows, *chain, *chain[3:5]])
+    assert got == want and max(n for _, _, n, _ in want) > 10
+    assert links.similar_links(none).count() == 0
+
+
+def test_links_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    found = links.similar_links(docs).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["links"], r["linked_rows"]) for r in found) == brute_links(rows)
+
+
 def test_one_of_each(odd, rows):
     kept = jaccard.one_of_each(odd).collect()
     comps = brute_components(rows)
