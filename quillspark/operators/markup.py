@@ -23,30 +23,49 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.headings: list[tuple[int, str]] = []
-        self.rows: list[list[str]] = []
+        self.tables: list[list[list[str]]] = []
+        self.inside: list[list[list[str]]] = []  # the open tables, the innermost last
         self.hidden = 0
-        self.open: list[tuple[str, int]] = []
+        self.open: list[tuple[str, int, list[str]]] = []
+
+    def table(self) -> list[list[str]]:
+        """The innermost open table, a new one if none is open."""
+        if not self.inside:
+            self.start_table()
+        return self.inside[-1]
+
+    def start_table(self) -> None:
+        self.tables.append([])
+        self.inside.append(self.tables[-1])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.hidden += tag in _HIDDEN
         if tag in _BLOCKS:
             self.parts.append("\n")
-        if re.fullmatch("h[1-6]", tag) or tag in ("td", "th"):
-            self.open.append((tag, len(self.parts)))
+        if tag == "table":
+            self.start_table()
         if tag == "tr":
-            self.rows.append([])
+            self.table().append([])
+        if re.fullmatch("h[1-6]", tag):
+            self.open.append((tag, len(self.parts), []))
+        if tag in ("td", "th"):
+            rows = self.table()
+            if not rows:
+                rows.append([])
+            self.open.append((tag, len(self.parts), rows[-1]))
 
     def handle_endtag(self, tag: str) -> None:
         self.hidden -= tag in _HIDDEN and self.hidden > 0
         if self.open and self.open[-1][0] == tag:
-            _, at = self.open.pop()
+            _, at, row = self.open.pop()
             body = clean("".join(self.parts[at:])).replace("\n", " ")
             if tag in ("td", "th"):
-                if self.rows:
-                    self.rows[-1].append(body)
+                row.append(body)
                 self.parts.append(" | ")
             else:
                 self.headings.append((int(tag[1]), body))
+        if tag == "table" and self.inside:
+            self.inside.pop()
         if tag in _BLOCKS:
             self.parts.append("\n")
 
@@ -61,14 +80,16 @@ def clean(text: str) -> str:
 
 
 def read_page(html: str) -> tuple[str, list[tuple[int, str]], list[str]]:
-    """Plain text, headings with their level, and tables as pipe rows under a rule."""
+    """Plain text, headings with their level, and tables as pipe rows, each with a rule under its
+    first row and an empty line before the next table. A table inside a cell is one of its own."""
     reader = _Reader()
     reader.feed(html)
     reader.close()
-    rows = [r for r in reader.rows if any(r)]
-    rendered = ["| " + " | ".join(c.replace("|", "\\|") for c in r) + " |" for r in rows]
-    if rendered:
-        rendered.insert(1, "|" + "---|" * len(rows[0]))
+    rendered: list[str] = []
+    for table in reader.tables:
+        if rows := [r for r in table if any(r)]:
+            lines = ["| " + " | ".join(c.replace("|", "\\|") for c in r) + " |" for r in rows]
+            rendered += [*([""] if rendered else []), lines[0], "|" + "---|" * len(rows[0]), *lines[1:]]
     return clean("".join(reader.parts)), reader.headings, rendered
 
 

@@ -63,9 +63,10 @@ def chunk_structured_prose(t: Tables) -> DataFrame:
 
 @query()
 def page_text(t: Tables) -> DataFrame:
-    """Rows 101, 242, 247, 250, 426-431: pages as text, headings and tables."""
+    """Rows 101, 247: pages as text, headings and tables. Offsets, origins, page breaks, styles and
+    rendered spans of the source (rows 242, 250, 426-431) are not built."""
     p = M.parsed_pages(t.pages, "page_id", "html")
-    return p.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("content_hash"), F.size("headings").alias("headings"), F.array_join(F.transform("headings", lambda h: F.concat(h["level"].cast("string"), F.lit(" "), h["title"])), "\n").alias("outline"), F.size("table").alias("table_rows"))
+    return p.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("content_hash"), F.size("headings").alias("headings"), F.array_join(F.transform("headings", lambda h: F.concat(h["level"].cast("string"), F.lit(" "), h["title"])), "\n").alias("outline"), F.size(F.filter("table", lambda x: x != "")).alias("table_rows"), F.size(F.filter("table", lambda x: x.rlike(r"^\|(---\|)+$"))).alias("tables"))
 
 
 @query()

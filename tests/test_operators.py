@@ -113,6 +113,14 @@ def test_markup():
     assert table == ["| k | v\\|w |", "|---|---|", "| 1 |  |"]
 
 
+def test_markup_tables():
+    """Each table has its own rule and bounds; rows of a table go on after one inside a cell."""
+    page = "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table><p>x</p><table><tr><th>c</th></tr><tr><td>3</td></tr></table><table></table>"
+    assert markup.read_page(page)[2] == ["| a | b |", "|---|---|", "| 1 | 2 |", "", "| c |", "|---|", "| 3 |"]
+    page = "<table><tr><td>o<table><tr><td>i</td><td>j</td></tr></table></td></tr><tr><td>p</td></tr></table><tr><td>q</td></tr>"
+    assert markup.read_page(page)[2] == ["| o i \\| j |", "|---|", "| p |", "", "| i | j |", "|---|---|", "", "| q |", "|---|"]
+
+
 def test_table_start(spark):
     text = "intro\n| a |\n|---|\n\n| 1 |\nend"
     at = {i: spark.range(1).select(table_start(F.lit(text), F.lit(i))).first()[0] for i in (0, 6, 8, 12, 19, 21, 25)}
