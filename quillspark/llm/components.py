@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import forget, materialize
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(edges)
     while before[0]:
-        edges = materialize(_star(_star(edges, small=False), small=True), name)
+        last, edges = edges, materialize(_star(_star(edges, small=False), small=True), name)
+        forget(last)
         after = mark(edges)
         if after == before:
             break

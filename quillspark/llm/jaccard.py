@@ -1,87 +1,73 @@
 """Exact n-gram Jaccard self-join with a token-group matrix.
 
-Texts with equal shingle sets are one class. Similar classes are partitioned into groups, each
-group's token union is stored as rows (token, group), and a class opens only those groups whose
-union can hold enough of its tokens. In steps:
-
-1. One pass makes each document's set digest, size, a short min-hash signature, and the tokens
-   that are frequent in its part of the corpus.
-2. Grouping. Classes with an equal min-hash value meet that value's least class, a star and never
-   all pairs; pairs whose signatures look alike are verified on the whole sets, and components of
-   the verified links are the similar documents. Groups are their parts of GROUP members.
-3. The matrix. Two sets of sizes x and y that link share ceil(3/7 (x + y)) tokens or more, so each
-   has a shared token among the first n - ceil(3n/4) + 1 in any order common to all. The order is
-   by hash with frequent tokens last, so passages that many documents share stay out; it only
-   decides the cost, never the result. Only those tokens enter the matrix, and a token whose
-   holders are all in one component is dropped: such links would join what is joined.
-4. The bound. Of a class and a member, the one whose part of the matrix ends first has only the
-   rest of its set to match besides the common tokens, which are no more than the group's; groups
-   where that is below the needed overlap, or without a member of fitting size, stay closed.
-   A member of an opened group meets the same bound by itself, from both sides: common tokens up
-   to the last one, and what either set has left after it or after its part of the matrix.
-5. What is still open is verified on whole sets: 100 |intersection| >= 75 |union|.
-6. Components over both kinds of links; each gets the smallest doc_id in it.
-
-Every pair of linked sets shares a component or is found in step 5; there is no cap on groups,
-partners or candidates. Hot keys: equal texts are reduced to a class first; a large group of near
-copies becomes one component by its star and drops out of the matrix; joins on tokens are split by
-Spark's skew handling.
+Texts with equal shingle sets are one class. Two classes link if 100 |intersection| >= 75 |union|;
+each then shares ceil(0.75 n) of its n tokens with the other. In steps:
+
+1. Support. Of every class the first half of its tokens, in hash order, is counted: how many of
+   them another class holds. A class that misses more than n - ceil(0.75 n) links with nothing and
+   is done. Counts are exact and take in every text; tokens that a task holds twice are counted
+   there, so a passage that very many documents share travels once from each task.
+2. Partition. What is left gets min-hash signatures. Classes whose signatures look alike to the
+   least class of a min-hash value, a star and never all pairs, make families: similar documents.
+   This only decides who is compared with whom cheaply; no link rests on it.
+3. Inside a family all classes are compared by token-group matrices (links.Block): families are
+   dealt into blocks, a block meets those of fitting size, and a task opens only the groups whose
+   token union can hold enough of a set's tokens.
+4. Across families the matrix is a table. Support is counted again, by tokens that another family
+   holds, first over half of the tokens, then over all; few classes stay. Their tokens are
+   ordered by the exact number of holders, rarest first, and of a set that has s of its n
+   tokens in other families the first s - ceil(0.75 n) + 1 must hold one of any partner's. Rows
+   (token, group) hold the unions of those tokens by group, with the sizes in it; a class counts
+   its hits by group, from the smaller family to the larger, and opens the groups whose bound
+   reaches the needed overlap. Opened groups go to tasks as in step 3, whole sets and all.
+5. Links are counted by class; components over them get the smallest doc_id in them.
+
+Every pair of linked sets is in one family (3) or in two (4); no cap is set on groups, partners or
+candidates. Hot keys: equal texts are reduced to a class first; a family of very many near copies
+is dealt in blocks; tables are written before they are joined, so that skewed joins split.
 
 Defined results: null, empty and blank texts have no shingles and are components of themselves;
 rows that repeat a doc_id are rows of their own, each with its result; null doc_ids lose to others
 as the smallest; an empty table gives an empty result; other columns are not read. Tokens are
-64-bit hashes of shingles, classes 64-bit digests of sets.
+64-bit hashes of shingles, classes 64-bit digests of sets, rows are told apart by doc_id and a
+64-bit hash of the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .components import components
-from .shared import materialize, text_batches
+from .links import GROUP, SIMILAR, count_links
+from .shared import documents, forget, map_texts, materialize, text_batches
 from .shingles import digest, shingle_set
 
-#: Similarity in hundredths; the bounds below are derived from it.
-SIMILAR = 75
-#: Min-hash values of a signature, those that classes meet by, and equal ones that are worth a look.
-SIGNATURE, MEET, ALIKE = 24, 8, 12
-#: Members of a group.
-GROUP = 32
-#: Frequent tokens: those FREQUENT times among COUNTED tokens of a task, and the most that are broadcast (8 bytes each).
-FREQUENT, COUNTED, MOST = 2, 1 << 22, 1 << 20
-#: A table of ids is broadcast up to this many (8 bytes each), else it is shuffled.
+#: Min-hash values of a signature, those that classes meet by, and equal ones that look alike.
+SIGNATURE, MEET, ALIKE = 24, 8, 10
+#: Tokens that a task counts at once, and tokens of a range of hashes that one task sums.
+COUNTED, RANGE = 1 << 21, 1 << 20
+#: Classes of a block while a family has no more than FEW blocks of a size, and tokens of a block.
+MEMBERS, FEW, TOKENS = 256, 16, 1 << 20
+#: Classes that ask one opened group in one task.
+ASKING = 4096
+#: A table of ids is broadcast up to this many (16 bytes each), else it is shuffled.
 FEW_IDS = 1 << 20
 
 _FACTORS = np.random.default_rng(77).integers(0, 1 << 64, SIGNATURE, np.uint64) | np.uint64(1)
-_SHARE = SIMILAR / 100
+_SUPPORT = "bucket int, flush long, classes array<long>, families array<long>, counts array<int>, sizes array<int>, tokens binary, many binary"
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
     return np.array([int((tokens * f >> np.uint64(33)).min()) for f in _FACTORS], np.int32)
 
 
-def first_places(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The tokens among which a linked set has one, in order."""
-    n = len(tokens)
-    take = n - -(-SIMILAR * n // 100) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        last = frequent[at] == tokens
-        if last.any():
-            tokens = np.concatenate([tokens[~last], tokens[last]])
-    return tokens[:take]
-
-
-def _signed(tokens: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(tokens).view(np.int64))
-
-
 def _lists(arrays: list[np.ndarray], kind=np.int64) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.zeros(0, kind)
@@ -89,77 +75,178 @@ def _lists(arrays: list[np.ndarray], kind=np.int64) -> pa.Array:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, class, n_shingles, sign; and rows without class whose `sign` is null and `often`
-    holds tokens that are frequent in a part of the corpus."""
+    """doc_id, mark (a hash of the text), class, n_shingles."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "class", "n_shingles", "sign", "often"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        pool: dict[int, np.ndarray] = {}  # by digest: copies count once
-        size = 0
-
-        def counted() -> pa.RecordBatch:
-            tokens = np.concatenate(list(pool.values()))
-            pool.clear()
-            tokens.sort()  # a token is frequent if the one FREQUENT - 1 places on is the same
-            often = np.unique(tokens[FREQUENT - 1 :][tokens[FREQUENT - 1 :] == tokens[: 1 - FREQUENT]]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:4]] + [pa.array([often], kinds[4])], names=names)
-
         for piece, texts in text_batches(batches):
             sets = [shingle_set(t) for t in texts]
-            signs = [signature(s) if len(s) else None for s in sets]
-            named = [digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(named, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, kinds[3]), pa.nulls(len(sets), kinds[4])], names=names)
-            for name, s in zip(named, sets, strict=True):
-                if name not in pool:
-                    pool[name] = s
-                    size += len(s)
-                if size >= COUNTED:
-                    yield counted()
-                    size = 0
-        if size:
-            yield counted()
-
-    return docs.select("doc_id", "text").mapInArrow(step, "doc_id long, class long, n_shingles long, sign array<int>, often array<long>")
+            columns = [piece.column(0), piece.column(1), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "class", "n_shingles"])
+
+    return map_texts(docs.select("doc_id", "mark", "text"), step, "doc_id long, mark long, class long, n_shingles long")
+
+
+#: (class, family, tokens) each; class -> family, size, first tokens.
+Sets = Iterator[tuple[int, int, np.ndarray]]
+Pool = dict[int, tuple[int, int, np.ndarray]]
+
+
+def _runs(tokens: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+
+
+def _counted(pool: Pool, flush: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows for the sets of a pool. One for each range of hashes: tokens that the task can't settle
+    by itself, `counts` of them for each class, and in `many` the tokens that are shared here
+    already, once each. And one, without tokens, with the sizes and what each class shares here."""
+    classes, families = np.array(list(pool), np.int64), np.array([f for f, _, _ in pool.values()], np.int64)
+    tokens = np.concatenate([t for _, _, t in pool.values()])
+    owner = np.repeat(np.arange(len(classes), dtype=np.int32), [len(t) for _, _, t in pool.values()])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    start = _runs(tokens)
+    shared = np.minimum.reduceat(families[owner], start) != np.maximum.reduceat(families[owner], start)
+    each = np.repeat(shared, np.diff(np.append(start, len(tokens))))
+    settled = np.bincount(owner[each], minlength=len(classes))
+    yield _row(flush % buckets, flush, classes, None, settled, [n for _, n, _ in pool.values()], None, None)
+    bucket = lambda t: ((t & np.uint64(0xFFFFFF)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+    short = lambda t: (t >> np.uint64(24)).astype(np.uint32)
+    many, rest, mine = tokens[start[shared]], tokens[~each], owner[~each]
+    to, at = bucket(rest), bucket(many)
+    order = np.lexsort((mine, to))
+    rest, mine, to = short(rest[order]), mine[order], to[order]
+    order = np.argsort(at, kind="stable")
+    many, at = short(many[order]), at[order]
+    edges, marks = np.searchsorted(to, np.arange(buckets + 1)), np.searchsorted(at, np.arange(buckets + 1))
+    for b in np.flatnonzero((np.diff(edges) > 0) | (np.diff(marks) > 0)).tolist():
+        here = mine[edges[b] : edges[b + 1]]
+        first = _runs(here)
+        who = here[first]
+        yield _row(b, flush, classes[who], families[who], np.diff(np.append(first, len(here))), None, rest[edges[b] : edges[b + 1]].tobytes(), many[marks[b] : marks[b + 1]].tobytes())
+
+
+def _row(bucket, flush, classes, families, counts, sizes, tokens, many) -> pa.RecordBatch:
+    lists = lambda x, kind: pa.nulls(1, pa.list_(kind)) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+    columns = [
+        pa.array([bucket], pa.int32()), pa.array([flush], pa.int64()), lists(classes, pa.int64()), lists(families, pa.int64()),
+        lists(counts, pa.int32()), lists(sizes, pa.int32()), pa.array([tokens], pa.binary()), pa.array([many], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SUPPORT.split(", ")])
+
+
+def _arrays(table: pa.Table, *names: str) -> Iterator[tuple]:
+    """flush and some list columns of each row, as numpy arrays; None for nulls."""
+    for b in table.to_batches():
+        columns = [b.column(name) for name in names]
+        for i in range(b.num_rows):
+            yield b.column("flush")[i].as_py(), *[c[i].values.to_numpy().astype(np.int64) if c[i].is_valid else None for c in columns]
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """One row for each row of a range of hashes: of a pool's tokens in it, those that two
+    families hold, by class. Rows without tokens pass."""
+    rows = list(_arrays(table, "classes", "families", "counts", "sizes"))
+    told = [(flush, classes, counts, sizes) for flush, classes, _, counts, sizes in rows if sizes is not None]
+    own = [i for i, r in enumerate(rows) if r[4] is None]
+    if own:
+        raw = lambda name: [np.frombuffer(table[name][i].as_buffer(), np.uint32) for i in own]
+        tokens, many = np.concatenate(raw("tokens")), np.unique(np.concatenate(raw("many")))
+        family = np.concatenate([rows[i][2] for i in own])
+        owner = np.repeat(np.arange(len(family)), np.concatenate([rows[i][3] for i in own]))
+        found = np.zeros(len(family), np.int64)
+        if len(tokens):
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            start = _runs(tokens)
+            shared = np.minimum.reduceat(family[owner], start) != np.maximum.reduceat(family[owner], start)
+            if len(many):
+                at = np.minimum(np.searchsorted(many, tokens[start]), len(many) - 1)
+                shared |= many[at] == tokens[start]
+            found = np.bincount(owner[np.repeat(shared, np.diff(np.append(start, len(tokens))))], minlength=len(family))
+        end = 0
+        for i in own:
+            flush, classes, *_ = rows[i]
+            here = found[end : end + len(classes)]
+            end += len(classes)
+            told.append((flush, classes[here > 0], here[here > 0], np.zeros((here > 0).sum(), np.int64)))
+    return pa.table({"flush": pa.array([t[0] for t in told], pa.int64()), "classes": _lists([t[1] for t in told]), "shared": _lists([t[2] for t in told]), "sizes": _lists([t[3] for t in told])})
+
+
+def _settled(table: pa.Table) -> pa.Table:
+    """class: those of a pool that have enough shared tokens among their first ones."""
+    parts = [p[1:] for p in _arrays(table, "classes", "shared", "sizes")]
+    classes, shared, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    classes, at = np.unique(classes, return_inverse=True)
+    n = np.zeros(len(classes), np.int64)
+    np.maximum.at(n, at, sizes)
+    held = np.bincount(at, shared, len(classes)).astype(np.int64)
+    return pa.table({"class": classes[held >= (n + 1) // 2 - (n - -(-SIMILAR * n // 100))]})
+
+
+def supported(df: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Sets], total: int) -> DataFrame:
+    """class: those of which other families hold enough of the first half of their tokens to link.
+    `read` makes (class, family, sorted tokens) of a task's rows; total: tokens of all of them.
+    Copies of a class in several tasks are counted each by itself."""
+    buckets = min(1 << 24, max(1, math.ceil(total / 2 / RANGE)))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool: Pool = {}
+        size, flush = 0, TaskContext.get().partitionId() << 32
+        for name, family, tokens in read(batches):
+            if not len(tokens) or name in pool:
+                continue
+            first = tokens[: (len(tokens) + 1) // 2].copy()  # a view would hold the whole set
+            pool[name] = family, len(tokens), first
+            size += len(first)
+            if size >= COUNTED:
+                yield from _counted(pool, flush, buckets)
+                pool.clear()
+                size, flush = 0, flush + 1
+        if pool:
+            yield from _counted(pool, flush, buckets)
+
+    rows = map_texts(df, step, _SUPPORT)
+    counts = rows.groupBy("bucket").applyInArrow(lambda t: _summed(t), "flush long, classes array<long>, shared array<long>, sizes array<long>")
+    return counts.groupBy("flush").applyInArrow(lambda t: _settled(t), "class long").distinct()
+
+
+def _least_common(n: Column) -> Column:
+    """Tokens of a set of n that a linked one holds."""
+    return F.ceil(F.lit(SIMILAR) * n / 100)
+
+
+def _needed(n: Column, m: Column) -> Column:
+    return F.ceil(F.lit(SIMILAR) * (n + m) / (100 + SIMILAR))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Sets:
+    for _, texts in text_batches(batches):
+        for t in texts:
+            s = shingle_set(t)
+            yield (d := digest(s)), d, s
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Sets:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].values.to_numpy().view(np.uint64)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, tokens (whole sets) of the wanted rows (doc_id, class)."""
+    """class, sign, tokens (whole sets) of the wanted rows (doc_id, mark, class)."""
     n = wanted.count()
-    wanted = wanted.select(F.col("doc_id").alias("want"), F.col("class").alias("of"))
+    wanted = wanted.select(F.col("doc_id").alias("want"), F.col("mark").alias("like"), F.col("class").alias("of"))
     wanted = F.broadcast(wanted) if n <= FEW_IDS else wanted
-    rows = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(F.col("want"))).select("of", "text")
+    same = docs["doc_id"].eqNullSafe(F.col("want")) & (docs["mark"] == F.col("like"))
+    rows = docs.select("doc_id", "mark", "text").join(wanted, same).select("of", "text")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_batches(batches):
             sets = [shingle_set(t) for t in texts]
-            # a repeated doc_id brings texts of other classes
-            own = [i for i, (s, c) in enumerate(zip(sets, piece.column(0).to_pylist(), strict=True)) if digest(s) == c]
-            if own:
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(own)), _lists([sets[i] for i in own])], names=["class", "tokens"])
-
-    made = rows.mapInArrow(step, StructType([StructField("class", LongType()), StructField("tokens", ArrayType(LongType()))]))
-    return materialize(made.dropDuplicates(["class"]), "sets")
+            if sets:
+                yield pa.RecordBatch.from_arrays([piece.column(0), _lists([signature(s) for s in sets], np.int32), _lists(sets)], names=["class", "sign", "tokens"])
 
-
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link, by their whole sets."""
-    ids = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = sets_of(docs, classes.join(ids, "class").select("doc_id", "class"))
-    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for i in range(b.num_rows):
-                x, y = b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy()
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= SIMILAR * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return both.mapInArrow(step, "a long, b long")
+    return map_texts(rows, step, "class long, sign array<int>, tokens array<long>").dropDuplicates(["class"])
 
 
 def alike(classes: DataFrame) -> DataFrame:
@@ -172,156 +259,134 @@ def alike(classes: DataFrame) -> DataFrame:
     return near.filter(same >= ALIKE).select(F.col("class").alias("a"), F.col("least.class").alias("b")).distinct()
 
 
-def frequent_tokens(described: DataFrame) -> np.ndarray:
-    """The MOST tokens that most parts of the corpus found frequent, sorted."""
-    parts = described.filter(F.col("often").isNotNull()).select(F.explode("often").alias("token"))
-    top = parts.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(MOST).select("token")
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary())], names=["tokens"])
-
-    found = b"".join(bytes(r[0]) for r in top.mapInArrow(packed, "tokens binary").collect())
-    return np.sort(np.frombuffer(found, np.uint64))
-
-
-def prefixes(docs: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """class, place, token of every document's first tokens; and the low halves of tokens that
-    more than one document has there. Most tokens are in one document only: counting the halves,
-    summed in each task first, is a shuffle of few bytes a token, and leaves most rows behind."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def first(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-        for t in texts:
-            if len(s := shingle_set(t)):
-                yield digest(s), first_places(s, shared.value)
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_batches(batches):
-            if made := list(first(texts)):
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in made]), _lists([f for _, f in made])], names=["class", "first"])
-
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def summed(pool: list[np.ndarray]) -> pa.RecordBatch:
-            half, times = np.unique(np.concatenate(pool), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(half.view(np.int32)), pa.array(np.minimum(times, 2).astype(np.int32))], names=["half", "times"])
-
-        pool, size = [], 0
-        for _, texts in text_batches(batches):
-            for _, f in first(texts):
-                pool.append(f.astype(np.uint32))  # a copy: a part would keep its whole set in memory
-                size += len(f)
-                if size >= COUNTED:
-                    yield summed(pool)
-                    pool, size = [], 0
-        if pool:
-            yield summed(pool)
-
-    texts = docs.select("doc_id", "text")
-    kind = StructType([StructField("class", LongType()), StructField("first", ArrayType(LongType()))])
-    rows = texts.mapInArrow(places, kind).select("class", F.posexplode("first").alias("place", "token"))
-    twice = texts.mapInArrow(halves, "half int, times int").groupBy("half").agg(F.sum("times").alias("n")).filter("n > 1").select("half")
-    return rows, twice
-
-
-def taken(n: Column) -> Column:
-    """How many first tokens of a set of size n are in the matrix."""
-    return n - F.ceil(F.lit(SIMILAR) * n / 100) + 1
-
-
-def needed(n: Column, m: Column) -> Column:
-    """Common tokens that sets of sizes n and m must have to link."""
-    return F.ceil(F.lit(SIMILAR) * (n + m) / (100 + SIMILAR))
-
-
-def candidates(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Pairs (a, b) of classes in different components that the bounds leave open."""
-    rows, twice = prefixes(docs, frequent)
-    half = F.shiftright(F.shiftleft("token", 32), 32).cast("int")
-    rows = rows.withColumn("half", half).join(materialize(twice, "halves"), "half").select("class", "place", "token")
-    named = rows.join(classes.select("class", "n_shingles", "component", "group"), "class")
-    places = materialize(named.select("class", F.col("n_shingles").cast("int").alias("n"), "component", "group", "place", "token"), "places")
-    across = places.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token")
-    places = materialize(places.join(materialize(across, "across"), "token").distinct(), "places-across")
-
-    # The matrix, with the sizes of a group's members, and the groups that the bound opens. A
-    # group's common tokens are at least any member's; for a lone member they are its own.
-    sizes = classes.groupBy("component", "group").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count("*").alias("members"))
-    held = places.groupBy("token", "component", "group").agg(F.min("place").alias("theirs")).join(sizes, ["component", "group"])
-    whole = lambda c: F.col(c).cast("int").alias(c)
-    matrix = materialize(held.select("token", F.col("component").alias("other"), F.col("group").alias("opened"), "theirs", whole("least"), whole("most"), whole("members")), "matrix")
-    fits = (F.col("least") * SIMILAR <= F.col("n") * 100) & (F.col("n") * SIMILAR <= F.col("most") * 100)
-    hits = places.join(matrix, "token").filter((F.col("component") < F.col("other")) & fits)
-    hits = hits.groupBy("class", "other", "opened", "n", "least", "most", "members").agg(F.count("*").alias("c"), F.max("place").alias("p"), F.max("theirs").alias("q"))
-    n, c, most = F.col("n"), F.col("c"), F.col("most")
+_LINKS = "class long, links long, documents long, root long"
+
+
+def inside(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between classes of one family, as count_links gives them; named: class, class_size, n,
+    family, members (of it); sets: class, tokens."""
+    several = named.filter("members > 1")
+    # Sets that link lie in the same range of sizes or in neighbouring ones.
+    ranged = several.withColumn("range", F.floor(F.log(F.col("n")) / (math.log(100 / SIMILAR) * 1.0001)).cast("int"))
+    sums = ranged.groupBy("family", "range").agg(F.count("*").alias("held"), F.sum("n").alias("weight"))
+    blocks = F.greatest(F.least(F.lit(FEW), F.ceil(F.col("held") / MEMBERS)), F.ceil(F.col("weight") / TOKENS)).cast("int")
+    sums = sums.select("family", F.struct(F.col("range"), blocks.alias("blocks"), F.col("held"), F.col("weight")).alias("part")).groupBy("family").agg(F.collect_list("part").alias("parts"))
+    total = lambda field: F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p[field])
+    # A small family is one block, whatever its sizes.
+    plan = sums.withColumn("small", (total("held") <= MEMBERS) & (total("weight") <= TOKENS))
+    ranged = ranged.join(materialize(plan, "family-blocks"), "family")
+    own = F.get(F.filter("parts", lambda p: p["range"] == F.col("range")), F.lit(0))["blocks"]
+    block = F.struct(F.col("range").alias("range"), F.pmod(F.xxhash64("class"), own).cast("int").alias("nth"))
+    zero = F.struct(F.lit(0).alias("range"), F.lit(0).alias("nth"))
+    ranged = ranged.withColumn("block", F.when(F.col("small"), zero).otherwise(block))
+    fitting = F.filter("parts", lambda p: F.abs(p["range"] - F.col("range")) <= 1)
+    others = F.flatten(F.transform(fitting, lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda j: F.struct(p["range"].alias("range"), j.alias("nth")))))
+    # A block meets those, itself too; a pair of blocks is one task's.
+    dealt = ranged.withColumn("with", F.explode(F.when(F.col("small"), F.array(zero)).otherwise(others)))
+    low, high = F.least("block", "with"), F.greatest("block", "with")
+    dealt = dealt.select("family", low.alias("low"), high.alias("high"), "class", "class_size", (F.col("block") == low).alias("asks"), (F.col("block") == high).alias("member"))
+    return materialize(dealt, "dealt").join(sets, "class").groupBy("family", "low", "high").applyInArrow(lambda t: count_links(t), _LINKS)
+
+
+def across(known: DataFrame, total: int) -> DataFrame:
+    """Links between classes of different families; known: the columns of both of these."""
+    half = materialize(supported(known.select("class", "family", "tokens"), _stored, total), "across-half")
+    few = materialize(known.join(F.broadcast(half) if half.count() <= FEW_IDS else half, "class"), "across-sets")
+    rows = few.select("class", "family", F.explode("tokens").alias("token"))
+    held = rows.groupBy("token").agg(F.count("*").alias("holders"), F.min("family").alias("low"), F.max("family").alias("high")).filter("low != high").select("token", "holders")
+    shared = rows.join(materialize(held, "across-tokens"), "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("shared"))
+    group = F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / GROUP)).alias("group")
+    kept = few.select("class", "family", "members", "n", group).join(shared, "class").filter(F.size("shared") >= _least_common(F.col("n")))
+    first = F.slice("shared", F.lit(1), F.size("shared") - _least_common(F.col("n")).cast("int") + 1)
+    kept = materialize(kept.select("class", "family", "members", "group", "n", first.alias("first")), "across-first")
+    places = materialize(kept.select("class", "family", "members", "group", "n", F.explode("first.token").alias("token")), "across-places")
+
+    # The matrix: tokens by group, with the sizes of the group's members; and who opens what.
+    sizes = kept.groupBy("family", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    union = places.select("token", "family", "members", "group").distinct().join(sizes, ["family", "group"])
+    matrix = materialize(union.select("token", F.col("family").alias("other"), F.col("members").alias("size"), F.col("group").alias("opened"), "least", "most"), "matrix")
+    n, most = F.col("n"), F.col("most")
+    fits = (F.col("least") * SIMILAR <= n * 100) & (n * SIMILAR <= most * 100)
+    hits = places.join(matrix, "token").filter((F.struct("members", "family") < F.struct(F.col("size").alias("members"), F.col("other").alias("family"))) & fits)
+    hits = hits.groupBy("class", "other", "opened", "n", "least", "most").agg(F.count("*").alias("c"))
+    # Of two sets the one whose first tokens end first, in the common order, has only its rest to
+    # match besides those that both have among the first.
     smallest = F.greatest(F.col("least"), F.ceil(n * SIMILAR / 100))
-    any_member = c + F.greatest(n - taken(n), most - taken(most)) >= needed(n, smallest)
-    lone = c + F.least(n - 1 - F.col("p"), most - 1 - F.col("q")) >= needed(n, most)
-    opened = hits.filter(any_member & ((F.col("members") > 1) | lone)).select("class", "other", "opened", "n")
-
-    # Members of opened groups, by the same tokens: up to the last common one all are known.
-    members = classes.select(F.col("component").alias("other"), F.col("group").alias("opened"), F.col("class").alias("b"), F.col("n_shingles").alias("m"))
-    n, m = F.col("n"), F.col("m")
-    pairs = opened.join(members, ["other", "opened"]).filter((m * SIMILAR <= n * 100) & (n * SIMILAR <= m * 100))
-    pairs = materialize(pairs.select(F.col("class").alias("a"), "b", "n", "m"), "opened")
-    slim = places.select("class", "token", "place")
-    met = pairs.join(slim.select(F.col("class").alias("a"), "token", F.col("place").alias("p")), "a")
-    met = met.join(slim.select(F.col("class").alias("b"), "token", F.col("place").alias("q")), ["b", "token"])
-    counts = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.max("p").alias("p"), F.max("q").alias("q"))
-    left = F.least(n - 1 - F.col("p"), m - 1 - F.col("q"), F.greatest(n - taken(n), m - taken(m)))
-    return counts.filter(F.col("c") + left >= needed(n, m)).select("a", "b")
-
-
-def similar_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class, class_size, component (a class), component_id for each row; class
-    and component are null for empty sets."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = materialize(describe(docs), "described")
-    rows = described.filter(F.col("class").isNotNull())
-    classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
+    bound = F.col("c") + F.greatest(_least_common(n), _least_common(most)) - 1 >= _needed(n, smallest)
+    opened = materialize(hits.filter(bound).select("class", F.col("other").alias("family"), F.col("opened").alias("group")), "opened")
+
+    salts = opened.groupBy("family", "group").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("salts"))
+    asking = opened.join(salts, ["family", "group"]).withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).drop("salts")
+    sets = few.select("class", "class_size", "tokens")
+    cells = ["family", "group", "salt", "class", "class_size", "tokens"]
+    asking = asking.join(sets, "class").select(*cells, F.lit(True).alias("asks"), F.lit(False).alias("member"))
+    member = kept.select("class", "family", "group").join(salts, ["family", "group"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    member = member.join(sets, "class").select(*cells, F.lit(False).alias("asks"), F.lit(True).alias("member"))
+    return asking.unionByName(member).groupBy("family", "group", "salt").applyInArrow(lambda t: count_links(t), _LINKS)
+
+
+def similar_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, n_shingles, class, class_size, component (a class), component_id, links,
+    linked_rows for each row; class and component are null for empty sets."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    rows = materialize(describe(docs), "described")
+    full = rows.filter("n_shingles > 0")
+    total = full.agg(F.sum("n_shingles")).first()[0] or 0
+    classes = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "mark")).alias("row"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n"))
     classes = materialize(classes, "classes")
-    near = materialize(verify(materialize(alike(classes), "alike"), docs, classes), "near")
-    roots = components(near).select(F.col("node").alias("class"), "root")
-    known = classes.drop("sign").join(roots, "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
-    many = known.groupBy("component").agg(F.count("*").alias("members"))
-    known = known.join(many, "component").withColumn("group", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / GROUP))).drop("members")
-    known = materialize(known, "grouped")
-    pairs = materialize(candidates(docs, known, frequent_tokens(described)), "pairs")
-    far = materialize(verify(pairs, docs, known), "far")
-    named = known.select("class", "component")
-    ends = far.join(named.select(F.col("class").alias("a"), F.col("component").alias("p")), "a").join(named.select(F.col("class").alias("b"), F.col("component").alias("q")), "b")
-    merged = components(ends.select(F.col("p").alias("a"), F.col("q").alias("b")), "merged").select(F.col("node").alias("component"), "root")
-    final = known.join(merged, "component", "left").withColumn("component", F.coalesce("root", "component"))
-    ids = final.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    final = final.join(ids, "component").select("class", "class_size", "component", "component_id")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class")).join(final, "class", "left")
-    return out.select("doc_id", "n_shingles", "class", "component", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def tag_class(docs: DataFrame, name: str = "class") -> DataFrame:
-    """The rows with the digest of their sets."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([digest(shingle_set(t)) for t in texts], pa.int64())], names=[*piece.schema.names, name])
-
-    return docs.mapInArrow(step, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    left = materialize(supported(docs.select("doc_id", "text"), _texts, total), "supported")
+    wanted = classes.join(left, "class").select("row.doc_id", "row.mark", "class")
+    sets = materialize(sets_of(docs, wanted), "sets")
+    near = components(alike(sets), "families").select(F.col("node").alias("class"), "root")
+    named = classes.join(left, "class").join(near, "class", "left").select("class", "class_size", "n", F.coalesce("root", "class").alias("family"))
+    members = named.groupBy("family").agg(F.count("*").alias("members"))
+    named = materialize(named.join(members, "family"), "named")
+    known = materialize(named.join(sets.drop("sign"), "class"), "known")
+    forget(sets)
+    links = materialize(inside(named, known.select("class", "tokens")).unionByName(across(known, named.agg(F.sum("n")).first()[0] or 0)), "links")
+    roots = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")), "linked").select(F.col("node").alias("class"), F.col("root").alias("component"))
+    counts = links.groupBy("class").agg(F.sum("links").alias("links"), F.sum("documents").alias("documents"))
+    linked = classes.select("class", "doc_id").join(roots, "class").join(counts, "class")
+    ids = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = linked.join(ids, "component").select("class", "component", "component_id", "links", "documents")
+    # One row a class, then one a document: copies meet a table that has been written.
+    found = materialize(classes.select("class", "class_size", F.col("doc_id").alias("alone")).join(linked, "class", "left"), "found")
+    out = rows.join(found, "class", "left")
+    none = F.col("n_shingles") == 0
+    return out.select(
+        "doc_id", "mark", "n_shingles", F.when(~none, F.col("class")).alias("class"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        F.when(~none, F.coalesce("component", "class")).alias("component"), F.when(none, F.col("doc_id")).otherwise(F.coalesce("component_id", "alone")).alias("component_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.when(none, 0).otherwise(F.col("class_size") - 1 + F.coalesce("documents", F.lit(0))).cast("long").alias("linked_rows"),
+    )
+
+
+def similar_links(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class, class_size, component, component_id; `links`, the number of other
+    classes that a row's class links with, and `linked_rows`, the number of other rows: its copies
+    and those classes' rows. Rows of one class have equal shingle sets and link with each other;
+    the class of rows without shingles is null, and they link with nothing."""
+    return similar_rows(docs).drop("mark")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; all without shingles.
-    Rows that share a doc_id are told apart by their sets, and of equal ones one stays."""
-    found = materialize(similar_components(docs), "components-of-rows")
-    linked = found.filter("n_shingles > 0")
-    chosen = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("class").alias("class"), F.first("doc_id").alias("doc_id")).select("doc_id", "class")
-    # Most ids stand for one row, and then the id says who goes.
-    often = found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("__many"))
-    gone = linked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__many"))
-    mine = docs["doc_id"].cast("long").eqNullSafe(F.col("__many"))
-    single = docs.join(materialize(gone.unionByName(often).distinct(), "leaving"), mine, "left_anti")
-    repeated = tag_class(docs.join(often, mine, "left_semi"), "__class")
-    chosen = chosen.select(F.col("doc_id").alias("__who"), F.col("class").alias("__what"))
-    same = (repeated["__class"] == F.col("__what")) & repeated["doc_id"].cast("long").eqNullSafe(F.col("__who"))
-    blank = F.lit(digest(np.zeros(0, np.uint64)))
-    kept = repeated.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__class"]).unionByName(repeated.filter(F.col("__class") == blank))
-    return single.unionByName(kept.drop("__class"))
+    """One document of each component, the one with the smallest doc_id (nulls last); all without
+    shingles. Of rows equal in doc_id and text one stays; of different texts under one id, the one
+    with the least hash."""
+    found = materialize(similar_rows(docs), "components-of-rows").filter("n_shingles > 0")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))).alias("first"))
+    first = materialize(first.select("component", F.col("first.doc_id").alias("stays"), F.col("first.mark").alias("as")), "first-of-components")
+    stays = F.col("doc_id").eqNullSafe(F.col("stays")) & (F.col("mark") == F.col("as"))
+    known = found.join(first, "component").groupBy("doc_id", "mark").agg(F.max(stays).alias("stays"), F.count("*").alias("rows"))
+    known = materialize(known.filter("not stays or rows > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "stays"), "leaving")
+    tagged = docs.withColumn("__own", F.xxhash64("text"))
+    same = tagged["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (tagged["__own"] == F.col("__mark"))
+    small = known.count() <= FEW_IDS
+    hinted = lambda k: F.broadcast(k) if small else k
+    single = tagged.join(hinted(known), same, "left_anti")
+    # Rows that stand more than once and stay: one of them.
+    again = tagged.join(hinted(known.filter("stays")), same, "left_semi").dropDuplicates(["doc_id", "__own"])
+    return single.unionByName(again).drop("__own")
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_links(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_size", F.col("class").alias("class_id"), "links", "linked_rows")

@@ -1,36 +1,38 @@
-"""Links of the Jaccard join: how many other classes and documents each class is linked with.
-
-Every link is inside a component, so components are all that has to be looked at; inside one, all
-pairs of classes count, near copies too. A component of two classes is one link. Larger ones are
-dealt into blocks of classes, and each pair of blocks is one task's matrix of members by tokens:
-tokens that many members hold as bits, the others as lists of holders, so that common tokens of
-all pairs are counted without a row for any pair. Only two numbers for each member leave a task.
+"""Exact links between a few sets: a block's token-group matrix, and who links with whom.
+
+A block of sets is cut into groups of GROUP neighbours by their least token, which similar sets
+tend to share. The matrix holds, for every token of the block, which groups' unions have it. A
+query's tokens, looked up once, bound its overlap with each group; groups whose bound cannot reach
+the needed overlap with a member of fitting size stay closed, and only members of opened groups are
+counted exactly: tokens that many members hold as bits, the others by lists of holders. No row is
+made for a pair: a task yields two numbers and a local root for each set that has a link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .jaccard import SIMILAR, sets_of, similar_components
-from .shared import documents, materialize
+#: Similarity in hundredths; all bounds are derived from it.
+SIMILAR = 75
+#: Sets of a group in a block.
+GROUP = 32
+
 
-#: Classes of a block while a component has no more than FEW blocks, and tokens of a block at most.
-MEMBERS, FEW, TOKENS = 256, 16, 1 << 20
+def needed(n, m):
+    """Common tokens that sets of sizes n and m must have to link."""
+    return -(-SIMILAR * (n + m) // (100 + SIMILAR))
 
 
-class Holders:
-    """Sets by their tokens, to count what each has in common with another one."""
+class Block:
+    """Sets by their tokens, in groups."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.n = len(sets)
-        sizes = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(self.n), sizes)
+        self.sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(self.n), self.sizes)
         self.tokens, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self._matrix(np.argsort([s[0] for s in sets], kind="stable"), owner, at)
         often = held * 64 > self.n
         # Common tokens are columns of bits, a row for each set.
         self.column = np.where(often, np.cumsum(often) - 1, -1)
@@ -43,83 +45,73 @@ class Holders:
         self.count = np.where(often, 0, held)
         self.start = np.cumsum(self.count) - self.count
 
-    def common(self, tokens: np.ndarray) -> np.ndarray:
+    def _matrix(self, order: np.ndarray, owner: np.ndarray, at: np.ndarray) -> None:
+        """Which groups' unions hold each token, a bit for each group; and the groups' sizes."""
+        self.group = np.empty(self.n, np.int64)
+        self.group[order] = np.arange(self.n) // GROUP
+        groups = int(self.group.max()) + 1
+        self.union = np.zeros((len(self.tokens), -(-groups // 8)), np.uint8)
+        g = self.group[owner]
+        np.bitwise_or.at(self.union, (at, g >> 3), (128 >> (g & 7)).astype(np.uint8))
+        self.groups = groups
+        self.least, self.most = np.full(groups, np.iinfo(np.int64).max), np.zeros(groups, np.int64)
+        np.minimum.at(self.least, self.group, self.sizes)
+        np.maximum.at(self.most, self.group, self.sizes)
+
+    def opened(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The groups that the bound leaves open to a set of n tokens, those in the block at `at`."""
+        overlap = np.unpackbits(self.union[at], axis=1, count=self.groups).sum(axis=0, dtype=np.int64)
+        smallest = np.maximum(self.least, -(-SIMILAR * n // 100))
+        return (overlap >= needed(n, smallest)) & (smallest <= self.most) & (self.least * SIMILAR <= n * 100)
+
+    def near(self, tokens: np.ndarray) -> np.ndarray:
+        """Places of the sets that link with one of these tokens."""
         at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
         at = at[self.tokens[at] == tokens]
+        rows = np.flatnonzero(self.opened(at, len(tokens))[self.group]) if len(at) else at
+        if not len(rows):
+            return rows
         col = self.column[at]
         col = col[col >= 0]
         asked = np.zeros(self.bits.shape[1], np.uint64)
         np.bitwise_or.at(asked, col >> 6, np.uint64(1) << (col & 63).astype(np.uint64))
-        out = np.bitwise_count(self.bits & asked).sum(axis=1, dtype=np.int64)
+        common = np.bitwise_count(self.bits[rows] & asked).sum(axis=1, dtype=np.int64)
         rare = at[self.count[at] > 0]
         if len(rare):
             n = self.count[rare]
             places = np.repeat(self.start[rare] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out += np.bincount(self.holder[places], minlength=self.n)
-        return out
-
-
-def linked(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """For each set of x, which sets of y it links with."""
-    holders, sizes = Holders(y), np.array([len(s) for s in y])
-    for s in x:
-        c = holders.common(s)
-        yield 100 * c >= SIMILAR * (len(s) + sizes - c)
+            common += np.bincount(self.holder[places], minlength=self.n)[rows]
+        return rows[100 * common >= SIMILAR * (len(tokens) + self.sizes[rows] - common)]
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """class, links, documents for the members of one pair of blocks."""
+def count_links(table: pa.Table) -> pa.Table:
+    """class, links, documents, root of each class that links within this table: `asks` rows look
+    for links among `member` rows; a pair that only one side asks for counts for both."""
     name, copies = table["class"].to_numpy(), table["class_size"].to_numpy()
-    first = table["block"].to_numpy() == table["low"].to_numpy()
-    sets = [x.values.to_numpy() for x in table["tokens"]]
-    x, y = np.flatnonzero(first), np.flatnonzero(~first)
-    inside = table["low"][0].as_py() == table["high"][0].as_py()
+    asks, member = np.array(table["asks"].to_pylist(), bool), np.array(table["member"].to_pylist(), bool)
+    sets = [x.values.to_numpy().view(np.uint64) for x in table["tokens"]]
     links, reached = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-    other = x if inside else y
-    if len(x) and len(other):
-        for i, near in zip(x, linked([sets[k] for k in x], [sets[k] for k in other]), strict=True):
-            near = other[near]
+    root = list(range(len(sets)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    members = np.flatnonzero(member)
+    if len(members) and asks.any():
+        block = Block([sets[k] for k in members])
+        for i in np.flatnonzero(asks).tolist():
+            near = members[block.near(sets[i])]
             near = near[near != i]
             links[i] += len(near)
             reached[i] += copies[near].sum()
-            if not inside:
-                links[near] += 1
-                reached[near] += copies[i]
-    return pa.table({"class": name, "links": links, "documents": reached})
-
-
-def class_links(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """class, links (other classes that link with it), documents (rows of those classes); `found`
-    are the rows of similar_components. Classes alone in their component do not appear."""
-    classes = found.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("component").alias("component"), F.first("class_size").alias("class_size"), F.first("n_shingles").alias("n"))
-    classes = materialize(classes, "linked-classes")
-    sums = classes.groupBy("component").agg(F.count("*").alias("members"), F.sum("class_size").alias("rows"), F.sum("n").alias("tokens")).filter("members > 1")
-    named = classes.join(materialize(sums, "linked-components"), "component")
-    two = named.filter("members = 2").select("class", F.lit(1).cast("long").alias("links"), (F.col("rows") - F.col("class_size")).alias("documents"))
-    blocks = F.greatest(F.least(F.lit(FEW), F.ceil(F.col("members") / MEMBERS)), F.ceil(F.col("tokens") / TOKENS)).cast("int")
-    more = materialize(named.filter("members > 2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "linked-blocks")
-    sets = sets_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), more.select("doc_id", "class"))
-    held = more.select("class", "class_size", "component", "block", "blocks").join(sets, "class")
-    # A block meets every block of its component, itself too.
-    dealt = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class", "class_size", "tokens", "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    counts = dealt.groupBy("component", "low", "high").applyInArrow(_count, "class long, links long, documents long")
-    counts = counts.groupBy("class").agg(F.sum("links").alias("links"), F.sum("documents").alias("documents"))
-    return two.unionByName(counts)
-
-
-def similar_links(docs: DataFrame) -> DataFrame:
-    """The rows of similar_components with `links`, the number of other classes that a row's class
-    links with, and `linked_rows`, the number of other rows: its copies and those classes' rows.
-    Rows of one class have equal shingle sets and link with each other; the class of rows without
-    shingles is null, and they link with nothing."""
-    found = materialize(similar_components(docs), "found")
-    counts = class_links(docs, found).select("class", "links", F.col("documents").alias("__documents"))
-    out = found.join(counts, "class", "left")
-    alone = F.col("class").isNull()
-    rows = F.when(alone, 0).otherwise(F.col("class_size") - 1 + F.coalesce("__documents", F.lit(0)))
-    return out.select(*found.columns, F.coalesce("links", F.lit(0)).cast("long").alias("links"), rows.cast("long").alias("linked_rows"))
-
-
-def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_links(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_size", F.col("class").alias("class_id"), "links", "linked_rows")
+            passive = near[~asks[near]]
+            links[passive] += 1
+            reached[passive] += copies[i]
+            for k in near.tolist():
+                root[top(k)] = top(i)
+    found = np.flatnonzero(links)
+    roots = name[[top(k) for k in found.tolist()]] if len(found) else name[:0]
+    return pa.table({"class": name[found], "links": links[found], "documents": reached[found], "root": roots})
