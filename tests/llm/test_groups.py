@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,29 +44,6 @@ def brute_components(rows: list[tuple]) -> Counter:
     return Counter((r[0], len(sets[i]), min(low[find(i)], default=None)) for i, r in enumerate(rows))
 
 
-def test_jaccard_odd(odd, none, rows):
-    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar_components(odd).collect())
-    assert got == brute_components(rows)
-    assert jaccard.similar_components(none).count() == 0
-
-
-def test_jaccard_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar_components(docs).collect())
-    assert got == brute_components(rows)
-
-
-def test_jaccard_without_signatures(spark, odd, rows, monkeypatch):
-    """The matrix alone finds every link: with signatures that never look alike, grouping links
-    nothing, and small groups and frequent tokens take all paths."""
-    monkeypatch.setattr(jaccard, "ALIKE", jaccard.SIGNATURE + 1)
-    monkeypatch.setattr(jaccard, "FREQUENT", 2)
-    monkeypatch.setattr(jaccard, "GROUP", 2)
-    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar_components(odd).collect())
-    assert got == brute_components(rows)
-
-
 def brute_links(rows: list[tuple]) -> Counter:
     """doc_id, size, and the other sets and rows that each row links with."""
     sets = [shingles(r[1]) for r in rows]
@@ -73,26 +52,65 @@ def brute_links(rows: list[tuple]) -> Counter:
     return Counter((r[0], len(s), len(near.get(s, [])), sum(copies[b] for b in near.get(s, [])) + max(copies[s] - 1, 0)) for r, s in zip(rows, sets, strict=True))
 
 
-@pytest.mark.parametrize("limits", [(links.MEMBERS, links.TOKENS), (3, links.TOKENS), (links.MEMBERS, 500)])
-def test_links(odd, none, rows, monkeypatch, limits):
-    """Every link is counted, inside groups of near copies and chains of them, in one block or many."""
-    monkeypatch.setattr(links, "MEMBERS", limits[0])
-    monkeypatch.setattr(links, "TOKENS", limits[1])
+def check_links(docs, rows: list[tuple]) -> None:
+    found = jaccard.similar_links(docs).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(rows)
+    assert Counter((r["doc_id"], r["n_shingles"], r["links"], r["linked_rows"]) for r in found) == brute_links(rows)
+
+
+#: All links inside families, as everything looks alike; all across them, as nothing does; blocks,
+#: groups, pools of tokens and ranges of hashes of few each; ids shuffled and groups asked in parts.
+WAYS = {
+    "as it is": {},
+    "inside": {"ALIKE": 0, "MEET": 24},
+    "across": {"ALIKE": 25},
+    "small blocks": {"ALIKE": 0, "MEET": 24, "MEMBERS": 3},
+    "few tokens": {"ALIKE": 4, "TOKENS": 500},
+    "small pools": {"COUNTED": 200, "RANGE": 100},
+    "shuffled": {"ALIKE": 25, "FEW_IDS": 0, "ASKING": 2, "GROUP": 2},
+}
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_links(odd, rows, monkeypatch, way):
+    """Every link is counted, inside groups of near copies and chains of them, whatever the way."""
+    for name, value in WAYS[way].items():
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(links, "GROUP", 2)
     base = [f"v{i}" for i in range(60)]
     chain = [(400 + i, " ".join([*base[3 * i :], *(f"u{k}" for k in range(3 * i))]), "en", "chain", 1) for i in range(12)]
-    spark = odd.sparkSession
-    docs = odd.unionByName(spark.createDataFrame([*chain, *chain[3:5]], odd.schema))
-    got = Counter((r["doc_id"], r["n_shingles"], r["links"], r["linked_rows"]) for r in links.similar_links(docs).collect())
-    want = brute_links([*rows, *chain, *chain[3:5]])
-    assert got == want and max(n for _, _, n, _ in want) > 10
-    assert links.similar_links(none).count() == 0
+    # Most of each is a passage that all of these share, and none is like another.
+    hot = [(500 + i, " ".join([*(f"h{k}" for k in range(40)), *(f"own{i}x{k}" for k in range(8 + i))]), "en", "hot", 1) for i in range(12)]
+    more = [*chain, *chain[3:5], *hot]
+    docs = odd.unionByName(odd.sparkSession.createDataFrame(more, odd.schema))
+    assert max(n for _, _, n, _ in brute_links([*rows, *more])) > 10
+    check_links(docs, [*rows, *more])
+
+
+@pytest.mark.parametrize("way", ["as it is", "across"])
+def test_links_documents(spark, monkeypatch, way):
+    for name, value in WAYS[way].items():
+        monkeypatch.setattr(jaccard, name, value)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    check_links(docs, [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_links_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    found = links.similar_links(docs).collect()
-    assert Counter((r["doc_id"], r["n_shingles"], r["links"], r["linked_rows"]) for r in found) == brute_links(rows)
+def test_links_none(spark, none):
+    assert jaccard.similar_links(none).count() == 0
+    unnamed = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, "A b c d e f g")], "doc_id long, text string")
+    check_links(unnamed, [(r["doc_id"], r["text"]) for r in unnamed.collect()])
+
+
+def test_block():
+    """Opened groups hold every set that links, and near() is exact."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 40, 90).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, 90), replace=False), rng.integers(0, 1 << 40, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(150)]
+    sets += [s[: len(s) - 2] for s in sets[:40] if len(s) > 20]
+    block = links.Block(sets)
+    for s in sets:
+        want = [j for j, t in enumerate(sets) if 100 * (c := len(np.intersect1d(s, t))) >= 75 * (len(s) + len(t) - c)]
+        assert block.near(s).tolist() == want
 
 
 def test_one_of_each(odd, rows):
@@ -112,75 +130,143 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 201: 201, 203: 201, 205: 201}
 
 
-@pytest.mark.parametrize("rare", [linededup.RARE, 1])
-def test_lines(odd, none, rows, rare):
-    got = linededup.dedup_lines(odd.withColumn("removed", F.lit(1)), rare=rare)
-    order = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
-    for r in got.collect():
-        if r["text"] is None:
-            assert r["n_lines"] == 0
-            continue
-        source = next(t for d, t in order if d == r["doc_id"] and len(t.split("\n")) == r["n_lines"] and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(r["removed"])) == r["text"])
-        lines = source.split("\n")
-        for i in r["removed"]:
-            assert not lines[i].strip() or any(lines[i] in t.split("\n") for d, t in order if (d, t) != (r["doc_id"], source))
-    by_id = {r["doc_id"]: r for r in got.collect()}
-    assert by_id[9]["text"] == "" and by_id[8]["removed"] == []
-    block = [r for r in got.collect() if r["doc_id"] == 7 and r["n_lines"] == 5]
-    assert block[0]["removed"] == [1, 2, 3] and by_id[6]["removed"] == []
-    assert linededup.dedup_lines(none).count() == 0
+#: Texts to the hashes that order those of one id.
+HASHES: dict = {}
+
+
+def brute_lines(rows: list[tuple], least: int = 1) -> dict:
+    """(doc_id, text) -> places of lines that go. One document after the other: each of its lines
+    is looked up with the first text that has it, and every such pair is aligned by itself."""
+    out, seen, first = {}, set(), {}
+    for d, t in sorted({r[:2] for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, HASHES[r[1]])):
+        lines = t.split("\n")
+        full = [i for i, x in enumerate(lines) if WORD.search(x)]
+        go: set = set()
+        if t in seen:
+            blocks = [full]
+        else:
+            pairs: dict = defaultdict(list)
+            for i in full:
+                if lines[i] in first and first[lines[i]][0] != (d, t):
+                    pairs[first[lines[i]][0]].append(i)
+                else:
+                    first.setdefault(lines[i], ((d, t), []))[1].append(i)
+            blocks = []
+            for key, mine in pairs.items():
+                known = {lines[i] for i in mine}
+                theirs = [x for x in key[1].split("\n") if x in known and first[x][0] == key]
+                at = [mine[j] for _, j in brute_patience(theirs, [lines[i] for i in mine])]
+                for i in at:
+                    if blocks and blocks[-1][0] == key and not any(blocks[-1][1][-1] < k < i for k in full):
+                        blocks[-1][1].append(i)
+                    else:
+                        blocks.append((key, [i]))
+            blocks = [b for _, b in blocks]
+        seen.add(t)
+        for b in blocks:
+            if sum(len(WORD.findall(lines[i])) for i in b) >= least:
+                go |= set(b)
+        if go and go == set(full):
+            go = set(range(len(lines)))
+        for i, x in enumerate(lines):
+            before, after = [k for k in full if k < i], [k for k in full if k > i]
+            if i not in full and before and after and before[-1] in go and after[0] in go:
+                go.add(i)
+        out[d, t] = sorted(go)
+    return out
 
 
-def test_lines_documents(spark):
-    """Lines of MIN_WORDS words that an earlier text holds are gone, and nothing that none holds."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    first: dict = {}
-    for d in sorted(texts):
-        for line in texts[d].split("\n"):
-            first.setdefault(line, d)
-    for r in linededup.dedup_lines(docs).collect():
-        lines, removed = texts[r["doc_id"]].split("\n"), set(r["removed"])
-        assert "\n".join(x for i, x in enumerate(lines) if i not in removed) == r["text"]
-        for i, x in enumerate(lines):
-            earlier = first[x] < r["doc_id"]
-            assert i not in removed or earlier or not x.strip()
-            assert not (earlier and len(x.split()) >= linededup.MIN_WORDS) or i in removed
-
-
-def lines_held_earlier(rows: list[tuple]) -> dict:
-    """doc_id -> places of lines with words that an earlier distinct text holds; all of a copy's."""
-    out, texts, lines = {}, set(), set()
-    for d, t in sorted(rows):
-        own = t.split("\n")
-        out[d] = {i for i, x in enumerate(own) if WORD.search(x) and (t in texts or x in lines)}
-        texts.add(t)
-        lines.update(own)
+def brute_patience(a: list, b: list) -> list[tuple[int, int]]:
+    """Patience diff by its definition, recursively, with a quadratic longest increasing run; of
+    equally long ones, from the end on, the one with the earliest place in a."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0), *((i + 1, j + 1) for i, j in brute_patience(a[1:], b[1:]))]
+    if a[-1] == b[-1]:
+        return [*brute_patience(a[:-1], b[:-1]), (len(a) - 1, len(b) - 1)]
+    once = [x for x in b if a.count(x) == b.count(x) == 1]
+    if once:
+        pairs = [(a.index(x), b.index(x)) for x in once]
+    else:  # no unique line: the k-th of each in one with the k-th in the other
+        places = lambda s, x: [i for i, y in enumerate(s) if y == x]
+        pairs = sorted((p for x in set(b) for p in zip(places(a, x), places(b, x))), key=lambda p: p[1])
+    best: list = []
+    rank = lambda chain: (len(chain), -chain[-1][0])
+    for k, p in enumerate(pairs):
+        best.append(max((best[m] for m in range(k) if pairs[m][0] < p[0]), key=rank, default=[]) + [p])
+    chain = max(best, key=rank, default=[])
+    if not once:
+        return chain
+    out, ends = [], [(-1, -1), *chain, (len(a), len(b))]
+    for (i, j), (k, m) in zip(ends, ends[1:]):
+        out += [(i + 1 + x, j + 1 + y) for x, y in brute_patience(a[i + 1 : k], b[j + 1 : m])]
+        out += [(k, m)] if k < len(a) else []
     return out
 
 
-def test_short_lines(spark):
-    """Shared lines go however short they are, alone or in a run, and wherever they stand."""
-    rows = [(1, "a b c\nd e\nf"), (2, "f\nown words\nd e"), (3, "x y\n\na b c\n\nf\nz"), (4, "f"), (5, "z\nf"), (6, "nothing shared")]
-    got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {d: {i for i in r["removed"] if rows[d - 1][1].split("\n")[i]} for d, r in got.items()} == lines_held_earlier(rows)
-    assert [got[d]["text"] for d, _ in rows] == ["a b c\nd e\nf", "own words", "x y\n\nz", "", "", "nothing shared"]
+def check_lines(docs, rows: list[tuple], least: int = 1) -> dict:
+    HASHES.update({r["text"]: (r["t1"], r["t2"]) for r in docs.filter("text is not null").select("text", *linededup._hashes()).distinct().collect()})
+    want = brute_lines(rows, least)
+    got = linededup.dedup_lines(docs, least).collect()
+    assert len(got) == len(rows)
+    left: Counter = Counter()
+    for r in got:
+        left[r["doc_id"], r["text"], r["n_lines"], tuple(r["removed"]), r["removed_words"]] += 1
+    expected: Counter = Counter()
+    for d, t, *_ in rows:
+        lines = t.split("\n") if t is not None else []
+        gone = want[d, t] if t is not None else []
+        rest = None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in set(gone))
+        expected[d, rest, len(lines), tuple(gone), sum(len(WORD.findall(lines[i])) for i in gone)] += 1
+    assert left == expected
+    return want
+
+
+@pytest.mark.parametrize("least", [1, 4, 25])
+def test_lines(odd, none, rows, least):
+    check_lines(odd.withColumn("removed", F.lit(1)), rows, least)
+    by_id = {r["doc_id"]: r for r in linededup.dedup_lines(odd, least).collect()}
+    assert by_id[9]["text"] == "" and by_id[8]["removed"] == [] and by_id[6]["removed"] == []
+    assert linededup.dedup_lines(none).count() == 0
 
 
-@pytest.mark.parametrize("rare", [linededup.RARE, 3])
-def test_lines_are_membership(spark, rare):
-    """On documents, exactly the lines that an earlier text holds, however they are paired."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    got = linededup.dedup_lines(docs, rare=rare).collect()
-    assert {r["doc_id"]: {i for i in r["removed"] if WORD.search(texts[r["doc_id"]].split("\n")[i])} for r in got} == lines_held_earlier(list(texts.items()))
+@pytest.mark.parametrize("least", [1, 12])
+def test_lines_documents(spark, least):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = check_lines(docs, [(r["doc_id"], r["text"]) for r in docs.collect()], least)
+    assert sum(map(len, want.values())) > 100
+
+
+def test_short_lines(spark):
+    """Aligned lines go however short they are; order decides, and how often a line stands there."""
+    rows = [
+        (1, "a b c\nd e\nf"), (2, "f\nown words\nd e"), (3, "x y\n\na b c\n\nf\nz"), (4, "f"), (5, "z\nf"), (6, "nothing shared"),
+        (7, "f\nd e\na b c"), (8, "\na b c\n\nd e\nf\n"), (9, "a b c\na b c\nf"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_lines(docs, rows)
+    text = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+    assert text[1] == rows[0][1] and text[6] == "nothing shared" and text[4] == text[5] == text[8] == ""
+    # Lines in another order than in the text that has them first: only what is in order goes, where
+    # deleting all lines that stand earlier would empty 7.
+    assert [len(text[d].split("\n")) for d in (2, 7, 9)] == [2, 2, 1] and text[9] == "a b c"
+
+
+def test_random_lines(spark):
+    rng = random.Random(8)
+    rows = [(i, "\n".join(rng.choice(["", "p", "q r", "s", "t u v", "w", "x y"]) for _ in range(rng.randint(0, 9)))) for i in range(150)]
+    for least in (1, 3):
+        check_lines(spark.createDataFrame(rows, "doc_id long, text string"), rows, least)
 
 
 def test_patience():
     assert linededup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
-    assert linededup.aligned([1, 2, 3], [3, 1, 1, 2, 7]) == [0, 1, 2, 3]
-    assert linededup.runs_to_delete([10, 0, 10, 30, 5], {0, 2}, 20) == [0, 1, 2]
-    assert linededup.runs_to_delete([10, 0, 30], {0}, 10) == [0]
+    rng = random.Random(6)
+    for _ in range(500):
+        a, b = ([rng.randint(0, 6) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        got, want = linededup.patience(a, b), brute_patience(a, b)
+        assert got == want, (a, b)
 
 
 def test_sharding(odd, none, rows):
