@@ -5,7 +5,9 @@ random strings and one from ordinary identifiers. A maximal run of key character
 log-likelihood ratio of its transitions; runs of 20 characters or more above CUT that overlap
 no pattern match become `markov` spans. The whole path is DataFrame functions: pattern matches come
 from one split and one extraction, positions from the running lengths of both, scores from an
-array of the 128 x 128 ratios that is indexed by character codes.
+array of the 128 x 128 ratios that is indexed by character codes. Running sums and maxima double
+their reach step by step, so that the work on a text of n characters with k matches is in the
+order of n + k log k: neither a megabyte of key characters nor 100,000 matches in a text are slow.
 
 Kinds: assign (a named value of 6 characters or more), access (key ids of 20 or more), hex (24 or
 more), markov. Base spans are the leftmost non-overlapping matches of each pattern by itself, so
@@ -14,7 +16,7 @@ points, end exclusive, ordered by start, then kind as listed.
 
 Defined results: null and empty texts have no spans (empty string, and the hash of the empty
 string); work is per row, so repeated rows get equal results and no key can be hot; other columns
-are kept and clashing output columns replaced. An empty sample table gives ratios of 0 and so no
+are kept, whatever their names, and only a clashing `found` is replaced. An empty sample table gives ratios of 0 and so no
 markov spans.
 """
 
@@ -92,22 +94,47 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
-_SPANS = "array<struct<start:int,end:int,match:string>>"
+def bound(value: Column, use) -> Column:
+    """use(value), with the value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, join) -> Column:
+    """The array's running totals under `join` (of two Columns): every step joins each element with
+    the one that is twice as far back as the step before did."""
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    farther = lambda done, back: F.transform(done, lambda x, i: F.coalesce(join(F.get(done, (i - back).cast("int")), x), x))
+    return F.aggregate(steps, values, farther)
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of the leftmost non-overlapping matches. The split and the
-    extraction are the array that is walked, so each is evaluated once for a text."""
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("all"))
+    """array<struct<start, end, match>> of the leftmost non-overlapping matches."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    pieces = F.zip_with(gaps, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
+    pieces = F.filter(pieces, lambda p: p["match"].isNotNull())  # the last gap has no match after it
+
+    def placed(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, lambda p: p["gap"] + F.length(p["match"])), lambda x, y: x + y)
+        return F.zip_with(pieces, ends, lambda p, end: F.struct((end - F.length(p["match"])).alias("start"), end.alias("end"), p["match"].alias("match")))
+
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    return F.when(text.rlike(pattern), bound(pieces, placed)).otherwise(none)
 
-    def add(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["gap"])
-        end = start + F.length(piece["match"])
-        grown = F.struct(end.alias("at"), F.concat(state["all"], F.array(F.struct(start.alias("start"), end.alias("end"), piece["match"].alias("match")))).alias("all"))
-        return F.when(piece["match"].isNull(), state).otherwise(grown)
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, zero, add, lambda s: s["all"])).otherwise(zero["all"])
+def clear_of(runs: Column, spans: Column) -> Column:
+    """The runs that no span overlaps. In one order, runs by their end and spans by their start,
+    the spans before a run are those that start in time; the largest end among them decides."""
+    run = lambda m: F.struct(m["end"].alias("key"), F.lit(0).alias("span"), F.lit(-1).alias("until"), m["start"].alias("start"), m["match"].alias("match"))
+    span = lambda m: F.struct(m["start"].alias("key"), F.lit(1).alias("span"), m["end"].alias("until"), m["start"].alias("start"), F.lit("").alias("match"))
+    events = F.array_sort(F.concat(F.transform(runs, run), F.transform(spans, span)))
+
+    def free(events: Column) -> Column:
+        most = running(F.transform(events, lambda e: e["until"]), lambda x, y: F.greatest(x, y))
+        known = F.zip_with(events, most, lambda e, until: F.struct(e["span"].alias("span"), until.alias("until"), F.struct(e["start"].alias("start"), e["key"].alias("end"), e["match"].alias("match")).alias("run")))
+        return F.transform(F.filter(known, lambda k: (k["span"] == 0) & (k["until"] <= k["run"]["start"])), lambda k: k["run"])
+
+    return F.when((F.size(runs) == 0) | (F.size(spans) == 0), runs).otherwise(bound(events, free))
 
 
 def randomness(run: Column, ratios: list[float]) -> Column:
@@ -115,28 +142,26 @@ def randomness(run: Column, ratios: list[float]) -> Column:
     # One literal that the optimizer folds to an array, not thousands of expressions.
     table = F.split(F.lit(",".join(f"{r:.4f}" for r in ratios)), ",").cast("array<double>")
     n = F.length(run)
-
-    def step(total: Column, i: Column) -> Column:
-        return total + F.get(table, F.ascii(F.substr(run, i, F.lit(1))) * CODES + F.ascii(F.substr(run, i + 1, F.lit(1))))
-
-    return F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), step) / (n - 1)
+    codes = F.transform(F.split(run, ""), lambda c: F.ascii(c))
+    pairs = lambda c: F.zip_with(F.slice(c, F.lit(1), n - 1), F.slice(c, F.lit(2), n - 1), lambda a, b: F.get(table, a * CODES + b))
+    return F.aggregate(bound(codes, pairs), F.lit(0.0), lambda total, x: total + x) / (n - 1)
 
 
 def find_secrets(docs: DataFrame, ratios: list[float], column: str = "text", cut: float = CUT) -> DataFrame:
     """Adds `found`: array<struct<start, nth, kind, end>> in order, nth the kind's place in KINDS."""
     text = F.coalesce(F.col(column), F.lit(""))
-    out = docs.drop("found")
+    # Names of our own beside the rows' columns, which come back from one struct.
+    out = docs.drop("found").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "found"]).alias("row"), text.alias("text"))
     for kind, pattern in BASE.items():
-        out = out.withColumn(f"_{kind}", matches(text, pattern))
+        out = out.withColumn(kind, matches(F.col("text"), pattern))
     # A value too short for a match still takes its place: it is dropped after matching.
     value = lambda m: F.regexp_extract(m["match"], ASSIGN, 2)
-    out = out.withColumn("_assign", F.filter("_assign", lambda m: F.length(value(m)) >= LEAST_VALUE))
-    base = F.concat(*[F.col(f"_{k}") for k in BASE])
-    out = out.withColumn("_runs", matches(text, RUN))
-    out = out.withColumn("_runs", F.filter("_runs", lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
-    out = out.withColumn("_markov", F.filter("_runs", lambda m: randomness(m["match"], ratios) > cut))
-    tagged = [F.transform(F.col(f"_{k}"), lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("nth"), F.lit(k).alias("kind"), m["end"].alias("end"))) for i, k in enumerate(KINDS)]  # noqa: B023
-    return out.withColumn("found", F.array_sort(F.concat(*tagged))).drop("_runs", *[f"_{k}" for k in KINDS])
+    out = out.withColumn("assign", F.filter("assign", lambda m: F.length(value(m)) >= LEAST_VALUE))
+    out = out.withColumn("runs", matches(F.col("text"), RUN))
+    out = out.withColumn("runs", clear_of(F.col("runs"), F.concat(*[F.col(k) for k in BASE])))
+    out = out.withColumn("markov", F.filter("runs", lambda m: randomness(m["match"], ratios) > cut))
+    tagged = [F.transform(F.col(k), lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("nth"), F.lit(k).alias("kind"), m["end"].alias("end"))) for i, k in enumerate(KINDS)]  # noqa: B023
+    return out.select("row.*", F.array_sort(F.concat(*tagged)).alias("found"))
 
 
 def spelled(found: Column) -> Column:

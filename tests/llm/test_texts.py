@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -65,11 +66,64 @@ def test_secrets(spark, odd, none):
     got = secrets.digests(secrets.find_secrets(df, ratios)).orderBy("doc_id").collect()
     assert [r["n_markov"] for r in got] == [n for _, n in planted]
     assert got[-1]["spans"] == "" and got[-1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert secrets.digests(secrets.find_secrets(odd, ratios)).count() == odd.count()
-    assert secrets.digests(secrets.find_secrets(none, ratios)).count() == 0
+    clash = odd.withColumn("found", F.lit(1)).withColumn("assign", F.lit("x")).withColumn("runs", F.lit(2)).withColumn("_markov", F.lit(3)).withColumn("a.b", F.lit(4))
+    found = secrets.find_secrets(clash, ratios)
+    assert found.columns == [*odd.columns, "assign", "runs", "_markov", "a.b", "found"]
+    got = found.collect()
+    assert len(got) == odd.count() and {(r["assign"], r["runs"], r["_markov"], r["a.b"]) for r in got} == {("x", 2, 3, 4)}
+    for r in got:
+        assert [(s["start"], s["nth"], s["end"]) for s in r["found"] if s["nth"] < 3] == brute_secrets(r["text"] or "")
+    assert secrets.digests(secrets.find_secrets(none, ratios)).collect() == []
     assert secrets.train(secrets.default_samples(spark).limit(0)) == [0.0] * secrets.CODES**2
 
 
+def brute_markov(text: str, ratios: list[float]) -> list[tuple[int, int]]:
+    base = [(a, b) for a, _, b in brute_secrets(text)]
+    out = []
+    for m in re.finditer(secrets.RUN, text):
+        if any(a < m.end() and m.start() < b for a, b in base):
+            continue
+        score = sum(float(f"{ratios[ord(x) * secrets.CODES + ord(y)]:.4f}") for x, y in zip(m[0], m[0][1:], strict=False)) / (len(m[0]) - 1)
+        if score > secrets.CUT:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_markov_spans(spark):
+    """Against a loop over the runs; and on samples that were not learnt from."""
+    ratios = secrets.train(secrets.default_samples(spark))
+    rng = random.Random(12)
+    run = lambda: "".join(rng.choice("abcdefXYZ0189+/=_-") for _ in range(rng.randint(15, 40)))
+    texts = [rng.choice([" ", ", ", "é", ""]).join(rng.choice([run(), "token=" + run(), "get_user_name_from_request", "deadbeef" * 4, "word"]) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = secrets.find_secrets(df, ratios).collect()
+    for r in found:
+        assert [(s["start"], s["end"]) for s in r["found"] if s["nth"] == 3] == brute_markov(r["text"], ratios)
+    assert sum(s["nth"] == 3 for r in found for s in r["found"]) > 100
+    n = secrets.SAMPLES
+    unseen = secrets.default_samples(spark, 2 * n).withColumn("id", F.monotonically_increasing_id()).filter(F.length("text") >= 20)
+    unseen = unseen.join(secrets.default_samples(spark).select("text").distinct(), "text", "left_anti")
+    judged = unseen.filter(F.col("text").rlike(f"^{secrets.RUN}$")).select("random", (secrets.randomness(F.col("text"), ratios) > secrets.CUT).alias("said"))
+    told = Counter((r["random"], r["said"]) for r in judged.collect())
+    assert told[1, True] / (told[1, True] + told[1, False]) > 0.97 and told[1, True] / (told[1, True] + told[0, True]) > 0.97
+    assert sum(told.values()) > n
+
+
+def test_long_secrets(spark):
+    """A run of a million characters, and a hundred thousand matches of each kind, in seconds."""
+    rng = random.Random(3)
+    run = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    many = " ".join(f"{rng.getrandbits(100):025x} token=abc{i} {run[i : i + 24]}" for i in range(100_000))
+    ratios = secrets.train(secrets.default_samples(spark))
+    began = time.time()
+    df = spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.digests(secrets.find_secrets(df, ratios)).collect()}
+    assert time.time() - began < 60
+    assert got[1]["spans"] == "markov:0:1000000"
+    assert [(s.split(":")[0], int(s.split(":")[1]), int(s.split(":")[2])) for s in got[2]["spans"].split(",") if not s.startswith("markov")] == [(secrets.KINDS[k], a, b) for a, k, b in brute_secrets(many)]
+    assert got[2]["n_hex"] == 100_000 and got[2]["n_markov"] > 90_000
+
+
 def test_markov_ratio(spark):
     """The ratio array against a plain count."""
     samples = spark.createDataFrame([("abab", 1), ("ac", 1), ("aab", 0)], "text string, random int")
