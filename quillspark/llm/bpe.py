@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .shared import documents, slices, text_batches
+from .shared import documents, map_texts, slices, text_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of the per-worker cache, and the longest pre-token that it holds.
-CACHE, CACHED_CHARS = 300_000, 48
+CACHE, CACHED_CHARS = 100_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -108,7 +108,7 @@ class Encoder(dict):
     def __init__(self, path: str, pattern: str) -> None:
         super().__init__()
         self.old: dict[str, bytes] = {}
-        self.ranks = read_ranks(path)
+        self.ranks = encoder_ranks(path)
         self.split = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
@@ -126,6 +126,11 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.split(text)))
 
 
+@lru_cache(maxsize=1)
+def encoder_ranks(path: str) -> dict[bytes, int]:
+    return read_ranks(path)
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
     """One for all tasks of a worker."""
@@ -134,17 +139,21 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 @lru_cache(maxsize=1)
 def tokens(path: str) -> dict[int, bytes]:
-    return {i: t for t, i in read_ranks(path).items()}
+    return {i: t for t, i in encoder_ranks(path).items()}
 
 
-def _with(piece: pa.RecordBatch, name: str, values: list) -> pa.RecordBatch:
-    names = piece.schema.names
-    return pa.RecordBatch.from_arrays([*piece.columns, pa.array(values, pa.binary())], names=[*names, name])
+def _with(piece: pa.RecordBatch, added: dict[str, list]) -> pa.RecordBatch:
+    values = [pa.array(x, pa.binary()) for x in added.values()]
+    return pa.RecordBatch.from_arrays([*piece.columns, *values], names=[*piece.schema.names, *added])
 
 
-def _mapped(df: DataFrame, name: str, step) -> DataFrame:
-    df = df.drop(name)
-    return df.mapInArrow(step, StructType([*df.schema.fields, StructField(name, BinaryType())]))
+def _mapped(df: DataFrame, names: list[str], step) -> DataFrame:
+    df = df.drop(*names)
+    return map_texts(df, step, StructType([*df.schema.fields, *[StructField(name, BinaryType()) for name in names]]))
+
+
+def _decoded(ids: bytes | None, of: dict[int, bytes]) -> bytes:
+    return b"".join(map(of.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
 def encode(df: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, column: str = "text", out: str = "ids") -> DataFrame:
@@ -154,9 +163,9 @@ def encode(df: DataFrame, vocabulary: str | None = None, pattern: str = public_t
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(vocabulary or public_tokenizers.path(VOCABULARY), pattern)
         for piece, texts in text_batches(batches, column):
-            yield _with(piece, out, [of.encode(t) for t in texts])
+            yield _with(piece, {out: [of.encode(t) for t in texts]})
 
-    return _mapped(df, out, step)
+    return _mapped(df, [out], step)
 
 
 def decode(df: DataFrame, vocabulary: str | None = None, column: str = "ids", out: str = "decoded") -> DataFrame:
@@ -166,14 +175,27 @@ def decode(df: DataFrame, vocabulary: str | None = None, column: str = "ids", ou
         of = tokens(vocabulary or public_tokenizers.path(VOCABULARY))
         for piece in (p for b in batches for p in slices(b, b.schema.get_field_index(column))):
             ids = piece.column(piece.schema.get_field_index(column))
-            yield _with(piece, out, [b"".join(map(of.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in ids])
+            yield _with(piece, {out: [_decoded(x.as_py(), of) for x in ids]})
+
+    return _mapped(df, [out], step)
+
+
+def encode_and_decode(df: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, column: str = "text", out: str = "ids", back: str = "decoded") -> DataFrame:
+    """encode() and decode() in one worker a task, which holds one vocabulary for both."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = vocabulary or public_tokenizers.path(VOCABULARY)
+        there, again = encoder(path, pattern), tokens(path)
+        for piece, texts in text_batches(batches, column):
+            ids = [there.encode(t) for t in texts]
+            yield _with(piece, {out: ids, back: [_decoded(x, again) for x in ids]})
 
-    return _mapped(df, out, step)
+    return _mapped(df, [out, back], step)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded and again decoded texts."""
-    done = decode(encode(docs.select("doc_id", "text")).drop("text"))
+    done = encode_and_decode(docs.select("doc_id", "text"))
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

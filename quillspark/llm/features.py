@@ -6,10 +6,13 @@ import numpy as np
 
 #: Odd multipliers, one for each n-gram length.
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
+#: The most that 16 bits hold.
+MOST = 65535
 
 
 def ngram_counts(data: bytes, sizes: tuple[int, ...], bits: int, block: int = 1 << 20) -> np.ndarray:
-    """Counts of all n-grams in 2^bits buckets, long texts in blocks that overlap."""
+    """Counts of all n-grams in 2^bits buckets, long texts in blocks that overlap. A count stops at
+    MOST, in learning and in use alike: higher ones say no more to a logarithm or root."""
     out = np.zeros(1 << bits, np.float32)
     for start in range(0, max(1, len(data)), block):
         a = np.frombuffer(data[start : start + block + max(sizes) - 1], np.uint8).astype(np.uint32)
@@ -25,7 +28,7 @@ def ngram_counts(data: bytes, sizes: tuple[int, ...], bits: int, block: int = 1
             code ^= code >> np.uint32(15)
             code *= np.uint32(MULTIPLIERS[n % 4])
             out += np.bincount(code >> np.uint32(32 - bits), minlength=1 << bits)
-    return out
+    return np.minimum(out, MOST)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -35,8 +38,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def pack(counts: np.ndarray) -> bytes:
-    """Counts on their way to the driver, in 16 bits; higher ones say no more to a logarithm or root."""
-    return np.minimum(counts, 65535).astype(np.uint16).tobytes()
+    """Counts on their way to the driver."""
+    return counts.astype(np.uint16).tobytes()
 
 
 def unpack(rows: list[bytes], width: int) -> np.ndarray:

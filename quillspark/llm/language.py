@@ -8,7 +8,7 @@ share in a softmax over negative losses, and a lead under AMBIGUOUS marks the te
 
 Codewords: all distinct splits of the languages for up to EXHAUSTIVE languages, else the best of
 TRIES seeded random codes by least distance. Learning takes LEARNT texts of each language at most,
-those with the smallest hash of their id, plus short pieces of them; the classifiers are a fixed
+or ALL / languages where that is fewer, those with the smallest hash of id and text, plus short pieces of them; the classifiers are a fixed
 number of floats, whatever the corpus holds.
 
 Defined results: texts that are null or have no letter are `und` with score 0; ties go to the
@@ -30,10 +30,10 @@ from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StringType, S
 from pyspark.sql.window import Window as W
 
 from .features import ngram_counts, pack, unit, unpack
-from .shared import crc_of, documents, text_batches
+from .shared import crc_of, documents, map_texts, text_batches
 
-#: Texts of each language that are learnt from at most, and languages at most (by number of texts).
-LEARNT, LANGUAGES = 150, 400
+#: Texts of each language that are learnt from at most, and of all, and languages at most (by number of texts).
+LEARNT, ALL, LANGUAGES = 150, 4000, 400
 BITS, SIZES = 12, (1, 2, 3, 4)
 EXHAUSTIVE, TRIES = 7, 200
 #: Characters of the short pieces of each learnt text that are learnt from as well.
@@ -124,13 +124,16 @@ def train(docs: DataFrame, limit: int = LEARNT, languages: int = LANGUAGES) -> C
     """Learns from text and lang of the rows given, by a bounded sample of each language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     common = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    limit = max(1, min(limit, ALL // max(1, len(common))))
     # Enough hash range for the limit, so that the window sees few rows of the hot language.
     share = F.create_map(*[F.lit(x) for lang, n in common.items() for x in (lang, min(1.0, 3.0 * limit / n))]) if common else F.lit(None)
-    place = F.crc32(F.concat(F.lit("lang:"), F.col("doc_id").cast("string")).cast("binary"))
+    # By id and text: ids may be null or stand for many rows.
+    name = F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.xxhash64("text").cast("string"))
+    place = F.crc32(name.cast("binary"))
     few = known.withColumn("place", place).filter(F.col("lang").isin(list(common))) if common else known.limit(0).withColumn("place", place)
     if common:
         few = few.filter(F.col("place") < share[F.col("lang")] * (1 << 32))
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", F.crc32(F.col("text").cast("binary"))))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text")))
     few = few.select("lang", "text", nth.alias("nth")).filter(F.col("nth") <= limit)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +141,8 @@ def train(docs: DataFrame, limit: int = LEARNT, languages: int = LANGUAGES) -> C
             made = [(lang, pack(counts(t))) for lang, text in zip(piece.column(0).to_pylist(), texts, strict=True) for t in pieces(text)]
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.binary())], names=["lang", "counts"])
 
-    rows = few.select("lang", "text").mapInArrow(step, StructType([StructField("lang", StringType()), StructField("counts", BinaryType())])).collect()
+    kinds = StructType([StructField("lang", StringType()), StructField("counts", BinaryType())])
+    rows = map_texts(few.select("lang", "text"), step, kinds).collect()
     rows = sorted((r[0], bytes(r[1])) for r in rows)
     return fit(unpack([r[1] for r in rows], 1 << BITS), [r[0] for r in rows])
 
@@ -162,7 +166,7 @@ def identify(docs: DataFrame, codes: Codes, column: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names, "lang_pred", "score", "ambiguous"])
 
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())]
-    return docs.mapInArrow(step, StructType([*docs.schema.fields, *added]))
+    return map_texts(docs, step, StructType([*docs.schema.fields, *added]))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, slices, text_of
+from .shared import documents, map_texts, slices, text_of
 
 #: Payloads are padded with blanks to a positive multiple of this.
 UNIT = 192
@@ -164,7 +164,7 @@ def audio_features(payloads: DataFrame) -> DataFrame:
                 columns = [piece.column(0), piece.column(1), pa.array(media, pa.binary()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], kind), pa.array([m[3] for m in made], pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media", "tensors", "frames", "segments", "mean_mel"])
 
-    return payloads.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "payload").mapInArrow(step, _FEATURES)
+    return map_texts(payloads.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "payload"), step, _FEATURES)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from .features import ngram_counts, pack, unit, unpack
-from .shared import crc_of, documents, text_batches
+from .shared import crc_of, documents, map_texts, text_batches
 
 #: Labelled rows that are learnt from at most; bounds the broadcast to LABELLED * DIMS floats.
 LABELLED = 4096
@@ -100,7 +100,8 @@ def gather(texts: DataFrame, label: str) -> tuple[np.ndarray, list]:
             made = [pack(counts(t)) for t in strings]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), piece.column(1)], names=["counts", "label"])
 
-    rows = texts.select("text", F.col(label).alias("label")).mapInArrow(step, StructType([StructField("counts", BinaryType()), StructField("label", texts.schema[label].dataType)])).collect()
+    kinds = StructType([StructField("counts", BinaryType()), StructField("label", texts.schema[label].dataType)])
+    rows = map_texts(texts.select("text", F.col(label).alias("label")), step, kinds).collect()
     rows.sort(key=lambda r: (r[1], bytes(r[0])))  # tasks end in any order
     return unpack([bytes(r[0]) for r in rows], TERMS), [r[1] for r in rows]
 
@@ -127,7 +128,7 @@ def score_quality(docs: DataFrame, space: Space, threshold: float = THRESHOLD, c
             columns = [*piece.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names, *names])
 
-    return docs.mapInArrow(step, StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
+    return map_texts(docs, step, StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
 
 
 def quality_space(spark: SparkSession, sf_dir: str) -> Space:

@@ -38,6 +38,8 @@ def test_bpe_digests(odd, none, rows):
         want[doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()] += 1
     assert got == want
     assert bpe.digests(none).count() == 0
+    apart, once = bpe.decode(bpe.encode(odd)), bpe.encode_and_decode(odd.withColumn("decoded", F.lit(0)))
+    assert apart.columns == once.columns and Counter(map(str, apart.collect())) == Counter(map(str, once.collect()))
     clash = bpe.encode(odd.withColumn("ids", F.lit(1)))
     assert clash.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids"] and dict(clash.dtypes)["ids"] == "binary"
 
