@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, jaccard, linededup, mixing, quality
-from quillspark.llm.shared import documents, materialize
+from quillspark.llm.shared import documents, forget, materialize, scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids, and whether the ids decode to the text's very bytes."""
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text")))
+    done = bpe.encode_and_decode(docs.select("doc_id", "source", "lang", "text"))
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return done.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
@@ -58,9 +58,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows. What a stage writes on its way is deleted once its result is written,
+    and that once the next one's is; the last but one stays, as the result is read from it."""
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if last:
+            forget(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
