@@ -1,16 +1,24 @@
 """Exact BM25 top-k over sharded inverted indexes with block-max pruning.
 
 Each task cuts its documents into shards of bounded size and writes an inverted index for each:
-sorted terms, postings with document places and frequencies, lengths. Inside a shard documents
-stand in order of length, so that blocks of BLOCK neighbours have similar impacts. A search takes
+sorted terms, postings with document places and frequencies, lengths. Inside a shard like
+documents stand together, by the common terms they hold and then by length, so that blocks of BLOCK
+neighbours have similar impacts and whole blocks fall to the bound. A search takes
 the stated queries in blocks of bounded size; for a block, document frequencies are summed over
 all shards, so that scores use global statistics everywhere, and each task runs the block's
 queries over its shards, keeping its best k so far for each query as the threshold.
 
 Pruning is block-max WAND with aligned blocks as cursors: the pivot test sums, for a block of
 documents, the query's term maxima in it; a block whose sum is below the threshold is skipped
-whole. The best blocks go first, to raise the threshold early. Every other posting is scored, so
-results are exact: equal to scoring each document. Partial results are merged by query.
+whole, before any of its postings is scored, those of common terms too. The best blocks go first,
+to raise the threshold early. What stays is scored: postings of rare terms one by one, common
+terms (in DENSE of the shard's documents and COMMON of them or more), whose postings in a block are
+nearly all its documents, as a product with the block's rows. Results are exact: equal to scoring
+each document. Partial results are merged by query.
+
+Scores are rounded to PLACES decimals before they are compared, and the threshold leaves as much
+room, so that equal documents score the same in whatever shard they stand and the order of sums
+decides nothing.
 
 score = sum over the query's distinct terms of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1)
 / (tf + K1 * (1 - B + B * length / mean length)). Terms: runs without ASCII blanks and punctuation,
@@ -32,15 +40,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .shared import documents, materialize, text_batches
+from .shared import documents, map_texts, materialize, text_batches
 from .shingles import word_hashes
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Documents and words of a shard, documents of a block, queries are stated by EVERY.
 SHARD, SHARD_WORDS, BLOCK, EVERY = 4096, 1 << 22, 64, 100
-#: Terms in more than this share of a shard's documents have their impacts as a row of it, and so
-#: many queries take their part from the rows in one product.
-DENSE, TOGETHER = 0.05, 64
+#: Terms in more than this share of a shard's documents, and in so many, have their impacts as rows.
+DENSE, COMMON = 0.125, 64
+#: Blocks that are scored first, queries that a shard takes together; decimals of a score.
+FIRST, TOGETHER, PLACES = 4, 64, 9
+#: Principal components by whose signs a shard's documents are arranged.
+COMPONENTS = 3
 #: Terms of a block of queries; bounds the broadcast to some 16 bytes each.
 QUERY_TERMS = 1 << 20
 
@@ -52,19 +63,42 @@ def terms_of(text: str) -> np.ndarray:
     return word_hashes(text.translate(_PLAIN))
 
 
+def arranged(term: np.ndarray, doc: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """An order of a shard's documents that brings like ones together: by the signs of the first
+    principal components of which common terms they hold, then by length."""
+    often = np.bincount(term) > max(COMMON, len(lengths) * DENSE)
+    mine = often[term]
+    x = np.zeros((len(lengths), int(often.sum())), np.float32)
+    x[doc[mine], (np.cumsum(often) - 1)[term[mine]]] = 1
+    side = np.zeros(len(lengths), np.int64)
+    if min(x.shape) > COMPONENTS:
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x -= x.mean(axis=0)
+        basis = np.random.default_rng(1).standard_normal((x.shape[1], COMPONENTS)).astype(np.float32)
+        for _ in range(4):
+            basis = np.linalg.qr(x.T @ (x @ basis))[0]
+        side = ((x @ basis > 0) << np.arange(COMPONENTS)).sum(axis=1)
+    return np.lexsort((lengths, side))
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """One row for each shard; arrays as bytes."""
 
     def shard(ids: list, words: list[np.ndarray]) -> pa.RecordBatch:
-        order = sorted(range(len(ids)), key=lambda i: len(words[i]))
-        lengths = np.array([len(words[i]) for i in order], np.int32)
-        place = np.repeat(np.arange(len(order), dtype=np.int64), lengths)
-        flat = np.concatenate([words[i] for i in order])
-        terms, nth = np.unique(flat, return_inverse=True)
+        lengths = np.array([len(w) for w in words], np.int32)
+        place = np.repeat(np.arange(len(words), dtype=np.int64), lengths)
+        terms, nth = np.unique(np.concatenate(words), return_inverse=True)
         pair, counts = np.unique(nth * SHARD + place, return_counts=True)
+        term, doc = pair // SHARD, pair % SHARD
+        order = arranged(term, doc, lengths)
+        stands = np.empty(len(order), np.int64)
+        stands[order] = np.arange(len(order))
+        pair = term * SHARD + stands[doc]
+        inside = np.argsort(pair)
+        pair, counts = pair[inside], counts[inside]
         offsets = np.searchsorted(pair, np.arange(len(terms) + 1) * SHARD)
         arrays = [
-            np.array([ids[i] or 0 for i in order], np.int64), np.array([ids[i] is not None for i in order], np.uint8), lengths, terms,
+            np.array([ids[i] or 0 for i in order], np.int64), np.array([ids[i] is not None for i in order], np.uint8), lengths[order], terms,
             offsets.astype(np.int32), (pair % SHARD).astype(np.uint16), counts.astype(np.int32),
         ]
         values = [pa.array([len(ids)], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]]
@@ -84,7 +118,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         if ids:
             yield shard(ids, words)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(step, _INDEX)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, _INDEX)
 
 
 class Shard:
@@ -104,49 +138,59 @@ class Shard:
         self.run_of = np.searchsorted(owner[self.run], np.arange(len(self.terms) + 1))
         # Terms in many of the documents: their impacts as rows, so that a block's part of a query
         # is one product instead of a gather of postings.
-        common = np.flatnonzero(np.diff(self.offsets) > len(self.ids) * DENSE)
+        common = np.flatnonzero(np.diff(self.offsets) > max(len(self.ids) * DENSE, COMMON))
         self.row_of = np.full(len(self.terms), -1)
         self.row_of[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), SHARD))
+        blocks = -(-len(self.ids) // BLOCK)
+        # [block, term, document]: what a block needs stands together; and the blocks' maxima.
+        self.rows = np.zeros((blocks, len(common), BLOCK))
         mine = self.row_of[owner]
-        self.rows[mine[mine >= 0], self.places[mine >= 0]] = self.impact[mine >= 0]
-
-    def common_parts(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the common terms add to each document, for some queries (at, idf) in one product."""
-        weights = np.zeros((len(queries), len(self.rows)))
-        for w, (at, idf) in zip(weights, queries, strict=True):
+        here = mine >= 0
+        self.rows[self.places[here] // BLOCK, mine[here], self.places[here] % BLOCK] = self.impact[here]
+        self.row_tops = self.rows.max(axis=2).T if len(common) else np.zeros((0, blocks))
+
+    def search(self, asked: list[tuple[np.ndarray, np.ndarray]], least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of some queries the places and scores of the documents that can be among its
+        best k. asked: places of the query's terms here and their weights; least: the scores of
+        the k-th best so far."""
+        blocks, least = len(self.rows), least.copy()
+        weights, bound, rare = np.zeros((len(asked), len(self.row_tops))), np.zeros((len(asked), blocks)), []
+        for i, (at, idf) in enumerate(asked):
             row = self.row_of[at]
-            w[row[row >= 0]] = idf[row >= 0]
-        return (weights @ self.rows)[:, : len(self.ids)]
-
-    def search(self, at: np.ndarray, idf: np.ndarray, common: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the documents that can be among the best k; at: places of the
-        query's terms here, common: their common part, least: the score of the k-th best so far."""
-        first = self.run_of[at]
-        many = self.run_of[at + 1] - first
-        runs, weight = _ranges(first, many), np.repeat(idf, many)
-        bound = np.bincount(self.block[runs], self.top[runs] * weight, SHARD // BLOCK) * (1 + 1e-12)
-        scores = np.zeros(len(self.ids))
-        # Postings of the rare terms only; the common ones are in `common`.
-        sparse = np.repeat(self.row_of[at] < 0, many)
-        runs, weight = runs[sparse], weight[sparse]
-        order = np.argsort(-bound, kind="stable")
-        for blocks in (order[:8], order[8:]):  # the first ones raise the threshold
-            blocks = blocks[(bound[blocks] >= least) & (bound[blocks] > 0)]
-            if not len(blocks):
-                break
-            pick = np.zeros(len(bound), bool)
-            pick[blocks] = True
-            mine = pick[self.block[runs]]
-            chosen, w = runs[mine], weight[mine]
-            size = self.run_end[chosen] - self.run[chosen]
-            postings = _ranges(self.run[chosen], size)
-            scores += np.bincount(self.places[postings], self.impact[postings] * np.repeat(w, size), len(scores))
-            scores += np.where(np.repeat(pick, BLOCK)[: len(scores)], common, 0)
-            if len(scores) >= k:
-                least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
-        found = np.flatnonzero((scores >= least) & (scores > 0))
-        return found, scores[found]
+            dense = row >= 0
+            weights[i, row[dense]] = idf[dense]
+            at, idf = at[~dense], idf[~dense]
+            first = self.run_of[at]
+            many = self.run_of[at + 1] - first
+            runs, weight = _ranges(first, many), np.repeat(idf, many)
+            bound[i] = np.bincount(self.block[runs], self.top[runs] * weight, blocks)
+            rare.append((runs, weight))
+        bound = (bound + weights @ self.row_tops) * (1 + 1e-12)
+        slack = 2 * 10.0**-PLACES
+        scores = np.zeros((len(asked), blocks, BLOCK))
+        early = np.zeros(bound.shape, bool)  # the first blocks raise the threshold for the rest
+        np.put_along_axis(early, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        for turn in (early, ~early):
+            pick = turn & (bound + slack >= least[:, None]) & (bound > 0)
+            for b in np.flatnonzero(pick.any(axis=0)).tolist():
+                q = np.flatnonzero(pick[:, b])
+                scores[q, b] = weights[q] @ self.rows[b]
+            for i in np.flatnonzero(pick.any(axis=1)).tolist():
+                runs, weight = rare[i]
+                mine = pick[i][self.block[runs]]
+                chosen, w = runs[mine], weight[mine]
+                size = self.run_end[chosen] - self.run[chosen]
+                postings = _ranges(self.run[chosen], size)
+                flat = scores[i].reshape(-1)
+                flat += np.bincount(self.places[postings], self.impact[postings] * np.repeat(w, size), flat.size)
+                if flat.size >= k:
+                    least[i] = max(least[i], np.round(np.partition(flat, flat.size - k)[flat.size - k], PLACES))
+        out = []
+        for i in range(len(asked)):
+            rounded = np.round(scores[i].reshape(-1)[: len(self.ids)], PLACES)
+            found = np.flatnonzero((rounded >= least[i]) & (rounded > 0))
+            out.append((found, rounded[found]))
+        return out
 
 
 def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -169,7 +213,7 @@ def query_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
             sets = [np.unique(terms_of(t)).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(sets, pa.binary())], names=["doc_id", "hash", "terms"])
 
-    made = materialize(queries.mapInArrow(step, "doc_id long, hash long, terms binary").filter("length(terms) > 0"), "queries")
+    made = materialize(map_texts(queries, step, "doc_id long, hash string, terms binary").filter("length(terms) > 0"), "queries")
     block, size = [], 0
     for r in made.toLocalIterator():
         terms = np.frombuffer(bytes(r[2]), np.uint64)
@@ -183,11 +227,11 @@ def query_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """query_id, query_hash, rank, doc_id, score; queries: doc_id and text."""
+    """query_id, query_md5 (of its text), rank, doc_id, score; queries: doc_id and text."""
     spark = docs.sparkSession
     index = materialize(build_index(docs), "index")
     total, words = index.agg(F.sum("docs"), F.sum("words")).first()
-    asked = queries.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").dropDuplicates(["doc_id", "hash"])
+    asked = queries.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("hash"), "text").dropDuplicates(["doc_id", "hash"])
     parts = []
     for block in query_blocks(asked) if total else ():
         wanted = np.unique(np.concatenate([b[2] for b in block]))
@@ -222,54 +266,51 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
                     here = shard.terms[at] == wanted
                     for start in range(0, len(sets), TOGETHER):
                         some = [terms[here[terms]] for terms in sets[start : start + TOGETHER]]
-                        common = shard.common_parts([(at[mine], idf[mine]) for mine in some])
-                        for q, mine in enumerate(some, start):
-                            if not len(mine):
-                                continue
-                            named, ids, scores = best[q]
-                            places, found = shard.search(at[mine], idf[mine], common[q - start], scores[-1] if len(scores) >= k else 0.0, k)
+                        least = np.array([x[2][-1] if len(x[2]) >= k else 0.0 for x in best[start : start + TOGETHER]])
+                        found = shard.search([(at[mine], idf[mine]) for mine in some], least, k)
+                        for q, (places, scores) in enumerate(found, start):
                             if len(places):
-                                merged = np.concatenate([named, shard.named[places]]), np.concatenate([ids, shard.ids[places]]), np.concatenate([scores, found])
+                                merged = [np.concatenate(x) for x in zip(best[q], (shard.named[places], shard.ids[places], scores), strict=True)]
                                 top = _best(*merged, k)
                                 best[q] = tuple(m[top] for m in merged)
             sizes = [len(x[1]) for x in best]
             column = lambda j: np.concatenate([x[j] for x in best])
             owner = np.repeat(np.arange(len(best)), sizes)
             ids = pa.array(column(1), pa.int64(), mask=column(0) == 0)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i][0] for i in owner], pa.int64()), pa.array([names[i][1] for i in owner], pa.int64()), ids, pa.array(column(2))], names=["query_id", "query_hash", "doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[i][0] for i in owner], pa.int64()), pa.array([names[i][1] for i in owner], pa.string()), ids, pa.array(column(2))], names=["query_id", "query_md5", "doc_id", "score"])
 
-        parts.append(index.mapInArrow(run, "query_id long, query_hash long, doc_id long, score double"))
+        parts.append(index.mapInArrow(run, "query_id long, query_md5 string, doc_id long, score double"))
     if not parts:
-        return spark.createDataFrame([], "query_id long, query_hash long, rank int, doc_id long, score double")
+        return spark.createDataFrame([], "query_id long, query_md5 string, rank int, doc_id long, score double")
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    by_score = W.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
-    return hits.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select("query_id", "query_hash", "rank", "doc_id", "score")
+    by_score = W.partitionBy("query_id", "query_md5").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
+    return hits.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select("query_id", "query_md5", "rank", "doc_id", "score")
 
 
 def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     hits = search(docs, docs.filter(F.col("doc_id") % EVERY == 0))
-    return hits.select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return hits.select("query_id", "query_md5", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  SELECT doc_id, md5(text) AS query_md5, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
   FROM documents
 ), t AS (
-  SELECT doc_id, len(words) AS length, unnest(words) AS term FROM d
+  SELECT doc_id, query_md5, len(words) AS length, unnest(words) AS term FROM d
 ), f AS (
-  SELECT doc_id, term, any_value(length) AS length, count(*) AS tf FROM t GROUP BY ALL
+  SELECT doc_id, query_md5, term, any_value(length) AS length, count(*) AS tf FROM t GROUP BY ALL
 ), n AS (
   SELECT count(*) AS total, sum(coalesce(len(words), 0)) / count(*) AS mean FROM d
 ), i AS (
   SELECT term, ln(1 + (any_value(total) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM f, n GROUP BY term
 ), s AS (
-  SELECT q.doc_id AS query_id, f.doc_id, sum(i.idf * f.tf * 2.2::DOUBLE / (f.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * f.length / n.mean))) AS score
+  SELECT q.doc_id AS query_id, q.query_md5, f.doc_id, sum(i.idf * f.tf * 2.2::DOUBLE / (f.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * f.length / n.mean))) AS score
   FROM f q JOIN i ON q.term = i.term JOIN f ON f.term = q.term, n WHERE q.doc_id % 100 = 0 GROUP BY ALL
 )
-SELECT query_id, rank::INT AS rank, doc_id, round(score, 4) AS score
+SELECT query_id, query_md5, rank::INT AS rank, doc_id, round(score, 4) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10
 """

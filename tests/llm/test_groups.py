@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -286,8 +287,8 @@ def test_sharding(odd, none, rows):
     assert sharding.shard_by_bytes(none).count() == 0
 
 
-def test_search(spark, odd, none, rows):
-    """Against scoring every document, in shards of three and blocks of few query terms."""
+def brute_search(rows: list[tuple], asked: list, k: int) -> dict:
+    """(query id, md5) -> [(rank, doc_id, score)] from the score of every document."""
     from math import log
 
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -295,31 +296,55 @@ def test_search(spark, odd, none, rows):
     n, mean = len(docs), sum(len(w) for _, w in docs) / len(docs)
     df = Counter(x for _, w in docs for x in set(w))
     counts = [(d, Counter(w), len(w)) for d, w in docs]
-    search_shard, search_terms = search.SHARD, search.QUERY_TERMS
-    search.SHARD, search.QUERY_TERMS = 128, 40
-    try:
-        got = defaultdict(list)
-        asked = odd.filter("doc_id in (8, 12, 14, 203, 2)")
-        for r in search.search(odd, asked, 5).collect():
-            got[r["query_id"]].append((r["rank"], r["doc_id"], round(r["score"], 6)))
-    finally:
-        search.SHARD, search.QUERY_TERMS = search_shard, search_terms
-    for q, w in docs:
-        if q not in (8, 12, 14, 203, 2):
-            continue
+    out = {}
+    for q, text in {r[:2] for r in rows if r[0] in asked and r[1] is not None}:
         scores = []
         for d, tf, length in counts:
-            s = sum(log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * tf[x] * 2.2 / (tf[x] + 1.2 * (0.25 + 0.75 * length / mean)) for x in set(w) if x in tf)
+            s = sum(log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * tf[x] * 2.2 / (tf[x] + 1.2 * (0.25 + 0.75 * length / mean)) for x in set(words(text)) if x in tf)
             if s > 0:
-                scores.append((-round(s, 6), d is not None, d or 0))
-        want = [(i + 1, d if named else None, -s) for i, (s, named, d) in enumerate(sorted(scores)[:5])]
-        assert [x[:1] + (pytest.approx(x[2], abs=2e-6),) for x in sorted(got[q])] == [(i, s) for i, _, s in want]
-        last = min(s for *_, s in want) if want else 0
-        clear = [x[1] for x in got[q] if x[2] > last + 1e-5]
-        assert Counter(clear) == Counter(d for _, d, s in want if s > last + 1e-5)
+                scores.append((-round(s, 9), d is not None, d or 0))
+        if scores:
+            out[q, hashlib.md5(text.encode()).hexdigest()] = [(i + 1, d if named else None, round(-s, 6)) for i, (s, named, d) in enumerate(sorted(scores)[:k])]
+    return out
+
+
+@pytest.mark.parametrize("shard", [64, 128, search.SHARD])
+def test_search(spark, odd, none, rows, monkeypatch, shard):
+    """Against scoring every document, in shards and blocks of few, with rare and common terms;
+    copies of a text in many shards stand in the order of their ids."""
+    monkeypatch.setattr(search, "SHARD", shard)
+    monkeypatch.setattr(search, "BLOCK", min(8, search.BLOCK) if shard < search.SHARD else search.BLOCK)
+    monkeypatch.setattr(search, "COMMON", 3)
+    monkeypatch.setattr(search, "QUERY_TERMS", 40)
+    monkeypatch.setattr(search, "TOGETHER", 2)
+    rng = random.Random(1)
+    more = [(1000 + i, rows[9 + i % 3][1] if i % 4 == 0 else " ".join(rng.choice("ab cd ef gh ij kl mn op qr st".split()) for _ in range(30)), "en", "s", 1) for i in range(400)]
+    docs = odd.unionByName(spark.createDataFrame(more, odd.schema)).repartition(5)
+    asked = [7, 8, 12, 14, 203, 2, 1001, 1002, 1003]
+    found = search.search(docs, docs.filter(F.col("doc_id").isin(asked)), 12).collect()
+    got = defaultdict(list)
+    for r in found:
+        got[r["query_id"], r["query_md5"]].append((r["rank"], r["doc_id"], round(r["score"], 6)))
+    assert {q: sorted(x) for q, x in got.items()} == brute_search([*rows, *more], asked, 12)
     assert search.search(none, none).count() == 0
 
 
+def test_long_document_in_a_shard():
+    """Half a million terms in one document are no rows of a matrix."""
+    words = [np.arange(500_000, dtype=np.uint64), np.arange(5, dtype=np.uint64)]
+    pair = np.concatenate([np.arange(500_000) * search.SHARD, np.arange(5) * search.SHARD + 1])
+    pair.sort()
+    offsets = np.searchsorted(pair, np.arange(500_001) * search.SHARD).astype(np.int32)
+    lengths = np.array([500_000, 5], np.int32)
+    row = {
+        "ids": np.array([1, 2]).tobytes(), "named": np.ones(2, np.uint8).tobytes(), "lengths": lengths.tobytes(), "terms": words[0].tobytes(),
+        "offsets": offsets.tobytes(), "places": (pair % search.SHARD).astype(np.uint16).tobytes(), "counts": np.ones(len(pair), np.int32).tobytes(),
+    }
+    shard = search.Shard(row, 10.0)
+    assert shard.rows.nbytes == 0 and len(shard.search([(np.arange(5), np.ones(5))], np.zeros(1), 10)[0][0]) == 2
+    assert search.arranged(pair // search.SHARD, pair % search.SHARD, lengths).tolist() == [1, 0]
+
+
 def water(sizes: dict, weights: dict, share: float, most: float) -> dict:
     """Clamp and share out again until nobody is above the cap."""
     wanted, held = share * sum(sizes.values()), {}
