@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where it names none."""
+    """The session's checkpoint folder. Only where Spark runs in this one process is there one of
+    our own without it; on a cluster that is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(f"/tmp/quillspark-{uuid.uuid4().hex}")
+    return held.get() if held.isDefined() else context._jsc.sc().getCheckpointDir().get()
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..operators import corpus as C
-from .registry import Tables, query, whole
+from .registry import Tables, query
 
 
 @query(r"""
@@ -61,13 +61,14 @@ def benchmark_inventory(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS item, l_partkey AS key FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.06),
-n AS (SELECT DISTINCT a.item AS a, b.item AS b FROM e a JOIN e b USING (key)),
-r AS (SELECT item AS root, item FROM e UNION SELECT r.root, n.b FROM r JOIN n ON r.item = n.a)
-SELECT item, min(root) AS root FROM r GROUP BY item""")
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS item, l_partkey AS key FROM lineitem),
+c(item, root) USING KEY (item) AS (
+  SELECT DISTINCT item, item FROM e
+  UNION (SELECT e.item, min(k.root) AS root FROM e JOIN (SELECT e.key, min(c.root) AS root FROM c JOIN e USING (item) GROUP BY e.key) k USING (key) JOIN recurring.c r ON r.item = e.item GROUP BY e.item HAVING min(k.root) < min(r.root)))
+SELECT item, root FROM c""")
 def related_groups(t: Tables) -> DataFrame:
-    """Row 183: orders linked by shared parts, over any number of steps."""
-    e = t.lineitem.filter("l_quantity >= 50 and l_discount >= 0.06").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("key"))
+    """Row 183: orders linked by shared parts, over any number of steps; all lines."""
+    e = t.lineitem.select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("key"))
     return C.related(e)
 
 
@@ -193,21 +194,15 @@ def first_per_group(t: Tables) -> DataFrame:
 
 @query("""
 SELECT item_id AS judged, 'document' AS missing FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = b.item_id)
-UNION ALL SELECT doc_id, 'query' FROM labels l WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = l.doc_id) AND doc_id < 100""")
+UNION ALL SELECT doc_id, 'query' FROM labels l WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = l.doc_id)""")
 def referential_checks(t: Tables) -> DataFrame:
     """Rows 137, 320: ids of one table that the other lacks, both ways."""
-    return _unmatched(t.benchmark, t.labels, t.labels.filter("doc_id < 100"))
+    return _unmatched(t.benchmark, t.labels)
 
 
-@query(whole("referential_checks", " AND doc_id < 100"))
-def referential_checks_whole(t: Tables) -> DataFrame:
-    """Rows 137, 320 over all labels."""
-    return _unmatched(t.benchmark, t.labels, t.labels)
-
-
-def _unmatched(benchmark: DataFrame, labels: DataFrame, checked: DataFrame) -> DataFrame:
+def _unmatched(benchmark: DataFrame, labels: DataFrame) -> DataFrame:
     a = benchmark.join(labels, F.col("item_id") == F.col("doc_id"), "left_anti").select(F.col("item_id").alias("judged"), F.lit("document").alias("missing"))
-    b = checked.join(benchmark, F.col("item_id") == F.col("doc_id"), "left_anti").select(F.col("doc_id").alias("judged"), F.lit("query").alias("missing"))
+    b = labels.join(benchmark, F.col("item_id") == F.col("doc_id"), "left_anti").select(F.col("doc_id").alias("judged"), F.lit("query").alias("missing"))
     return a.unionByName(b)
 
 

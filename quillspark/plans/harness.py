@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..operators import harness as H
-from .registry import Tables, query, whole
+from .registry import Tables, query
 
 
 @query("""
@@ -35,16 +35,10 @@ def company_names(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT user_id % 30 AS identity, event_id AS run_id, ts AS started, CASE WHEN value > 50 THEN 'running' ELSE 'done' END AS status FROM events WHERE event_id < 2000)
+WITH r AS (SELECT user_id % 30 AS identity, event_id AS run_id, ts AS started, CASE WHEN value > 50 THEN 'running' ELSE 'done' END AS status FROM events)
 SELECT identity, arg_max(run_id, struct_pack(s := started, r := run_id)) AS run_id FROM r WHERE status = 'running' GROUP BY identity""")
 def run_resume(t: Tables) -> DataFrame:
     """Rows 319, 384, 392, 397: the newest unfinished run of each identity."""
-    return H.resumable(_runs(t.events.filter("event_id < 2000")), ["identity"])
-
-
-@query(whole("run_resume", " WHERE event_id < 2000"))
-def run_resume_whole(t: Tables) -> DataFrame:
-    """Rows 319, 384, 392, 397 over all events."""
     return H.resumable(_runs(t.events), ["identity"])
 
 
@@ -53,18 +47,11 @@ def _runs(events: DataFrame) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id < 100), g AS (SELECT user_id AS id, count(*) AS n FROM events WHERE user_id BETWEEN 50 AND 120 AND value > 97 GROUP BY 1)
+WITH e AS (SELECT DISTINCT user_id AS id FROM events), g AS (SELECT user_id AS id, count(*) AS n FROM events WHERE value > 97 GROUP BY 1)
 SELECT coalesce(e.id, g.id) AS id, CASE WHEN n IS NULL THEN 'missing' WHEN e.id IS NULL THEN 'extra' ELSE 'repeated' END AS problem FROM e FULL JOIN g ON e.id = g.id WHERE n IS NULL OR e.id IS NULL OR n > 1""")
 def run_completeness(t: Tables) -> DataFrame:
     """Rows 320, 383, 398: ids that a run lacks, repeats or has too many."""
     ids = t.events.select(F.col("user_id").alias("id"), "value")
-    return H.completeness(ids.filter("id < 100").select("id").distinct(), ids.filter("id between 50 and 120 and value > 97"), "id")
-
-
-@query(whole("run_completeness", " WHERE user_id < 100", "user_id BETWEEN 50 AND 120 AND "))
-def run_completeness_whole(t: Tables) -> DataFrame:
-    """Rows 320, 383, 398 over all ids."""
-    ids = t.events.select(F.col("user_id").alias("id"), "value")
     return H.completeness(ids.select("id").distinct(), ids.filter("value > 97"), "id")
 
 
@@ -116,11 +103,11 @@ def header_fill(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT o_custkey AS pair, list(DISTINCT o_orderkey) FILTER (o_orderstatus = 'F') AS withheld, list(DISTINCT o_orderkey) AS pool FROM orders WHERE o_totalprice > 50000 GROUP BY 1)
+WITH p AS (SELECT o_custkey AS pair, list(DISTINCT o_orderkey) FILTER (o_orderstatus = 'F') AS withheld, list(DISTINCT o_orderkey) AS pool FROM orders GROUP BY 1)
 SELECT pair, len(withheld) AS withheld FROM p WHERE len(withheld) > 0 AND len(withheld) = len(pool)""")
 def pooling_leak(t: Tables) -> DataFrame:
     """Row 138: pairs whose withheld ids make up the pool; counts say so without any list."""
-    p = t.orders.filter("o_totalprice > 50000").groupBy(F.col("o_custkey").alias("pair")).agg(F.count_distinct(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("withheld"), F.count_distinct("o_orderkey").alias("pool"))
+    p = t.orders.groupBy(F.col("o_custkey").alias("pair")).agg(F.count_distinct(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("withheld"), F.count_distinct("o_orderkey").alias("pool"))
     return p.filter("withheld > 0 and withheld = pool").select("pair", "withheld")
 
 
@@ -138,16 +125,10 @@ def hops(t: Tables) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT source, doc_id, n_chars, lang FROM documents)
-SELECT doc_id, '{"lang":"' || lang || '","source":"' || source || '"}' AS flat, round(1 - n_chars / 100000.0::DOUBLE, 6) AS score, 'query: ' || source AS asked, lang || ': ' || n_chars AS passage FROM c WHERE doc_id % 2 = 0""")
+SELECT doc_id, '{"lang":"' || lang || '","source":"' || source || '"}' AS flat, round(1 - n_chars / 100000.0::DOUBLE, 6) AS score, 'query: ' || source AS asked, lang || ': ' || n_chars AS passage FROM c""")
 def vector_records(t: Tables) -> DataFrame:
     """Rows 256, 341, 342, 347, 351: records flattened for a store, rebuilt with a score, and
     the templates of both sides of a pair."""
-    return _records(t.documents.filter("doc_id % 2 = 0"))
-
-
-@query(whole("vector_records", " WHERE doc_id % 2 = 0"))
-def vector_records_whole(t: Tables) -> DataFrame:
-    """Rows 256, 341, 342, 347, 351 over all documents."""
     return _records(t.documents)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import stats as S
 from ..functions.text import fold, leak_figures
 from ..operators import judging as J
-from .registry import Tables, query, whole
+from .registry import Tables, query
 
 _FOLD = "replace(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))), 'ß', 'ss')"
 _IN = f"contains({_FOLD.format('d.text')}, {_FOLD.format('b.text')})"
@@ -185,18 +185,12 @@ def paired_difference(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH RECURSIVE k AS (SELECT event_type, count(*) FILTER (value > 60) AS w, count(*) FILTER (value <= 20) AS l FROM events WHERE user_id < 20 GROUP BY 1),
+WITH RECURSIVE k AS (SELECT event_type, count(*) FILTER (value > 60) AS w, count(*) FILTER (value <= 20) AS l FROM events GROUP BY 1),
 s AS (SELECT event_type, w, l, least(w, l) AS k, w + l AS n, 0 AS i, -(w + l) * ln(2.0::DOUBLE) AS term, exp(-(w + l) * ln(2.0::DOUBLE)) AS total FROM k
   UNION ALL SELECT event_type, w, l, k, n, i + 1, term + ln(n - i) - ln(i + 1), total + exp(term + ln(n - i) - ln(i + 1)) FROM s WHERE i < k)
 SELECT event_type, w AS wins, l AS losses, round(CASE WHEN n = 0 THEN 1 ELSE least(1, 2 * total) END, 6) AS p FROM s WHERE i = k""")
 def sign_test(t: Tables) -> DataFrame:
     """Row 171: the exact two-sided sign test."""
-    return _signs(t.events.filter("user_id < 20"))
-
-
-@query(whole("sign_test", " WHERE user_id < 20"))
-def sign_test_whole(t: Tables) -> DataFrame:
-    """Row 171 over all events."""
     return _signs(t.events)
 
 

@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.readers import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 class Tables:
-    """The driver's tables as attributes."""
+    """The driver's tables as attributes; those with texts are dealt to all cores."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in ("documents", "pages", "conversations") else table
 
 
 def query(sql: str | None = None) -> Callable:
@@ -28,13 +31,3 @@ def query(sql: str | None = None) -> Callable:
         return build
 
     return register
-
-
-def whole(name: str, *conditions: str) -> str:
-    """The SQL of a query without these conditions, each of which it has once."""
-    sql = ORACLE_SQL[name]
-    for c in conditions:
-        if sql.count(c) != 1:
-            raise ValueError(f"{name}: not once in its SQL: {c}")
-        sql = sql.replace(c, "")
-    return sql

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import date_number, fold
 from ..operators import retrieval as R
-from .registry import Tables, query, whole
+from .registry import Tables, query
 
 
 def _benchmark_queries(t: Tables) -> DataFrame:
@@ -62,12 +62,12 @@ def sparse_filtered(t: Tables) -> DataFrame:
 @query(r"""
 WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?') AS w FROM documents),
 p AS (SELECT DISTINCT id, unnest(w) AS token FROM d), n AS (SELECT count(*) AS n FROM d)
-SELECT token, count(*) AS df, round(ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE), 6) AS raw_idf FROM p, n GROUP BY token HAVING count(*) > 5""")
+SELECT token, count(*) AS df, round(ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE), 6) AS raw_idf FROM p, n GROUP BY token""")
 def sparse_model(t: Tables) -> DataFrame:
     """Row 141: document frequencies and idf."""
     index = R.keyword_index(t.documents, "doc_id", "text")
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    return index.model.join(F.broadcast(index.totals)).filter("df > 5").select("token", "df", F.round(raw, 6).alias("raw_idf"))
+    return index.model.join(F.broadcast(index.totals)).select("token", "df", F.round(raw, 6).alias("raw_idf"))
 
 
 _DENSE = r"""
@@ -134,19 +134,13 @@ def collapse_documents(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH b AS (SELECT item_id AS query_id FROM benchmark WHERE item_id < 30),
+WITH b AS (SELECT item_id AS query_id FROM benchmark),
 kw AS (SELECT query_id, (query_id * 3 + j) % 11 AS id, 10.0::DOUBLE - j // CASE WHEN query_id % 4 = 0 THEN 2 ELSE 1 END AS score, j + 1 AS rank FROM b, range(5) r(j)),
 dn AS (SELECT query_id, (query_id * CASE WHEN query_id % 3 = 0 THEN 3 ELSE 2 END + j) % 11 AS id, 1.0::DOUBLE / (j + 1) AS score, j + 1 AS rank FROM b, range(5) r(j)),
 a AS (SELECT k.query_id FROM kw k JOIN dn d ON k.query_id = d.query_id AND k.rank = 1 AND d.rank = 1 JOIN kw s ON s.query_id = k.query_id AND s.rank = 2 WHERE k.id = d.id AND k.score > s.score AND k.score > 0),
 l AS (SELECT query_id, 0 AS list, rank, id FROM kw SEMI JOIN a USING (query_id) UNION ALL SELECT query_id, 1, rank, id FROM dn SEMI JOIN a USING (query_id)), """ + _FUSE + " SELECT * FROM z WHERE rank <= 3")
 def document_router(t: Tables) -> DataFrame:
     """Row 255: routes only if both rankings agree on the first and the keyword one is ahead."""
-    return _routed(t.benchmark.filter("item_id < 30"))
-
-
-@query(whole("document_router", " WHERE item_id < 30"))
-def document_router_whole(t: Tables) -> DataFrame:
-    """Row 255 over all items."""
     return _routed(t.benchmark)
 
 
@@ -170,23 +164,17 @@ def metadata_filter(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH s AS (SELECT o_custkey % 50 AS sample, split_part(o_orderpriority, '-', 1) AS ticker, strftime(o_orderdate, '%Y%m%d')::INT AS period_end FROM orders WHERE o_orderkey % 40 = 0),
+WITH s AS (SELECT o_custkey % 50 AS sample, split_part(o_orderpriority, '-', 1) AS ticker, strftime(o_orderdate, '%Y%m%d')::INT AS period_end FROM orders),
 f AS (SELECT sample, list_sort(list(DISTINCT ticker)) AS tickers, min(period_end) AS low, max(period_end) AS high FROM s GROUP BY sample)
 SELECT sample, count(*) AS eligible FROM f JOIN (SELECT split_part(o_orderpriority, '-', 1) AS ticker, strftime(o_orderdate, '%Y%m%d')::INT AS period_end FROM orders) o ON list_contains(f.tickers, o.ticker) AND o.period_end BETWEEN f.low AND f.high GROUP BY sample""")
 def label_filter(t: Tables) -> DataFrame:
-    """Row 111: filters derived from the expected documents, as an equi-join with a range."""
-    return _eligible(t.orders, "o_orderkey % 40 = 0")
-
-
-@query(whole("label_filter", " WHERE o_orderkey % 40 = 0"))
-def label_filter_whole(t: Tables) -> DataFrame:
-    """Row 111 with every order as an expected document."""
-    return _eligible(t.orders, "true")
+    """Row 111: filters derived from the expected documents, all orders, as an equi-join with a range."""
+    return _eligible(t.orders)
 
 
-def _eligible(orders: DataFrame, expected: str) -> DataFrame:
+def _eligible(orders: DataFrame) -> DataFrame:
     o = orders.select("o_orderkey", "o_custkey", F.substring_index("o_orderpriority", "-", 1).alias("ticker"), date_number(F.col("o_orderdate")).alias("period_end"))
-    s = o.filter(expected).withColumn("sample", F.col("o_custkey") % 50)
+    s = o.withColumn("sample", F.col("o_custkey") % 50)
     f = s.groupBy("sample").agg(F.collect_set("ticker").alias("tickers"), F.min("period_end").alias("low"), F.max("period_end").alias("high"))
     f = f.withColumn("ticker", F.explode("tickers"))
     # Eligible rows by (ticker, day) first: the range join then meets days, not rows.

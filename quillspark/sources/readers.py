@@ -107,6 +107,13 @@ def corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter("error is null").drop("error"), rows.filter("error is not null").select("source", "error")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table with fewer splits than there are cores (one small file, one row group),
+    dealt to all of them; a table of more splits as it is. Reading is cheap, parsing texts isn't."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def guarded(df: DataFrame, column: str, broken, message: str) -> DataFrame:
     """df with an error for rows where `broken` holds."""
     kind = df.schema[column].dataType

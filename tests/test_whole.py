@@ -1,4 +1,4 @@
-"""Queries over whole tables, against brute force on rows beyond the ids that narrower queries read."""
+"""Queries over whole tables, against brute force."""
 
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ def test_sign_test(run):
     for kind in "abc":
         w, l = (sum(e[3] == kind and ok(e[4]) for e in EVENTS) for ok in (lambda v: v > 60, lambda v: v <= 20))
         want.append((kind, w, l, round(min(1, 2 * sum(comb(w + l, i) for i in range(min(w, l) + 1)) / 2 ** (w + l)), 6)))
-    assert run("sign_test_whole", "event_type", "wins", "losses", "p") == [(k, w, l, pytest.approx(p, abs=2e-6)) for k, w, l, p in want]
+    assert run("sign_test", "event_type", "wins", "losses", "p") == [(k, w, l, pytest.approx(p, abs=2e-6)) for k, w, l, p in want]
 
 
 def test_run_resume(run):
@@ -48,24 +48,24 @@ def test_run_resume(run):
         if value > 50:
             best[user % 30] = max(best.get(user % 30, (ts, id)), (ts, id))
     assert max(id for _, id in best.values()) >= 2000
-    assert run("run_resume_whole", "identity", "run_id") == sorted((k, id) for k, (_, id) in best.items())
+    assert run("run_resume", "identity", "run_id") == sorted((k, id) for k, (_, id) in best.items())
 
 
 def test_run_completeness(run):
     n = Counter(e[2] for e in EVENTS if e[4] > 97)
     want = sorted((u, "missing" if u not in n else "repeated") for u in {e[2] for e in EVENTS} if n[u] != 1)
-    assert max(want)[0] >= 120 and run("run_completeness_whole", "id", "problem") == want
+    assert max(want)[0] >= 120 and run("run_completeness", "id", "problem") == want
 
 
 def test_vector_records(run):
     want = [(d, f'{{"lang":"{g}","source":"{s}"}}', round(1 - n / 100000, 6), f"query: {s}", f"{g}: {n}") for d, _, g, s, n in DOCUMENTS]
-    assert run("vector_records_whole", "doc_id", "flat", "score", "asked", "passage") == want
+    assert run("vector_records", "doc_id", "flat", "score", "asked", "passage") == want
 
 
 def test_referential_checks(run):
     items, judged = {b[0] for b in BENCHMARK}, {r[0] for r in LABELS}
     want = sorted([(i, "document") for i in items - judged] + [(d, "query") for d in judged - items])
-    assert (109, "query") in want and run("referential_checks_whole", "judged", "missing") == want
+    assert (109, "query") in want and run("referential_checks", "judged", "missing") == want
 
 
 def test_label_filter(run):
@@ -75,7 +75,7 @@ def test_label_filter(run):
     for s, ticker, d in rows:
         groups[s].append((ticker, d))
     want = {s: sum(t in {x for x, _ in g} and min(d for _, d in g) <= at <= max(d for _, d in g) for _, t, at in rows) for s, g in groups.items()}
-    assert run("label_filter_whole", "sample", "eligible") == sorted(want.items())
+    assert run("label_filter", "sample", "eligible") == sorted(want.items())
 
 
 def test_document_router(run):
@@ -85,6 +85,6 @@ def test_document_router(run):
         dense = [(q * (3 if q % 3 == 0 else 2) + j) % 11 for j in range(5)]
         if keyword[0][0] == dense[0] and keyword[0][1] > keyword[1][1]:
             want.append(q)
-    got = run("document_router_whole", "query_id", "rank", "id")
+    got = run("document_router", "query_id", "rank", "id")
     assert max(want) >= 40 and sorted({q for q, *_ in got}) == want and len(got) == 3 * len(want)
     assert all(id == q * 3 % 11 for q, rank, id in got if rank == 1)
