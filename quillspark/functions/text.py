@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +82,26 @@ def best(score, prediction: Column, golds: Column) -> Column:
     return F.array_max(F.transform(golds, lambda g: score(prediction, g)))
 
 
+def golds(answer: Column, aliases: Column) -> Column:
+    """The answer and its aliases; raises without an answer."""
+    missing = F.raise_error(F.lit("a sample has no answer")).cast("string")
+    return F.concat(F.array(F.when(F.coalesce(answer, F.lit("")) == "", missing).otherwise(answer)), F.coalesce(aliases, F.array().cast("array<string>")))
+
+
+def template_fields(template: str) -> list[str]:
+    """The named fields of a format template, in order; positional and nested ones raise."""
+    fields = [name for _, name, _, _ in Formatter().parse(template) if name is not None]
+    if wrong := [f for f in fields if not f.isidentifier()]:
+        raise ValueError(f"a template may only name plain fields, not {wrong}")
+    return list(dict.fromkeys(fields))
+
+
+def check_record_template(template: str, carried: list[str]) -> None:
+    """Raises where a record template names a field that records don't carry."""
+    if unknown := sorted(set(template_fields(template)) - set(carried)):
+        raise ValueError(f"the template names {unknown}; records carry {sorted(carried)}")
+
+
 def contains_answer(response: Column, golds: Column) -> Column:
     padded = F.concat(F.lit(" "), normalize_answer(response), F.lit(" "))
     return F.exists(golds, lambda g: (normalize_answer(g) != "") & F.contains(padded, F.concat(F.lit(" "), normalize_answer(g), F.lit(" "))))

@@ -37,6 +37,17 @@ def fingerprint(tree: Mapping, without: Iterable[str] = ()) -> str:
     return hashlib.sha256(json.dumps(leaves, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:16]
 
 
+def legacy_digest(value: object) -> str:
+    """16 digits over a value's JSON with the separators and escapes that old records used."""
+    return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def judge_identity(judge: Mapping, stage: str, rubric: object, parser: str, references: Iterable[Mapping]) -> dict:
+    """What a verdict depends on besides the answer, and its fingerprint."""
+    whole = {"judge": dict(judge), "stage": stage, "rubric": rubric, "parser": parser, "references": legacy_digest(sorted(references, key=lambda r: str(r["id"])))}
+    return {**whole, "hash": legacy_digest(whole)}
+
+
 def table(spark: SparkSession, tree: Mapping) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in flattened(tree).items()], "key string, value string")
 

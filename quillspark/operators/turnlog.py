@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window as W
 
 
@@ -25,12 +26,46 @@ def innermost(nodes: DataFrame, spans: DataFrame, by: str, width: float) -> Data
     return met.filter(inside).groupBy(by, "node").agg(F.min_by("parent", F.struct(F.col("e") - F.col("s"), "parent")).alias("parent"))
 
 
-def daily_quota(requests: DataFrame, key: str, ts: str, id: str, limit: int) -> DataFrame:
-    """Requests with `allowed`: the first `limit` of each key and day."""
-    nth = F.row_number().over(W.partitionBy(key, F.to_date(ts)).orderBy(ts, id))
+def daily_quota(requests: DataFrame, key: str, ts: str, id: str, limit: int, zone: str = "America/Los_Angeles") -> DataFrame:
+    """Requests with `allowed`: the first `limit` of each key and day; days start at midnight in
+    the zone, times are UTC."""
+    day = F.to_date(F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone))
+    nth = F.row_number().over(W.partitionBy(key, day).orderBy(ts, id))
     return requests.withColumn("allowed", nth <= limit)
 
 
+# Stages by what their events time.
+RETRIEVAL = ("route", "expand", "embed", "vector_search", "sparse_search", "web_search", "fusion", "rerank", "select")
+TOOLS = ("search", "search_refused", "list_documents", "read_document", "calculate")
+MODEL = ("agent_step", "agent_answer")
+
+
+def laid_out(events: list | None, chats: list | None) -> list[float]:
+    """When each event (stage, elapsed) of a turn ended, in ms, for turns that didn't keep it.
+    Retrieval stages wait for the next other event: a tool's event starts with the first of them,
+    a model's event ends with its call (started, elapsed), and the rest follow end to end."""
+    ends, clock, calls = [], 0.0, iter(chats or [])
+    waiting = 0  # retrieval events at the end of `ends`, laid from the clock on
+    for event in events or []:
+        elapsed = event["elapsed"] or 0.0
+        laid = ends[-1] if waiting else clock
+        if event["stage"] in RETRIEVAL:
+            ends.append(laid + elapsed)
+            waiting += 1
+            continue
+        call = next(calls, None) if event["stage"] in MODEL else None
+        if event["stage"] in TOOLS:
+            clock = max(clock + elapsed, laid)
+        else:
+            clock = laid + elapsed if call is None else max(call["started"] + call["elapsed"], laid + elapsed)
+        ends.append(clock)
+        waiting = 0
+    return ends
+
+
+reconstructed_ends = F.udf(laid_out, ArrayType(DoubleType()), useArrow=True)
+
+
 def minute_load(requests: DataFrame, key: str, ts: str, size: Column) -> DataFrame:
     """Requests with the count and total size of the 60 s before them, themselves included."""
     second = F.unix_micros(F.col(ts).cast("timestamp"))

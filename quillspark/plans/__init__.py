@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "retrieval", "judging", "corpus", "turns", "chunks", "models", "harness")
+MODULES = ("texts", "retrieval", "judging", "corpus", "turns", "chunks", "models", "harness", "composed")
 
 
 def load() -> tuple[dict, dict]:

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .registry import Tables, query
 
-# Function words of the overlap score.
-STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "did", "do", "does", "for", "from", "had", "has", "have", "how", "in", "is", "it", "its", "of", "on", "or", "the", "to", "was", "were", "what", "which", "who", "with"]
+# Words without a topic, and those that name a period.
+STOPWORDS = (
+    "a an the of in on at for to from by with and or as is was were be been are what which who whom how much many did does do its it their this that these those during over per than "
+    "s company inc corp co fiscal year years quarter quarters month months ended ending three six nine twelve period periods "
+    "january february march april may june july august september october november december"
+).split()
 
 _SQL_CLEAN = r"""
   SELECT doc_id, text, regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F-\x{9f}]', '', 'g') AS bare FROM documents

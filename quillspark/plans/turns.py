@@ -36,7 +36,7 @@ def groundedness(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS nth FROM events)
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, (ts - INTERVAL 8 HOUR)::DATE ORDER BY ts, event_id) AS nth FROM events)
 SELECT user_id, count(*) FILTER (nth <= 2) AS allowed, count(*) FILTER (nth > 2) AS refused FROM r GROUP BY user_id""")
 def quota(t: Tables) -> DataFrame:
     """Row 410: a daily request quota."""

@@ -25,8 +25,15 @@ _FRONT = re.compile(r"\A---\n(.*?\n)---\n?", re.S)
 
 
 def typed(value: str) -> str:
-    """A front matter value as text; dates become YYYYMMDD numbers, quotes go."""
+    """A front matter value as text: dates become YYYYMMDD numbers, quotes go, lists are JSON,
+    truth values and nulls are spelled one way."""
     value = value.strip()
+    if value[:1] == "[" and value[-1:] == "]":
+        return json.dumps([typed(x) for x in re.findall(r"""\s*("[^"]*"|'[^']*'|[^,]+)""", value[1:-1])])
+    if value.lower() in ("true", "yes", "on", "false", "no", "off"):
+        return "true" if value.lower() in ("true", "yes", "on") else "false"
+    if value in ("~", "null", "Null", "NULL"):
+        return ""
     if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"":
         return value[1:-1]
     if re.fullmatch(r"\d{4}-\d{2}-\d{2}", value):
@@ -41,14 +48,17 @@ def split_front_matter(text: str) -> tuple[dict[str, str], str]:
     found = _FRONT.match(text)
     if not found:
         raise ValueError("front matter is not closed")
-    fields = {}
+    fields, items, last = {}, {}, None
     for line in found[1].splitlines():
-        if line.strip() and not line.lstrip().startswith("#"):
+        if (item := re.match(r"\s*-\s+(.*)", line)) and last is not None and not fields[last]:
+            items.setdefault(last, []).append(typed(item[1]))
+        elif line.strip() and not line.lstrip().startswith("#"):
             key, colon, value = line.partition(":")
             if not colon or not key.strip() or line[0] in " -[":
                 raise ValueError(f"front matter is no mapping: {line!r}")
-            fields[key.strip()] = typed(value)
-    return fields, text[found.end() :]
+            last = key.strip()
+            fields[last] = typed(value)
+    return {**fields, **{k: json.dumps(v) for k, v in items.items()}}, text[found.end() :]
 
 
 def _read_file(path: str, kind: str, content: bytes) -> Iterator[tuple]:
@@ -62,9 +72,10 @@ def _read_file(path: str, kind: str, content: bytes) -> Iterator[tuple]:
             from pypdf import PdfReader
         except ImportError as e:
             raise ValueError("no PDF reader is installed") from e
-        pages = PdfReader(io.BytesIO(content)).pages
+        reader = PdfReader(io.BytesIO(content))
+        pages, title = reader.pages, (reader.metadata.title if reader.metadata else None) or stem
         for n, page in enumerate(pages, 1):
-            yield f"#page={n}", page.extract_text() or "", {"title": stem, "page": str(n), "page_count": str(len(pages))}
+            yield f"#page={n}", page.extract_text() or "", {"title": title, "page": str(n), "page_count": str(len(pages))}
         return
     text = content.decode("utf-8", errors="replace")
     if kind == "markdown":
@@ -107,6 +118,50 @@ def corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter("error is null").drop("error"), rows.filter("error is not null").select("source", "error")
 
 
+def fingerprint(spark: SparkSession, *folders: str) -> str:
+    """16 digits over path, size and time of change of every file; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f.rstrip("/") for f in folders])
+    row = F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+    number = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return files.select(number.alias("n")).agg(F.substring(F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum("n").cast("string")), 256), 1, 16)).first()[0]
+
+
+def cached_corpus(spark: SparkSession, folder: str, cache: str) -> DataFrame:
+    """The documents of a folder, parsed once: kept under the files' fingerprint, read again when
+    any file is new, gone or changed."""
+    path = f"{cache.rstrip('/')}/{fingerprint(spark, folder)}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        corpus(spark, folder)[0].write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def musique_samples(rows: DataFrame) -> DataFrame:
+    """Multi-hop questions (id, question, answer, answer_aliases, paragraphs, question_decomposition)
+    as samples with a part for each step; raises where steps, hops and supporting paragraphs
+    disagree. A paragraph's id is the hash of its passage."""
+    steps, paragraphs = F.col("question_decomposition"), F.col("paragraphs")
+    passage = lambda p: passage_text(F.coalesce(p["title"], F.lit("")), p["paragraph_text"])
+    name = lambda p: F.substring(F.sha2(passage(p), 256), 1, 16)
+    held = F.transform(F.filter(paragraphs, lambda p: p["is_supporting"]), lambda p: F.struct(p["idx"].alias("idx"), passage(p).alias("text"), name(p).alias("source_id")))
+    rows = rows.withColumn("_held", held).withColumn("hops", F.substring("id", 1, 1).cast("int"))
+    own = lambda s: F.get(F.filter("_held", lambda p: p["idx"] == s["paragraph_support_idx"]), F.lit(0))
+    parts = F.transform(steps, lambda s: F.struct(s["question"].alias("label"), s["answer"].alias("answer"), own(s)["text"].alias("span"), own(s)["source_id"].alias("source_id")))
+    rows = rows.withColumn("parts", parts)
+    ids = F.array_sort(F.array_distinct(F.transform("parts", lambda p: p["source_id"])))
+    wrong = (
+        F.when(F.size(steps) != F.col("hops"), "the steps are not the hops")
+        .when(F.exists("parts", lambda p: p["source_id"].isNull()), "a step has no supporting paragraph")
+        .when(ids != F.array_sort(F.array_distinct(F.transform("_held", lambda p: p["source_id"]))), "steps and supporting paragraphs disagree")
+    )
+    id = F.when(wrong.isNotNull(), F.raise_error(F.concat_ws(": ", "id", wrong)).cast("string")).otherwise(F.col("id"))
+    spans = F.array_distinct(F.transform("parts", lambda p: p["span"]))
+    return rows.select(
+        id.alias("id"), F.col("question").alias("query"), F.col("answer").alias("expected_answer"), "answer_aliases", "hops",
+        F.concat(F.col("hops").cast("string"), F.lit("hop")).alias("kind"), F.substring_index("id", "__", 1).alias("hop_type"), ids.alias("documents"), spans.alias("spans"), "parts",
+    )
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a table with fewer splits than there are cores (one small file, one row group),
     dealt to all of them; a table of more splits as it is. Reading is cheap, parsing texts isn't."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,23 @@ def write_run(hits: DataFrame, path: str, tag: str) -> None:
     hits.select(F.when(broken, F.raise_error(F.lit("an id has blanks")).cast("string")).otherwise(line).alias("value")).write.text(path)
 
 
+def write_samples(samples: DataFrame, path: str) -> None:
+    """Evaluation samples as one indented JSON array, in order of id; a set is small by nature, and
+    one text is what its readers take."""
+    rows = samples.select(F.struct(*[c for c in samples.columns]).alias("s"))
+    text = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.col("s.id").alias("id"), "s"))), lambda x: x["s"]), {"pretty": "true"})
+    rows.agg(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_qrels_run(rankings: Mapping[str, DataFrame], scores: Mapping[str, DataFrame], folder: str, tag: str, settings: Mapping) -> None:
+    """A run file for each stage, and under `scores` its scores by query with the settings."""
+    for stage, hits in rankings.items():
+        write_run(hits, f"{folder.rstrip('/')}/{stage}.trec", tag)
+    told = F.lit(json.dumps(dict(settings), sort_keys=True, default=str))
+    for stage, rows in scores.items():
+        rows.withColumn("settings", told).write.mode("overwrite").json(f"{folder.rstrip('/')}/scores/stage={stage}")
+
+
 def append_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("ignoreNullFields", "false").json(path)
 
