@@ -36,7 +36,7 @@ from .shared import documents, map_texts, slices, text_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of the per-worker cache, and the longest pre-token that it holds.
-CACHE, CACHED_CHARS = 100_000, 48
+CACHE, CACHED_CHARS = 200_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,25 +53,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     after = list(range(1, n + 1))  # where the part that starts here ends
     before = list(range(-1, n))  # where the part to the left starts
-    pair: list[int | None] = [None] * (n + 1)  # rank of this part with the next one; None: no pair
+    pair = [rank_of(piece[i : i + 2]) for i in range(n - 1)]  # rank of this part with the next one; None: no pair
+    pair += (None, None)
     buckets: dict[int, list[int]] = {}  # rank -> heap of positions
     words: dict[int, int] = {}  # rank >> 8 -> which of its 256 ranks have entries
     top = 0  # which words aren't zero
-    fresh = [(i, rank_of(piece[i : i + 2])) for i in range(n - 1)]
-    while True:
-        for i, rank in fresh:
-            pair[i] = rank
-            if rank is None:
-                continue
+    for i, rank in enumerate(pair):
+        if rank is not None:
             if rank in buckets:
-                heappush(buckets[rank], i)
+                buckets[rank].append(i)  # positions come in order, and an ordered list is a heap
             else:
                 buckets[rank] = [i]
                 word = rank >> 8
                 words[word] = words.get(word, 0) | 1 << (rank & 255)
                 top |= 1 << word
-        if not top:
-            break
+    while top:
         word = (top & -top).bit_length() - 1
         bits = words[word]
         low = bits & -bits
@@ -84,16 +80,22 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             if not bits:
                 top ^= 1 << word
         if pair[i] != rank:
-            fresh = ()  # a stale entry
-            continue
+            continue  # a stale entry
         gone = after[i]
         end = after[i] = after[gone]
         before[end] = i
         pair[gone] = None
         left = before[i]
-        fresh = [(i, rank_of(piece[i : after[end]]) if end < n else None)]
-        if left >= 0:
-            fresh.append((left, rank_of(piece[left:end])))
+        for at, rank in ((i, rank_of(piece[i : after[end]]) if end < n else None), (left, rank_of(piece[left:end]) if left >= 0 else None)):
+            pair[at] = rank  # at -1 is the spare place at the end
+            if rank is not None:
+                if rank in buckets:
+                    heappush(buckets[rank], at)
+                else:
+                    buckets[rank] = [at]
+                    word = rank >> 8
+                    words[word] = words.get(word, 0) | 1 << (rank & 255)
+                    top |= 1 << word
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
