@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Words of an anchor, and quotes that may be broadcast instead.
-ANCHOR, FEW_QUOTES = 3, 10_000
+#: Words of an anchor, and quotes that are looked for in every text at once.
+ANCHOR, FEW_QUOTES = 3, 256
 
 
 def containment(texts: DataFrame, quotes: DataFrame, text: str = "body", quote: str = "quote") -> DataFrame:
     """Pairs of rows whose (folded) text contains the (folded) quote. A quote's inner words are
     whole words of any text that contains it, so texts and quotes of enough words meet by the
-    hash of one inner run of words, an equi-join that scales with the texts; shorter quotes are
-    few and broadcast, which is checked."""
+    hash of one inner run of words, an equi-join that scales with texts and quotes. Shorter quotes
+    have no such run: every text is searched for them, FEW_QUOTES at a time; so it is for all
+    quotes if there are no more than that."""
     words = lambda c: F.split(c, " ")
     run = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, ANCHOR), " "))
     marked = quotes.withColumn("_w", words(F.col(quote)))
@@ -25,13 +28,18 @@ def containment(texts: DataFrame, quotes: DataFrame, text: str = "body", quote:
     body = texts.withColumn("_w", words(F.col(text)))
     runs = F.when(F.size("_w") >= ANCHOR, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - ANCHOR + 1), lambda i: run(F.col("_w"), i))))
     met = body.withColumn("_runs", runs).drop("_w")
-    if quotes.count() <= FEW_QUOTES:
-        pairs = texts.join(F.broadcast(quotes.filter(F.col(quote) != "")), F.contains(F.col(text), F.col(quote)))
-        return pairs
+    holds = F.contains(F.col(text), F.col(quote))
+
+    def searched(quotes: DataFrame, n: int) -> DataFrame:
+        blocks = max(1, -(-n // FEW_QUOTES))
+        parts = [quotes if blocks == 1 else quotes.filter(F.pmod(F.xxhash64(quote), F.lit(blocks)) == i) for i in range(blocks)]
+        return reduce(DataFrame.unionByName, [texts.join(F.broadcast(p), holds) for p in parts])
+
+    n = quotes.count()
+    if n <= FEW_QUOTES:
+        return searched(quotes.filter(F.col(quote) != ""), n)
     pairs = met.withColumn("_anchor", F.explode("_runs")).drop("_runs").join(anchors, "_anchor").drop("_anchor")
-    if short.count() > FEW_QUOTES:
-        raise ValueError("too many quotes of fewer than five words to look for in every text")
-    return pairs.filter(F.contains(F.col(text), F.col(quote))).unionByName(texts.join(F.broadcast(short), F.contains(F.col(text), F.col(quote))))
+    return pairs.filter(holds).unionByName(searched(short, short.count()))
 
 
 def without(quotes: DataFrame, found: DataFrame, id: str) -> DataFrame:

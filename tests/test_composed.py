@@ -151,3 +151,30 @@ def test_claims():
     assert I.cites_another("A REF-1 [2]. [1]", "REF-1", ["p", "q"], "p") and not I.cites_another("[2] A REF-1. [1]", "REF-1", ["p", "q"], "p")
     assert not I.cites_another("REF-1 [9]", "REF-1", ["p"], "p") and not I.cites_another(None, "x", None, "p") and not I.cites_another("x [1]", "", ["q"], "p")
     assert L.laid_out([{"stage": "rerank", "elapsed": None}], None) == [0.0]
+
+
+def test_dense_blocks(spark, monkeypatch):
+    """Products in blocks against every cosine by itself, with ties, nulls and a vector of zeros."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(f"v{i:03}", [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(200)] + [("zero", [0.0, 0.0, 0.0]), ("none", None)]
+    vectors = spark.createDataFrame(rows, "id string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, [1.0, float(i), -1.0]) for i in range(5)], "query_id long, vector array<double>")
+    cos = lambda a, b: (n := (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5) and sum(x * y for x, y in zip(a, b, strict=True)) / n
+    want = {(q, rank): id for q in range(5) for rank, (_, id) in enumerate(sorted((-round(cos([1.0, float(q), -1.0], v), 9), id) for id, v in rows if v)[:7], 1)}
+    monkeypatch.setattr(R, "QUERY_BLOCK", 2)
+    got = {(r["query_id"], r["rank"]): r["id"] for r in R.dense_top_k(asked, vectors, 7).collect()}
+    assert got == want
+    assert R.dense_top_k(asked.limit(0), vectors, 3).count() == 0 and R.dense_top_k(asked, vectors.limit(0), 3).count() == 0
+
+
+def test_many_short_quotes(spark, monkeypatch):
+    from quillspark.operators import judging as J
+
+    monkeypatch.setattr(J, "FEW_QUOTES", 3)
+    texts = spark.createDataFrame([(i, f"word{i} and some longer run of words number {i}") for i in range(12)], "doc_id long, body string")
+    quotes = [(i, f"ord{i} an") for i in range(10)] + [(100 + i, f"some longer run of words number {i}") for i in range(10)] + [(200, "")]
+    found = J.containment(texts, spark.createDataFrame(quotes, "item_id long, quote string"))
+    want = {(d, i) for d in range(12) for i, q in quotes if q and q in f"word{d} and some longer run of words number {d}"}
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
