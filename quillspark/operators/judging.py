@@ -25,9 +25,9 @@ def containment(texts: DataFrame, quotes: DataFrame, text: str = "body", quote:
     short = quotes.filter((F.size(words(F.col(quote))) < ANCHOR + 2) & (F.col(quote) != ""))
     middle = F.greatest(F.lit(2), F.floor(F.size("_w") / 2).cast("int"))
     anchors = long.withColumn("_anchor", run(F.col("_w"), F.least(middle, F.size("_w") - ANCHOR))).drop("_w")
-    body = texts.withColumn("_w", words(F.col(text)))
-    runs = F.when(F.size("_w") >= ANCHOR, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - ANCHOR + 1), lambda i: run(F.col("_w"), i))))
-    met = body.withColumn("_runs", runs).drop("_w")
+    # The words are bound once: as a column they would be split again for every run.
+    every = lambda w: F.when(F.size(w) >= ANCHOR, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - ANCHOR + 1), lambda i: run(w, i))))
+    runs = F.transform(F.array(words(F.col(text))), every)[0]
     holds = F.contains(F.col(text), F.col(quote))
 
     def searched(quotes: DataFrame, n: int) -> DataFrame:
@@ -38,7 +38,10 @@ def containment(texts: DataFrame, quotes: DataFrame, text: str = "body", quote:
     n = quotes.count()
     if n <= FEW_QUOTES:
         return searched(quotes.filter(F.col(quote) != ""), n)
-    pairs = met.withColumn("_anchor", F.explode("_runs")).drop("_runs").join(anchors, "_anchor").drop("_anchor")
+    # Hashes meet first, without the texts: a text has as many rows here as it has words.
+    own = F.xxhash64(text).alias("_h")
+    met = texts.select(own, F.explode(runs).alias("_anchor")).join(anchors.select("_anchor").distinct(), "_anchor", "left_semi").distinct()
+    pairs = texts.select("*", own).join(met.join(anchors, "_anchor").drop("_anchor"), "_h").drop("_h")
     return pairs.filter(holds).unionByName(searched(short, short.count()))
 
 
