@@ -50,6 +50,22 @@ def without(quotes: DataFrame, found: DataFrame, id: str) -> DataFrame:
     return quotes.join(found.select(id).distinct(), id, "left_anti")
 
 
+def sharing(figures: DataFrame, id: str, figure: str) -> DataFrame:
+    """id, others: for each id of distinct (id, figure) rows, how many other ids have one of its
+    figures; ids that share none have no row. Ids with the same shared figures are one class with
+    its size. A class of one figure needs the figure's count only, and the others meet by class, so
+    that a figure which very many ids have makes rows by its distinct sets and not by its ids."""
+    held = figures.groupBy(figure).agg(F.count("*").alias("n")).filter("n > 1")
+    sets = figures.join(held.select(figure), figure).groupBy(id).agg(F.array_sort(F.collect_list(figure)).alias("_set"))
+    classes = sets.groupBy("_set").agg(F.count("*").alias("_size")).withColumn("_class", F.xxhash64("_set"))
+    parts = classes.select("_class", "_size", F.size("_set").alias("_many"), F.explode("_set").alias(figure))
+    single = parts.filter("_many = 1").join(held, figure).select("_class", (F.col("n") - 1).alias("others"))
+    near = parts.filter("_many > 1").select("_class", figure).join(parts.select(F.col("_class").alias("_other"), "_size", figure), figure)
+    several = near.select("_class", "_other", "_size").distinct().groupBy("_class").agg((F.sum("_size") - 1).alias("others"))
+    counts = single.unionByName(several)
+    return sets.select(id, F.xxhash64("_set").alias("_class")).join(counts, "_class").select(id, "others")
+
+
 # --- metrics over arrays of gains in rank order
 
 def hit_rate(gains: Column) -> Column:

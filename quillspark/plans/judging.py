@@ -282,7 +282,6 @@ def reject_reasons(t: Tables) -> DataFrame:
 WITH f AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '\d{4,}')) AS figure FROM documents), u AS (SELECT DISTINCT * FROM f)
 SELECT a.doc_id, count(DISTINCT b.doc_id) AS others FROM u a JOIN u b ON a.figure = b.figure AND a.doc_id <> b.doc_id GROUP BY a.doc_id""")
 def restated_figures(t: Tables) -> DataFrame:
-    """Rows 125, 126: other documents with the same figure, by an equi-join on it."""
+    """Rows 125, 126: other documents with the same figure, by sets of shared figures."""
     u = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d{4,}"), F.lit(0)))).alias("figure"))
-    b = u.select(F.col("doc_id").alias("other"), "figure")
-    return u.join(b, "figure").filter("doc_id <> other").groupBy("doc_id").agg(F.count_distinct("other").alias("others"))
+    return J.sharing(u, "doc_id", "figure")

@@ -178,3 +178,16 @@ def test_many_short_quotes(spark, monkeypatch):
     found = J.containment(texts, spark.createDataFrame(quotes, "item_id long, quote string"))
     want = {(d, i) for d in range(12) for i, q in quotes if q and q in f"word{d} and some longer run of words number {d}"}
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
+def test_sharing(spark):
+    import random
+
+    from quillspark.operators import judging as J
+
+    rng = random.Random(4)
+    held = {d: {rng.randrange(12) for _ in range(rng.randint(0, 3))} | ({99} if d % 2 else set()) for d in range(60)}
+    rows = [(d, f) for d, fs in held.items() for f in fs]
+    got = {r["doc_id"]: r["others"] for r in J.sharing(spark.createDataFrame(rows, "doc_id long, figure long"), "doc_id", "figure").collect()}
+    want = {d: sum(bool(fs & held[x]) for x in held if x != d) for d, fs in held.items()}
+    assert got == {d: n for d, n in want.items() if n}
