@@ -6,19 +6,14 @@ sequential and runs in Arrow batches of Python; documents are independent, nothi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, strip
-
-#: How far a boundary may move to a blank, and the shipped sizes.
-SNAP, CHUNK_SIZE, CHUNK_OVERLAP = 50, 1000, 150
-SPLIT_LEVEL, MIN_CHARS = 2, 200
+from .structure import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHARS, SNAP, SPLIT_LEVEL, Rules, structured
 
 _SCHEMA = "document_id string, chunk_index int, char_start int, char_end int, text string, section_path string, block_types string"
 
@@ -99,168 +94,14 @@ def line_spans(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 # --- by structure
 
-_HEADING = re.compile(r"(#{1,6})[ \t]+(?=\S)")
-_RULE = re.compile(r"\s*\|(\s*:?-+:?\s*\|)+\s*$")
-_SENTENCE = re.compile(r"[.!?][\"')\]’”]*\s+")
-
-
-class Piece:
-    """A stretch of text that is placed as a whole."""
-
-    __slots__ = ("kind", "start", "end", "level", "path", "prefix", "alone")
-
-    def __init__(self, kind: str, start: int, end: int, path: tuple = (), level: int = 0, prefix: str = "", alone: bool = False) -> None:
-        self.kind, self.start, self.end, self.path, self.level, self.prefix, self.alone = kind, start, end, path, level, prefix, alone
-
-
-def blocks(text: str) -> list[tuple[str, list[tuple[int, int]], int]]:
-    """(kind, line spans, heading level): headings, tables (blank lines between rows allowed) and
-    paragraphs."""
-    lines, at = [], 0
-    for line in text.split("\n"):
-        bare = line.strip()
-        head = _HEADING.match(line)
-        kind = "blank" if not bare else "heading" if head else "table" if bare.startswith("|") else "paragraph"
-        lines.append((kind, at, at + len(line.rstrip()), len(head[1]) if head else 0))
-        at += len(line) + 1
-    out: list[tuple[str, list[tuple[int, int]], int]] = []
-    gap = False
-    for kind, run in groupby(lines, key=lambda x: x[0]):
-        rows = list(run)
-        if kind == "blank":
-            gap = True
-            continue
-        if kind == "heading":
-            out += [("heading", [(s, e)], level) for _, s, e, level in rows]
-        elif kind == "table" and gap and out and out[-1][0] == "table":
-            out[-1][1].extend((s, e) for _, s, e, _ in rows)
-        else:
-            out.append((kind, [(s, e) for _, s, e, _ in rows], 0))
-        gap = False
-    return out
-
-
-def _header(text: str, rows: list[tuple[int, int]]) -> int:
-    """How many rows are the table's header: through the rule, else one."""
-    for i, (s, e) in enumerate(rows[:-1]):
-        if _RULE.match(text[s:e]):
-            return i + 1
-    return 1 if len(rows) > 1 else 0
-
-
-def _grouped(rows: list[tuple[int, int]], room: int, size: int) -> Iterator[tuple[int, int]]:
-    """Consecutive rows in spans of at most `room`, then `size`; a longer row stands alone."""
-    start = end = None
-    for s, e in rows:
-        if start is not None and e - start > room:
-            yield start, end
-            start, room = None, size
-        start = s if start is None else start
-        end = e
-    if start is not None:
-        yield start, end
-
-
-def _cut_prose(text: str, start: int, end: int, room: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """Spans that end at sentences, else words, else anywhere; each shares `overlap` with the last."""
-    while end - start > room:
-        limit = start + room
-        stops = [m.end() for m in _SENTENCE.finditer(text, start, limit)]
-        stop = stops[-1] if stops else 0
-        if stop - start <= overlap:
-            blank = max(text.rfind(" ", start + overlap + 1, limit), text.rfind("\n", start + overlap + 1, limit))
-            stop = blank + 1 if blank > start else limit
-        bare = start + len(text[start:stop].rstrip())
-        yield start, bare
-        back = max(start + 1, stop - overlap) if overlap else stop
-        blank = text.find(" ", back, min(stop, back + SNAP)) if overlap else -1
-        start = blank + 1 if blank >= 0 else back
-        while start < end and text[start].isspace():
-            start += 1
-        room = size
-    if start < end:
-        yield start, end
-
-
-def pieces(text: str, size: int, overlap: int) -> Iterator[Piece]:
-    """Blocks that fit as they are; longer tables by rows under their repeated header (unless the
-    header fills half a chunk), longer paragraphs by sentences."""
-    stack: list[tuple[int, str]] = []
-    for nth, (kind, rows, level) in enumerate(blocks(text)):
-        start, end = rows[0][0], rows[-1][1]
-        if kind == "heading":
-            stack = [x for x in stack if x[0] < level]
-            if nth or level > 1:  # a first heading of level 1 is the document's title
-                stack.append((level, text[start:end].lstrip("#").strip()))
-        path = tuple(title for _, title in stack)
-        if end - start <= size or kind == "heading":
-            yield Piece(kind, start, end, path, level)
-        elif kind == "table":
-            head = _header(text, rows)
-            prefix = text[start : rows[head - 1][1]] if head else ""
-            if len(prefix) * 2 > size:
-                prefix, head = "", 0
-            first = True
-            room = size - len(prefix) - 1 if prefix else size
-            for s, e in _grouped(rows[head:], room, room):
-                cuts = [(s, e)] if e - s <= room else list(_cut_prose(text, s, e, room, room, 0))
-                for a, b in cuts:
-                    yield Piece(kind, start if first else a, b, path, prefix="" if first else prefix, alone=not first and bool(prefix))
-                    first = False
-        else:
-            for i, (s, e) in enumerate(_cut_prose(text, start, end, size, size, overlap)):
-                yield Piece(kind, s, e, path, alone=i > 0)
-
-
-def structured_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, split_level: int = SPLIT_LEVEL, least: int = MIN_CHARS) -> list[list[Piece]]:
-    """Pieces packed into chunks: up to `size`; a heading at `split_level` or above starts one
-    unless what came before is shorter than `least`; a heading moves on with what it introduces;
-    a last stub joins the chunk before it if both fit."""
-    chunks: list[list[Piece]] = []
-    for p in pieces(text, size, overlap):
-        now = chunks[-1] if chunks else None
-        if now is None:
-            chunks.append([p])
-            continue
-        length = now[-1].end - now[0].start
-        section = p.kind == "heading" and p.level <= split_level and length >= least and any(x.kind != "heading" for x in now)
-        full = p.end - now[0].start + len(now[0].prefix) > size
-        if not (p.alone or section or full):
-            now.append(p)
-            continue
-        carried: list[Piece] = []
-        if not p.alone:
-            while len(now) > 1 and now[-1].kind == "heading":
-                carried.insert(0, now.pop())
-            if all(x.kind == "heading" for x in now):
-                now.extend([*carried, p])
-                continue
-        chunks.append([*carried, p])
-    if len(chunks) > 1:
-        last, before = chunks[-1], chunks[-2]
-        stub = last[-1].end - last[0].start < least or all(x.kind == "heading" for x in last)
-        if stub and not last[0].alone and last[-1].end - before[0].start + len(before[0].prefix) <= size:
-            before.extend(chunks.pop())
-    return chunks
-
-
-def structured_chunks(docs: DataFrame, id: str, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, split_level: int = SPLIT_LEVEL, least: int = MIN_CHARS) -> DataFrame:
-    if overlap >= size or least >= size:
-        raise ValueError("the overlap and the least length must be smaller than the size")
+def structured_chunks(
+    docs: DataFrame, id: str, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, split_level: int = SPLIT_LEVEL,
+    least: int = MIN_CHARS, prose_overlap: bool = False, length: Callable[[str], int] = len,
+) -> DataFrame:
+    """Chunks by headings, tables and sentences; `length` measures a text."""
+    rules = Rules(size, overlap, split_level, least, prose_overlap, length)
 
     def chunks(body: str) -> list[tuple]:
-        out = []
-        for i, parts in enumerate(structured_spans(body, size, overlap, split_level, least)):
-            a, b, prefix = parts[0].start, parts[-1].end, parts[0].prefix
-            paths = [p.path for p in parts if p.kind != "heading"] or [parts[0].path]
-            shared = paths[0]
-            for path in paths[1:]:
-                same = 0
-                while same < min(len(shared), len(path)) and shared[same] == path[same]:
-                    same += 1
-                shared = shared[:same]
-            section = " > ".join(shared or paths[0])
-            out.append((i, a, b, f"{prefix}\n{body[a:b]}" if prefix else body[a:b], section, ",".join(sorted({p.kind for p in parts}))))
-        return out
+        return [(i, c.start, c.end, c.text(body), c.section(), c.kinds()) for i, c in enumerate(structured(body, rules))]
 
     return exploded(docs, id, text, chunks)

@@ -51,7 +51,7 @@ def _markdown(t: Tables) -> DataFrame:
 
 @query()
 def chunk_structured(t: Tables) -> DataFrame:
-    """Rows 230-237, 335-338: chunks by headings, tables and sentences."""
+    """Rows 230-237, 335-338, u-Length function: chunks by headings, tables and sentences."""
     return C.structured_chunks(_markdown(t), "r_regionkey", "text").select("chunk_id", "char_start", "char_end", "section_path", "block_types", F.sha2("text", 256).alias("content_hash"))
 
 
