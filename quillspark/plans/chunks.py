@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as C
 from ..operators import markup as M
+from ..operators import rendering as R
 from .registry import Tables, query
 
 
@@ -63,8 +64,7 @@ def chunk_structured_prose(t: Tables) -> DataFrame:
 
 @query()
 def page_text(t: Tables) -> DataFrame:
-    """Rows 101, 247: pages as text, headings and tables. Offsets, origins, page breaks, styles and
-    rendered spans of the source (rows 242, 250, 426-431) are not built."""
+    """Rows 101, 247: pages as text, headings and tables by their elements."""
     p = M.parsed_pages(t.pages, "page_id", "html")
     return p.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("content_hash"), F.size("headings").alias("headings"), F.array_join(F.transform("headings", lambda h: F.concat(h["level"].cast("string"), F.lit(" "), h["title"])), "\n").alias("outline"), F.size(F.filter("table", lambda x: x != "")).alias("table_rows"), F.size(F.filter("table", lambda x: x.rlike(r"^\|(---\|)+$"))).alias("tables"))
 
@@ -74,3 +74,24 @@ def page_lines(t: Tables) -> DataFrame:
     """Rows 248, 249: heading and furniture tests over page lines."""
     lines = M.parsed_pages(t.pages, "page_id", "html").select("page_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.groupBy("page_id").agg(F.count("*").alias("lines"), F.count_if(M.is_heading(F.col("line"))).alias("headings"), F.count_if(M.is_furniture(F.col("line"))).alias("furniture"))
+
+
+@query()
+def page_plain(t: Tables) -> DataFrame:
+    """Rows 101, 242, 426-428: the plain text that offsets of spans refer to."""
+    return R.plain_pages(t.pages, "page_id", "html").select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("content_hash"))
+
+
+@query()
+def page_markdown(t: Tables) -> DataFrame:
+    """Rows 182, 243-250, 429, 430: pages as Markdown without furniture, headings by prominence."""
+    made = R.rendered(R.page_blocks(t.pages, "page_id", "html"), "page_id")
+    return made.select("page_id", F.sha2("markdown", 256).alias("content_hash"), F.size("headings").alias("headings"), "tables", "dropped")
+
+
+@query()
+def page_spans(t: Tables) -> DataFrame:
+    """Row 431: of each page the second half of its plain text as Markdown."""
+    plain = R.plain_pages(t.pages, "page_id", "html").select("page_id", (F.length("text") / 2).cast("int").alias("start"), F.length("text").alias("end"))
+    made = R.rendered(R.page_blocks(t.pages.join(plain, "page_id"), "page_id", "html", "start", "end"), "page_id")
+    return made.select("page_id", F.sha2("markdown", 256).alias("content_hash"), "tables")
