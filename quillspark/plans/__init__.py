@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "retrieval", "judging", "corpus", "turns", "chunks", "models", "harness", "composed")
+MODULES = ("texts", "retrieval", "judging", "corpus", "turns", "chunks", "models", "harness", "composed", "drafting")
 
 
 def load() -> tuple[dict, dict]:
