@@ -270,7 +270,7 @@ def latency(t: Tables) -> DataFrame:
 SELECT doc_id, CASE WHEN text IS NULL THEN 'missing' WHEN n_chars < 200 THEN 'short' WHEN regexp_matches(text, '[*&%$#]{3}') THEN 'noise' WHEN lang <> 'en' THEN 'language' END AS reason FROM documents
 WHERE text IS NULL OR n_chars < 200 OR regexp_matches(text, '[*&%$#]{3}') OR lang <> 'en'""")
 def reject_reasons(t: Tables) -> DataFrame:
-    """Rows 112-116, 423: ordered reasons, the first one counts."""
+    """Row 423: ordered reasons, the first one counts."""
     from ..operators.evaluation import first_reason
 
     text = F.col("text")
