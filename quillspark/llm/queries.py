@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, distinct, jaccard, language, linededup, media, mixing, quality, search, secrets, sharding
+from . import bpe, distinct, importance, jaccard, language, linededup, media, mixing, quality, rules, search, secrets, sharding
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_quality": quality.op10_quality,
+    "op11_rules": rules.op11_rules,
+    "op12_importance": importance.op12_importance,
     "op13_distinct": distinct.op13_distinct,
 }
 
-ORACLE_SQL = {"op6_search": search.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op6_search": search.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op11_rules": rules.ORACLE_SQL, "op12_importance": importance.ORACLE_SQL}
