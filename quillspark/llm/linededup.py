@@ -1,16 +1,24 @@
 """Line dedup by pairwise alignment.
 
-A line that two distinct texts hold names pairs: each later holder with the first one, so that it
-makes as many pairs as it has holders, however common it is, and never all pairs among them. A
-pair is aligned by patience diff over the lines that the earlier document is the first to hold:
-unique common lines in longest increasing order are anchors, then come the gaps between them.
-Runs of aligned lines are the common blocks of the pair, and blocks of `min_words` words or more
-are deleted from the later document. Order counts: a line that both hold but that stands in
-another order than its neighbours, or once more than in the earlier document, is not aligned and
-stays. Every shared line of a document belongs to one pair, so the work is linear in the shared
-lines; no line, pair or document is left out.
-
-Lines that are blank neither start nor break a block; those between deleted lines go with them,
+Two distinct texts that share a line are an overlapping pair. A pair is aligned by patience diff
+over the whole line sequences of both: unique common lines in longest increasing order are anchors,
+then come the gaps between them. Runs of aligned lines are the common blocks of the pair, and a
+block of `min_words` words or more is deleted from the later document. A line goes if any earlier
+document gives it such a block: the result is that of aligning every overlapping pair, one by one.
+
+That result is reached without making all pairs. Lines are counted exactly, and only those that two
+texts hold (rare in any corpus) name pairs. First, each shared line of a document names its first
+holder. What of the document's lines isn't deleted by those pairs names further holders, GROWTH times
+as many in each round, until every line that is left has been tried with every earlier holder.
+Holders that align alike are tried once: lines that one text alone holds can't be aligned, so a
+holder is only its sequence of shared lines with the gaps between them (its outline), and of
+holders with equal outlines the first stands for all. A hot line of one licence in a million texts has
+few outlines; on real and planted corpora about one pair for each shared line of a document is
+aligned. The worst case is a line that many different outlines hold and none of them aligns
+(repeated more often than in any of them): it is tried with all of these.
+
+Order counts: a line that both hold but that stands in another order than its neighbours, or once
+more than in the earlier document, is not aligned by that pair. Lines that are blank neither start nor break a block; those between deleted lines go with them,
 and all of them where no other line is left. "Later" is by (doc_id, text hash), null ids first.
 Copies of a whole text are not aligned: the first one stands for all, and the others count as
 aligned from end to end.
@@ -19,7 +27,7 @@ Defined results: null and empty texts are returned as they are; a document whose
 deleted has an empty text; rows equal in doc_id and text are one document and get equal results
 (the first copy rule is about ids); an empty table gives an empty result. All columns of the input
 are kept; `n_lines`, `removed` and `removed_words` replace clashing ones. Lines are compared by a
-64-bit hash.
+64-bit hash, outlines by two.
 """
 
 from __future__ import annotations
@@ -36,6 +44,8 @@ from .shared import BLANK, documents, map_texts, materialize
 
 #: Least words of a block that is deleted: 1 deletes every aligned line that is not blank.
 MIN_WORDS = 1
+#: Holders that a line is tried with in the second round, and by how much that grows in each further one.
+GROWTH = 16
 
 _KEY = ["doc_id", "t1", "t2"]
 
@@ -100,44 +110,111 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned(lines: list[tuple[int, list[int], list[int]]]) -> list[int]:
-    """Places in the later document that are aligned with the earlier one; lines: hash, places in
-    the later document, places in the earlier one."""
-    order = lambda k: sorted((at, x[0]) for x in lines for at in x[k])
-    later, earlier = order(1), order(2)
-    return [later[j][0] for _, j in patience([x for _, x in earlier], [x for _, x in later])]
-
-
-def to_delete(words: list[int], pairs: list[list[int]], least: int) -> list[int]:
-    """Places of a document's lines that go: of each pair's aligned places (in order) the blocks
-    with `least` words or more, and blank lines (0 words) between what goes."""
-    ahead = [0]  # lines with words before each place
-    for n in words:
-        ahead.append(ahead[-1] + (n > 0))
-    gone: set[int] = set()
-    for places in pairs:
-        block: list[int] = []
-        for at in [*places, None]:
-            if block and (at is None or ahead[at] != ahead[block[-1] + 1]):
-                if sum(words[j] for j in block) >= least:
-                    gone.update(block)
-                block = []
-            block.append(at)
-    if len(gone) == ahead[-1]:
+def sequence(nth: list[int], lines: list[int], size: int, gap: str) -> tuple[list, list[int]]:
+    """The shared lines of a text (their places among its lines with words, of which there are
+    `size`) with `gap` where others stand, and the place of each."""
+    out: list = []
+    at: list[int] = []
+    last = -1
+    for n, x in zip(nth, lines, strict=True):
+        if n > last + 1:
+            out.append(gap)
+            at.append(-1)
+        out.append(x)
+        at.append(n)
+        last = n
+    if size > last + 1:
+        out.append(gap)
+        at.append(-1)
+    return out, at
+
+
+def blocks(places: list[int], words: list[int], least: int) -> list[int]:
+    """Of aligned places, in order, those in runs of `least` words or more."""
+    out, run = [], []
+    for at in [*places, None]:
+        if run and at != run[-1] + 1:
+            if least <= 1 or sum(words[j] for j in run) >= least:
+                out += run
+            run = []
+        run.append(at)
+    return out
+
+
+def to_delete(words: list[int], gone: set[int]) -> list[int]:
+    """Places of a document's lines that go, if of its lines with words those in `gone` do: blank
+    lines (0 words) between what goes go too, and all if nothing else is left."""
+    full = [j for j, n in enumerate(words) if n]
+    if len(gone) == len(full):
         return list(range(len(words))) if gone else []
-    # A blank place goes if the nearest places with words on both sides do.
-    out, blank, open_ = [], [], False
+    out, blank, open_, k = [], [], False, 0
     for j, n in enumerate(words):
-        if j in gone:
-            out += [*(blank if open_ else []), j]
-            blank, open_ = [], True
-        elif n > 0:
-            blank, open_ = [], False
-        else:
+        if not n:
             blank.append(j)
+            continue
+        goes = k in gone
+        out += [*(blank if open_ and goes else []), *([j] if goes else [])]
+        blank, open_, k = [], goes, k + 1
     return out
 
 
+def shared_lines(texts: DataFrame) -> DataFrame:
+    """of, seq: array<nth, line, first holder> of the shared lines of each text in order, size (lines
+    with words), words (of each), and the outline's hashes o1 and o2."""
+    full = texts.select("of", F.filter("lines", lambda x: x.isNotNull()).alias("lines"), F.filter("words", lambda n: n > 0).alias("words"))
+    held = full.select("of", F.posexplode("lines").alias("nth", "line"))
+    shared = held.groupBy("line").agg(F.min("of").alias("first"), F.max("of").alias("last")).filter("first != last").select("line", "first")
+    shared = materialize(shared, "shared")  # the join below then splits a hot line
+    seqs = held.join(shared, "line").groupBy("of").agg(F.array_sort(F.collect_list(F.struct("nth", "line", "first"))).alias("seq"))
+    seqs = materialize(seqs, "sequences")
+    own = full.select("of", F.size("lines").alias("size"), "words")
+    gap = lambda x, i: x["nth"] - F.coalesce(F.get("seq", i - 1)["nth"], F.lit(-1)) > 1
+    outline = F.transform("seq", lambda x, i: F.struct(x["line"].alias("line"), gap(x, i).alias("gap")))
+    ends = F.element_at("seq", -1)["nth"] + 1 < F.col("size")
+    rows = seqs.join(own, "of").select("of", "seq", "size", "words", F.xxhash64(outline, ends).alias("o1"), F.xxhash64(F.lit("second"), outline, ends).alias("o2"))
+    return materialize(rows, "outlines")
+
+
+def align(pairs: DataFrame, seqs: DataFrame, least: int) -> DataFrame:
+    """of, gone (places among the lines with words) of each pair (of, other)."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for mine, size, theirs, other_size, words in zip(*(b.column(k).to_pylist() for k in range(3, 8)), strict=True):
+                later, at = sequence([x["nth"] for x in mine], [x["line"] for x in mine], size, "a")
+                earlier, _ = sequence([x["nth"] for x in theirs], [x["line"] for x in theirs], other_size, "b")
+                found.append(blocks([at[j] for _, j in patience(earlier, later)], words, least))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.list_(pa.int32()))], names=[*_KEY, "gone"])
+
+    slim = lambda seq: F.transform(seq, lambda x: F.struct(x["nth"].alias("nth"), x["line"].alias("line")))
+    theirs = seqs.select(F.col("of").alias("other"), slim("seq").alias("theirs"), F.col("size").alias("other_size"))
+    mine = seqs.select("of", slim("seq").alias("mine"), "size", "words")
+    rows = pairs.join(theirs, "other").join(mine, "of").select("of.*", "mine", "size", "theirs", "other_size", "words")
+    found = map_texts(rows, step, "doc_id long, t1 long, t2 long, gone array<int>")
+    return found.filter(F.size("gone") > 0).select(F.struct(*_KEY).alias("of"), "gone")
+
+
+def lines_left(seqs: DataFrame, gone: DataFrame) -> DataFrame:
+    """of, line: what earlier texts hold and no pair has deleted yet."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, lines = [], []
+            for i, (seq, found) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                went = {n for x in found or [] for n in x}
+                left = list({x["line"] for x in seq if x["nth"] not in went})
+                keys += [i] * len(left)
+                lines += left
+            picked = pa.array(keys, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(c.take(picked) for c in b.columns[:3]), pa.array(lines, pa.int64())], names=[*_KEY, "line"])
+
+    later = F.filter("seq", lambda x: x["first"] < F.col("of"))
+    seqs = seqs.select("of", F.transform(later, lambda x: F.struct(x["nth"].alias("nth"), x["line"].alias("line"))).alias("seq")).filter(F.size("seq") > 0)
+    rows = seqs.join(gone.groupBy("of").agg(F.collect_list("gone").alias("gone")), "of", "left").select("of.*", "seq", "gone")
+    return map_texts(rows, step, "doc_id long, t1 long, t2 long, line long").select(F.struct(*_KEY).alias("of"), "line")
+
+
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, t1, t2 (hashes of the text), removed (places of lines), removed_words: one row for
     each document that loses lines."""
@@ -154,39 +231,44 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = materialize(first, "first-copies")  # the join below then splits a hot text
     known = slim.join(first, ["t1", "t2"]).withColumn("copy", F.when(F.col("unnamed"), F.col("doc_id").isNotNull()).otherwise(F.col("doc_id") > F.col("first")))
     known = materialize(known.select(*_KEY, "copy", "lines", "words"), "texts")
-    texts = known.filter(~F.col("copy")).select(F.struct(*_KEY).alias("of"), "lines")
-
-    held = texts.select("of", F.posexplode("lines").alias("at", "line")).filter(F.col("line").isNotNull())
-    shared = held.groupBy("line").agg(F.min("of").alias("first"), F.max("of").alias("last")).filter("first != last").select("line", "first")
-    shared = materialize(shared, "shared")  # the join below then splits a hot line
-    places = held.join(shared, "line").groupBy("of", "first", "line").agg(F.collect_list("at").alias("mine"))
-    places = materialize(places, "shared-lines")
-    # Where the first holder has the line, for all later ones: again a table that has been written.
-    theirs = materialize(places.filter("of = first").select("line", F.col("mine").alias("theirs")), "first-places")
-    pairs = places.filter("of != first").join(theirs, "line").groupBy("of", "first").agg(F.collect_list(F.struct("line", "mine", "theirs")).alias("lines"))
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [aligned([(x["line"], x["mine"], x["theirs"]) for x in row.as_py()]) for row in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.list_(pa.int32()))], names=[*_KEY, "at"])
+    seqs = shared_lines(known.filter(~F.col("copy")).select(F.struct(*_KEY).alias("of"), "lines", "words"))
 
-    found = map_texts(pairs.select("of.*", "lines"), align, "doc_id long, t1 long, t2 long, at array<int>")
-    covered = found.groupBy(*_KEY).agg(F.collect_list("at").alias("pairs"))
-    covered = covered.select(F.col("doc_id").alias("c0"), F.col("t1").alias("c1"), F.col("t2").alias("c2"), "pairs")
-    same = F.col("doc_id").eqNullSafe(F.col("c0")) & (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2"))
-    losing = known.join(covered, same, "left").filter(F.col("copy") | F.col("pairs").isNotNull())
+    # Each document with the first holder of each of its lines.
+    pairs = seqs.select("of", F.explode(F.array_distinct(F.transform("seq", lambda x: x["first"]))).alias("other")).filter("other < of")
+    gone = materialize(align(pairs, seqs, min_words), "aligned")
+    left = materialize(lines_left(seqs, gone), "left")
+    # What is left, with further holders of other outlines: those whose hash lies below a share
+    # of the hashes that grows from round to round, by how many a line has.
+    asked = left.select("line").distinct()
+    held = seqs.select("of", "o1", "o2", F.explode(F.array_distinct(F.transform("seq", lambda x: F.struct(x["line"].alias("line"), x["first"].alias("first"))))).alias("x"))
+    held = held.select("of", "o1", "o2", "x.line", "x.first").join(asked, "line", "left_semi").groupBy("line", "o1", "o2", "first").agg(F.min("of").alias("other")).filter("other != first")
+    held = materialize(held.select("line", "o1", "other"), "holders")
+    many = held.groupBy("line").agg(F.count("*").alias("many"))
+    held = materialize(held.join(many, "line").withColumn("share", (F.col("o1") / F.lit(2.0**63) + 1) / 2 * F.col("many")), "holders-shares")
+    tried, every = 0.0, held.agg(F.max("many")).first()[0] or 0
+    all_gone = gone
+    while tried < every:
+        bound = GROWTH if not tried else tried * GROWTH
+        upto = F.lit(True) if bound >= every else F.col("share") < bound
+        some = held.filter((F.col("share") >= tried) & upto).select("line", "other")
+        pairs = left.join(some, "line").filter("other < of").select("of", "other").distinct()
+        gone = materialize(align(pairs, seqs, min_words), "aligned")
+        all_gone, tried = all_gone.unionByName(gone), bound
+        left = materialize(lines_left(seqs.join(left.select("of").distinct(), "of", "left_semi"), all_gone), "left")
+    covered = all_gone.groupBy("of").agg(F.collect_list("gone").alias("gone"))
+    losing = known.withColumn("of", F.struct(*_KEY)).join(covered, "of", "left").filter(F.col("copy") | F.col("gone").isNotNull())
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, total = [], []
-            for copy, words, pairs in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                every = [[j for j, n in enumerate(words) if n]] if copy else pairs
-                removed.append(to_delete(words, every, min_words))
+            for copy, words, found in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                every = set(range(sum(n > 0 for n in words))) if copy else {n for x in found for n in x}
+                removed.append(to_delete(words, every))
                 total.append(sum(words[j] for j in removed[-1]))
             columns = [*b.columns[:3], pa.array(removed, pa.list_(pa.int32())), pa.array(total, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*_KEY, "removed", "removed_words"])
 
-    ready = losing.select(*_KEY, "copy", "words", "pairs")
+    ready = losing.select(*_KEY, "copy", "words", "gone")
     done = map_texts(ready, decide, "doc_id long, t1 long, t2 long, removed array<int>, removed_words long")
     return materialize(done.filter(F.size("removed") > 0), "deletions")
 

@@ -136,37 +136,28 @@ HASHES: dict = {}
 
 
 def brute_lines(rows: list[tuple], least: int = 1) -> dict:
-    """(doc_id, text) -> places of lines that go. One document after the other: each of its lines
-    is looked up with the first text that has it, and every such pair is aligned by itself."""
-    out, seen, first = {}, set(), {}
+    """(doc_id, text) -> places of lines that go. Every document is aligned with every earlier text
+    that shares a line with it, over all lines of both."""
+    out, earlier = {}, []
     for d, t in sorted({r[:2] for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, HASHES[r[1]])):
         lines = t.split("\n")
         full = [i for i, x in enumerate(lines) if WORD.search(x)]
+        mine = [lines[i] for i in full]
         go: set = set()
-        if t in seen:
-            blocks = [full]
+        if any(t == x for x, _ in earlier):
+            go = set(full)
         else:
-            pairs: dict = defaultdict(list)
-            for i in full:
-                if lines[i] in first and first[lines[i]][0] != (d, t):
-                    pairs[first[lines[i]][0]].append(i)
-                else:
-                    first.setdefault(lines[i], ((d, t), []))[1].append(i)
-            blocks = []
-            for key, mine in pairs.items():
-                known = {lines[i] for i in mine}
-                theirs = [x for x in key[1].split("\n") if x in known and first[x][0] == key]
-                at = [mine[j] for _, j in brute_patience(theirs, [lines[i] for i in mine])]
-                for i in at:
-                    if blocks and blocks[-1][0] == key and not any(blocks[-1][1][-1] < k < i for k in full):
-                        blocks[-1][1].append(i)
-                    else:
-                        blocks.append((key, [i]))
-            blocks = [b for _, b in blocks]
-        seen.add(t)
-        for b in blocks:
-            if sum(len(WORD.findall(lines[i])) for i in b) >= least:
-                go |= set(b)
+            for _, theirs in earlier:
+                if not set(theirs) & set(mine):
+                    continue
+                block: list = []
+                for j in [*(j for _, j in brute_patience(theirs, mine)), None]:
+                    if block and (j is None or j > block[-1] + 1):
+                        if sum(len(WORD.findall(mine[k])) for k in block) >= least:
+                            go |= {full[k] for k in block}
+                        block = []
+                    block.append(j)
+            earlier.append((t, mine))
         if go and go == set(full):
             go = set(range(len(lines)))
         for i, x in enumerate(lines):
@@ -248,10 +239,19 @@ def test_short_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     check_lines(docs, rows)
     text = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
-    assert text[1] == rows[0][1] and text[6] == "nothing shared" and text[4] == text[5] == text[8] == ""
-    # Lines in another order than in the text that has them first: only what is in order goes, where
-    # deleting all lines that stand earlier would empty 7.
-    assert [len(text[d].split("\n")) for d in (2, 7, 9)] == [2, 2, 1] and text[9] == "a b c"
+    assert text[1] == rows[0][1] and text[6] == "nothing shared" and text[4] == text[8] == ""
+    # 5 has two lines of 3 in another order: the pair aligns one, and no other earlier text has z.
+    # 1 aligns the first "a b c" of 9 and 3 the second. 7 is 1 backwards, but 2 gives what 1 doesn't.
+    assert text[5] == "z" and text[9] == text[7] == ""
+
+
+def test_rounds(spark, monkeypatch):
+    """A line that the first holders don't align is tried with all others, in rounds of few."""
+    monkeypatch.setattr(linededup, "GROWTH", 2)
+    order = lambda i: [f"w{k}" for k in range(i)] + ["hot line"] + [f"v{k}" for k in range(i)]
+    rows = [(i, "\n".join([*order(i % 7), f"own {i}"])) for i in range(60)]
+    rows += [(100 + i, "\n".join([*reversed(order(5)), "hot line", f"last {i}"] * (1 + i % 3))) for i in range(8)]
+    check_lines(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
 def test_random_lines(spark):
