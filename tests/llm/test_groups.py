@@ -398,4 +398,4 @@ def test_queries_run(spark):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for name, query in Q.QUERIES.items():
         rows = query(spark, sf).collect()
-        assert rows and (name == "op6_search" or len(rows) == n), name
+        assert rows and (name in ("op6_search", "op13_distinct") or len(rows) == n), name
