@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, strip
-from .structure import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHARS, SNAP, SPLIT_LEVEL, Rules, structured
+from .structure import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHARS, SNAP, SPLIT_LEVEL, Rules, Structure
 
 _SCHEMA = "document_id string, chunk_index int, char_start int, char_end int, text string, section_path string, block_types string"
 
@@ -101,7 +101,4 @@ def structured_chunks(
     """Chunks by headings, tables and sentences; `length` measures a text."""
     rules = Rules(size, overlap, split_level, least, prose_overlap, length)
 
-    def chunks(body: str) -> list[tuple]:
-        return [(i, c.start, c.end, c.text(body), c.section(), c.kinds()) for i, c in enumerate(structured(body, rules))]
-
-    return exploded(docs, id, text, chunks)
+    return exploded(docs, id, text, lambda body: Structure(body, rules).rows())

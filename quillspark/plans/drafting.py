@@ -13,26 +13,31 @@ from .chunks import _markdown
 from .registry import Tables, query
 from .texts import _FOLD
 
-_CHUNK_CASES = [
-    ("deep", "## A\n\nAlpha text.\n\n### A1\n\nMore alpha.\n\n## B\n\nBeta text.", 300),
-    ("table", "## R\n\n| k | v |\n|---|---|\n| a | 1 |\n| b | 2 |\n| c | 3 |\n| d | 4 |", 40),
-    ("prose", "One two three. Four five six. Seven eight.", 30),
-    ("title", "# Report\n\n## Revenue\n\nSales rose.", 300),
-]
+@query("""
+WITH s AS (SELECT n_regionkey, n_name, '## ' || n_name || chr(10) || chr(10) || repeat(n_name || ' trades. ', 3 + n_nationkey % 3) || 'End.' AS body, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation),
+p AS (SELECT *, coalesce(sum(length(body) + 2) OVER (PARTITION BY n_regionkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s)
+SELECT n_regionkey::VARCHAR AS document_id, i::INT AS chunk_index, a::INT AS char_start, (a + length(body))::INT AS char_end, n_name AS section_path, 'heading,paragraph' AS block_types FROM p""")
+def chunk_sections(t: Tables) -> DataFrame:
+    """Rows 230, 231, 235, 237: a section for each nation of a region, all of which open chunks."""
+    body = F.concat(F.lit("## "), "n_name", F.lit("\n\n"), F.repeat(F.concat("n_name", F.lit(" trades. ")), F.lit(3) + F.col("n_nationkey") % 3), F.lit("End."))
+    rows = t.nation.select("n_regionkey", F.struct("n_nationkey", body.alias("body")).alias("x")).groupBy("n_regionkey").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    made = C.structured_chunks(rows.select("n_regionkey", F.array_join(F.transform("x", lambda x: x["body"]), "\n\n").alias("text")), "n_regionkey", "text", 300, 0, least=0)
+    return made.select("document_id", "chunk_index", "char_start", "char_end", "section_path", "block_types")
 
 
 @query("""
-SELECT * FROM (VALUES
- ('deep', 0, 0, 38, 38, 'A', 'heading,paragraph'), ('deep', 1, 40, 56, 16, 'B', 'heading,paragraph'),
- ('table', 0, 0, 35, 35, 'R', 'heading,table'), ('table', 1, 36, 55, 39, 'R', 'table'), ('table', 2, 56, 65, 29, 'R', 'table'),
- ('prose', 0, 0, 29, 29, '', 'paragraph'), ('prose', 1, 30, 42, 12, '', 'paragraph'),
- ('title', 0, 0, 33, 33, 'Revenue', 'heading,paragraph')) v(document_id, chunk_index, char_start, char_end, n_chars, section_path, block_types)""")
+WITH r AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS nth, count(*) OVER (PARTITION BY c_nationkey) AS many FROM customer),
+c AS (SELECT c_nationkey, nth // 9 AS i, min(nth) AS lo, max(nth) AS hi FROM r GROUP BY ALL)
+SELECT c_nationkey::VARCHAR AS document_id, i::INT AS chunk_index, (CASE WHEN i = 0 THEN 0 ELSE 41 + 38 * lo END)::INT AS char_start, (40 + 38 * (hi + 1))::INT AS char_end, (40 + 38 * (hi + 1 - lo))::INT AS n_chars FROM c""")
 def chunk_cases(t: Tables) -> DataFrame:
-    """Rows 230-237, 335: where sections, rows under a repeated header and sentences are cut, on fixed texts."""
-    docs = t.spark.createDataFrame(_CHUNK_CASES, "id string, text string, size int")
-    parts = [C.structured_chunks(docs.filter(F.col("size") == n), "id", "text", n, 0, least=0) for n in (300, 40, 30)]
-    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return whole.select("document_id", "chunk_index", "char_start", "char_end", F.length("text").alias("n_chars"), "section_path", "block_types")
+    """Rows 232, 335: each nation's customers as rows of 37 characters, nine of which fit below the
+    repeated header of 40."""
+    row = F.format_string("| Customer#%09d | %12.2f |", "c_custkey", "c_acctbal")
+    rows = t.customer.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("row")))).alias("x"))
+    head = "| Customer name  | Amount |\n|-----|----|"
+    text = F.concat(F.lit(head + "\n"), F.array_join(F.transform("x", lambda x: x["row"]), "\n"))
+    made = C.structured_chunks(rows.select("c_nationkey", text.alias("text")), "c_nationkey", "text", 390, 0, least=0)
+    return made.select("document_id", "chunk_index", "char_start", "char_end", F.length("text").alias("n_chars"))
 
 
 @query(f"""
