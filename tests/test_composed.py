@@ -147,9 +147,14 @@ def test_guards(spark):
         spark.range(1).select(T.golds(F.lit(""), F.array(F.lit("x")))).collect()
 
 
-def test_claims():
-    assert I.cites_another("A REF-1 [2]. [1]", "REF-1", ["p", "q"], "p") and not I.cites_another("[2] A REF-1. [1]", "REF-1", ["p", "q"], "p")
-    assert not I.cites_another("REF-1 [9]", "REF-1", ["p"], "p") and not I.cites_another(None, "x", None, "p") and not I.cites_another("x [1]", "", ["q"], "p")
+def test_claims(spark):
+    cases = [
+        ("A REF-1 [2]. [1]", "REF-1", ["p", "q"], "p", True), ("[2] A REF-1. [1]", "REF-1", ["p", "q"], "p", False), ("REF-1 [9]", "REF-1", ["p"], "p", False), (None, "x", None, "p", False),
+        ("x [1]", "", ["q"], "p", False), ("ref-1 is true; see [1, 2]", "REF-1", ["p", "q"], "p", False), ("a ref-1! [ 1]\nand REF-1\n[1 , 2] [3]", "ref-1", ["p", "p", "q"], "p", True),
+        ("no end of ref.1 [1", "ref.1", ["q"], "p", False), ("refX1 [1]", "ref.1", ["q"], "p", False), ("Z\\E.+ [1]", "z\\E.+", ["q"], "p", True), ("É 2.5 [1]. é 2.5 [99999999999]", "é 2.5", ["q"], "p", True),
+    ]
+    rows = spark.createDataFrame(cases, "a string, c string, s array<string>, p string, want boolean")
+    assert [r["got"] == r["want"] for r in rows.select(I.misattributed(*(F.col(c) for c in "acsp")).alias("got"), "want").collect()] == [True] * len(cases)
     assert L.laid_out([{"stage": "rerank", "elapsed": None}], None) == [0.0]
 
 
