@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "retrieval", "judging", "corpus", "turns", "chunks", "models", "harness", "composed", "drafting")
+MODULES = ("texts", "retrieval", "judging", "corpus", "turns", "chunks", "models", "harness", "composed", "drafting", "vectors")
 
 
 def load() -> tuple[dict, dict]:
