@@ -2,47 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-#: Words of an anchor, and quotes that are looked for in every text at once.
-ANCHOR, FEW_QUOTES = 3, 256
+#: Words of an anchor; quotes, and their characters, that one automaton holds at most.
+ANCHOR, QUOTES, CHARACTERS = 3, 65_536, 1 << 20
 
 
 def containment(texts: DataFrame, quotes: DataFrame, text: str = "body", quote: str = "quote") -> DataFrame:
     """Pairs of rows whose (folded) text contains the (folded) quote. A quote's inner words are
     whole words of any text that contains it, so texts and quotes of enough words meet by the
     hash of one inner run of words, an equi-join that scales with texts and quotes. Shorter quotes
-    have no such run: every text is searched for them, FEW_QUOTES at a time; so it is for all
-    quotes if there are no more than that."""
+    have no such run: one pass over the texts looks for all of them at once, however many words
+    they have; so it is for all quotes if one automaton holds them."""
     words = lambda c: F.split(c, " ")
     run = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, ANCHOR), " "))
-    marked = quotes.withColumn("_w", words(F.col(quote)))
-    long = marked.filter(F.size("_w") >= ANCHOR + 2)
-    short = quotes.filter((F.size(words(F.col(quote))) < ANCHOR + 2) & (F.col(quote) != ""))
+    quotes = quotes.filter(F.col(quote) != "")
+    brief = F.size(words(F.col(quote))) < ANCHOR + 2
+    n, size, short_n, short_size = quotes.agg(*[F.coalesce(F.sum(F.when(c, x)), F.lit(0)) for c in (F.lit(True), brief) for x in (F.lit(1), F.length(quote))]).first()
+    if n <= QUOTES and size <= CHARACTERS:
+        return searched(texts, quotes, text, quote, 1)
+    marked = quotes.filter(~brief).withColumn("_w", words(F.col(quote)))
     middle = F.greatest(F.lit(2), F.floor(F.size("_w") / 2).cast("int"))
-    anchors = long.withColumn("_anchor", run(F.col("_w"), F.least(middle, F.size("_w") - ANCHOR))).drop("_w")
+    anchors = marked.withColumn("_anchor", run(F.col("_w"), F.least(middle, F.size("_w") - ANCHOR))).drop("_w")
     # The words are bound once: as a column they would be split again for every run.
     every = lambda w: F.when(F.size(w) >= ANCHOR, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - ANCHOR + 1), lambda i: run(w, i))))
     runs = F.transform(F.array(words(F.col(text))), every)[0]
-    holds = F.contains(F.col(text), F.col(quote))
-
-    def searched(quotes: DataFrame, n: int) -> DataFrame:
-        blocks = max(1, -(-n // FEW_QUOTES))
-        parts = [quotes if blocks == 1 else quotes.filter(F.pmod(F.xxhash64(quote), F.lit(blocks)) == i) for i in range(blocks)]
-        return reduce(DataFrame.unionByName, [texts.join(F.broadcast(p), holds) for p in parts])
-
-    n = quotes.count()
-    if n <= FEW_QUOTES:
-        return searched(quotes.filter(F.col(quote) != ""), n)
     # Hashes meet first, without the texts: a text has as many rows here as it has words.
     own = F.xxhash64(text).alias("_h")
     met = texts.select(own, F.explode(runs).alias("_anchor")).join(anchors.select("_anchor").distinct(), "_anchor", "left_semi").distinct()
     pairs = texts.select("*", own).join(met.join(anchors, "_anchor").drop("_anchor"), "_h").drop("_h")
-    return pairs.filter(holds).unionByName(searched(short, short.count()))
+    long = pairs.filter(F.contains(F.col(text), F.col(quote)))
+    blocks = max(-(-short_n // QUOTES), -(-short_size // CHARACTERS))
+    return long.unionByName(searched(texts, quotes.filter(brief), text, quote, blocks)) if blocks else long
+
+
+def searched(texts: DataFrame, quotes: DataFrame, text: str, quote: str, blocks: int) -> DataFrame:
+    """Pairs of rows whose text contains the quote, by automata of many quotes (Aho and Corasick):
+    a pass over the texts for each of `blocks` hash ranges of quotes, whose cost doesn't depend on
+    how many there are. Distinct quotes of a block are broadcast; rows of quotes join afterwards."""
+    spark, found = texts.sparkSession, []
+    kinds = StructType([*texts.schema.fields, StructField("_quote", StringType())])
+    at = texts.columns.index(text)
+    for i in range(blocks):
+        some = quotes.filter(F.pmod(F.xxhash64(quote), F.lit(blocks)) == i) if blocks > 1 else quotes
+        shared = spark.sparkContext.broadcast([r[0] for r in some.select(quote).distinct().collect()])
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for known in shared.value:
+                automaton.add_word(known, known)
+            automaton.make_automaton()
+            for batch in batches:
+                rows, seen = [], []
+                for k, value in enumerate(batch.column(at).to_pylist() if shared.value else ()):
+                    held = {q for _, q in automaton.iter(value)} if value else ()
+                    rows += [k] * len(held)
+                    seen += held
+                if rows:
+                    taken = batch.take(pa.array(rows, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(seen, pa.string())], names=kinds.names)
+
+        found.append(texts.mapInArrow(find, kinds).join(some, F.col("_quote") == F.col(quote)).drop("_quote"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def without(quotes: DataFrame, found: DataFrame, id: str) -> DataFrame:

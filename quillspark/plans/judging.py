@@ -29,6 +29,19 @@ def missing_evidence(t: Tables) -> DataFrame:
     return J.without(_quotes(t), J.containment(_texts(t), _quotes(t)), "item_id").select("item_id")
 
 
+@query(f"""
+WITH w AS (SELECT item_id, string_split({_FOLD.format('text')}, ' ') AS w FROM benchmark), q AS (SELECT DISTINCT array_to_string(w[i:i + 2], ' ') AS quote FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+d AS (SELECT doc_id, {_FOLD.format('text')} AS body FROM documents)
+SELECT quote, count(*) AS documents, min(doc_id) AS first_document FROM q JOIN d ON contains(body, quote) GROUP BY quote""")
+def quote_search(t: Tables) -> DataFrame:
+    """Rows 119-128, 262: every run of three words of the items, looked for in every text at once."""
+    words = F.split("quote", " ")
+    runs = F.when(F.size(words) > 2, F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, F.lit(3)), " ")))
+    asked = _quotes(t).select(F.explode(runs).alias("quote")).distinct()
+    found = J.containment(_texts(t).select("doc_id", "body"), asked)
+    return found.groupBy("quote").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_document"))
+
+
 @query(f"SELECT item_id, count(*) FILTER (lang = 'en') AS eligible, count(*) FILTER (lang <> 'en') AS blanked FROM benchmark b JOIN documents d ON {_IN} GROUP BY item_id")
 def eligible_evidence(t: Tables) -> DataFrame:
     """Rows 109, 120: in document mode only eligible texts count."""

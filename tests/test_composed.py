@@ -177,7 +177,7 @@ def test_dense_blocks(spark, monkeypatch):
 def test_many_short_quotes(spark, monkeypatch):
     from quillspark.operators import judging as J
 
-    monkeypatch.setattr(J, "FEW_QUOTES", 3)
+    monkeypatch.setattr(J, "QUOTES", 3)
     texts = spark.createDataFrame([(i, f"word{i} and some longer run of words number {i}") for i in range(12)], "doc_id long, body string")
     quotes = [(i, f"ord{i} an") for i in range(10)] + [(100 + i, f"some longer run of words number {i}") for i in range(10)] + [(200, "")]
     found = J.containment(texts, spark.createDataFrame(quotes, "item_id long, quote string"))

@@ -90,10 +90,28 @@ def test_containment_by_anchor(spark, monkeypatch):
     b, q = spark.createDataFrame(bodies, "d int, body string"), spark.createDataFrame(quotes, "q int, quote string")
     want = sorted((d, i) for d, body in bodies for i, quote in quotes if quote in body)
     assert sorted((r["d"], r["q"]) for r in judging.containment(b, q).collect()) == want
-    monkeypatch.setattr(judging, "FEW_QUOTES", 5)
+    monkeypatch.setattr(judging, "QUOTES", 5)
     assert sorted((r["d"], r["q"]) for r in judging.containment(b, q).collect()) == want
 
 
+def test_many_short_quotes(spark, monkeypatch):
+    """10,000 quotes of one to four words, in one automaton and in many, against a look at each."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abé ") for _ in range(rng.randint(1, 4))).strip() or "b"
+    quotes = [(i, " ".join(word() for _ in range(1 + i % 4))) for i in range(10_000)] + [(-1, ""), (-2, None), (-3, "a")]
+    texts = [(k, " ".join(word() for _ in range(rng.randint(0, 60)))) for k in range(60)] + [(60, None), (61, ""), (62, "a")]
+    want = sorted((k, i) for k, body in texts for i, quote in quotes if body and quote and quote in body)
+    q, b = spark.createDataFrame(quotes, "q long, quote string"), spark.createDataFrame(texts, "d long, body string")
+    for most in (65_536, 3000):
+        monkeypatch.setattr(judging, "QUOTES", most)
+        assert sorted((r["d"], r["q"]) for r in judging.containment(b, q).select("d", "q").collect()) == want
+    monkeypatch.setattr(judging, "CHARACTERS", 20_000)
+    assert judging.containment(b, q).count() == len(want)
+    assert judging.containment(b, q.limit(0)).count() == 0 and judging.containment(b.limit(0), q).count() == 0
+
+
 def test_guards_raise(spark):
     a = spark.createDataFrame([(1, 0.5), (2, 1.0)], "id int, value double")
     assert evaluation.pair_by_id(a, a, ["id"]).count() == 2
