@@ -17,11 +17,18 @@ def with_feedback(turns: DataFrame, feedback: DataFrame, order: str) -> DataFram
 
 def innermost(nodes: DataFrame, spans: DataFrame, by: str, width: float) -> DataFrame:
     """node, parent: the shortest span (span, start, end) of the same `by` that holds a node's
-    interval. Spans are dealt to time cells of `width`, so a node meets those that touch the cell
-    of its start and not all of its group."""
-    cells = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
-    held = spans.select(by, F.col("span").alias("parent"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(cells).alias("cell"))
-    met = nodes.withColumn("cell", F.floor(F.col("start") / width)).join(held, [by, "cell"])
+    interval; of equally short ones the smallest. Spans fall into levels by their length, from
+    `width` on each twice as wide as the one before, and a level's cells are as wide as its longest
+    span: so a span lies in two cells at most, whatever its length, and a node looks into one cell
+    of each level that its `by` has. Spans that end before they start hold nothing."""
+    long = F.col("end") - F.col("start")
+    level = F.greatest(F.ceil(F.log2(F.greatest(long, F.lit(width)) / width)), F.lit(0)).cast("int")
+    size = F.lit(width) * F.pow(F.lit(2.0), F.col("level"))
+    at = lambda c: F.floor(F.col(c) / size)
+    dealt = spans.filter(long >= 0).withColumn("level", level).withColumn("cell", F.explode(F.array_distinct(F.array(at("start"), at("end")))))
+    held = dealt.select(by, "level", "cell", F.col("span").alias("parent"), F.col("start").alias("s"), F.col("end").alias("e"))
+    asked = nodes.join(dealt.select(by, "level").distinct(), by).withColumn("cell", at("start"))
+    met = asked.join(held, [by, "level", "cell"])
     inside = (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end")) & (F.col("parent") != F.col("node"))
     return met.filter(inside).groupBy(by, "node").agg(F.min_by("parent", F.struct(F.col("e") - F.col("s"), "parent")).alias("parent"))
 

@@ -176,3 +176,26 @@ def test_fan_out(spark):
     with pytest.raises(RuntimeError, match="first"):
         sinks.fan_out([broken, lambda b, n: seen.append((n, b.count()))])(spark.range(3), 5)
     assert seen == [(5, 3)]
+
+
+def test_innermost(spark):
+    """Spans of seconds and of years in the same cells, against a look at every pair."""
+    import random
+
+    from quillspark.operators import turnlog
+
+    rng = random.Random(9)
+    spans = [(i, f"u{i % 3}", s := rng.choice([0.0, 7.5, rng.uniform(-50, 4e7)]), s + rng.choice([0.0, 0.5, 1.0, 3.0, 900.0, 3.2e7, -1.0, rng.uniform(0, 1e6)])) for i in range(300)]
+    nodes = [*spans, *[(1000 + i, f"u{i % 4}", s, s) for i, (_, _, s, _) in enumerate(spans[:60])]]
+    df = lambda rows, id: spark.createDataFrame(rows, f"{id} long, user string, start double, end double")
+    want = {}
+    for n, u, s, e in nodes:
+        inside = [(b - a, k) for k, v, a, b in spans if v == u and k != n and a <= s and b >= e and b >= a]
+        if inside:
+            want[n] = min(inside)[1]
+    for width in (1.0, 3600.0, 1e9):
+        got = turnlog.innermost(df(nodes, "node"), df(spans, "span"), "user", width)
+        assert {r["node"]: r["parent"] for r in got.collect()} == want
+    # A year among cells of a second: the joins see two rows of it.
+    year = df([(1, "u", 0.5, 31_557_600.5)], "span")
+    assert turnlog.innermost(df([(2, "u", 5.0, 6.0)], "node"), year, "user", 1.0).count() == 1
