@@ -250,6 +250,22 @@ def sparse_stored(t: Tables) -> DataFrame:
     return store.search(_benchmark_queries(t), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(_bm25_sql() + "SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM k")
+def segmented_index(t: Tables) -> DataFrame:
+    """Rows 30, 267-273, 341-349 and s8 of section 2.17: a keyword index in segments, filled with
+    other texts, changed and deleted from, then merged with a stream of all documents."""
+    from ..operators.segments import SegmentedIndex
+    from ..streaming.index import run_keyword_index
+
+    index = SegmentedIndex(t.spark, f"{shared_folder(t.spark)}/segments-{uuid.uuid4().hex}")
+    rows = lambda docs: docs.select(F.col("doc_id").alias("id"), "text")
+    index.upsert(rows(t.documents).withColumn("text", F.reverse("text")))
+    index.upsert(rows(t.documents.filter("doc_id % 3 = 0")))
+    index.delete(rows(t.documents.filter("doc_id % 5 = 0")))
+    run_keyword_index(t.spark, f"{t.sf_dir}/documents*.parquet", t.documents.schema, rows, index)
+    return index.search(_benchmark_queries(t), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("SELECT doc_id AS id, sha256(text) AS hash FROM documents")
 def streamed_index(t: Tables) -> DataFrame:
     """Section 2.17, s8: a store kept up to date by merging the batches of a stream of documents."""
