@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .order import placed, smallest
 from .storage import saved
 
 
@@ -47,10 +48,16 @@ def draw(id: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), id.cast("string")))
 
 
+def drawn(id: Column, seed: str) -> Column:
+    """The draw's first 52 bits, as a number."""
+    return F.conv(F.substring(draw(id, seed), 1, 13), 16, 10).cast("double")
+
+
 def round_robin(df: DataFrame, group: str, id: str, seed: str, limit: int) -> DataFrame:
     """One row of each group per turn; no group needs more than `limit` rows ranked."""
-    nth = F.row_number().over(W.partitionBy(group).orderBy(draw(F.col(id), seed), id))
-    turns = df.withColumn("turn", nth).filter(F.col("turn") <= limit)
+    some = df.select(group).distinct().withColumn("n", F.lit(limit))
+    few = smallest(df, [group], drawn(F.col(id), seed), some, draw(F.col(id), seed), id)
+    turns = few.withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy(draw(F.col(id), seed), id)))
     return turns.orderBy("turn", draw(F.col(group), seed), id).limit(limit)
 
 
@@ -66,26 +73,16 @@ def quotas(df: DataFrame, group: str, total: int) -> DataFrame:
 
 
 def stratified(df: DataFrame, group: str, id: str, seed: str, total: int) -> DataFrame:
-    nth = F.row_number().over(W.partitionBy(group).orderBy(draw(F.col(id), seed), id))
-    return df.withColumn("nth", nth).join(quotas(df, group, total).select(group, "quota"), group).filter("nth <= quota").drop("nth", "quota")
-
-
-def numbered(df: DataFrame, key: str, ranges: int = 64) -> DataFrame:
-    """`nth` from 0 in the order of a number column, without sorting in one task: ranges between
-    quantiles are counted, and rows are numbered inside their range."""
-    cuts = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.001)))
-    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    parts = df.withColumn("_part", part)
-    before = parts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))
-    rows = parts.join(F.broadcast(before.select("_part", "_before")), "_part")
-    return rows.withColumn("nth", F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1).drop("_part", "_before")
+    """Of each group its quota of rows, by draw; a group is cut at the draw of its last row."""
+    wanted = quotas(df, group, total).select(group, F.col("quota").alias("n"))
+    return smallest(df, [group], drawn(F.col(id), seed), wanted, draw(F.col(id), seed), id)
 
 
 def stride(df: DataFrame, key: str, limit: int) -> DataFrame:
     """The elements floor(i n / limit) for i below limit."""
     n = df.count()
     places = df.sparkSession.range(limit).select(F.floor(F.col("id") * n / limit).alias("nth")).distinct()
-    return numbered(df, key).join(F.broadcast(places), "nth")
+    return placed(df, key).join(F.broadcast(places), "nth")
 
 
 # --- index maintenance

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import stats as S
 from ..functions.text import fold, leak_figures
 from ..operators import judging as J
+from ..operators import order as O
 from .registry import Tables, query
 
 _FOLD = "replace(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))), 'ß', 'ss')"
@@ -220,7 +221,7 @@ def flips(t: Tables) -> DataFrame:
     both = F.col("base") + F.col("cand")
     outcome = F.when(both == 2, "both pass").when(both == 0, "both fail").when(F.col("cand") > F.col("base"), "win").otherwise("loss")
     rows = _pairs(t).select("user_id", "nth", outcome.alias("outcome")).filter(F.col("outcome").isin("win", "loss"))
-    return rows.withColumn("place", F.row_number().over(W.orderBy(F.when(F.col("outcome") == "loss", 0).otherwise(1), "user_id", "nth")).cast("long"))
+    return O.placed(rows, F.when(F.col("outcome") == "loss", 0).otherwise(1), "user_id", "nth", name="at").withColumn("place", F.col("at") + 1).drop("at")
 
 
 @query(r"""
@@ -262,7 +263,11 @@ SELECT role, count(*) AS n, count(*) FILTER (turn % 3 = 0) AS passed, count(*) F
 def answer_summary(t: Tables) -> DataFrame:
     """Rows 153, 159, 162: verdict counts, median and the mean of known values."""
     turn = F.col("turn") % 3
-    return t.conversations.groupBy("role").agg(F.count("*").alias("n"), F.count_if(turn == 0).alias("passed"), F.count_if(turn == 1).alias("failed"), F.count_if(turn == 2).alias("unparseable"), F.round(F.percentile(F.length("text"), 0.5), 6).alias("p50"), F.round(F.avg(F.when(turn < 2, F.length("text"))), 6).alias("known_mean"))
+    rows = t.conversations.select("role", "turn", F.length("text").alias("size"))
+    known = F.round(F.avg(F.when(turn < 2, F.col("size"))), 6).alias("known_mean")
+    counts = rows.groupBy("role").agg(F.count("*").alias("n"), F.count_if(turn == 0).alias("passed"), F.count_if(turn == 1).alias("failed"), F.count_if(turn == 2).alias("unparseable"), known)
+    median = O.quantiles(rows, ["role"], "size", {"p50": (F.col("n") + 1) / 2}).withColumnRenamed("role", "of")
+    return counts.join(median, F.col("role").eqNullSafe(F.col("of")), "left").drop("of").withColumn("p50", F.round("p50", 6))
 
 
 @query(r"""
@@ -271,12 +276,8 @@ SELECT event_type, round(quantile_cont(x, 0.5), 6) AS p50, round(any_value(v[j]
 FROM (SELECT p.*, unnest(v) AS x FROM p) GROUP BY event_type""")
 def latency(t: Tables) -> DataFrame:
     """Row 146: median, and p95 by the exclusive method from two order statistics."""
-    n = W.partitionBy("event_type")
-    e = t.events.select("event_type", "value", F.row_number().over(n.orderBy("value")).alias("i"), F.count("*").over(n).alias("n"))
-    place = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(19 * (F.col("n") + 1) / 20)))
-    part = 19 * (F.col("n") + 1) / 20 - place
-    weight = F.when(F.col("n") == 1, 1.0).when(F.col("i") == place, 1 - part).when(F.col("i") == place + 1, part)
-    return e.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.sum(F.col("value") * weight), 6).alias("p95"))
+    found = O.quantiles(t.events, ["event_type"], "value", {"p50": (F.col("n") + 1) / 2, "p95": 19 * (F.col("n") + 1) / 20})
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query(r"""
