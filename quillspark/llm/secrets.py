@@ -42,6 +42,8 @@ RUN, CUT = "[A-Za-z0-9+/_=-]{20,}", 0.5
 #: Characters of the models, and the count added to each transition.
 CODES, SMOOTH = 128, 0.05
 SAMPLES = 3000
+#: Characters that rules and fillers repeat.
+RULES = "-=_+/xXoOaA0179"
 #: Parts of ordinary identifiers.
 PARTS = (
     "get set read write load store user name file path index count total value item list table column row key map node tree graph query parse token text string number order price date time start end first last next previous parent child left right open close create delete update insert select filter group merge sort join split "
@@ -64,11 +66,14 @@ def default_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     words = [part(k) for k in range(4)]
     caps = [F.initcap(w) for w in words]
     join = lambda by: F.concat_ws(by, *words)
-    style = F.pmod(F.col("id"), F.lit(10))
+    style = F.pmod(F.col("id"), F.lit(14))
     number = F.pmod(F.col("id") * 7919, F.lit(997)).cast("string")
     ordinary = (
         F.when(style < 2, join("_")).when(style < 4, F.concat(words[0], *caps[1:])).when(style == 4, F.upper(join("_"))).when(style == 5, join("-"))
-        .when(style == 6, join("/")).when(style == 7, F.concat(*caps, number)).when(style == 8, F.upper(join(""))).otherwise(join(""))
+        .when(style == 6, join("/")).when(style == 7, F.concat(*caps, number)).when(style == 8, F.upper(join(""))).when(style == 9, join(""))
+        .when(style == 10, F.concat(F.lit("/"), words[0], F.lit("/"), words[1], F.lit("-"), words[2], F.lit("/"), words[3], F.lit("_"), number))
+        .when(style == 11, F.repeat(F.element_at(F.split(F.lit(RULES), ""), (F.pmod(F.col("id"), F.lit(len(RULES))) + 1).cast("int")), F.lit(30)))
+        .when(style == 12, F.concat(F.repeat(F.lit("-="), F.lit(6)), words[0], F.repeat(F.lit("=-"), F.lit(6)))).otherwise(F.concat_ws("/", words[0], number, words[1], number, words[2]))
     )
     return ids.select(random.alias("text"), F.lit(1).alias("random")).unionByName(ids.select(ordinary.alias("text"), F.lit(0).alias("random")))
 
@@ -82,14 +87,9 @@ def train(samples: DataFrame) -> list[float]:
     row = W.partitionBy(F.floor(F.col("at") / CODES))
     whole = lambda c: F.sum(c).over(row) + SMOOTH * CODES
     ratio = F.log((F.col("hit") + SMOOTH) / whole("hit")) - F.log((F.col("miss") + SMOOTH) / whole("miss"))
-    # A transition that the row has but neither sample shows still tells the rows' totals apart.
-    unseen = F.log(whole("miss") / whole("hit"))
-    found = counts.select("at", ratio.alias("ratio"), unseen.alias("unseen")).collect()
+    # A transition that neither sample shows says nothing.
     out = [0.0] * (CODES * CODES)
-    for r in found:
-        first = r["at"] // CODES * CODES
-        out[first : first + CODES] = [r["unseen"]] * CODES
-    for r in found:
+    for r in counts.select("at", ratio.alias("ratio")).collect():
         out[r["at"]] = r["ratio"]
     return out
 
