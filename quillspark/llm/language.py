@@ -7,9 +7,10 @@ compared with every codeword by the summed hinge loss; the nearest codeword wins
 share in a softmax over negative losses, and a lead under AMBIGUOUS marks the text as ambiguous.
 
 Codewords: all distinct splits of the languages for up to EXHAUSTIVE languages, else the best of
-TRIES seeded random codes by least distance. Learning takes LEARNT texts of each language at most,
-or ALL / languages where that is fewer, those with the smallest hash of id and text, plus short pieces of them; the classifiers are a fixed
-number of floats, whatever the corpus holds.
+TRIES seeded random codes by least distance, whose length grows with the logarithm of the number of
+languages. Every language is learnt: from LEARNT texts at most, or ALL / languages where that is
+fewer, but from one in any case, those with the smallest hash of id and text, plus short pieces of
+them. So what reaches the driver is bounded by ALL, or by one text for each language.
 
 Defined results: texts that are null or have no letter are `und` with score 0; ties go to the
 language first in order; with one learned language every other text is that one; with none all are
@@ -30,15 +31,17 @@ from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StringType, S
 from pyspark.sql.window import Window as W
 
 from .features import ngram_counts, pack, unit, unpack
-from .shared import crc_of, documents, map_texts, text_batches
+from .shared import crc_of, documents, map_texts, materialize, text_batches
 
-#: Texts of each language that are learnt from at most, and of all, and languages at most (by number of texts).
-LEARNT, ALL, LANGUAGES = 150, 4000, 400
+#: Texts of each language that are learnt from at most, and of all (but one of each language in any case).
+LEARNT, ALL = 150, 4000
 BITS, SIZES = 12, (1, 2, 3, 4)
 EXHAUSTIVE, TRIES = 7, 200
 #: Characters of the short pieces of each learnt text that are learnt from as well.
 PIECES = (20, 60, 200)
 RIDGE, STEEP, AMBIGUOUS = 0.003, 6.0, 0.2
+#: Numbers that decoding holds at once.
+MOST = 1 << 22
 FOLDS, HELD_OUT = 4, 2
 
 _LETTER = regex.compile(r"\p{L}")
@@ -67,7 +70,7 @@ def codewords(languages: int) -> np.ndarray:
         rows = [np.ones(len(splits), int), *((splits >> k & 1) ^ 1 for k in range(languages - 1))]
         return (2 * np.array(rows) - 1).astype(np.float32)
     rng, best, far = np.random.default_rng(11), None, -1
-    for _ in range(TRIES):
+    for _ in range(TRIES if languages <= 500 else 1):  # long codes are far apart by themselves
         code = rng.choice(np.array([-1, 1], np.float32), (languages, int(np.ceil(12 * np.log2(languages)))))
         apart = (code.shape[1] - code @ code.T) / 2 + np.eye(languages) * code.shape[1]
         if apart.min() > far:
@@ -85,7 +88,10 @@ class Codes:
     def decode(self, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, score and lead over the next one."""
         margin = vector(tf) @ self.weights + self.bias
-        loss = np.maximum(0, 1 - margin[:, None, :] * self.words[None]).mean(axis=2)
+        loss = np.empty((len(tf), len(self.words)), np.float32)
+        step = max(1, MOST // max(1, margin.size))  # codewords at a time
+        for k in range(0, len(self.words), step):
+            loss[:, k : k + step] = np.maximum(0, 1 - margin[:, None, :] * self.words[None, k : k + step]).mean(axis=2)
         chance = np.exp(-STEEP * (loss - loss.min(axis=1, keepdims=True)))
         chance /= chance.sum(axis=1, keepdims=True)
         ordered = np.sort(chance, axis=1)
@@ -120,19 +126,18 @@ def pieces(text: str) -> list[str]:
     return [t for t in found if _LETTER.search(t)]
 
 
-def train(docs: DataFrame, limit: int = LEARNT, languages: int = LANGUAGES) -> Codes:
+def train(docs: DataFrame, limit: int = LEARNT) -> Codes:
     """Learns from text and lang of the rows given, by a bounded sample of each language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    limit = max(1, min(limit, ALL // max(1, len(common))))
-    # Enough hash range for the limit, so that the window sees few rows of the hot language.
-    share = F.create_map(*[F.lit(x) for lang, n in common.items() for x in (lang, min(1.0, 3.0 * limit / n))]) if common else F.lit(None)
+    # One row for each language.
+    sizes = materialize(known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")), "languages")
+    limit = max(1, min(limit, ALL // max(1, sizes.count())))
     # By id and text: ids may be null or stand for many rows.
     name = F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.xxhash64("text").cast("string"))
-    place = F.crc32(name.cast("binary"))
-    few = known.withColumn("place", place).filter(F.col("lang").isin(list(common))) if common else known.limit(0).withColumn("place", place)
-    if common:
-        few = few.filter(F.col("place") < share[F.col("lang")] * (1 << 32))
+    # Enough hash range for the limit, so that the window sees few rows of a hot language; where
+    # a language is small, all its rows are looked at.
+    share = F.when(F.col("n") > 30 * limit, 3.0 * limit / F.col("n")).otherwise(1.0)
+    few = known.withColumn("place", F.crc32(name.cast("binary"))).join(sizes, F.col("lang") == F.col("of")).filter(F.col("place") < share * (1 << 32))
     nth = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text")))
     few = few.select("lang", "text", nth.alias("nth")).filter(F.col("nth") <= limit)
 

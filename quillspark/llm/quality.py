@@ -8,7 +8,7 @@ are computed as exact blocked matrix products, and the NEIGHBOURS largest vote w
 that grow with the cosine. A score is the weighted share of label 1.
 
 Defined results: null and empty texts have no vector and get the labels' mean; texts that equal a
-labelled one are scored like any other; duplicate label rows vote each; an empty label table
+labelled one are scored like any other; of repeated label rows of a document the largest counts; an empty label table
 gives 0.5 to everything; other columns are kept, clashing `score` and `predicted` are replaced.
 """
 
