@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import chunking as C
 from ..operators import markup as M
 from ..operators import rendering as R
+from ..operators import tablefunctions as TF
 from .registry import Tables, query
 
 
-@query(r"""
+_FIXED = r"""
 WITH RECURSIVE d AS (SELECT doc_id, text, translate(text, chr(10), ' ') AS flat, length(text) AS n FROM documents WHERE text <> ''),
 s AS (
   SELECT doc_id, 0 AS i, 0 AS a, CASE WHEN n <= 1000 THEN n ELSE CASE WHEN strpos(reverse(substr(flat, 951, 50)), ' ') > 0 THEN 1001 - strpos(reverse(substr(flat, 951, 50)), ' ') ELSE 1000 END END AS b FROM d
@@ -19,12 +20,24 @@ s AS (
   SELECT doc_id, i + 1, a2, CASE WHEN a2 + 1000 >= n THEN n WHEN strpos(reverse(substr(flat, a2 + 951, 50)), ' ') > 0 THEN a2 + 1001 - strpos(reverse(substr(flat, a2 + 951, 50)), ' ') ELSE a2 + 1000 END
   FROM (SELECT *, CASE WHEN b - 150 <= a THEN b ELSE CASE WHEN strpos(substr(flat, b - 150 + 1, least(b, b - 150 + 50) - (b - 150)), ' ') > 0 THEN greatest(b - 150 + strpos(substr(flat, b - 150 + 1, least(b, b - 150 + 50) - (b - 150)), ' '), 0) ELSE b - 150 END END AS a2 FROM s JOIN d USING (doc_id) WHERE b < n)
 ), k AS (SELECT doc_id, i, a, b, trim(substr(text, a + 1, b - a), ' ' || chr(10)) AS part FROM s JOIN d USING (doc_id))
-SELECT doc_id::VARCHAR || '::chunk' || i AS chunk_id, a::INT AS char_start, b::INT AS char_end, sha256(part) AS content_hash FROM k WHERE part <> ''""")
+SELECT doc_id::VARCHAR || '::chunk' || i AS chunk_id, a::INT AS char_start, b::INT AS char_end, sha256(part) AS content_hash FROM k WHERE part <> ''"""
+
+
+@query(_FIXED)
 def chunk_fixed(t: Tables) -> DataFrame:
     """Rows 54, 225-228, 331: overlapping windows that end and begin at blanks."""
     return C.fixed_chunks(t.documents, "doc_id", "text").select("chunk_id", "char_start", "char_end", F.sha2("text", 256).alias("content_hash"))
 
 
+@query(_FIXED)
+def chunk_sql(t: Tables) -> DataFrame:
+    """Rows 54, 225-229, 331 by a table function of SQL: a lateral join of texts with their chunks."""
+    TF.register(t.spark)
+    t.documents.createOrReplaceTempView("chunked_documents")
+    made = t.spark.sql("SELECT doc_id, c.* FROM chunked_documents d, LATERAL fixed_chunks(d.text, 1000, 150) c")
+    return made.select(F.concat(F.col("doc_id").cast("string"), F.lit("::chunk"), F.col("chunk_index").cast("string")).alias("chunk_id"), "char_start", "char_end", F.sha2("text", 256).alias("content_hash"))
+
+
 @query("SELECT doc_id || '::chunk0' AS chunk_id, length(text)::INT AS char_end, sha256(text) AS content_hash FROM documents WHERE trim(text, ' ' || chr(10)) <> ''")
 def chunk_whole(t: Tables) -> DataFrame:
     """Rows 229, 332: one chunk per document."""

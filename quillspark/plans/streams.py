@@ -64,3 +64,24 @@ def streamed_budget(t: Tables) -> DataFrame:
     S.write_log(_turns(t), folder, "written", _files(t))
     out = S.run_budgeted(t.spark, folder, 2, "America/Los_Angeles", "1 day")
     return out.select(F.col("id").alias("event_id"), "day", "used", "allowed")
+
+
+@query("SELECT event_id::VARCHAR AS turn_id, 'q' || user_id AS query, event_type AS stage, round(value, 6) AS elapsed, 2::INT AS attempt, CASE WHEN value > 50 THEN 'good' ELSE 'weak' END AS outcome FROM events")
+def recorded_turns(t: Tables) -> DataFrame:
+    """Rows 28, 34, 399 and TurnSink of section 2.18: turns with nested attempts and stages, streamed
+    into a sink that commits whole batches, and read back as spans."""
+    from ..sources import loaders
+
+    t.spark.dataSource.register(loaders.TurnSink)
+    folder, state = S.fresh_root(t.spark, "turns"), S.fresh_root(t.spark, "state")
+    outcome = F.when(F.col("value") > 50, "good").otherwise("weak")
+    attempt = lambda nth, outcome: F.struct(F.lit(nth).alias("nth"), F.lit("q").alias("query"), F.array().cast("array<string>").alias("passages"), outcome.alias("outcome"))
+    none = F.array().cast("array<struct<tool:string,arguments:string,status:string>>")
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet").select(
+        F.col("event_id").cast("string").alias("turn_id"), F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("query"), F.lit("answered").alias("outcome"),
+        F.lit(None).cast("string").alias("answer"), F.array(attempt(1, F.lit("weak")), attempt(2, outcome)).alias("attempts"), F.array(F.struct(F.col("event_type").alias("stage"), F.col("value").alias("elapsed"), F.lit(2).alias("attempt"))).alias("events"),
+        none.alias("calls"), F.struct(F.lit(1).alias("requests"), F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens")).alias("usage"),
+    )
+    stream.writeStream.format("turns").option("path", folder).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    spans = loaders.read_turns(t.spark, folder).select("turn_id", "query", "attempts", F.inline("events"))
+    return spans.select("turn_id", "query", "stage", F.round("elapsed", 6).alias("elapsed"), "attempt", F.element_at("attempts", F.col("attempt"))["outcome"].alias("outcome"))
