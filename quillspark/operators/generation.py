@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import build_list, fingerprint, first_word, pass_fail, strip, strip_citations
 from .turnlog import transcript
@@ -27,18 +27,33 @@ def stub_generate(prompts: list[str]) -> list[str]:
     return [replies[hashlib.blake2b(p.encode(), digest_size=1).digest()[0] % len(replies)] for p in prompts]
 
 
-def generated(df: DataFrame, prompt: Column, out: str = "reply", generate: Generator = stub_generate) -> DataFrame:
-    """Adds replies; a batch that fails gives nulls, so that a step can go on without them."""
+def replies(prompts: list[str], generate: Generator) -> list[tuple[str | None, str | None]]:
+    """(reply, error) of each prompt. Prompts that fail together are asked again by halves, so that
+    only those that fail by themselves have no reply."""
+    try:
+        found = list(generate(prompts))
+        if len(found) != len(prompts):
+            raise ValueError(f"{len(found)} replies to {len(prompts)} prompts")
+        return [(r, None) for r in found]
+    except Exception as e:  # noqa: BLE001  a generator may fail in any way
+        if len(prompts) < 2:
+            return [(None, f"{type(e).__name__}: {e}") for _ in prompts]
+        half = len(prompts) // 2
+        return replies(prompts[:half], generate) + replies(prompts[half:], generate)
 
-    @F.pandas_udf(StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def generated(df: DataFrame, prompt: Column, out: str = "reply", generate: Generator = stub_generate, error: str | None = None) -> DataFrame:
+    """Adds replies, null where the generator failed, and under `error` why it did."""
+    kind = StructType([StructField("reply", StringType()), StructField("error", StringType())])
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            try:
-                yield pd.Series(generate([x or "" for x in b]))
-            except Exception:  # noqa: BLE001  a generator may fail in any way
-                yield pd.Series([None] * len(b), dtype=object)
+            yield pd.DataFrame(replies([x or "" for x in b], generate), columns=["reply", "error"])
 
-    return df.withColumn(out, run(prompt))
+    asked = df.withColumn("_asked", run(prompt))
+    added = {out: F.col("_asked.reply"), **({error: F.col("_asked.error")} if error else {})}
+    return asked.withColumns(added).drop("_asked")
 
 
 def contextualized(chunks: DataFrame, documents: DataFrame, cache: DataFrame, model: str, most: int, generate: Generator = stub_generate) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "retrieval", "judging", "corpus", "turns", "chunks", "models", "harness", "composed", "drafting", "vectors", "streams")
+MODULES = ("texts", "retrieval", "judging", "corpus", "turns", "chunks", "models", "harness", "composed", "drafting", "vectors", "streams", "answering")
 
 
 def load() -> tuple[dict, dict]:
