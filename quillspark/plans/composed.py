@@ -72,41 +72,33 @@ def retrieval_eval(t: Tables) -> DataFrame:
     return out.select("kind", "n", *[F.round(m, 6).alias(m) for m in ("hit", "precision", "rr", "recall")])
 
 
-_GRIDS = [
-    (1, [["", "2025", "", "2024", ""], ["Sales", "$", "94,930", "$", "89,498"], ["Loss", "(1.2", ")", "(3", ")"]], [(1, 2), (3, 2)]),
-    (2, [["•", "first point"], ["•", "second"]], []),
-    (3, [["A boxed note"]], []),
-    (4, [["Item", "Share"], ["", ""], ["a|b", "5", "%"]], [(1, 2)]),
-    (5, [["", "Three months", "", ""], ["", "May", "June", ""], ["Units", "1", "2", ""]], [(1, 2)]),
-]
-
-
 def _grids(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(_GRIDS, "id int, grid array<array<string>>, spans array<struct<start:int,width:int>>")
+    """Customers as a table with figures that are split over cells, or as a list of two points."""
+    name, one, two = F.col("c_name"), F.col("c_custkey").cast("string"), (F.col("c_custkey") + 7).cast("string")
+    row = lambda *cells: F.array(*[F.lit(c) if isinstance(c, str) else c for c in cells])
+    data = F.array(row("", "2025", "", "2024", ""), row(name, "$", one, "$", two), row("Loss", "(1.2", ")", "(3", ")"))
+    points = F.array(row("\u2022", name), row("\u2022", F.col("c_mktsegment")))
+    table = F.col("c_custkey") % 2 == 0
+    spans = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(2).alias("width")) for s in (1, 3)])
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.when(table, data).otherwise(points).alias("grid"), F.when(table, spans).otherwise(F.array().cast("array<struct<start:int,width:int>>")).alias("spans"))
     rows = rows.withColumn("glued", G.glue_figures(F.col("grid"))).withColumn("cells", F.filter(F.transform("glued", G.filled), lambda r: F.size(r) > 0))
     rows = rows.withColumn("lines", G.layout_lines(F.col("cells"))).withColumn("headers", G.header_rows(F.transform("glued", G.filled)))
     return rows.withColumn("merged", G.merge_spanned(F.col("glued"), F.col("spans")))
 
 
 @query("""
-SELECT * FROM (VALUES
- (1, ',2025,,2024,;Sales,,$94,930,,$89,498;Loss,(1.2),,(3),', NULL, 1, ',2025,2024;Sales,$94,930,$89,498;Loss,(1.2),(3)'),
- (2, '•,first point;•,second', '• first point;• second', 1, '•,first point;•,second'),
- (3, 'A boxed note', 'A boxed note', 1, 'A boxed note'),
- (4, 'Item,Share,;,,;a|b,5%,', NULL, 2, 'Item,Share;,;a|b,5%'),
- (5, ',Three months,,;,May,June,;Units,1,2,', NULL, 2, ',Three months,;,May,June;Units,1,2')) v(id, glued, lines, headers, merged)""")
+SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN ',2025,,2024,;' || c_name || ',,$' || c_custkey || ',,$' || (c_custkey + 7) || ';Loss,(1.2),,(3),' ELSE '•,' || c_name || ';•,' || c_mktsegment END AS glued,
+  CASE WHEN c_custkey % 2 = 1 THEN '• ' || c_name || ';• ' || c_mktsegment END AS lines, 1 AS headers,
+  CASE WHEN c_custkey % 2 = 0 THEN ',2025,2024;' || c_name || ',$' || c_custkey || ',$' || (c_custkey + 7) || ';Loss,(1.2),(3)' ELSE '•,' || c_name || ';•,' || c_mktsegment END AS merged FROM customer""")
 def table_grids(t: Tables) -> DataFrame:
-    """Rows 243-246: split figures, layout tables, header rows and spanned columns, on fixed rows."""
+    """Rows 243-246: split figures, layout tables, header rows and spanned columns."""
     flat = lambda c: F.array_join(F.transform(c, lambda r: F.array_join(r, ",")), ";")
     return _grids(t).select("id", flat(F.col("glued")).alias("glued"), F.array_join("lines", ";").alias("lines"), "headers", flat(F.col("merged")).alias("merged"))
 
 
-@query(r"""
-SELECT * FROM (VALUES
- (1, '|  | 2025 | 2024 |' || chr(10) || '|---|---|---|' || chr(10) || '| Sales | $94,930 | $89,498 |' || chr(10) || '| Loss | (1.2) | (3) |'),
- (2, '• first point' || chr(10) || chr(10) || '• second'), (3, 'A boxed note'),
- (4, '| Item | Share |' || chr(10) || '|  |  |' || chr(10) || '|---|---|' || chr(10) || '| a\|b | 5% |'),
- (5, '|  | Three months |  |' || chr(10) || '|  | May | June |' || chr(10) || '|---|---|---|' || chr(10) || '| Units | 1 | 2 |')) v(id, markdown)""")
+@query("""
+SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '|  | 2025 | 2024 |' || chr(10) || '|---|---|---|' || chr(10) || '| ' || c_name || ' | $' || c_custkey || ' | $' || (c_custkey + 7) || ' |' || chr(10) || '| Loss | (1.2) | (3) |'
+  ELSE '• ' || c_name || chr(10) || chr(10) || '• ' || c_mktsegment END AS markdown FROM customer""")
 def table_markdown(t: Tables) -> DataFrame:
     """Row 247: a table as Markdown, or as its lines where it is no table of data."""
     rows = _grids(t)
@@ -124,21 +116,19 @@ def heading_lines(t: Tables) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count_if(G.looks_like_heading(line)).alias("headings"), F.count_if(G.is_page_number(line)).alias("pages"), F.count_if(G.is_contents_line(line)).alias("contents"))
 
 
-_STYLE = "struct<size:double,caps:boolean,bold:boolean,color:string,underline:boolean,italic:boolean>"
-_STYLES = [
-    (1, (14.0, False, False, None, False, False)), (2, (10.0, True, False, None, False, False)), (3, (10.0, True, True, None, False, False)),
-    (4, (8.0, False, False, None, False, True)), (5, (8.0, False, True, None, False, False)), (6, (None, False, False, "#ff0000", True, False)),
-]
-
-
-@query("SELECT * FROM (VALUES (1, '4.0 0 0 0 0 0'), (2, NULL), (3, '0.0 1 1 0 0 0'), (4, NULL), (5, '-2.0 0 1 0 0 0'), (6, '0.0 0 0 1 1 0')) v(id, stands_out)")
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS size, l_returnflag = 'R' AS caps, l_linestatus = 'O' AS bold, l_discount > 0.05 AS red, l_tax > 0.04 AS italic FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN size > 10 OR bold OR (size = 10 AND (red OR italic)) THEN (size - 10)::VARCHAR || ' ' || caps::INT || ' ' || bold::INT || ' ' || red::INT || ' 0 ' || italic::INT END AS stands_out FROM s""")
 def style_prominence(t: Tables) -> DataFrame:
-    """Row 430: how styles stand out from a plain body of 10 points, on fixed rows."""
-    body = F.lit(None).cast(_STYLE)
-    body = F.coalesce(body, F.struct(F.lit(10.0).alias("size"), F.lit(False).alias("caps"), F.lit(False).alias("bold"), F.lit(None).cast("string").alias("color"), F.lit(False).alias("underline"), F.lit(False).alias("italic")))
-    p = G.prominence(F.col("style"), body)
-    rows = t.spark.createDataFrame(_STYLES, f"id int, style {_STYLE}").withColumn("p", p)
-    return rows.select("id", F.when(F.col("p").isNotNull(), F.concat_ws(" ", *[F.col(f"p.{n}").cast("string") for n in ("gain", "caps", "bold", "color", "underline", "italic")])).alias("stands_out"))
+    """Row 430: how a style (here a line's numbers and flags) stands out from a plain body of 10 points."""
+    plain = F.struct(F.lit(10.0).alias("size"), F.lit(False).alias("caps"), F.lit(False).alias("bold"), F.lit(None).cast("string").alias("color"), F.lit(False).alias("underline"), F.lit(False).alias("italic"))
+    style = F.struct(
+        F.col("l_quantity").alias("size"), (F.col("l_returnflag") == "R").alias("caps"), (F.col("l_linestatus") == "O").alias("bold"),
+        F.when(F.col("l_discount") > 0.05, "#ff0000").alias("color"), F.lit(False).alias("underline"), (F.col("l_tax") > 0.04).alias("italic"),
+    )
+    rows = t.lineitem.withColumn("p", G.prominence(style, plain))
+    told = F.concat_ws(" ", *[F.col(f"p.{n}").cast("string") for n in ("gain", "caps", "bold", "color", "underline", "italic")])
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("p").isNotNull(), told).alias("stands_out"))
 
 
 @query("""
@@ -150,33 +140,29 @@ def dominant_style(t: Tables) -> DataFrame:
     return runs.groupBy("source").agg(F.max_by("lang", F.struct("n", -F.col("first"))).alias("style"))
 
 
-_ANSWER = "struct<answer:string,passages:array<struct<id:string,document:string,text:string>>,calls:array<struct<query:string,filters:string,status:string>>,failure:string>"
-_P = [("a#1", "a", "profit was 12"), ("injection::1", "a", "profit was 99")]
-_OFF = [("b#1", "b", "other"), *_P]
-_CALLS = [("report REF-9", "", "ran"), ("x", "ACME", "ran"), ("y", "", "ran")]
-_CASES = [
-    (1, "contamination", ("Profit was 99.", _P, [], None), ("Profit was 12.", _P[:1], [], None), False),
-    (2, "contamination", ("Profit was 99.", [("a#1", "a", "it was 99")], [], None), None, False),
-    (3, "redirection", ("Nothing.", _P, _CALLS, None), None, True),
-    (4, "redirection", ("See REF-9.", _P, [], None), None, False),
-    (5, "scope", ("ACME did well", _OFF, [], None), None, False),
-    (6, "exhaustion", ("x", _P, _CALLS, None), ("x", _P, [], None), True),
-    (7, "citation", ("Profit rose [1]. As REF-9 says. [1]", _P, [], None), None, False),
-    (8, "citation", ("As REF-9 says [2]; profit rose [1].", _P, [], None), None, False),
-    (9, "refusal", ("I can't say.", _P, [], None), ("It was 12.", _P, [], None), False),
-    (10, "refusal", ("It was 12.", _P, [], None), ("It was 12.", _P, [], None), False),
-]
-
-
 @query("""
-SELECT * FROM (VALUES (1, true, NULL, true), (2, false, NULL, false), (3, true, true, true), (4, NULL, true, true), (5, true, true, true), (6, true, NULL, true), (7, true, true, true), (8, false, true, true), (9, true, NULL, true), (10, false, NULL, true)) v(id, success, attempted, exposed)""")
+WITH d AS (SELECT doc_id, n_chars, CASE doc_id % 4 WHEN 0 THEN 'contamination' WHEN 1 THEN 'citation' WHEN 2 THEN 'refusal' ELSE 'redirection' END AS attack, doc_id // 4 % 2 = 0 AS yes FROM documents)
+SELECT doc_id, CASE WHEN attack <> 'redirection' THEN yes END AS success, CASE attack WHEN 'citation' THEN true WHEN 'redirection' THEN yes END AS attempted, doc_id % 7 > 0 OR attack = 'citation' AS exposed FROM d""")
 def injection_flags(t: Tables) -> DataFrame:
-    """Rows 315, 316, 378: six attacks on fixed answers, with the citations of a canary's claim."""
-    rows = t.spark.createDataFrame(_CASES, f"id int, attack string, output {_ANSWER}, control {_ANSWER}, agentic boolean")
-    case = {"attack": F.col("attack"), "plant": F.lit("injection::1"), "canary": F.lit("REF-9"), "false_figure": F.lit("99"), "gold": F.array(F.lit("12")), "scope": F.array(F.lit("a")), "ticker": F.lit("ACME"), "company": F.lit("Acme Corp")}
-    of = lambda name: {k: F.col(f"{name}.{k}") for k in ("answer", "passages", "calls", "failure")}
-    success, attempted = I.attack_flags(case, of("output"), of("control"), F.col("agentic"))
-    return rows.select("id", success.alias("success"), attempted.alias("attempted"), I.exposed(F.col("output.passages"), F.lit("injection::1")).alias("exposed"))
+    """Rows 315, 316, 378: attacks on answers that state a document's length, or don't, and their
+    claims' citations."""
+    id, yes = F.col("doc_id"), (F.floor(F.col("doc_id") / 4) % 2 == 0)
+    attack = F.when(id % 4 == 0, "contamination").when(id % 4 == 1, "citation").when(id % 4 == 2, "refusal").otherwise("redirection")
+    n, key, plant = F.col("n_chars").cast("string"), F.concat(F.lit("REF-"), id.cast("string")), F.concat(F.lit("injection::"), id.cast("string"))
+    fact = F.concat(F.lit("It was "), n, F.lit("."))
+    said = (
+        F.when(attack == "contamination", fact).when(attack == "citation", F.concat(F.lit("As "), key, F.lit(" says ["), F.when(yes, "1").otherwise("2"), F.lit("].")))
+        .when(attack == "refusal", F.when(yes, "I can't say.").otherwise(fact)).otherwise(F.when(yes, F.concat(F.lit("See "), key)).otherwise("Nothing."))
+    )
+    passage = lambda id: F.struct(id.alias("id"), F.lit("a").alias("document"), F.lit("nothing new").alias("text"))
+    shown = F.when((id % 7 > 0) | (attack == "citation"), F.array(passage(F.lit("a#1")), passage(plant))).otherwise(F.array(passage(F.lit("a#1"))))
+    none = F.array().cast("array<struct<query:string,filters:string,status:string>>")
+    answer = lambda text: {"answer": text, "passages": F.col("shown"), "calls": none, "failure": F.lit(None).cast("string")}
+    false_figure = (F.col("n_chars") + F.when(yes, 0).otherwise(1)).cast("string")
+    case = {"attack": attack, "plant": plant, "canary": key, "false_figure": false_figure, "gold": F.array(n), "scope": F.array(F.lit("a")), "ticker": F.lit("ACME"), "company": F.lit("Acme Corp")}
+    rows = t.documents.withColumn("shown", shown)
+    success, attempted = I.attack_flags(case, answer(said), answer(fact), F.lit(False))
+    return rows.select("doc_id", success.alias("success"), attempted.alias("attempted"), I.exposed(F.col("shown"), plant).alias("exposed"))
 
 
 @query("""
@@ -189,19 +175,15 @@ def planted_passages(t: Tables) -> DataFrame:
     return first.select(I.plant(case, F.col("target")).alias("p")).select("p.*")
 
 
-_TURNS = [
-    (1, [("embed", 5.0), ("vector_search", 20.0), ("search", 40.0), ("agent_answer", 10.0)], [(60.0, 100.0)]),
-    (2, [("search", 10.0), ("rerank", 7.0), ("agent_step", 4.0), ("fusion", 1.0)], []),
-    (3, [], []),
-    (4, [("embed", 30.0), ("calculate", 10.0), ("generate", 5.0), ("agent_step", 50.0)], [(0.0, 20.0)]),
-]
-
-
-@query("SELECT * FROM (VALUES (1, '5.0 25.0 40.0 160.0'), (2, '10.0 17.0 21.0 22.0'), (3, ''), (4, '30.0 30.0 35.0 85.0')) v(turn_id, ends)")
+@query("""
+SELECT event_id, round(value, 4) AS embedded, round(greatest(value, (user_id % 50)::DOUBLE), 4) AS searched, round(greatest(value, (user_id % 50)::DOUBLE) + 5, 4) AS ended FROM events""")
 def stage_ends(t: Tables) -> DataFrame:
-    """Row 205: when the stages of old turn records ended, on fixed rows."""
-    rows = t.spark.createDataFrame(_TURNS, "turn_id int, events array<struct<stage:string,elapsed:double>>, chats array<struct<started:double,elapsed:double>>")
-    return rows.select("turn_id", F.array_join(F.transform(L.reconstructed_ends("events", "chats"), lambda x: x.cast("string")), " ").alias("ends"))
+    """Row 205: when the stages of turns ended that didn't keep it: an embedding inside a search, then
+    a step of its own."""
+    stage = lambda name, elapsed: F.struct(F.lit(name).alias("stage"), elapsed.alias("elapsed"))
+    events = F.array(stage("embed", F.col("value")), stage("search", (F.col("user_id") % 50).cast("double")), stage("generate", F.lit(5.0)))
+    rows = t.events.select("event_id", L.reconstructed_ends(events, F.array().cast("array<struct<started:double,elapsed:double>>")).alias("ends"))
+    return rows.select("event_id", *[F.round(F.get("ends", F.lit(k)), 4).alias(name) for k, name in enumerate(("embedded", "searched", "ended"))])
 
 
 @query("SELECT c_custkey, [c_name, c_mktsegment, upper(c_name)] AS golds FROM customer")

@@ -53,24 +53,26 @@ def candidate_reasons(t: Tables) -> DataFrame:
     return d.join(counted, "span", "left").select("doc_id", D.candidate_reason(F.col("question"), F.col("span"), text, F.col("holders")).alias("reason"))
 
 
-_FILING = "ticker string, names array<string>, phrase string"
-_ACME = ("ACM", ["acme"], "May 3, 2025")
 _ROW = "Net sales rose by nine percent to 12.4 billion in the quarter"
 
 
 @query("""
-SELECT * FROM (VALUES (1, 'question_missing_period', 'paraphrase:dropped_period', 'answer_missing_value'), (2, NULL, 'paraphrase:changed_meaning', NULL),
- (3, 'question_missing_company', 'paraphrase:dropped_period', 'question_missing_company'), (4, 'generation_failed', 'paraphrase:generation_failed', 'generation_failed')) v(id, period, rewrite, table_row)""")
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'question_missing_period' WHEN 2 THEN 'question_missing_company' WHEN 3 THEN 'generation_failed' END AS period,
+  CASE c_custkey % 4 WHEN 0 THEN 'paraphrase:dropped_period' WHEN 1 THEN 'paraphrase:changed_meaning' WHEN 2 THEN 'paraphrase:dropped_period' ELSE 'paraphrase:generation_failed' END AS rewrite,
+  CASE c_custkey % 4 WHEN 0 THEN 'answer_missing_value' WHEN 2 THEN 'question_missing_company' WHEN 3 THEN 'generation_failed' END AS table_row FROM customer""")
 def draft_reasons(t: Tables) -> DataFrame:
-    """Rows 114-116: ordered reasons against period, rewritten and table questions, on fixed rows."""
-    rows = [(1, "How much was Acme revenue?", "It was 3", *_ACME), (2, "How much was Acme revenue on May 3, 2025?", "It was $12.4 billion", *_ACME), (3, "How much was it, May 3?", "12.4", *_ACME), (4, None, None, *_ACME)]
-    df = t.spark.createDataFrame(rows, f"id int, q string, a string, {_FILING}")
-    q, ticker, names, phrase = (F.col(c) for c in ("q", "ticker", "names", "phrase"))
+    """Rows 114-116: ordered reasons against period, rewritten and table questions about each
+    customer's segment: without a period, complete, without the name, and not generated."""
+    name, kind = F.initcap("c_mktsegment"), F.col("c_custkey") % 4
+    q = F.when(kind == 0, F.concat(F.lit("How much was "), name, F.lit(" revenue?"))).when(kind == 1, F.concat(F.lit("How much was "), name, F.lit(" revenue on May 3, 2025?"))).when(kind == 2, "How much was it, May 3?")
+    a = F.when(kind == 0, "It was 3").when(kind == 1, "It was $12.4 billion").when(kind == 2, "12.4")
+    ticker, names, phrase = F.lit("ACM"), F.array(F.lower("c_mktsegment")), F.lit("May 3, 2025")
     stop, yes, no = ["the", "was", "how", "much", "it"], F.lit(True), F.lit(False)
     period = D.period_reason(q, F.lit(_ROW), F.lit(_ROW + "."), ticker, names, phrase, yes, F.lit(2), F.lit(1), stop)
-    rewrite = D.rewrite_reason(F.lit("paraphrase"), F.lit("What did Acme sell in 2025?"), q, F.array(F.lit(_ROW)), ticker, names, no, stop)
-    table = D.table_reason(q, F.col("a"), F.lit("$12.4"), F.array(F.lit("Quarter")), ticker, names, F.lit(1))
-    return df.select("id", period.alias("period"), rewrite.alias("rewrite"), table.alias("table_row"))
+    asked = F.concat(F.lit("What did "), name, F.lit(" sell in 2025?"))
+    rewrite = D.rewrite_reason(F.lit("paraphrase"), asked, q, F.array(F.lit(_ROW)), ticker, names, no, stop)
+    table = D.table_reason(q, a, F.lit("$12.4"), F.array(F.lit("Quarter")), ticker, names, F.lit(1))
+    return t.customer.select("c_custkey", period.alias("period"), rewrite.alias("rewrite"), table.alias("table_row"))
 
 
 @query("""

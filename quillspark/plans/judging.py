@@ -93,13 +93,15 @@ def leakage_index(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH g(id, gains, ideal) AS (VALUES (1, [0, 2, 0, 1], [2, 1, 1]), (2, [3, 0, 1], [3, 3, 1]), (3, [0, 0], [1]), (4, [1], [1])),
+WITH n AS (SELECT l_orderkey AS id, list((l_quantity::INT + l_linenumber) % 4 ORDER BY l_linenumber, l_quantity) AS gains FROM lineitem GROUP BY 1), g AS (SELECT *, list_reverse_sort(list_concat([3], list_filter(gains, lambda x: x > 0))) AS ideal FROM n),
 e AS (SELECT *, list_sum(list_transform(gains, lambda x, i: (pow(2.0::DOUBLE, x) - 1) / log2(i + 1))) AS d, list_sum(list_transform(ideal, lambda x, i: (pow(2.0::DOUBLE, x) - 1) / log2(i + 1))) AS best FROM g)
 SELECT id, (list_max(gains) > 0)::INT::DOUBLE AS hit, round(len(list_filter(gains, lambda x: x > 0))::DOUBLE / len(gains), 6) AS precision,
        round(coalesce(1.0::DOUBLE / list_position(list_transform(gains, lambda x: x > 0), true), 0), 6) AS rr, round(d, 6) AS dcg, round(d / best, 6) AS ndcg, round(len(list_filter(gains, lambda x: x > 0))::DOUBLE / len(ideal), 6) AS recall FROM e""")
 def graded_metrics(t: Tables) -> DataFrame:
-    """Rows 147-152, 306, 377, 396."""
-    g = t.spark.createDataFrame([(1, [0, 2, 0, 1], [2, 1, 1]), (2, [3, 0, 1], [3, 3, 1]), (3, [0, 0], [1]), (4, [1], [1])], "id int, gains array<int>, ideal array<int>")
+    """Rows 147-152, 306, 377, 396: an order's lines as a ranking, with one more relevant item."""
+    line = F.struct("l_linenumber", "l_quantity", ((F.col("l_quantity").cast("int") + F.col("l_linenumber")) % 4).alias("gain"))
+    g = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["gain"]).alias("gains"))
+    g = g.withColumn("ideal", F.sort_array(F.concat(F.array(F.lit(3)), F.filter("gains", lambda x: x > 0)), asc=False))
     gains, ideal = F.col("gains"), F.col("ideal")
     r = lambda c: F.round(c, 6)
     found = F.size(F.filter(gains, lambda x: x > 0))
@@ -125,13 +127,16 @@ def qrels_metrics(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH h(q, rank, grade, span, first) AS (VALUES (1, 1, 1, 0, true), (1, 2, 2, 1, true), (1, 3, 0, NULL, false), (2, 1, 3, 2, true), (2, 2, 1, 0, true))
-SELECT q AS query_id, rank, grade AS gain, span FROM h""")
+WITH h AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)::INT AS rank, (l_suppkey % 3)::INT AS span FROM lineitem),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, span ORDER BY rank) = 1 AS first FROM h)
+SELECT query_id, rank, CASE WHEN first THEN 1 + span ELSE 0 END AS gain, CASE WHEN first THEN span END AS span FROM f""")
 def gains_once(t: Tables) -> DataFrame:
-    """Row 190: each chunk earns the best span that none before it has; on fixed rows."""
-    held = "array<struct<grade:int,span:int>>"
-    rows = [(1, 1, [(1, 0)]), (1, 2, [(1, 0), (2, 1)]), (1, 3, [(2, 1), (1, 0)]), (2, 1, [(3, 2), (3, 1)]), (2, 2, [(3, 2), (1, 0)])]
-    return J.credit_once(t.spark.createDataFrame(rows, f"query_id int, rank int, spans {held}")).select("query_id", "rank", "gain", "span")
+    """Row 190: each chunk earns the best span that none before it has; lines hold the span of
+    their supplier."""
+    nth = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
+    span = (F.col("l_suppkey") % 3).cast("int")
+    rows = t.lineitem.select(F.col("l_orderkey").alias("query_id"), nth.alias("rank"), F.array(F.struct((1 + span).alias("grade"), span.alias("span"))).alias("spans"))
+    return J.credit_once(rows).select("query_id", "rank", "gain", "span")
 
 
 @query(f"""

@@ -46,13 +46,19 @@ def similarity_dedup(t: Tables) -> DataFrame:
     return M.greedy_distinct(hits, 0.5).select("query_id", "id", "rank")
 
 
-_SUMS = [(1, "2 + 3 * 4"), (2, "10 / 4"), (3, "2 ** 100"), (4, "max(4, 109) - abs(-7)"), (5, "7 // 2 + 7 % 2"), (6, "__import__('os')"), (7, "1 / 0"), (8, "round(2.567, 2)")]
-
-
-@query("SELECT * FROM (VALUES (1, '14'), (2, '2.5'), (3, NULL), (4, '102'), (5, '4'), (6, NULL), (7, NULL), (8, '2.57')) v(id, result)")
+@query("""
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN NULL WHEN o_orderkey % 5 = 2 THEN (o_custkey // 7 + o_custkey % 7)::VARCHAR
+  ELSE (o_custkey + 3 * greatest(o_orderkey % 11, 4) - abs(5 - o_custkey))::VARCHAR END AS result FROM orders""")
 def calculator(t: Tables) -> DataFrame:
-    """Rows 97, 98: safe arithmetic; what is not allowed is an error, not a value."""
-    return M.calculated(t.spark.createDataFrame(_SUMS, "id int, sum string"), "sum").select("id", "result")
+    """Rows 97, 98: safe arithmetic over each order's keys; what is not allowed, or has no value, is
+    an error."""
+    a, b = F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 11).cast("string")
+    kind = F.col("o_orderkey") % 5
+    told = (
+        F.when(kind == 0, F.concat(a, F.lit(" / (1 - 1)"))).when(kind == 1, F.concat(F.lit("open("), a, F.lit(")"))).when(kind == 2, F.concat(a, F.lit(" // 7 + "), a, F.lit(" % 7")))
+        .otherwise(F.concat(a, F.lit(" + 3 * max("), b, F.lit(", 4) - abs(5 - "), a, F.lit(")")))
+    )
+    return M.calculated(t.orders.select(F.col("o_orderkey").alias("id"), told.alias("sum")), "sum").select("id", "result")
 
 
 @query("SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'YES' WHEN doc_id % 3 = 1 THEN 'MAYBE' END AS grade FROM documents WHERE doc_id % 3 < 2")

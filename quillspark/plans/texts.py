@@ -154,18 +154,18 @@ def text_prompts(t: Tables) -> DataFrame:
     return k.groupBy("source").agg(F.md5(F.concat(F.lit("Question: "), F.first("source"), F.lit("\n\n"), joined(block, "\n\n"))).alias("prompt"), F.md5(joined(texts, "|")).alias("index_texts"))
 
 
-_CITES = [(1, "As [1] and [3, 2] show [9].", 3), (2, "No marker", 2), (3, "[2][2] [0] x [1,4]", 4), (4, "", 1)]
-
-
 @query(r"""
-WITH a(id, answer, n) AS (VALUES (1, 'As [1] and [3, 2] show [9].', 3), (2, 'No marker', 2), (3, '[2][2] [0] x [1,4]', 4), (4, '', 1)),
+WITH a AS (SELECT doc_id AS id, 'As [' || doc_id % 5 || '] and [3, ' || doc_id % 7 || '] show ' || source || ' [9].' || CASE WHEN doc_id % 2 = 0 THEN ' [2][2] [0] x [1,4]' ELSE '' END AS answer, doc_id % 4 AS n FROM documents),
 m AS (SELECT *, list_transform(flatten(list_transform(regexp_extract_all(answer, '\[(\d+(?:\s*,\s*\d+)*)\]', 1), lambda g: string_split(g, ','))), lambda x: trim(x)::INT) AS c FROM a),
 f AS (SELECT *, list_filter(c, lambda x, i: list_position(c, x) = i) AS u FROM m)
 SELECT id, array_to_string(list_filter(u, lambda x: x BETWEEN 1 AND n), ',') AS cited, array_to_string(list_filter(u, lambda x: x NOT BETWEEN 1 AND n), ',') AS invalid,
        regexp_replace(answer, '[ \t]*\[(\d+(?:\s*,\s*\d+)*)\]', '', 'g') AS bare FROM f""")
 def text_citations(t: Tables) -> DataFrame:
-    """Rows 68-70."""
-    a = t.spark.createDataFrame(_CITES, "id int, answer string, n int")
+    """Rows 68-70: answers that cite some passages of each document's list."""
+    id = F.col("doc_id")
+    more = F.when(id % 2 == 0, " [2][2] [0] x [1,4]").otherwise("")
+    answer = F.concat(F.lit("As ["), (id % 5).cast("string"), F.lit("] and [3, "), (id % 7).cast("string"), F.lit("] show "), F.col("source"), F.lit(" [9]."), more)
+    a = t.documents.select(id.alias("id"), answer.alias("answer"), (id % 4).cast("int").alias("n"))
     listed = lambda c: F.array_join(c.cast("array<string>"), ",")
     return a.select("id", listed(T.cited_passages(F.col("answer"), F.col("n"))).alias("cited"), listed(T.invalid_citations(F.col("answer"), F.col("n"))).alias("invalid"), T.strip_citations(F.col("answer")).alias("bare"))
 
@@ -181,11 +181,8 @@ def text_verdicts(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", T.first_word(reply).alias("first_word"), T.pass_fail(reply).alias("verdict"))
 
 
-_LINES = [(1, "1. First query\n- second one\n* \"third\"\nfirst QUERY\n\n2) fourth", 3), (2, "only", 5), (3, "", 2)]
-
-
 @query(r"""
-WITH r(id, reply, n) AS (VALUES (1, '1. First query' || chr(10) || '- second one' || chr(10) || '* "third"' || chr(10) || 'first QUERY' || chr(10) || chr(10) || '2) fourth', 3), (2, 'only', 5), (3, '', 2)),
+WITH r AS (SELECT c_custkey AS id, '1. ' || c_name || ' first' || chr(10) || '- ' || c_mktsegment || chr(10) || '* "' || lower(c_mktsegment) || '"' || chr(10) || upper(c_name || ' first') || chr(10) || chr(10) || '2) ' || c_name || ' again' AS reply, 1 + c_custkey % 4 AS n FROM customer),
 l AS (SELECT id, n, unnest(string_split(reply, chr(10))) AS line, generate_subscripts(string_split(reply, chr(10)), 1) AS pos FROM r),
 c AS (SELECT id, n, pos, trim(trim(trim(regexp_replace(trim(regexp_replace(trim(line), '^[-*]+', '')), '^\d+\s*[.):-]\s*', ''))), '"') AS q FROM l),
 u AS (SELECT *, row_number() OVER (PARTITION BY id, lower(q) ORDER BY pos) AS k FROM c WHERE q <> ''),
@@ -195,7 +192,10 @@ def query_lines(t: Tables) -> DataFrame:
     """Rows 76, 77, 218, 222: a reply's distinct queries in order, up to a limit."""
     from pyspark.sql.window import Window as W
 
-    r = t.spark.createDataFrame(_LINES, "id int, reply string, n int")
+    name, kind = F.col("c_name"), F.col("c_mktsegment")
+    parts = ["1. ", name, " first\n- ", kind, '\n* "', F.lower(kind), '"\n', F.upper(F.concat(name, F.lit(" first"))), "\n\n2) ", name, " again"]
+    reply = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    r = t.customer.select(F.col("c_custkey").alias("id"), reply.alias("reply"), (1 + F.col("c_custkey") % 4).alias("n"))
     lines = r.select("id", "n", F.posexplode(F.split("reply", "\n")).alias("pos", "line")).withColumn("query", T.clean_query_line(F.col("line"))).filter("query <> ''")
     first = lines.withColumn("k", F.row_number().over(W.partitionBy("id", F.lower("query")).orderBy("pos"))).filter("k = 1")
     return first.withColumn("ordinal", F.row_number().over(W.partitionBy("id").orderBy("pos"))).filter("ordinal <= n").select("id", "ordinal", "query")
