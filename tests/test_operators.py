@@ -31,18 +31,20 @@ def test_structured_chunks_cover_and_fit():
     rng = random.Random(4)
     for _ in range(60):
         text = markdown(rng)
-        chunks = [c.parts for c in S.structured(text, S.Rules(500, 60))]
+        made = S.Structure(text, S.Rules(500, 60))
         seen = set()
-        for parts in chunks:
-            a, b, prefix = parts[0].start, parts[-1].end, parts[0].prefix
-            seen.update(range(a, b))
-            assert b - a + len(prefix) <= 500 + C.MIN_CHARS
-            assert prefix == "" or prefix.startswith("| a | b |\n|---|---|")
-            later = [p for p in parts if p.kind == "table" and text[p.start : p.end].startswith("| a")]
-            assert prefix or all(p.kind != "table" for p in parts) or later
+        for c in made.chunks:
+            held = made.blocks[c.first : c.last + 1]
+            seen.update(range(c.start, c.end))
+            assert c.end - c.start + len(c.header) <= 500 + C.MIN_CHARS
+            assert c.header in ("", "| a | b |\n|---|---|")
+            # Rows stand below their header, which is repeated where a table goes on.
+            assert c.header or all(b.kind != "table" or c.start <= b.start for b in held)
         assert all(c.isspace() for i, c in enumerate(text) if i not in seen)
         # A heading ends a chunk only where nothing stands between it and the next section's.
-        assert all(x[-1].kind != "heading" or y[0].kind == "heading" and y[0].level <= 2 for x, y in zip(chunks, chunks[1:], strict=False))
+        for x, y in zip(made.chunks, made.chunks[1:], strict=False):
+            last, first = made.blocks[x.last], made.blocks[y.first]
+            assert last.kind != "heading" or (first.kind == "heading" and first.level <= 2)
 
 
 def test_fixed_spans_advance():
