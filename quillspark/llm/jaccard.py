@@ -12,7 +12,11 @@ each then shares ceil(0.75 n) of its n tokens with the other. In steps:
    This only decides who is compared with whom cheaply; no link rests on it.
 3. Inside a family all classes are compared by token-group matrices (links.Block): families are
    dealt into blocks, a block meets those of fitting size, and a task opens only the groups whose
-   token union can hold enough of a set's tokens.
+   token union can hold enough of a set's tokens. A large family first gets a core, the tokens
+   that most of some of its sets hold, and its sets are given by their differences from it
+   (links). Pairs near enough to the core link for certain; they are counted by running sums over
+   distances, without pairs. Only sets that can have other links go to blocks, and of these only
+   the differences. The core decides who is compared, not who links.
 4. Across families the matrix is a table. Support is counted again, by tokens that another family
    holds, first over half of the tokens, then over all; few classes stay. Their tokens are
    ordered by the exact number of holders, rarest first, and of a set that has s of its n
@@ -41,11 +45,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .links import GROUP, SIMILAR, count_links
+from .links import GROUP, SIMILAR, apart, count_links, limit
 from .shared import documents, forget, map_texts, materialize, text_batches
 from .shingles import digest, shingle_set
 
@@ -55,6 +59,8 @@ SIGNATURE, MEET, ALIKE = 24, 8, 10
 COUNTED, RANGE = 1 << 21, 1 << 20
 #: Classes of a block while a family has no more than FEW blocks of a size, and tokens of a block.
 MEMBERS, FEW, TOKENS = 256, 16, 1 << 20
+#: Members of a block at most, and sets, about, that make the core of a family of over MEMBERS.
+WIDE, CORE = 1 << 14, 64
 #: Classes that ask one opened group in one task.
 ASKING = 4096
 #: A table of ids is broadcast up to this many (16 bytes each), else it is shuffled.
@@ -262,14 +268,59 @@ def alike(classes: DataFrame) -> DataFrame:
 _LINKS = "class long, links long, documents long, root long"
 
 
-def inside(named: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between classes of one family, as count_links gives them; named: class, class_size, n,
-    family, members (of it); sets: class, tokens."""
-    several = named.filter("members > 1")
+def _hinted(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= FEW_IDS else df
+
+
+def cored(large: DataFrame) -> DataFrame:
+    """Sets of large families by what differs from their family's core: family, class, class_size,
+    n, core (its number of tokens), lost, apart, tokens, given (how many)."""
+    chosen = large.filter(F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / CORE)) == 0).select("family", "tokens")
+    number = chosen.groupBy("family").agg(F.count("*").alias("chosen"))
+    held = chosen.select("family", F.explode("tokens").alias("token")).groupBy("family", "token").agg(F.count("*").alias("held"))
+    most = held.join(number, "family").filter("2 * held > chosen")
+    cores = materialize(most.groupBy("family").agg(F.collect_list("token").alias("most")), "cores")
+    tokens = cores.agg(F.sum(F.size("most"))).first()[0] or 0
+    near = large.join(_hinted(cores, tokens), "family", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+    near = near.withColumn("gone", F.array_except("most", "tokens")).withColumn("own", F.array_except("tokens", "most"))
+    counts = [F.size(c).cast("long").alias(name) for c, name in (("most", "core"), ("gone", "lost"))]
+    near = near.select("family", "class", "class_size", "n", *counts, F.concat("gone", "own").alias("tokens"))
+    return materialize(near.withColumn("apart", apart(F.col("n"), F.col("lost"))).withColumn("given", F.size("tokens").cast("long")), "cored")
+
+
+def certain(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links that the core alone makes, as count_links gives them, and the sets (slim) that can have
+    others. Who is no more apart than what the limit leaves is counted by running sums over the
+    distances of a family; there are no more of these than lengths and losses make."""
+    bound = limit(F.col("core"))
+    sums = near.groupBy("family", "core", "apart").agg(F.count("*").alias("sets"), F.sum("class_size").alias("rows"), F.min("class").alias("class"))
+    sums = materialize(sums, "distances")
+    ends = sums.groupBy("family").agg(F.min(F.struct("apart", "class")).alias("least"), F.max("apart").alias("most"))
+    ends = ends.select("family", F.col("least.apart").alias("nearest"), F.col("least.class").alias("root"), "most")
+    there = sums.select("family", F.col("apart").alias("place"), F.lit(0).alias("asks"), "apart", "sets", "rows")
+    asked = sums.select("family", (bound - F.col("apart")).alias("place"), F.lit(1).alias("asks"), "apart", F.lit(0).alias("sets"), F.lit(0).alias("rows"))
+    order = Window.partitionBy("family").orderBy("place", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    reach = there.unionByName(asked).select("family", "asks", "apart", F.sum("sets").over(order).alias("near"), F.sum("rows").over(order).alias("met"))
+    reach = materialize(reach.filter("asks = 1").drop("asks").join(ends, "family"), "reach")
+    found = near.drop("tokens").join(_hinted(reach, reach.count()), ["family", "apart"])
+    itself = (2 * F.col("apart") <= bound).cast("long")
+    sure = found.select("class", (F.col("near") - itself).alias("links"), (F.col("met") - itself * F.col("class_size")).cast("long").alias("documents"), "root").filter("links > 0")
+    open_ = (F.col("apart") + F.col("most") > bound) & (F.col("given") > 0) & (limit(F.col("given")) >= F.col("apart") + F.col("nearest") - bound)
+    return sure, found.filter(open_).select("family", "class", "class_size", "n", "core", "lost", F.col("given").alias("weight"))
+
+
+def inside(known: DataFrame) -> DataFrame:
+    """Links between classes of one family, as count_links gives them; known: class, class_size, n,
+    family, members (of it), tokens."""
+    near = cored(known.filter(F.col("members") > MEMBERS))
+    sure, unsure = certain(near)
+    plain = known.filter((F.col("members") > 1) & (F.col("members") <= MEMBERS))
+    slim = plain.select("family", "class", "class_size", "n", F.lit(0).alias("core"), F.lit(0).alias("lost"), F.col("n").alias("weight"))
+    several = slim.unionByName(unsure)
     # Sets that link lie in the same range of sizes or in neighbouring ones.
-    ranged = several.withColumn("range", F.floor(F.log(F.col("n")) / (math.log(100 / SIMILAR) * 1.0001)).cast("int"))
-    sums = ranged.groupBy("family", "range").agg(F.count("*").alias("held"), F.sum("n").alias("weight"))
-    blocks = F.greatest(F.least(F.lit(FEW), F.ceil(F.col("held") / MEMBERS)), F.ceil(F.col("weight") / TOKENS)).cast("int")
+    ranged = materialize(several.withColumn("range", F.floor(F.log(F.col("n")) / (math.log(100 / SIMILAR) * 1.0001)).cast("int")), "ranged")
+    sums = ranged.groupBy("family", "range").agg(F.count("*").alias("held"), F.sum("weight").alias("weight"))
+    blocks = F.greatest(F.least(F.lit(FEW), F.ceil(F.col("held") / MEMBERS)), F.ceil(F.col("held") / WIDE), F.ceil(F.col("weight") / TOKENS)).cast("int")
     sums = sums.select("family", F.struct(F.col("range"), blocks.alias("blocks"), F.col("held"), F.col("weight")).alias("part")).groupBy("family").agg(F.collect_list("part").alias("parts"))
     total = lambda field: F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p[field])
     # A small family is one block, whatever its sizes.
@@ -284,8 +335,10 @@ def inside(named: DataFrame, sets: DataFrame) -> DataFrame:
     # A block meets those, itself too; a pair of blocks is one task's.
     dealt = ranged.withColumn("with", F.explode(F.when(F.col("small"), F.array(zero)).otherwise(others)))
     low, high = F.least("block", "with"), F.greatest("block", "with")
-    dealt = dealt.select("family", low.alias("low"), high.alias("high"), "class", "class_size", (F.col("block") == low).alias("asks"), (F.col("block") == high).alias("member"))
-    return materialize(dealt, "dealt").join(sets, "class").groupBy("family", "low", "high").applyInArrow(lambda t: count_links(t), _LINKS)
+    places = ["family", low.alias("low"), high.alias("high")]
+    dealt = materialize(dealt.select(*places, "class", "class_size", "n", "core", "lost", (F.col("block") == low).alias("asks"), (F.col("block") == high).alias("member")), "dealt")
+    sets = plain.select("class", "tokens").unionByName(near.select("class", "tokens"))
+    return sure.unionByName(dealt.join(sets, "class").groupBy("family", "low", "high").applyInArrow(lambda t: count_links(t), _LINKS))
 
 
 def across(known: DataFrame, total: int) -> DataFrame:
@@ -317,8 +370,8 @@ def across(known: DataFrame, total: int) -> DataFrame:
 
     salts = opened.groupBy("family", "group").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("salts"))
     asking = opened.join(salts, ["family", "group"]).withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).drop("salts")
-    sets = few.select("class", "class_size", "tokens")
-    cells = ["family", "group", "salt", "class", "class_size", "tokens"]
+    sets = few.select("class", "class_size", "n", F.lit(0).alias("core"), F.lit(0).alias("lost"), "tokens")
+    cells = ["family", "group", "salt", "class", "class_size", "n", "core", "lost", "tokens"]
     asking = asking.join(sets, "class").select(*cells, F.lit(True).alias("asks"), F.lit(False).alias("member"))
     member = kept.select("class", "family", "group").join(salts, ["family", "group"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     member = member.join(sets, "class").select(*cells, F.lit(False).alias("asks"), F.lit(True).alias("member"))
@@ -343,7 +396,7 @@ def similar_rows(docs: DataFrame) -> DataFrame:
     named = materialize(named.join(members, "family"), "named")
     known = materialize(named.join(sets.drop("sign"), "class"), "known")
     forget(sets)
-    links = materialize(inside(named, known.select("class", "tokens")).unionByName(across(known, named.agg(F.sum("n")).first()[0] or 0)), "links")
+    links = materialize(inside(known).unionByName(across(known, named.agg(F.sum("n")).first()[0] or 0)), "links")
     roots = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")), "linked").select(F.col("node").alias("class"), F.col("root").alias("component"))
     counts = links.groupBy("class").agg(F.sum("links").alias("links"), F.sum("documents").alias("documents"))
     linked = classes.select("class", "doc_id").join(roots, "class").join(counts, "class")
@@ -380,11 +433,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     known = materialize(known.filter("not stays or rows > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "stays"), "leaving")
     tagged = docs.withColumn("__own", F.xxhash64("text"))
     same = tagged["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (tagged["__own"] == F.col("__mark"))
-    small = known.count() <= FEW_IDS
-    hinted = lambda k: F.broadcast(k) if small else k
-    single = tagged.join(hinted(known), same, "left_anti")
+    n = known.count()
+    single = tagged.join(_hinted(known, n), same, "left_anti")
     # Rows that stand more than once and stay: one of them.
-    again = tagged.join(hinted(known.filter("stays")), same, "left_semi").dropDuplicates(["doc_id", "__own"])
+    again = tagged.join(_hinted(known.filter("stays"), n), same, "left_semi").dropDuplicates(["doc_id", "__own"])
     return single.unionByName(again).drop("__own")
 
 

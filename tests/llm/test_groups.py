@@ -66,6 +66,7 @@ WAYS = {
     "inside": {"ALIKE": 0, "MEET": 24},
     "across": {"ALIKE": 25},
     "small blocks": {"ALIKE": 0, "MEET": 24, "MEMBERS": 3},
+    "near a core": {"ALIKE": 0, "MEET": 24, "MEMBERS": 3, "CORE": 2, "WIDE": 4, "FEW_IDS": 0},
     "few tokens": {"ALIKE": 4, "TOKENS": 500},
     "small pools": {"COUNTED": 200, "RANGE": 100},
     "shuffled": {"ALIKE": 25, "FEW_IDS": 0, "ASKING": 2, "GROUP": 2},
@@ -96,6 +97,23 @@ def test_links_documents(spark, monkeypatch, way):
     check_links(docs, [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_large_family(spark, monkeypatch):
+    """Near copies of two texts, some nearer to a core than others; halves that hold both."""
+    monkeypatch.setattr(jaccard, "MEMBERS", 16)
+    monkeypatch.setattr(jaccard, "WIDE", 32)
+    rng = random.Random(8)
+    one, two = ([f"{c}{i}" for i in range(150)] for c in "ab")
+    texts = []
+    for k in range(160):
+        words = list(one if k % 3 else two)
+        for _ in range(k % 9):
+            words[rng.randrange(len(words))] = rng.choice(["x", "y", f"own{k}"])
+        texts.append(words[: len(words) - rng.randrange(12)])
+    texts += [one[:75] + two[75:], one[:110] + two[110:], one + two[:20]]
+    docs = [(i, " ".join(words)) for i, words in enumerate([*texts, *texts[:5]])]
+    check_links(spark.createDataFrame(docs, "doc_id long, text string"), docs)
+
+
 def test_links_none(spark, none):
     assert jaccard.similar_links(none).count() == 0
     unnamed = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, "A b c d e f g")], "doc_id long, text string")
@@ -112,6 +130,18 @@ def test_block():
     for s in sets:
         want = [j for j, t in enumerate(sets) if 100 * (c := len(np.intersect1d(s, t))) >= 75 * (len(s) + len(t) - c)]
         assert block.near(s).tolist() == want
+    # By what differs from a core: those that the core alone does not link.
+    for core in (np.unique(base), np.unique(base[:50]), np.zeros(0, np.uint64)):
+        given, lost = [np.setxor1d(s, core) for s in sets], np.array([len(np.setdiff1d(core, s)) for s in sets])
+        held = [i for i, g in enumerate(given) if len(g)]
+        block = links.Block([given[i] for i in held], np.array([len(sets[i]) for i in held]), lost[held], len(core))
+        for i in held:
+            sure = [links.apart(len(sets[i]), lost[i]) + links.apart(len(sets[j]), lost[j]) <= links.limit(len(core)) for j in held]
+            common = [len(np.intersect1d(sets[i], sets[j])) for j in held]
+            linked = [100 * c >= 75 * (len(sets[i]) + len(sets[j]) - c) for j, c in zip(held, common, strict=True)]
+            assert not any(s and not k for s, k in zip(sure, linked, strict=True))
+            near = block.near(given[i], len(sets[i]), lost[i]).tolist()
+            assert near == [k for k, (s, l) in enumerate(zip(sure, linked, strict=True)) if l and not s]
 
 
 def test_one_of_each(odd, rows):
