@@ -113,6 +113,52 @@ class Budget(StatefulProcessor):
         pass
 
 
+class Budgets(StatefulProcessor):
+    """`Budget` for all keys of a part at once, as a call of Python and of the state for each key
+    costs more than its rows. The counters of an open day are one entry of a list; a timer at the
+    day's end in its zone drops it."""
+
+    def __init__(self, limit: int, zone: str) -> None:
+        self.limit, self.zone = limit, zone
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.used = handle.getListState("used", "day string, keys array<string>, counts array<int>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """The rows of a batch, in order of time and id."""
+        some = pd.concat(list(rows), ignore_index=True)
+        dates = pd.to_datetime(some["micros"].to_numpy(), unit="us", utc=True).tz_convert(self.zone).date
+        place, days = pd.factorize(dates)
+        some = some.assign(day=pd.Index([d.isoformat() for d in days])[place]).sort_values(["micros", "id"], kind="stable")
+        open_ = {day: pd.Series(counts, index=keys, dtype="int64") for day, keys, counts in self.used.get()}
+        parts = []
+        for day, asked in some.groupby("day"):
+            before = open_.get(day)
+            nth = asked.groupby("key").cumcount() + 1
+            if before is None:
+                end = datetime.fromisoformat(day).replace(tzinfo=ZoneInfo(self.zone)) + timedelta(days=1)
+                self.handle.registerTimer(int(end.timestamp() * 1000))
+                before = pd.Series(dtype="int64")
+            nth += asked["key"].map(before).fillna(0).astype("int64")
+            open_[day] = before.add(asked["key"].value_counts(), fill_value=0).astype("int64")
+            parts.append(pd.DataFrame({"key": asked["key"], "id": asked["id"], "day": day, "used": nth.astype("int32"), "allowed": nth <= self.limit}))
+        self.used.put([(day, n.index.tolist(), n.tolist()) for day, n in open_.items()])
+        yield pd.concat(parts, ignore_index=True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        over = datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, ZoneInfo(self.zone)).strftime("%Y-%m-%d")
+        left = [entry for entry in self.used.get() if entry[0] >= over]
+        if left:
+            self.used.put(left)
+        else:
+            self.used.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 BUDGETED = "key string, id long, day string, used int, allowed boolean"
 
 
@@ -133,11 +179,12 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def budgeted(texts: DataFrame, limit: int, zone: str, late: str) -> DataFrame:
+def budgeted(texts: DataFrame, limit: int, zone: str, late: str, parts: int = 256) -> DataFrame:
     """key, id, day, used, allowed of each turn: the key's budget of its day in the zone. Turns are
-    counted batch by batch, inside one by time."""
+    counted batch by batch, inside one by time. Keys are dealt to `parts`, for good."""
     turns = records(texts).filter("kind = 'turn' and key is not null").select("key", "id", "at", F.unix_micros("at").alias("micros")).withWatermark("at", late)
-    return turns.groupBy("key").transformWithStateInPandas(Budget(limit, zone), BUDGETED, "Append", "eventTime")
+    dealt = turns.withColumn("part", F.pmod(F.hash("key"), F.lit(parts)))
+    return dealt.groupBy("part").transformWithStateInPandas(Budgets(limit, zone), BUDGETED, "Append", "eventTime")
 
 
 def run_budgeted(spark: SparkSession, folder: str, limit: int, zone: str, late: str, root: str | None = None) -> DataFrame:
@@ -149,15 +196,19 @@ def run_budgeted(spark: SparkSession, folder: str, limit: int, zone: str, late:
 
 def write_log(rows: DataFrame, folder: str, order: str, files: int, closing: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Rows (of LINE's columns and `order`, when they were written) as a log of some files, one after
-    the other, as a stream takes the oldest first. `closing` makes the lines of a last file."""
+    the other, as a stream takes the oldest first. `closing` makes the lines of a last file. The rows
+    are made once, dealt to their files; each file then reads its own lines only."""
     bounds = rows.agg(F.min(order), F.max(order)).first()
     if bounds[0] is None:
         rows.limit(0).select(F.to_json(F.struct("kind")).alias("value")).write.mode("append").text(folder)
         return
     width = (bounds[1] - bounds[0]) // files + 1
     text = F.to_json(F.struct(*[c.split()[0] for c in LINE.split(", ")])).alias("value")
+    staged = fresh_root(rows.sparkSession, "lines")
+    nth = F.expr(f"(`{order}` - ({bounds[0]}L)) div {width}L").cast("int").alias("nth")
+    rows.select(text, nth).filter("nth is not null").repartition(files, "nth").write.partitionBy("nth").parquet(staged)
+    dealt = rows.sparkSession.read.schema("value string, nth int").parquet(staged)
     for i in range(files):
-        part = rows.filter(F.col(order).between(bounds[0] + i * width, bounds[0] + (i + 1) * width - 1))
-        part.coalesce(1).select(text).write.mode("append").text(folder)
+        dealt.filter(F.col("nth") == i).select("value").coalesce(1).write.mode("append").text(folder)
     if closing:
         closing(rows).coalesce(1).select(text).write.mode("append").text(folder)

@@ -116,3 +116,68 @@ def test_timer():
             return sorted(held.timers)[1]
 
     assert list(budget.handleExpiredTimer(("k",), None, Over())) == [] and held.keys() == [("2024-03-11",)]
+
+
+class Listed:
+    """What the processor of many keys needs of Spark's state, with a count of its calls."""
+
+    def __init__(self):
+        self.entries, self.timers, self.calls = [], [], 0
+
+    def getListState(self, *_):
+        return self
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.entries)
+
+    def put(self, entries):
+        self.calls += 1
+        self.entries = entries
+
+    def clear(self):
+        self.entries = []
+
+
+def test_budget_of_many_keys():
+    """Many keys of a part count each for itself, over batches and days, and the calls of the state
+    follow the days, not the keys."""
+    held, budget = Listed(), S.Budgets(2, "America/Los_Angeles")
+    budget.init(held)
+    rng = random.Random(5)
+    rows = sorted((turn(i, round(rng.uniform(0, 60), 1), f"k{rng.randrange(90)}") for i in range(900)), key=lambda r: (r[4], r[1]))
+    got = []
+    for batch in (rows[:400], rows[400:]):
+        frame = pd.DataFrame({"key": [r[3] for r in batch], "id": [r[1] for r in batch], "micros": [r[4] for r in batch]}).sample(frac=1, random_state=1)
+        (out,) = budget.handleInputRows((7,), iter([frame[:100], frame[100:]]), None)
+        got += [tuple(r) for r in out[["key", "id", "day", "used", "allowed"]].values.tolist()]
+    assert sorted(got) == brute_budget(rows, 2, "America/Los_Angeles")
+    assert len(held.timers) == len(set(held.timers)) == len(held.entries) == 4 and held.calls == 4 + 2 * 2
+
+    class Over:
+        def getExpiryTimeInMs(self):
+            return sorted(held.timers)[-2]
+
+    assert list(budget.handleExpiredTimer((7,), None, Over())) == [] and [e[0] for e in held.entries] == ["2024-03-10"]
+
+
+def test_log_makes_its_rows_once(spark):
+    """A log of many files doesn't compute its rows for each of them."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(x):
+        seen.add(1)
+        return x
+
+    rows = [turn(i, i) for i in range(40)]
+    table = spark.createDataFrame(rows, ROWS).withColumn("written", F.udf(touch, "long").asNondeterministic()("written"))
+    folder = S.fresh_root(spark, "log")
+    S.write_log(table, folder, "written", 8)
+    assert seen.value <= 3 * len(rows)
+    assert sorted(r["id"] for r in S.records(spark.read.text(folder)).collect()) == list(range(40))
