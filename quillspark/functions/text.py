@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: What ends a line and what is blank, as Java character classes.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 SPACE = r"[\s\x1C-\x1F]"
+#: Letters that Java writes as two capitals though they have one of their own, and that one.
+NARROW = "ßᾀᾁᾂᾃᾄᾅᾆᾇᾐᾑᾒᾓᾔᾕᾖᾗᾠᾡᾢᾣᾤᾥᾦᾧᾳῃῳ"
+WIDE = "ẞᾈᾉᾊᾋᾌᾍᾎᾏᾘᾙᾚᾛᾜᾝᾞᾟᾨᾩᾪᾫᾬᾭᾮᾯᾼῌῼ"
 
 
 def strip(text: Column) -> Column:
@@ -243,12 +246,19 @@ def render(template: str, **fields: Column) -> Column:
 
 # --- replies and rendered tables
 
+def upper(text: Column) -> Column:
+    """Upper case character by character: none becomes two, as ß does in Java."""
+    single = lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, NARROW, WIDE))
+    each = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), single), "")
+    return F.when(F.length(F.upper(text)) == F.length(text), F.upper(text)).otherwise(each)
+
+
 def first_word(reply: Column) -> Column:
-    return F.upper(F.regexp_replace(F.get(F.split(strip(reply), rf"(?U){SPACE}+"), F.lit(0)), r"^[.,:!*]+|[.,:!*]+$", ""))
+    return upper(F.regexp_replace(F.get(F.split(strip(reply), rf"(?U){SPACE}+"), F.lit(0)), r"^[.,:!*]+|[.,:!*]+$", ""))
 
 
 def pass_fail(reply: Column) -> Column:
-    word = F.upper(F.get(F.split(strip(reply), rf"(?U){SPACE}+"), F.lit(0)))
+    word = upper(F.get(F.split(strip(reply), rf"(?U){SPACE}+"), F.lit(0)))
     return F.when(word == "PASS", True).when(word == "FAIL", False)
 
 

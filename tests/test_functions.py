@@ -67,3 +67,15 @@ def test_wilson_and_sign(spark):
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0], [2.0, 4.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(S.cosine(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1.0), 0.0]
+
+
+def test_words_with_letters_of_two_capitals(spark):
+    """Capitals are DuckDB's, letter by letter, so that a word with ß is neither longer nor a verdict."""
+    import duckdb
+
+    from quillspark.functions import text as T
+
+    words = ["heitß", "paß", "ßüß", "ŉa", "ᾳx", "ﬁne", "pass", "😀ß", "ᾼ", "", "fail."]
+    rows = spark.createDataFrame(list(enumerate(words)), "id int, w string").select("id", T.first_word(F.col("w")).alias("u"), T.pass_fail(F.col("w")).alias("v")).orderBy("id").collect()
+    assert [r["u"] for r in rows] == [duckdb.execute("SELECT upper(trim(?, '.,:!*'))", [w]).fetchone()[0] for w in words]
+    assert [r["v"] for r in rows] == [True if w == "pass" else None for w in words]
