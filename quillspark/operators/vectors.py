@@ -2,15 +2,15 @@
 
 Centroids are learnt on a bounded sample (SAMPLE vectors with the smallest hash of their id); every
 vector of the corpus belongs to the cell of its nearest centroid and is kept there as one signed byte
-for each dimension. A query looks into the `beam` cells whose centroids are nearest to it. Codes of
-those cells are scored, the best RERANK * k of a query are scored again with the vectors
-themselves, and the best k of these are its result. The exact way is retrieval.dense_top_k; with as
-many cells in the beam as there are, only the codes' rounding stands between the two.
+for each dimension, beside the vector. A query looks into the `beam` cells whose centroids are nearest to it.
+Codes of those cells are scored; what their rounding (whose length each row keeps) leaves open is
+scored with the vectors themselves in the same task, and the best k are its result. The exact way is
+retrieval.dense_top_k; with as many cells in the beam as there are, the two agree.
 
 A cell of more than BLOCK vectors is cut into blocks by hash, so that one that holds a third of the corpus is
 many tasks' work. A block's codes and the queries that look into it meet by a shuffle on (cell,
 block), codes first: a task holds one block and streams queries past it, and what it emits is a
-few candidates for each query. Nothing but centroids (cells * dimensions numbers, CELLS at most) is
+few candidates for each query, however many are nearly alike. Nothing but centroids (cells * dimensions numbers, CELLS at most) is
 broadcast, and the queries may be as many as the corpus.
 
 Defined results: null vectors are in no index and ask nothing; a vector without length scores 0;
@@ -27,20 +27,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from .retrieval import ranked
 from .storage import saved
 
 #: Vectors that centroids are learnt from, and cells, at most; rounds of learning.
 SAMPLE, CELLS, ROUNDS = 65_536, 2048, 12
-#: Vectors of a block, and candidates that are scored exactly for each result.
-BLOCK, RERANK = 8192, 8
+#: Vectors of a block, candidates of a block that are kept for each result, scores held at once, and
+#: what single precision may add to a score.
+BLOCK, RERANK, SCORES, SLACK = 8192, 8, 1 << 21, 1e-4
 
 
 def units(x: np.ndarray) -> np.ndarray:
+    return _directions(x).astype(np.float32)
+
+
+def _directions(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
-    return (x / np.where(n > 0, n, 1)).astype(np.float32)
+    return x / np.where(n > 0, n, 1)
 
 
 @dataclass
@@ -83,64 +88,68 @@ def matrix(column: pa.Array, rows: int) -> np.ndarray:
 @dataclass
 class VectorIndex:
     cells: Cells
-    codes: DataFrame  # id, cell, block, code
+    codes: DataFrame  # id, cell, block, code, off (length of what the code leaves out), own (the vector)
     sizes: DataFrame  # cell, vectors, blocks
 
 
 def build(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE, seed: int = 1) -> VectorIndex:
     """vectors: id, vector. The number of cells follows the root of the corpus, up to CELLS."""
     spark = vectors.sparkSession
-    held = vectors.select("id", F.col("vector").cast("array<float>").alias("vector")).filter(F.col("vector").isNotNull())
-    picked = held.select("vector", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample).select("vector").collect()
+    held = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).filter(F.col("vector").isNotNull())
+    picked = held.select(F.col("vector").cast("array<float>").alias("vector"), F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample).select("vector").collect()
     wanted = cells or min(CELLS, max(1, int(held.count() ** 0.5)))
     known = learn(np.array([r["vector"] for r in picked], np.float32) if picked else np.zeros((0, 1), np.float32), wanted, seed)
     shared = spark.sparkContext.broadcast(known)
-    kinds = StructType([vectors.schema["id"], StructField("cell", IntegerType()), StructField("code", BinaryType())])
+    kinds = StructType([vectors.schema["id"], StructField("cell", IntegerType()), StructField("code", BinaryType()), StructField("off", DoubleType()), StructField("own", ArrayType(DoubleType()))])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = units(matrix(b.column(1), b.num_rows))
-                codes = [c.tobytes() for c in shared.value.codes(x)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.nearest(x), pa.int32()), pa.array(codes, pa.binary())], names=kinds.names)
+                codes = shared.value.codes(x)
+                off = np.linalg.norm(x - codes.astype(np.float64) * shared.value.scale, axis=1)
+                columns = [b.column(0), pa.array(shared.value.nearest(x), pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), b.column(1)]
+                yield pa.RecordBatch.from_arrays(columns, names=kinds.names)
 
     placed = saved(held.mapInArrow(place, kinds), "vector-codes")
     sizes = placed.groupBy("cell").agg(F.count("*").alias("vectors")).withColumn("blocks", F.ceil(F.col("vectors") / BLOCK).cast("int"))
     sizes = saved(sizes, "vector-cells")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    return VectorIndex(known, saved(placed.join(sizes.select("cell", "blocks"), "cell").select("id", "cell", block.alias("block"), "code"), "vector-index"), sizes)
+    return VectorIndex(known, saved(placed.join(sizes.select("cell", "blocks"), "cell").select("id", "cell", block.alias("block"), "code", "off", "own"), "vector-index"), sizes)
 
 
 def probed(queries: DataFrame, index: VectorIndex, beam: int) -> DataFrame:
-    """query_id, vector, cell: a row for each cell that a query looks into."""
+    """query_id, vector (of length one), cell: a row for each cell that a query looks into."""
     shared = queries.sparkSession.sparkContext.broadcast(index.cells)
-    kinds = StructType([queries.schema["query_id"], StructField("vector", ArrayType(FloatType())), StructField("cell", IntegerType())])
+    kinds = StructType([queries.schema["query_id"], StructField("vector", ArrayType(DoubleType())), StructField("cell", IntegerType())])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows and len(shared.value.centroids):
-                x = units(matrix(b.column(1), b.num_rows))
-                cells = shared.value.probes(x, beam)
+                x = _directions(matrix(b.column(1), b.num_rows))
+                cells = shared.value.probes(x.astype(np.float32), beam)
                 times = pa.array(np.repeat(np.arange(b.num_rows), cells.shape[1]))
                 unit = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(times), unit.take(times), pa.array(cells.ravel(), pa.int32())], names=kinds.names)
 
-    asked = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector")).filter(F.col("vector").isNotNull())
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter(F.col("vector").isNotNull())
     return asked.mapInArrow(choose, kinds)
 
 
 def candidates(queries: DataFrame, index: VectorIndex, beam: int, keep: int) -> DataFrame:
-    """query_id, id, near: of each block that a query looks into the `keep` best by their codes."""
+    """query_id, id, near: of each block that a query looks into the `keep` best, ties by id. A code's
+    score is off by its row's `off` at most, so rows that cannot be among them are passed over by
+    their codes; the others are scored in full."""
     scale = index.cells.scale
-    rows = index.codes.select("cell", "block", F.lit(0).alias("turn"), "id", "code")
+    rows = index.codes.select("cell", "block", F.lit(0).alias("turn"), "id", "code", "off", "own")
     asking = probed(queries, index, beam).join(index.sizes.select("cell", "blocks"), "cell")
     asking = asking.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("turn"), "query_id", "vector")
     both = rows.unionByName(asking, allowMissingColumns=True).repartition("cell", "block").sortWithinPartitions("cell", "block", "turn", "id")
-    kinds = StructType([StructField("query_id", both.schema["query_id"].dataType), StructField("id", both.schema["id"].dataType), StructField("near", FloatType())])
+    kinds = StructType([StructField("query_id", both.schema["query_id"].dataType), StructField("id", both.schema["id"].dataType), StructField("near", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(kinds)
-        of, ids, held, codes = None, [], [], None
+        of, ids, held, codes, off, own = None, [], [], None, None, None
         for b in batches:
             keys = np.stack([b.column(k).to_numpy() for k in range(3)], axis=1)
             starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), b.num_rows]
@@ -153,20 +162,37 @@ def candidates(queries: DataFrame, index: VectorIndex, beam: int, keep: int) ->
                     if of != (cell, block):
                         of, ids, held = (cell, block), [], []
                     ids.append(part.column(3))
-                    held.append(np.frombuffer(b"".join(x.as_py() for x in part.column(4)), np.int8).reshape(part.num_rows, -1))
+                    code = np.frombuffer(b"".join(x.as_py() for x in part.column(4)), np.int8).reshape(part.num_rows, -1)
+                    held.append((code, part.column(5).to_numpy(), _directions(matrix(part.column(6), part.num_rows))))
                     codes = None
                 elif of == (cell, block):
                     if codes is None:
-                        codes, ids = np.concatenate(held).astype(np.float32) * scale, [pa.concat_arrays(ids)]
-                    near = matrix(part.column(6), part.num_rows) @ codes.T
-                    n = min(keep, near.shape[1])
-                    # Rows are in order of ids, and a stable sort keeps that among equal codes.
-                    best = np.argsort(-np.round(near, 6), axis=1, kind="stable")[:, :n]
-                    asked = part.column(5).take(pa.array(np.repeat(np.arange(part.num_rows), n)))
-                    columns = [asked, ids[0].take(pa.array(best.ravel())), pa.array(np.take_along_axis(near, best, 1).ravel(), pa.float32())]
-                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    return both.select("cell", "block", "turn", "id", "code", "query_id", "vector").mapInArrow(score, kinds)
+                        codes, off, own = (np.concatenate(x) for x in zip(*held, strict=True))
+                        codes, ids = codes.astype(np.float32) * scale, [pa.concat_arrays(ids)]
+                    step = max(1, SCORES // len(codes))
+                    for at in range(0, part.num_rows, step):
+                        few = part.slice(at, step)
+                        nth, place, near = best_of(matrix(few.column(8), few.num_rows), codes, off, own, keep)
+                        yield pa.RecordBatch.from_arrays([few.column(7).take(pa.array(nth)), ids[0].take(pa.array(place)), pa.array(near)], schema=arrow)
+
+    return both.select("cell", "block", "turn", "id", "code", "off", "own", "query_id", "vector").mapInArrow(score, kinds)
+
+
+def best_of(asked: np.ndarray, codes: np.ndarray, off: np.ndarray, own: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the query, place and score of the `keep` best rows of each, earlier places first
+    among equal ones."""
+    rough = asked.astype(np.float32) @ codes.T
+    n = min(keep, rough.shape[1])
+    least = np.partition(rough - off, rough.shape[1] - n, axis=1)[:, rough.shape[1] - n][:, None]
+    nth, place = np.nonzero(rough + off >= least - 2 * SLACK)
+    near = np.empty(len(nth))
+    for at in range(0, len(nth), 1 << 16):
+        some = slice(at, at + (1 << 16))
+        near[some] = (asked[nth[some]] * own[place[some]]).sum(axis=1)
+    order = np.lexsort((place, -np.round(near, 9), nth))
+    nth, place, near = nth[order], place[order], near[order]
+    first = np.arange(len(nth)) - np.searchsorted(nth, nth) < n
+    return nth[first], place[first], near[first]
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -178,7 +204,7 @@ def cosine(a: Column, b: Column) -> Column:
 def search(queries: DataFrame, vectors: DataFrame, index: VectorIndex, k: int, beam: int, rerank: int = RERANK) -> DataFrame:
     """query_id, id, score, rank; vectors are those the index was built from."""
     some = candidates(queries, index, beam, rerank * k)
-    order = [F.desc(F.round("near", 6)), F.asc("id")]
+    order = [F.desc(F.round("near", 9)), F.asc("id")]
     few = ranked(some.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(32))), ["query_id", "part"], order, rerank * k).drop("rank", "part")
     best = saved(ranked(few, ["query_id"], order, rerank * k).select("query_id", "id"), "vector-candidates")
     double = lambda c: F.col(c).cast("array<double>")

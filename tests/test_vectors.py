@@ -78,3 +78,14 @@ def test_learning_is_repeatable():
     assert np.array_equal(a.centroids, b.centroids) and len(np.unique(a.nearest(V.units(x)))) == 5
     assert np.abs(a.codes(V.units(x)) * a.scale - V.units(x)).max() <= a.scale
     assert len(V.learn(np.repeat(x[:1], 4, axis=0), 3).centroids) == 3
+
+
+def test_near_copies_beyond_the_codes(spark):
+    """Many vectors that differ by less than a code's unit: the whole beam still is exact."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1, 16)) + 0.004 * rng.standard_normal((600, 16))
+    corpus = spark.createDataFrame(rows_of(x), SCHEMA)
+    asked = corpus.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    index = V.build(corpus)
+    assert found(V.search(asked, corpus, index, 10, len(index.cells.centroids), rerank=1)) == found(R.dense_top_k(asked, corpus, 10))
+    assert found(V.search(asked, corpus, index, 10, len(index.cells.centroids))) == found(R.dense_top_k(asked, corpus, 10))
