@@ -72,28 +72,43 @@ def retrieval_eval(t: Tables) -> DataFrame:
     return out.select("kind", "n", *[F.round(m, 6).alias(m) for m in ("hit", "precision", "rr", "recall")])
 
 
-def _grids(t: Tables) -> DataFrame:
-    """Customers as a table with figures that are split over cells, or as a list of two points."""
+def _forms(t: Tables) -> DataFrame:
+    """Each customer in five forms: a table with figures that are split over cells, a list of two
+    points, a box, a table with an empty row under its header, and one whose spanning cell stands over
+    columns that must stay apart."""
     name, one, two = F.col("c_name"), F.col("c_custkey").cast("string"), (F.col("c_custkey") + 7).cast("string")
+    half = lambda n: F.concat(n, F.lit(".5"))
     row = lambda *cells: F.array(*[F.lit(c) if isinstance(c, str) else c for c in cells])
-    data = F.array(row("", "2025", "", "2024", ""), row(name, "$", one, "$", two), row("Loss", "(1.2", ")", "(3", ")"))
-    points = F.array(row("\u2022", name), row("\u2022", F.col("c_mktsegment")))
-    table = F.col("c_custkey") % 2 == 0
-    spans = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(2).alias("width")) for s in (1, 3)])
-    rows = t.customer.select(F.col("c_custkey").alias("id"), F.when(table, data).otherwise(points).alias("grid"), F.when(table, spans).otherwise(F.array().cast("array<struct<start:int,width:int>>")).alias("spans"))
-    rows = rows.withColumn("glued", G.glue_figures(F.col("grid"))).withColumn("cells", F.filter(F.transform("glued", G.filled), lambda r: F.size(r) > 0))
+    forms = [
+        ([row("", "2025", "", "2024", ""), row(name, "$", one, "$", two), row("Loss", "(1.2", ")", "(3", ")")], [1, 3]),
+        ([row("\u2022", name), row("\u2022", F.col("c_mktsegment"))], []),
+        ([row(F.concat(F.lit("A note on "), name))], []),
+        ([row("Item", "Share"), row("", ""), row(F.concat(F.lit("a|"), name), one, "%")], [1]),
+        ([row("", "Three months", "", ""), row("", "May", "June", ""), row(name, half(one), half(two), "")], [1]),
+    ]
+    none = F.array().cast("array<struct<start:int,width:int>>")
+    spans = lambda starts: F.array(*[F.struct(F.lit(s).alias("start"), F.lit(2).alias("width")) for s in starts]) if starts else none
+    each = [F.struct(F.lit(n).alias("form"), F.array(*grid).alias("grid"), spans(starts).alias("spans")) for n, (grid, starts) in enumerate(forms, 1)]
+    return readers.spread(t.customer).select(F.col("c_custkey").alias("id"), F.inline(F.array(*each)))
+
+
+def _grids(forms: DataFrame) -> DataFrame:
+    rows = forms.withColumn("glued", G.glue_figures(F.col("grid"))).withColumn("cells", F.filter(F.transform("glued", G.filled), lambda r: F.size(r) > 0))
     rows = rows.withColumn("lines", G.layout_lines(F.col("cells"))).withColumn("headers", G.header_rows(F.transform("glued", G.filled)))
     return rows.withColumn("merged", G.merge_spanned(F.col("glued"), F.col("spans")))
 
 
 @query("""
-SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN ',2025,,2024,;' || c_name || ',,$' || c_custkey || ',,$' || (c_custkey + 7) || ';Loss,(1.2),,(3),' ELSE '•,' || c_name || ';•,' || c_mktsegment END AS glued,
-  CASE WHEN c_custkey % 2 = 1 THEN '• ' || c_name || ';• ' || c_mktsegment END AS lines, 1 AS headers,
-  CASE WHEN c_custkey % 2 = 0 THEN ',2025,2024;' || c_name || ',$' || c_custkey || ',$' || (c_custkey + 7) || ';Loss,(1.2),(3)' ELSE '•,' || c_name || ';•,' || c_mktsegment END AS merged FROM customer""")
+WITH c AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS kind, c_custkey AS one, c_custkey + 7 AS two FROM customer)
+SELECT id, 1 AS form, ',2025,,2024,;' || name || ',,$' || one || ',,$' || two || ';Loss,(1.2),,(3),' AS glued, NULL AS lines, 1 AS headers, ',2025,2024;' || name || ',$' || one || ',$' || two || ';Loss,(1.2),(3)' AS merged FROM c
+UNION ALL SELECT id, 2, '•,' || name || ';•,' || kind, '• ' || name || ';• ' || kind, 1, '•,' || name || ';•,' || kind FROM c
+UNION ALL SELECT id, 3, 'A note on ' || name, 'A note on ' || name, 1, 'A note on ' || name FROM c
+UNION ALL SELECT id, 4, 'Item,Share,;,,;a|' || name || ',' || one || '%,', NULL, 2, 'Item,Share;,;a|' || name || ',' || one || '%' FROM c
+UNION ALL SELECT id, 5, ',Three months,,;,May,June,;' || name || ',' || one || '.5,' || two || '.5,', NULL, 2, ',Three months,;,May,June;' || name || ',' || one || '.5,' || two || '.5' FROM c""")
 def table_grids(t: Tables) -> DataFrame:
     """Rows 243-246: split figures, layout tables, header rows and spanned columns."""
     flat = lambda c: F.array_join(F.transform(c, lambda r: F.array_join(r, ",")), ";")
-    return _grids(t).select("id", flat(F.col("glued")).alias("glued"), F.array_join("lines", ";").alias("lines"), "headers", flat(F.col("merged")).alias("merged"))
+    return _grids(_forms(t)).select("id", "form", flat(F.col("glued")).alias("glued"), F.array_join("lines", ";").alias("lines"), "headers", flat(F.col("merged")).alias("merged"))
 
 
 @query("""
@@ -101,7 +116,7 @@ SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '|  | 2025 | 2024 |' ||
   ELSE '• ' || c_name || chr(10) || chr(10) || '• ' || c_mktsegment END AS markdown FROM customer""")
 def table_markdown(t: Tables) -> DataFrame:
     """Row 247: a table as Markdown, or as its lines where it is no table of data."""
-    rows = _grids(t)
+    rows = _grids(_forms(t).filter(F.col("form") == 1 + F.col("id") % 2))
     return rows.select("id", F.coalesce(F.array_join("lines", "\n\n"), G.markdown(F.col("merged"), F.col("headers"))).alias("markdown"))
 
 

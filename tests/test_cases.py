@@ -85,3 +85,13 @@ def test_attacks(spark):
     of = lambda name: {k: F.col(f"{name}.{k}") for k in ("answer", "passages", "calls", "failure")}
     success, attempted = I.attack_flags(case, of("output"), of("control"), F.col("agentic"))
     assert [tuple(r) for r in rows.select(success.alias("s"), attempted.alias("a")).collect()] == [c[4] for c in cases]
+
+
+def test_grids_have_every_form(spark):
+    """The query takes each customer through all five forms: headers of two rows and boxes too."""
+    from quillspark import plans
+
+    out = plans.load()[0]["table_grids"](spark, "/root/testdata/sf0.001")
+    got = {r["form"]: (r["n"], r["headers"], r["lines"]) for r in out.groupBy("form").agg(F.count("*").alias("n"), F.max("headers").alias("headers"), F.count("lines").alias("lines")).collect()}
+    n = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert got == {1: (n, 1, 0), 2: (n, 1, n), 3: (n, 1, n), 4: (n, 2, 0), 5: (n, 2, 0)}
