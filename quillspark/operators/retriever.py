@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import retrieval as R
+from .storage import saved
 
 
 class Loader(Protocol):
@@ -109,15 +110,16 @@ class Retriever:
     def retrieve(self, queries: DataFrame, allowed: DataFrame | None = None) -> Retrieved:
         """queries: query_id, text; allowed: id. Blank queries find nothing."""
         asked = queries.filter(F.trim("text") != "")
-        found = self.candidates(asked, allowed)
+        # Few rows, which several steps read.
+        found = saved(self.candidates(asked, allowed), "candidates")
         if self.route and allowed is None:
             routed = self.route(asked)
             only = found.join(routed.select("query_id").distinct(), "query_id", "left_anti")
             found = only.unionByName(found.join(routed, ["query_id", "id"], "left_semi").select(only.columns))
         if self.rerank:
-            rows = found.join(asked.select("query_id", F.col("text").alias("_asked")), "query_id").join(self.texts.select("id", F.col("text").alias("_passage")), "id")
+            rows = saved(found.join(asked.select("query_id", F.col("text").alias("_asked")), "query_id"), "asked").join(self.texts.select("id", F.col("text").alias("_passage")), "id")
             scored = rows.select("query_id", "id", F.col("rank").alias("was"), self.rerank(F.col("_asked"), F.col("_passage")).alias("score"))
-            best = R.ranked(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("was")], self.keep).drop("was")
+            best = saved(R.ranked(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("was")], self.keep).drop("was"), "reranked")
         else:
             best = found.filter(F.col("rank") <= self.keep)
         hits, floor = R.floor(best, self.least)

@@ -35,7 +35,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 
 
 def _retriever(t: Tables) -> Retriever:
-    okapi, fts = (R.keyword_index(t.documents, "doc_id", "text", okapi=kind) for kind in (True, False))
+    okapi, fts = R.keyword_indexes(t.documents, "doc_id", "text", (True, False))
     texts = t.documents.select(F.col("doc_id").alias("id"), "text")
     scorer = lambda q, p: 1 / (1 + F.exp(-M.stub_overlap(q, p)))
     return Retriever([keyword_search(okapi, 20), keyword_search(fts, 20, R.FTS)], texts, top_k=20, keep=5, least=0.9, rerank=scorer)
