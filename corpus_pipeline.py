@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from quillspark.llm import bpe, jaccard, linededup, mixing, quality
 from quillspark.llm.shared import documents, forget, materialize, scratch
 
+#: Pre-tokens that a worker of the last stage keeps; the workers of all stages share an executor's memory.
+CACHE = 40_000
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(docs, quality.quality_space(spark, sf_dir), names=("__score", "__predicted"))
@@ -43,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids, and whether the ids decode to the text's very bytes."""
-    done = bpe.encode_and_decode(docs.select("doc_id", "source", "lang", "text"))
+    done = bpe.encode_and_decode(docs.select("doc_id", "source", "lang", "text"), cache=CACHE)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return done.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -105,10 +105,11 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 class Encoder(dict):
     """Pre-token -> its ids as little-endian 32-bit integers. It fills itself: entries not used
-    since the last turnover leave at the next, so there are never more than twice CACHE."""
+    since the last turnover leave at the next, so there are never more than twice `most`."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, most: int = CACHE) -> None:
         super().__init__()
+        self.most = most
         self.old: dict[str, bytes] = {}
         self.ranks = encoder_ranks(path)
         self.split = regex.compile(pattern).findall
@@ -118,7 +119,7 @@ class Encoder(dict):
         if ids is None:
             ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
         if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHE:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[piece] = ids
@@ -134,9 +135,9 @@ def encoder_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, most: int = CACHE) -> Encoder:
     """One for all tasks of a worker."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, most)
 
 
 @lru_cache(maxsize=1)
@@ -182,12 +183,13 @@ def decode(df: DataFrame, vocabulary: str | None = None, column: str = "ids", ou
     return _mapped(df, [out], step)
 
 
-def encode_and_decode(df: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, column: str = "text", out: str = "ids", back: str = "decoded") -> DataFrame:
-    """encode() and decode() in one worker a task, which holds one vocabulary for both."""
+def encode_and_decode(df: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, column: str = "text", out: str = "ids", back: str = "decoded", cache: int = CACHE) -> DataFrame:
+    """encode() and decode() in one worker a task, which holds one vocabulary for both. A worker keeps
+    its `cache` as long as it lives: fewer entries take less memory and more time."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary or public_tokenizers.path(VOCABULARY)
-        there, again = encoder(path, pattern), tokens(path)
+        there, again = encoder(path, pattern, cache), tokens(path)
         for piece, texts in text_batches(batches, column):
             ids = [there.encode(t) for t in texts]
             yield _with(piece, {out: ids, back: [_decoded(x, again) for x in ids]})

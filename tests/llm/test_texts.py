@@ -241,3 +241,15 @@ def test_vote_is_exact():
         top = np.argsort(-near)[: quality.NEIGHBOURS]
         weight = np.exp(quality.SHARPNESS * (near[top] - 1))
         assert score == pytest.approx((weight * labels[top]).sum() / weight.sum(), rel=1e-4)
+
+
+def test_bpe_cache_bounds(spark):
+    """A worker's cache holds twice its bound at most, whatever the texts; the ids don't depend on it."""
+    import public_tokenizers
+
+    from quillspark.llm import bpe
+
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    small, large = bpe.Encoder(path, public_tokenizers.PATTERN, 3), bpe.Encoder(path, public_tokenizers.PATTERN)
+    text = " ".join(f"wörd{i % 11} thing{i % 7}" for i in range(60))
+    assert small.encode(text) == large.encode(text) and len(small) <= 3 and len(small.old) <= 3
