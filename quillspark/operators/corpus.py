@@ -28,18 +28,43 @@ def repeated_paragraphs(docs: DataFrame, least: int, split: str = "\n") -> DataF
 
 def related(edges: DataFrame) -> DataFrame:
     """item, key -> item, root: items that share keys, directly or over others, get the smallest
-    item as root. Each round spreads the smallest root over a key and back; keys with many items
-    are reduced by the aggregation, not collected."""
-    state = saved(edges.groupBy("item").agg(F.min("item").alias("root")), "related")
-    edges = saved(edges.distinct(), "related-edges")
+    item as root. Each item hangs on its least key and links its other keys with that one; the rows
+    are moved for that only, and the rest of the work is on keys. An item without a key is its own
+    root. Keys and items with many rows are reduced by the aggregation, not collected."""
+    least = F.min(F.when(F.col("item").isNotNull(), F.col("key")))
+    items = saved(edges.groupBy("item").agg(least.alias("low")), "related")
+    links = edges.join(items, "item").select(F.col("key").alias("a"), F.col("low").alias("b"))
+    roots = hung(links).withColumnRenamed("a", "low")
+    first = items.filter("low is not null").groupBy("low").agg(F.min("item").alias("item"))
+    keys = saved(first.join(roots, "low", "left").select("low", "item", F.coalesce("b", "low").alias("b")), "related")
+    named = keys.join(keys.groupBy("b").agg(F.min("item").alias("root")), "b").select("low", "root")
+    return items.join(named, "low", "left").select("item", F.coalesce("root", "item").alias("root"))
+
+
+def hung(links: DataFrame) -> DataFrame:
+    """Links (a, b), a >= b -> a, b: each node that isn't the least of its component, and that least
+    node. A round hangs every node on its least neighbour below it, follows that to the end, and
+    puts these ends in the place of the nodes, which leaves half of the nodes after two rounds at
+    most. Links are moved three times a round and end as loops, which are dropped."""
+    found = None
     while True:
-        by_key = edges.join(state, "item").groupBy("key").agg(F.min("root").alias("least"))
-        low = edges.join(by_key, "key").groupBy("item").agg(F.min("least").alias("root"))
-        jumped = low.join(low.select(F.col("item").alias("root"), F.col("root").alias("up")), "root").select("item", F.least("root", "up").alias("root"))
-        after = saved(jumped, "related")
-        if not after.join(state.withColumnRenamed("root", "was"), "item").filter("root <> was").limit(1).count():
-            return after
-        state = after
+        links = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+        if links.isEmpty():
+            return found if found is not None else links
+        up = ended(links.groupBy("a").agg(F.min("b").alias("b")))
+        end = lambda rows, side: rows.join(up.select(F.col("a").alias(side), F.col("b").alias("end")), side, "left").withColumn(side, F.coalesce("end", side)).drop("end")
+        found = up if found is None else saved(end(found, "b").select("a", "b").unionByName(up), "hung")
+        links = end(end(links, "a"), "b")
+
+
+def ended(up: DataFrame) -> DataFrame:
+    """a, b: where each node's way over ever smaller b ends; the ways double with each round."""
+    while True:
+        up = saved(up, "ways")
+        on = up.select(F.col("a").alias("b"), F.col("b").alias("further"))
+        if up.join(on, "b", "left_semi").isEmpty():
+            return up
+        up = up.join(on, "b", "left").select("a", F.coalesce("further", "b").alias("b"))
 
 
 # --- samples. The order of a draw is a hash of a seed and the id, which is the same everywhere.

@@ -129,6 +129,54 @@ def test_related(spark):
     assert got == {**{i: 0 for i in (0, 1, 2, 3)}, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 8, **{i: 50 for i in range(50, 60)}}
 
 
+def plain_groups(rows):
+    """Item -> least item of its group, one link after the other."""
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    first = {}
+    for i, k in rows:
+        if k is not None:
+            a, b = sorted((top(i), top(first.setdefault(k, i))))
+            root[b] = a
+    return {i: top(i) for i in root}
+
+
+def test_related_shapes(spark):
+    """Chains, stars, repeated rows, and items without a key, which are groups of their own."""
+    rng = random.Random(3)
+    ids = rng.sample(range(1000), 60)
+    chain = [(ids[j], 2000 + j + s) for j in range(60) for s in (0, 1)]
+    star = [(1500, k) for k in range(3000, 3030)] + [(1501 + j, 3000 + j) for j in range(30)]
+    loose = [(1000 + rng.randrange(80), 4000 + rng.randrange(90)) for _ in range(70)]
+    rows = chain + star + loose + loose[:9] + [(1900, None), (1901, None), (1901, 5000), (1902, 5000)]
+    rng.shuffle(rows)
+    got = list(map(tuple, corpus.related(spark.createDataFrame(rows, "item int, key int")).collect()))
+    assert len(got) == len(dict(got)) and dict(got) == plain_groups(rows)
+    assert corpus.related(spark.createDataFrame([], "item int, key int")).collect() == []
+
+
+def test_related_keeps_rows_once(spark, monkeypatch):
+    """Rounds are on keys: the rows and their items aren't kept anew by each."""
+    kept = []
+    saved = corpus.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(corpus, "saved", counted)
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(60)) for i in range(900) for _ in range(3)]
+    got = dict(map(tuple, corpus.related(spark.createDataFrame(rows, "item int, key int")).collect()))
+    assert got == plain_groups(rows) and sum(kept) < len(rows) + 900
+
+
 def test_markup():
     text, headings, table = markup.read_page("<html><style>x{}</style><h1>A&nbsp;B</h1><p>one<br>two  three</p><table><tr><th>k</th><th>v|w</th></tr><tr><td>1</td><td></td></tr></table><script>no</script></html>")
     assert text == "A B\none\ntwo three\nk | v|w\n1 |" and headings == [(1, "A B")]
