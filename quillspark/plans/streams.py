@@ -31,9 +31,16 @@ def _feedback(t: Tables) -> DataFrame:
     return rows.select(F.lit("feedback").alias("kind"), F.col("event_id").alias("id"), F.col("of").alias("turn_id"), F.lit(None).cast("string").alias("key"), "at", F.col("value").alias("rating"), (F.col("at") + F.col("late")).alias("written"))
 
 
-def _files(t: Tables) -> int:
-    """A log file holds a million lines or so, and the log has a few at least."""
-    return max(4, t.events.count() // 1_000_000)
+#: Files of a log at most. A batch goes over all that waits for feedback, which grows with the log, so
+#: that the number of batches must not.
+_MOST_FILES = 16
+
+
+def _cut(n: int) -> tuple[int, int]:
+    """Files of a log of n turns, and parts of each. A file holds a million turns or so, more in long
+    logs, and the log has a few files at least; a part holds 100,000 or more."""
+    files = min(max(4, n // 1_000_000), _MOST_FILES)
+    return files, min(max(1, n // files // 100_000), 16)
 
 
 def _closing(rows: DataFrame) -> DataFrame:
@@ -50,8 +57,9 @@ def streamed_ratings(t: Tables) -> DataFrame:
     """Rows s1, s2 of section 2.17: a stream-stream left outer join of turns and the feedback of the
     two days after them, with late, repeated and unknown feedback."""
     folder = S.fresh_root(t.spark, "log")
-    S.write_log(_turns(t).unionByName(_feedback(t)), folder, "written", _files(t), _closing)
-    return S.run_rated(t.spark, folder, "2 DAYS", "2 days").filter("turn_id >= 0")
+    files, parts = _cut(t.events.count())
+    S.write_log(_turns(t).unionByName(_feedback(t)), folder, "written", files, _closing, parts)
+    return S.run_rated(t.spark, folder, "2 DAYS", "2 days", files=parts).filter("turn_id >= 0")
 
 
 @query(r"""
@@ -61,8 +69,9 @@ def streamed_budget(t: Tables) -> DataFrame:
     """Row s4 of section 2.17: a daily budget by keyed state with a timer at midnight, over several
     batches; the rows of `quota`, request by request."""
     folder = S.fresh_root(t.spark, "log")
-    S.write_log(_turns(t), folder, "written", _files(t))
-    out = S.run_budgeted(t.spark, folder, 2, "America/Los_Angeles", "1 day")
+    files, parts = _cut(t.events.count())
+    S.write_log(_turns(t), folder, "written", files, parts=parts)
+    out = S.run_budgeted(t.spark, folder, 2, "America/Los_Angeles", "1 day", files=parts)
     return out.select(F.col("id").alias("event_id"), "day", "used", "allowed")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.storage import shared_folder
+from ..operators.storage import saved, shared_folder
 
 LINE = "kind string, id long, turn_id long, key string, at long, rating double"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -68,9 +68,11 @@ def fresh_root(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def run_rated(spark: SparkSession, folder: str, within: str, late: str, root: str | None = None) -> DataFrame:
-    """turn_id, rating of the turns in the log files of `folder` whose time for feedback is over."""
-    return last_rating(kept(rated(lines(spark, folder), within, late), root or fresh_root(spark, "ratings")))
+def run_rated(spark: SparkSession, folder: str, within: str, late: str, root: str | None = None, files: int = 1) -> DataFrame:
+    """turn_id, rating of the turns in the log files of `folder` whose time for feedback is over.
+    Only the last batch's state is held in memory; the one before it lies in the checkpoint."""
+    with settings(spark, spark__sql__streaming__maxBatchesToRetainInMemory="1"):
+        return last_rating(kept(rated(lines(spark, folder, files), within, late), root or fresh_root(spark, "ratings")))
 
 
 # --- daily budgets
@@ -187,28 +189,36 @@ def budgeted(texts: DataFrame, limit: int, zone: str, late: str, parts: int = 25
     return dealt.groupBy("part").transformWithStateInPandas(Budgets(limit, zone), BUDGETED, "Append", "eventTime")
 
 
-def run_budgeted(spark: SparkSession, folder: str, limit: int, zone: str, late: str, root: str | None = None) -> DataFrame:
+def run_budgeted(spark: SparkSession, folder: str, limit: int, zone: str, late: str, root: str | None = None, files: int = 1) -> DataFrame:
     with settings(spark, spark__sql__streaming__stateStore__providerClass=_ROCKS):
-        return kept(budgeted(lines(spark, folder), limit, zone, late), root or fresh_root(spark, "budgets"))
+        return kept(budgeted(lines(spark, folder, files), limit, zone, late), root or fresh_root(spark, "budgets"))
 
 
 # --- a log made of a table
 
-def write_log(rows: DataFrame, folder: str, order: str, files: int, closing: Callable[[DataFrame], DataFrame] | None = None) -> None:
+def write_log(rows: DataFrame, folder: str, order: str, files: int, closing: Callable[[DataFrame], DataFrame] | None = None, parts: int = 1) -> None:
     """Rows (of LINE's columns and `order`, when they were written) as a log of some files, one after
     the other, as a stream takes the oldest first. `closing` makes the lines of a last file. The rows
-    are made once, dealt to their files; each file then reads its own lines only."""
+    are made once, dealt to their files; each file then reads its own lines only. With `parts` each
+    file is that many, written at once, for a stream that takes as many at a time; an empty line,
+    which readers pass over, stands in each, so that none is missing."""
+    spark = rows.sparkSession
+    rows = saved(rows, "log-rows")
     bounds = rows.agg(F.min(order), F.max(order)).first()
     if bounds[0] is None:
         rows.limit(0).select(F.to_json(F.struct("kind")).alias("value")).write.mode("append").text(folder)
         return
     width = (bounds[1] - bounds[0]) // files + 1
     text = F.to_json(F.struct(*[c.split()[0] for c in LINE.split(", ")])).alias("value")
-    staged = fresh_root(rows.sparkSession, "lines")
+    staged = fresh_root(spark, "lines")
     nth = F.expr(f"(`{order}` - ({bounds[0]}L)) div {width}L").cast("int").alias("nth")
-    rows.select(text, nth).filter("nth is not null").repartition(files, "nth").write.partitionBy("nth").parquet(staged)
-    dealt = rows.sparkSession.read.schema("value string, nth int").parquet(staged)
+    part = F.pmod(F.hash("kind", "id", "turn_id"), F.lit(parts)).alias("part")
+    rows.select(text, nth, part).filter("nth is not null").repartition(files * parts, "nth", "part").write.partitionBy("nth").parquet(staged)
+    dealt = spark.read.schema("value string, part int, nth int").parquet(staged)
+    empty = spark.range(parts).select(F.lit("").alias("value"), F.col("id").cast("int").alias("part"))
     for i in range(files):
-        dealt.filter(F.col("nth") == i).select("value").coalesce(1).write.mode("append").text(folder)
+        own = dealt.filter(F.col("nth") == i).select("value", "part")
+        whole = own.coalesce(1) if parts == 1 else own.unionByName(empty).repartitionById(parts, F.col("part"))
+        whole.select("value").write.mode("append").text(folder)
     if closing:
         closing(rows).coalesce(1).select(text).write.mode("append").text(folder)

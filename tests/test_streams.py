@@ -181,3 +181,48 @@ def test_log_makes_its_rows_once(spark):
     S.write_log(table, folder, "written", 8)
     assert seen.value <= 3 * len(rows)
     assert sorted(r["id"] for r in S.records(spark.read.text(folder)).collect()) == list(range(40))
+
+
+def test_log_computes_its_rows_one_time(spark):
+    """Bounds and closing lines are read from the rows that were made, not made again."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(x):
+        seen.add(1)
+        return x
+
+    rows = [turn(i, i) for i in range(40)]
+    table = spark.createDataFrame(rows, ROWS).withColumn("at", F.udf(touch, "long").asNondeterministic()("at"))
+    last = lambda made: made.agg(F.max("at").alias("at")).select(F.lit("turn").alias("kind"), F.lit(-1).cast("long").alias("id"), F.lit(None).cast("long").alias("turn_id"), F.lit(None).cast("string").alias("key"), "at", F.lit(None).cast("double").alias("rating"))
+    folder = S.fresh_root(spark, "log")
+    S.write_log(table.withColumn("written", F.col("at")), folder, "written", 4, last)
+    assert seen.value == len(rows)
+    assert sorted(r["id"] for r in S.records(spark.read.text(folder)).collect()) == list(range(-1, 40))
+
+
+def test_log_in_parts(spark):
+    """Each file of a log is as many parts as a stream takes at a time, an empty stretch of time
+    included, so that no batch mixes files; the ratings are those of whole files."""
+    import os
+
+    rows = [turn(i, i) for i in range(30)] + [turn(50 + i, 300 + i) for i in range(30)] + [feedback(100 + i, i, i + 1, i / 8, delay=i % 3) for i in range(20)]
+    table = spark.createDataFrame(rows, ROWS)
+    end = lambda _: spark.createDataFrame([turn(-1, 900), feedback(-2, -1, 900, 0.0)], ROWS)
+    got = []
+    for parts in (1, 3):
+        folder = S.fresh_root(spark, "log")
+        S.write_log(table, folder, "written", 5, end, parts)
+        names = [n for n in os.listdir(folder.removeprefix("file://")) if n.startswith("part-")]
+        assert len(names) >= 5 * parts + 1
+        got.append({r["turn_id"]: r["rating"] for r in S.run_rated(spark, folder, "10 HOURS", "5 hours", files=parts).collect() if r["turn_id"] >= 0})
+    assert got[0] == got[1] == {r[1]: r[1] / 8 if r[1] < 20 else None for r in rows if r[0] == "turn"}
+
+
+def test_batches_do_not_grow_with_the_log():
+    """Every batch goes over all state, so their number has a bound; parts stay large enough."""
+    from quillspark.plans.streams import _MOST_FILES, _cut
+
+    assert _cut(100_000) == (4, 1) and _cut(6_000_000) == (6, 10)
+    assert {_cut(n)[0] for n in (36_000_000, 10**9)} == {_MOST_FILES}
