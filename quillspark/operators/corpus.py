@@ -29,7 +29,7 @@ def repeated_paragraphs(docs: DataFrame, least: int, split: str = "\n") -> DataF
 def related(edges: DataFrame) -> DataFrame:
     """item, key -> item, root: items that share keys, directly or over others, get the smallest
     item as root. Each item hangs on its least key and links its other keys with that one; the rows
-    are moved for that only, and the rest of the work is on keys. An item without a key is its own
+    are moved for these two steps only, and the rest of the work is on links of keys. An item without a key is its own
     root. Keys and items with many rows are reduced by the aggregation, not collected."""
     least = F.min(F.when(F.col("item").isNotNull(), F.col("key")))
     items = saved(edges.groupBy("item").agg(least.alias("low")), "related")
