@@ -6,15 +6,18 @@ documents stand together, by the common terms they hold and then by length, so t
 neighbours have similar impacts and whole blocks fall to the bound. A search takes
 the stated queries in blocks of bounded size; for a block, document frequencies are summed over
 all shards, so that scores use global statistics everywhere, and each task runs the block's
-queries over its shards, keeping its best k so far for each query as the threshold.
+queries over its shards, keeping its best k so far for each query as the threshold. The first shards
+of all tasks are searched before the others, whose threshold is the k-th best score of those.
 
-Pruning is block-max WAND with aligned blocks as cursors: the pivot test sums, for a block of
-documents, the query's term maxima in it; a block whose sum is below the threshold is skipped
-whole, before any of its postings is scored, those of common terms too. The best blocks go first,
-to raise the threshold early. What stays is scored: postings of rare terms one by one, common
-terms (in DENSE of the shard's documents and COMMON of them or more), whose postings in a block are
-nearly all its documents, as a product with the block's rows. Results are exact: equal to scoring
-each document. Partial results are merged by query.
+Postings of rare terms are few and are summed first, for all documents at once. Common terms (in DENSE
+of the shard's documents and COMMON of them or more) are the many; they have rows by block, and
+pruning is by block maxima: a block of documents whose best sum of rare terms, with the query's
+maxima of common terms in it, stays below the threshold is skipped whole. The best blocks go first
+while a query has no threshold yet. What stays is a product of queries with the block's rows.
+
+These sums are in single precision, whose error is bounded by a share of them. Documents that reach the
+threshold within that error, a few of each shard, are scored again from their own postings in double
+precision. Results are exact: equal to scoring each document. Partial results are merged by query.
 
 Scores are rounded to PLACES decimals before they are compared, and the threshold leaves as much
 room, so that equal documents score the same in whatever shard they stand and the order of sums
@@ -45,22 +48,24 @@ from .shingles import word_hashes
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Documents and words of a shard, documents of a block, queries are stated by EVERY.
-SHARD, SHARD_WORDS, BLOCK, EVERY = 4096, 1 << 22, 64, 100
+SHARD, SHARD_WORDS, BLOCK, EVERY = 8192, 1 << 22, 64, 100
 #: Terms in more than this share of a shard's documents, and in so many, have their impacts as rows.
-DENSE, COMMON = 0.125, 64
+DENSE, COMMON = 0.06, 64
 #: Blocks that are scored first, queries that a shard takes together; decimals of a score.
-FIRST, TOGETHER, PLACES = 4, 64, 9
+FIRST, TOGETHER, PLACES = 4, 256, 9
 #: Principal components by whose signs a shard's documents are arranged.
 COMPONENTS = 3
 #: Terms of a block of queries; bounds the broadcast to some 16 bytes each.
-QUERY_TERMS = 1 << 20
+QUERY_TERMS = 1 << 22
 
-_PLAIN = {c: " " for c in range(128) if not chr(c).isalnum()}
-_INDEX = "docs int, words long, ids binary, named binary, lengths binary, terms binary, offsets binary, places binary, counts binary"
+#: Bytes of what separates terms as blanks, A-Z as a-z.
+_PLAIN = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
+_HITS = ["query_id", "query_md5", "doc_id", "score"]
+_INDEX = "lead boolean, docs int, words long, ids binary, named binary, lengths binary, terms binary, offsets binary, places binary, counts binary"
 
 
 def terms_of(text: str) -> np.ndarray:
-    return word_hashes(text.translate(_PLAIN))
+    return word_hashes(text, table=_PLAIN)
 
 
 def arranged(term: np.ndarray, doc: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -82,9 +87,9 @@ def arranged(term: np.ndarray, doc: np.ndarray, lengths: np.ndarray) -> np.ndarr
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """One row for each shard; arrays as bytes."""
+    """One row for each shard; arrays as bytes. lead: the first one of its task."""
 
-    def shard(ids: list, words: list[np.ndarray]) -> pa.RecordBatch:
+    def shard(ids: list, words: list[np.ndarray], lead: bool) -> pa.RecordBatch:
         lengths = np.array([len(w) for w in words], np.int32)
         place = np.repeat(np.arange(len(words), dtype=np.int64), lengths)
         terms, nth = np.unique(np.concatenate(words), return_inverse=True)
@@ -101,97 +106,113 @@ def build_index(docs: DataFrame) -> DataFrame:
             np.array([ids[i] or 0 for i in order], np.int64), np.array([ids[i] is not None for i in order], np.uint8), lengths[order], terms,
             offsets.astype(np.int32), (pair % SHARD).astype(np.uint16), counts.astype(np.int32),
         ]
-        values = [pa.array([len(ids)], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]]
+        values = [pa.array([lead]), pa.array([len(ids)], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]]
         return pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in _INDEX.split(", ")])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, size = [], [], 0
+        ids, words, size, lead = [], [], 0, True
         for piece, texts in text_batches(batches):
             for i, t in zip(piece.column(0).to_pylist(), texts, strict=True):
                 w = terms_of(t)
                 if ids and (len(ids) == SHARD or size + len(w) > SHARD_WORDS):
-                    yield shard(ids, words)
-                    ids, words, size = [], [], 0
+                    yield shard(ids, words, lead)
+                    ids, words, size, lead = [], [], 0, False
                 ids.append(i)
                 words.append(w)
                 size += len(w)
         if ids:
-            yield shard(ids, words)
+            yield shard(ids, words, lead)
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, _INDEX)
 
 
 class Shard:
-    def __init__(self, row: dict, mean: float) -> None:
+    def __init__(self, row: dict, mean: float, weight: np.ndarray | None = None) -> None:
+        """weight: of each term, 1 by default; it goes into the impacts of its postings."""
         read = lambda k, t: np.frombuffer(row[k], t)
         self.ids, self.named, self.terms = read("ids", np.int64), read("named", np.uint8), read("terms", np.uint64)
-        self.offsets, self.places = read("offsets", np.int32), read("places", np.uint16).astype(np.int64)
-        tf, length = read("counts", np.int32).astype(np.float64), read("lengths", np.int32)[self.places]
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-        # (term, block) runs of the postings with their maxima
-        owner = np.repeat(np.arange(len(self.terms)), np.diff(self.offsets))
-        cell = owner * (SHARD // BLOCK) + self.places // BLOCK
-        self.run = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        self.run_end = np.concatenate([self.run[1:], [len(cell)]])
-        self.top = np.maximum.reduceat(self.impact, self.run) if len(cell) else np.zeros(0)
-        self.block = cell[self.run] % (SHARD // BLOCK)
-        self.run_of = np.searchsorted(owner[self.run], np.arange(len(self.terms) + 1))
+        self.offsets, places = read("offsets", np.int32), read("places", np.uint16)
+        tf, length = read("counts", np.int32).astype(np.float64), read("lengths", np.int32)[places]
+        many = np.diff(self.offsets)
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+        if weight is not None:
+            impact *= np.repeat(weight, many)
+        # Postings as pairs (place, impact in single precision): one copy of a run takes both.
+        pairs = np.empty((len(places), 2), np.uint32)
+        pairs[:, 0], pairs.view(np.float32)[:, 1] = places, impact
+        self.pairs, self.ends = memoryview(pairs).cast("B") if len(places) else memoryview(b""), self.offsets.astype(np.int64) * pairs.itemsize * 2
+        # The same by document: what it scores exactly.
+        order = np.argsort(places, kind="stable")
+        self.first = np.searchsorted(places[order], np.arange(len(self.ids) + 1))
+        self.owner, self.exact = np.repeat(np.arange(len(self.terms), dtype=np.int32), many)[order], impact[order]
+        self.mark = np.zeros(len(self.terms), np.float32)
         # Terms in many of the documents: their impacts as rows, so that a block's part of a query
-        # is one product instead of a gather of postings.
-        common = np.flatnonzero(np.diff(self.offsets) > max(len(self.ids) * DENSE, COMMON))
+        # is one product instead of a sum over postings.
+        common = np.flatnonzero(many > max(len(self.ids) * DENSE, COMMON))
         self.row_of = np.full(len(self.terms), -1)
         self.row_of[common] = np.arange(len(common))
         blocks = -(-len(self.ids) // BLOCK)
         # [block, term, document]: what a block needs stands together; and the blocks' maxima.
-        self.rows = np.zeros((blocks, len(common), BLOCK))
-        mine = self.row_of[owner]
-        here = mine >= 0
-        self.rows[self.places[here] // BLOCK, mine[here], self.places[here] % BLOCK] = self.impact[here]
-        self.row_tops = self.rows.max(axis=2).T if len(common) else np.zeros((0, blocks))
-
-    def search(self, asked: list[tuple[np.ndarray, np.ndarray]], least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        self.rows = np.zeros((blocks, len(common), BLOCK), np.float32)
+        mine = _ranges(self.offsets[common], many[common])
+        at = places[mine].astype(np.int64)
+        self.rows[at // BLOCK, np.repeat(np.arange(len(common)), many[common]), at % BLOCK] = impact[mine]
+        self.row_tops = self.rows.max(axis=2).T if len(common) else np.zeros((0, blocks), np.float32)
+        # Of each block the common terms that it holds, and their rows.
+        self.held = [np.flatnonzero(self.row_tops[:, b]) for b in range(blocks)]
+        self.held_rows = [self.rows[b, held] for b, held in enumerate(self.held)]
+
+    def search(self, asked: list[tuple[np.ndarray, np.ndarray | None]], least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each of some queries the places and scores of the documents that can be among its
-        best k. asked: places of the query's terms here and their weights; least: the scores of
-        the k-th best so far."""
+        best k. asked: places of the query's terms here, and how often each counts (None: once);
+        least: the scores of the k-th best so far."""
         blocks, least = len(self.rows), least.copy()
-        weights, bound, rare = np.zeros((len(asked), len(self.row_tops))), np.zeros((len(asked), blocks)), []
-        for i, (at, idf) in enumerate(asked):
+        weights, scores = np.zeros((len(asked), len(self.row_tops)), np.float32), np.zeros((len(asked), blocks * BLOCK), np.float32)
+        for i, (at, times) in enumerate(asked):
             row = self.row_of[at]
-            dense = row >= 0
-            weights[i, row[dense]] = idf[dense]
-            at, idf = at[~dense], idf[~dense]
-            first = self.run_of[at]
-            many = self.run_of[at + 1] - first
-            runs, weight = _ranges(first, many), np.repeat(idf, many)
-            bound[i] = np.bincount(self.block[runs], self.top[runs] * weight, blocks)
-            rare.append((runs, weight))
-        bound = (bound + weights @ self.row_tops) * (1 + 1e-12)
-        slack = 2 * 10.0**-PLACES
-        scores = np.zeros((len(asked), blocks, BLOCK))
-        early = np.zeros(bound.shape, bool)  # the first blocks raise the threshold for the rest
-        np.put_along_axis(early, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
-        for turn in (early, ~early):
-            pick = turn & (bound + slack >= least[:, None]) & (bound > 0)
-            for b in np.flatnonzero(pick.any(axis=0)).tolist():
-                q = np.flatnonzero(pick[:, b])
-                scores[q, b] = weights[q] @ self.rows[b]
-            for i in np.flatnonzero(pick.any(axis=1)).tolist():
-                runs, weight = rare[i]
-                mine = pick[i][self.block[runs]]
-                chosen, w = runs[mine], weight[mine]
-                size = self.run_end[chosen] - self.run[chosen]
-                postings = _ranges(self.run[chosen], size)
-                flat = scores[i].reshape(-1)
-                flat += np.bincount(self.places[postings], self.impact[postings] * np.repeat(w, size), flat.size)
-                if flat.size >= k:
-                    least[i] = max(least[i], np.round(np.partition(flat, flat.size - k)[flat.size - k], PLACES))
+            rare = row < 0
+            weights[i, row[~rare]] = 1 if times is None else times[~rare]
+            at = at[rare]
+            if len(at):
+                runs = zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)
+                pairs = np.frombuffer(b"".join([self.pairs[a:b] for a, b in runs]), np.uint32).reshape(-1, 2)
+                part = pairs.view(np.float32)[:, 1]
+                part = part if times is None else part * np.repeat(times[rare], self.offsets[at + 1] - self.offsets[at])
+                scores[i] = np.bincount(pairs[:, 0], part, scores.shape[1])
+        # Sums in single precision are off by a smaller share than this.
+        off, slack = (len(self.row_tops) + 4) * 2.0**-23, 2 * 10.0**-PLACES
+        bound = (scores.reshape(len(asked), blocks, BLOCK).max(axis=2) + weights @ self.row_tops) * (1 + off)
+        left = bound > 0
+        new = np.flatnonzero(least <= 0)
+        if len(new) and scores.shape[1] >= k:  # the best blocks raise the threshold for the rest
+            early = np.zeros(bound.shape, bool)
+            early[new[:, None], np.argsort(-bound[new], axis=1, kind="stable")[:, :FIRST]] = True
+            early &= left
+            self._add(scores, weights, early)
+            left &= ~early
+            least[new] = np.maximum(0, np.partition(scores[new], scores.shape[1] - k, axis=1)[:, scores.shape[1] - k].astype(float) * (1 - off) - slack)
+        self._add(scores, weights, left & (bound + slack >= least[:, None]))
+        bar = np.maximum((least - slack) / (1 + off) ** 2, 1e-30).astype(np.float32)
         out = []
-        for i in range(len(asked)):
-            rounded = np.round(scores[i].reshape(-1)[: len(self.ids)], PLACES)
-            found = np.flatnonzero((rounded >= least[i]) & (rounded > 0))
-            out.append((found, rounded[found]))
+        for i, hit in enumerate(scores >= bar[:, None]):
+            found = np.flatnonzero(hit)
+            if len(found) > k:
+                some = scores[i, found].astype(float)
+                found = found[some * (1 + off) + slack >= float(np.partition(some, len(some) - k)[len(some) - k]) * (1 - off)]
+            at, times = asked[i]
+            self.mark[at] = 1 if times is None else times
+            ends = zip(self.first[found].tolist(), self.first[found + 1].tolist(), strict=True)
+            value = np.round(np.array([self.mark[self.owner[a:b]] @ self.exact[a:b] for a, b in ends], float), PLACES)
+            self.mark[at] = 0
+            out.append((found[value > 0], value[value > 0]))
         return out
 
+    def _add(self, scores: np.ndarray, weights: np.ndarray, pick: np.ndarray) -> None:
+        """The common terms' part of the scores, for the picked queries of each block."""
+        for b in np.flatnonzero(pick.any(axis=0)).tolist():
+            q = np.flatnonzero(pick[:, b])
+            scores[q, b * BLOCK : (b + 1) * BLOCK] += weights[q[:, None], self.held[b]] @ self.held_rows[b]
+
 
 def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... many[0] of them, then those of first[1], and so on."""
@@ -254,32 +275,43 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
         asks = spark.sparkContext.broadcast((wanted, idf, [np.searchsorted(wanted, b[2]).astype(np.int32) for b in block], [b[:2] for b in block], words / total))
 
-        def run(batches: Iterator[pa.RecordBatch], asks=asks) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], floor, asks=asks) -> Iterator[pa.RecordBatch]:
             wanted, idf, sets, names, mean = asks.value
+            known = floor.value if floor else np.zeros(len(sets))
             best: list = [(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0))] * len(sets)
             for b in batches:
                 for row in b.to_pylist():
-                    shard = Shard(row, mean)
-                    if not len(shard.terms):
+                    held = np.frombuffer(row["terms"], np.uint64)
+                    if not len(held):
                         continue
-                    at = np.minimum(np.searchsorted(shard.terms, wanted), len(shard.terms) - 1)
-                    here = shard.terms[at] == wanted
+                    at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+                    here = held[at] == wanted
+                    weight = np.zeros(len(held))
+                    weight[at[here]] = idf[here]
+                    shard = Shard(row, mean, weight)
                     for start in range(0, len(sets), TOGETHER):
                         some = [terms[here[terms]] for terms in sets[start : start + TOGETHER]]
-                        least = np.array([x[2][-1] if len(x[2]) >= k else 0.0 for x in best[start : start + TOGETHER]])
-                        found = shard.search([(at[mine], idf[mine]) for mine in some], least, k)
+                        least = np.array([max(low, x[2][-1]) if len(x[2]) >= k else low for low, x in zip(known[start:].tolist(), best[start : start + TOGETHER])])
+                        found = shard.search([(at[mine], None) for mine in some], least, k)
                         for q, (places, scores) in enumerate(found, start):
                             if len(places):
                                 merged = [np.concatenate(x) for x in zip(best[q], (shard.named[places], shard.ids[places], scores), strict=True)]
                                 top = _best(*merged, k)
                                 best[q] = tuple(m[top] for m in merged)
-            sizes = [len(x[1]) for x in best]
             column = lambda j: np.concatenate([x[j] for x in best])
-            owner = np.repeat(np.arange(len(best)), sizes)
+            owner = np.repeat(np.arange(len(best), dtype=np.int32), [len(x[1]) for x in best])
             ids = pa.array(column(1), pa.int64(), mask=column(0) == 0)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i][0] for i in owner], pa.int64()), pa.array([names[i][1] for i in owner], pa.string()), ids, pa.array(column(2))], names=["query_id", "query_md5", "doc_id", "score"])
-
-        parts.append(index.mapInArrow(run, "query_id long, query_md5 string, doc_id long, score double"))
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array([names[i][0] for i in owner], pa.int64()), pa.array([names[i][1] for i in owner], pa.string()), ids, pa.array(column(2))], names=["nth", *_HITS])
+
+        schema = "nth int, query_id long, query_md5 string, doc_id long, score double"
+        # The leading shards first: their k-th best scores are what a document of the others must reach.
+        led = materialize(index.filter("lead").mapInArrow(lambda batches, run=run: run(batches, None), schema), "hits")
+        least = led.groupBy("nth").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).filter(F.size("s") >= k).select("nth", F.element_at("s", k).alias("score")).toPandas()
+        floor = np.zeros(len(block))
+        floor[least["nth"].to_numpy()] = least["score"].to_numpy()
+        shared_floor = spark.sparkContext.broadcast(floor)
+        rest = index.filter("not lead").mapInArrow(lambda batches, run=run, floor=shared_floor: run(batches, floor), schema)
+        parts += [led.select(*_HITS), rest.select(*_HITS)]
     if not parts:
         return spark.createDataFrame([], "query_id long, query_md5 string, rank int, doc_id long, score double")
     hits = parts[0]

@@ -19,9 +19,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str, block: int = 1 << 22) -> np.ndarray:
-    """One 64-bit hash for each word, A-Z as a-z; long texts in blocks that end at blanks."""
-    data, out, start = text.encode().translate(_FOLD), [], 0
+def word_hashes(text: str, block: int = 1 << 22, table: bytes = _FOLD) -> np.ndarray:
+    """One 64-bit hash for each word, A-Z as a-z; long texts in blocks that end at blanks. table: what
+    each byte counts as."""
+    data, out, start = text.encode().translate(table), [], 0
     while start < len(data):
         end = len(data) if start + block >= len(data) else data.find(b" ", start + block)
         end = len(data) if end < 0 else end

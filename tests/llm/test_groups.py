@@ -375,6 +375,34 @@ def test_long_document_in_a_shard():
     assert search.arranged(pair // search.SHARD, pair % search.SHARD, lengths).tolist() == [1, 0]
 
 
+def test_scores_that_single_precision_cannot_tell():
+    """Sums in single precision only choose what is scored exactly: of scores that differ in the ninth
+    digit the best stand first, with weights of terms, and with thresholds that others have set."""
+    rng = np.random.default_rng(4)
+    n, many = 300, 40
+    tf = np.where(rng.random((many, n)) < np.where(np.arange(many) < 20, 0.9, 0.05)[:, None], rng.integers(1, 4, (many, n)), 0)
+    tf[:, 200:] = tf[:, [7]]
+    lengths = np.concatenate([rng.integers(20, 400, 200), 1_000_000_000 + np.arange(100)]).astype(np.int32)
+    term, doc = np.nonzero(tf)
+    row = {
+        "ids": np.arange(n).tobytes(), "named": np.ones(n, np.uint8).tobytes(), "lengths": lengths.tobytes(), "terms": np.arange(many, dtype=np.uint64).tobytes(),
+        "offsets": np.searchsorted(term, np.arange(many + 1)).astype(np.int32).tobytes(), "places": doc.astype(np.uint16).tobytes(), "counts": tf[term, doc].astype(np.int32).tobytes(),
+    }
+    weight = rng.random(many) + 0.5
+    mean = 1e9
+    shard = search.Shard(row, mean, weight)
+    assert shard.rows.dtype == np.float32
+    part = weight[:, None] * tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * lengths / mean))
+    asked = [np.arange(many), np.arange(0, many, 3), np.arange(25, many), np.arange(0)]
+    for least in (0.0, 5.0):
+        for at, (places, scores) in zip(asked, shard.search([(at, None) for at in asked], np.full(4, least), 10), strict=True):
+            want = np.round(part[at].sum(axis=0), search.PLACES)
+            best = [i for i in np.lexsort((np.arange(n), -want))[:10].tolist() if want[i] > 0 and want[i] >= least]
+            got = dict(zip(places.tolist(), scores.tolist(), strict=True))
+            assert set(best) <= set(got) and all(abs(got[i] - want[i]) < 2e-9 for i in got)
+            assert not len(at) or len(got) < n // 2
+
+
 def water(sizes: dict, weights: dict, share: float, most: float) -> dict:
     """Clamp and share out again until nobody is above the cap."""
     wanted, held = share * sum(sizes.values()), {}
